@@ -6,6 +6,10 @@ import importlib
 
 _NAMES = {
     "op1_fingerprints": "fingerprint",
+    "op2_packing": "packing",
+    "op3_simhash": "simhash",
+    "op7_substrings": "substrings",
+    "op8_pii": "pii",
 }
 
 
