@@ -8,8 +8,12 @@ _NAMES = {
     "op1_fingerprints": "fingerprint",
     "op2_packing": "packing",
     "op3_simhash": "simhash",
+    "op4_chat": "chat",
+    "op5_embeddings": "vectors",
     "op7_substrings": "substrings",
     "op8_pii": "pii",
+    "op9_langid": "langid",
+    "op10_warc": "warc",
 }
 
 
@@ -25,4 +29,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import chat, warc
+
+    return {"op4_chat": chat.ORACLE, "op10_warc": warc.ORACLE}

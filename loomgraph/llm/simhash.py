@@ -7,11 +7,14 @@ agree on a whole choice (about half of the bits, by default) meet and are verifi
 Equal fingerprints are one row from the start, so copies cost nothing. No link is
 lost and no list is capped: a block list over ``SPLIT`` fingerprints is cut again
 by blocks of its remaining bits, and what leaves a task is one link a node, not the
-pairs. Null and empty texts have the fingerprint zero and are linked like any other.
+pairs. For larger distances, which no block of useful size survives, blocks of sampled
+bits of a longer fingerprint are used instead (`NEAR`); a pair is then verified if it
+shares one of them. Null and empty texts have the fingerprint zero and are linked like any other.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -27,14 +30,18 @@ from .components import connected_components, local_roots
 from .words import chunks
 
 WORDS, DISTANCE, BLOCKS, SEED = 3, 3, 6, 42
+#: Near copies of the corpus pipeline: 128 bits over five-word shingles, alike in 0.8 of them or more, met in one of 64 blocks of 18 sampled bits.
+NEAR = {"words": 5, "lanes": 2, "distance": 25, "sampled": (64, 18)}
 SPLIT = 4096
 _HELD = 1_000_000
+_ALL = (1 << 64) - 1
 
 
-def simhash(texts: pa.Array, words: int = WORDS) -> np.ndarray:
-    """Fingerprints as unsigned 64-bit numbers; shingles count as often as they occur."""
-    parts = []
-    digest = xxhash.xxh64_digest
+def simhash(texts: pa.Array, words: int = WORDS, lanes: int = 1) -> np.ndarray:
+    """Fingerprints as ``lanes`` unsigned 64-bit numbers a row; shingles count as often as they occur.
+    One lane takes its bits from XXH64, two from the 128 bits of XXH3."""
+    parts = [np.empty((0, lanes), np.uint64)]
+    digest = xxhash.xxh64_digest if lanes == 1 else xxhash.xxh3_128_digest
     for i, j, w in chunks(texts, lower=True):
         joined, length = w.join(), w.ends - w.starts
         at = np.concatenate([[0], np.cumsum(length + 1)])
@@ -44,14 +51,14 @@ def simhash(texts: pa.Array, words: int = WORDS) -> np.ndarray:
         word = np.arange(upto[-1]) + np.repeat(w.first[:-1] - upto[:-1], n)
         last = word + np.repeat(np.minimum(count, words), n)
         spans = zip(at[word].tolist(), (at[last] - 1).tolist(), strict=True)
-        raw = np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in spans]), np.uint8).reshape(-1, 8)
-        out = np.zeros((j - i, 64), bool)
+        raw = np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in spans]), np.uint8).reshape(-1, 8 * lanes)
+        out = np.zeros((j - i, 64 * lanes), bool)
         full = np.flatnonzero(n)
         if len(full):
             ones = np.add.reduceat(np.unpackbits(raw, axis=1), upto[:-1][full], axis=0, dtype=np.int32)
             out[full] = ones * 2 > n[full][:, None]
-        parts.append(np.packbits(out, axis=1).view(">u8").ravel().astype(np.uint64))
-    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+        parts.append(np.packbits(out, axis=1).view(">u8").reshape(-1, lanes).astype(np.uint64))
+    return np.concatenate(parts)
 
 
 def masks(bits: list[int], blocks: int, agree: int) -> list[int]:
@@ -61,73 +68,111 @@ def masks(bits: list[int], blocks: int, agree: int) -> list[int]:
     return [sum(c) for c in combinations(ones, agree)]
 
 
-def _in_groups(group: np.ndarray, fp: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def sampled_masks(bits: int, blocks: int, width: int) -> list[int]:
+    """Blocks of sampled bits, each round dealing all bits before any is used again."""
+    rng, deck, out = random.Random(SEED), [], []
+    for _ in range(blocks):
+        own: set[int] = set()
+        while len(own) < width:
+            if not deck:
+                deck = rng.sample(range(bits), bits)
+            own.add(deck.pop())
+        out.append(sum(1 << b for b in own))
+    return out
+
+
+def _lanes(mask: int, lanes: int) -> list[int]:
+    return [mask >> 64 * k & _ALL for k in range(lanes)]
+
+
+def _signed(v: int) -> int:
+    return v - (1 << 64) if v >> 63 else v
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(axis=1)
+
+
+def _in_groups(group: np.ndarray, row: np.ndarray, fp: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links among rows of equal ``group``; rows are sorted by it."""
-    live, d = np.arange(len(fp)), 1
+    live, d = np.arange(len(row)), 1
     while True:
-        live = live[live + d < len(fp)]
+        live = live[live + d < len(row)]
         live = live[group[live] == group[live + d]]
         if not len(live):
             return
-        near = live[np.bitwise_count(fp[live] ^ fp[live + d]) <= distance]
-        if len(near):
-            yield fp[near], fp[near + d]
+        a, b = row[live], row[live + d]
+        near = _apart(fp[a], fp[b]) <= distance
+        if near.any():
+            yield a[near], b[near]
         d += 1
 
 
-def _grouped(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _grouped(fp: np.ndarray, row: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows by what they have under the mask, and its number."""
+    key = np.zeros(len(row), np.uint64)
+    for k, m in enumerate(_lanes(mask, fp.shape[1])):
+        key = key * np.uint64(0x9E3779B97F4A7C15) + (fp[row, k] & np.uint64(m))
     order = np.argsort(key, kind="stable")
     key = key[order]
-    return np.cumsum(np.diff(key, prepend=key[:1]) != 0), fp[order]
+    return np.cumsum(np.diff(key, prepend=key[:1]) != 0), row[order]
 
 
-def block_links(choice: np.ndarray, fp: np.ndarray, table: list[int], distance: int, blocks: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All links among fingerprints that agree on the mask of their choice."""
+def block_links(choice: np.ndarray, fp: np.ndarray, table: list[int], distance: int, blocks: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All links, as pairs of rows, among fingerprints that agree on the mask of their choice.
+    With ``blocks`` given, long lists are cut again by that many blocks of the bits outside the mask."""
     for c in np.unique(choice):
-        own = fp[choice == c]
-        group, own = _grouped(own & np.uint64(table[c]), own)
+        group, row = _grouped(fp, np.flatnonzero(choice == c), table[c])
         size = np.bincount(group) if len(group) else np.empty(0, int)
-        big = size[group] > SPLIT
-        yield from _in_groups(group[~big], own[~big], distance)
+        big = size[group] > (SPLIT if blocks else len(row))
+        yield from _in_groups(group[~big], row[~big], fp, distance)
         if big.any():
             rest = [b for b in range(64) if not table[c] >> b & 1]
             for g in np.flatnonzero(size > SPLIT):
-                mine = own[group == g]
                 for m in masks(rest, blocks, blocks - distance):
-                    yield from _in_groups(*_grouped(mine & np.uint64(m), mine), distance)
+                    yield from _in_groups(*_grouped(fp, row[group == g], m), fp, distance)
 
 
-def fingerprints(df: DataFrame, text: str = "text", id_: str = "doc_id", words: int = WORDS) -> DataFrame:
-    """(doc_id, fp): fp holds the fingerprint's bits as a signed long."""
+def fingerprints(df: DataFrame, text: str = "text", id_: str = "doc_id", words: int = WORDS, lanes: int = 1) -> DataFrame:
+    """(doc_id, f0, ...): the fingerprint's lanes as signed longs."""
     small_batches(df.sparkSession)
+    names = ["doc_id", *(f"f{k}" for k in range(lanes))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(simhash(x.column(1), words).view(np.int64))], ["doc_id", "fp"])
+            fp = simhash(x.column(1), words, lanes).view(np.int64)
+            yield pa.RecordBatch.from_arrays([x.column(0), *(pa.array(fp[:, k]) for k in range(lanes))], names)
 
-    schema = StructType([StructField("doc_id", LongType()), StructField("fp", LongType())])
+    schema = StructType([StructField(n, LongType()) for n in names])
     return df.select(F.col(id_).cast("long"), F.col(text).cast("string")).mapInArrow(run, schema)
 
 
-def links(unique: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
-    """Links (u, v) that join all fingerprints of column ``fp`` (distinct) at the distance or nearer."""
-    table = masks(list(range(64)), blocks, blocks - distance)
-    signed = [m - (1 << 64) if m >> 63 else m for m in table]
-    rows = unique.select("fp", F.explode(F.array(*(F.struct(F.lit(i).cast("short").alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)))).alias("k"))
-    rows = rows.select(F.col("k.c").alias("c"), F.col("k.key").alias("key"), "fp").repartition(partitions(unique.sparkSession), "c", "key").select("c", "fp")
+def links(unique: DataFrame, distance: int = DISTANCE, blocks: int | None = BLOCKS, sampled: tuple[int, int] | None = None) -> DataFrame:
+    """Links (u, v) of column ``node`` that join all rows whose fingerprints (f0, ..., distinct) are at the distance
+    or nearer: all of them, by pigeonhole; or, with sampled blocks, those that share one."""
+    lanes = [c for c in unique.columns if c != "node"]
+    table = sampled_masks(64 * len(lanes), *sampled) if sampled else masks(list(range(64)), blocks, blocks - distance)
+    again = None if sampled else blocks
+    choices = [F.struct(F.lit(i).cast("short").alias("c"), *(F.col(f).bitwiseAND(F.lit(_signed(m))).alias(f"k{k}") for k, (f, m) in enumerate(zip(lanes, _lanes(mask, len(lanes)), strict=True)))) for i, mask in enumerate(table)]
+    rows = unique.select("node", *lanes, F.explode(F.array(*choices)).alias("k"))
+    keys = [F.col(f"k.k{k}") for k in range(len(lanes))]
+    rows = rows.repartition(partitions(unique.sparkSession), F.col("k.c"), *keys).select(F.col("k.c").alias("c"), "node", *lanes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(x.column(0).to_numpy(), x.column(1).to_numpy().view(np.uint64)) for x in batches if x.num_rows]
+        got = [[c.to_numpy() for c in x.columns] for x in batches if x.num_rows]
         if not got:
             return
+        choice, node, *f = (np.concatenate(c) for c in zip(*got, strict=True))
+        del got
+        fp = np.stack(f, axis=1).view(np.uint64)
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        for link in block_links(np.concatenate([c for c, _ in got]), np.concatenate([f for _, f in got]), table, distance, blocks):
-            held.append(link)
+        for a, b in block_links(choice, fp, table, distance, again):
+            held.append((node[a], node[b]))
             if sum(len(a) for a, _ in held) > _HELD:
                 held = [_contracted(held)]
         if held:
             u, v = _contracted(held)
-            yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
     return rows.mapInArrow(run, "u long, v long")
 
@@ -138,16 +183,26 @@ def _contracted(held: list) -> tuple[np.ndarray, np.ndarray]:
     return nodes[far], roots[far]
 
 
-def components(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS) -> DataFrame:
-    """(doc_id, fp, component_id) of (doc_id, fp): the smallest doc_id of those reachable by links, itself included; null ids count last."""
+def components(fps: DataFrame, distance: int = DISTANCE, blocks: int | None = BLOCKS, sampled: tuple[int, int] | None = None) -> DataFrame:
+    """(doc_id, f0, ..., component_id) of fingerprints: the smallest doc_id of those reachable by links, itself included; null ids count last."""
     fps = cut(fps)
-    unique = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    found = connected_components(links(unique, distance, blocks))
-    rooted = unique.join(found, unique.fp == found.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    lanes = fps.columns[1:]
+    unique = fps.groupBy(*lanes).agg(F.min("doc_id").alias("low"))
+    unique = cut(unique.withColumn("node", F.monotonically_increasing_id()))
+    found = connected_components(links(unique.select("node", *lanes), distance, blocks, sampled)).withColumnRenamed("root", "to")
+    rooted = unique.join(found, "node", "left").select(*lanes, "low", F.coalesce("to", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    return fps.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return fps.join(rooted.join(least, "root").select(*lanes, "component_id"), lanes).select("doc_id", *lanes, "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs without near copies: of each group the document with the smallest doc_id stays, and of rows that repeat
+    an id the least text. Only ids of those that go are joined with the texts."""
+    found = components(fingerprints(docs, words=NEAR["words"], lanes=NEAR["lanes"]), NEAR["distance"], None, NEAR["sampled"])
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
     found = components(fingerprints(read(spark, sf_dir, "documents")))
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
