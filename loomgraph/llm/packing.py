@@ -54,8 +54,8 @@ def pieces(df: DataFrame, vocabulary: str, text: str = "text", id_: str = "doc_i
         encoder = _encoder(vocabulary)
         for x in batches:
             rows: tuple[list, ...] = ([], [], [], [], [], [], [])
-            for doc, text_ in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
-                raw = encoder.raw(text_ or "") + tail
+            for doc, raw in zip(x.column(0).to_pylist(), encoder.raw([t or "" for t in x.column(1).to_pylist()]), strict=True):
+                raw += tail
                 n = len(raw) // 4
                 first = n % capacity or min(n, capacity)
                 edges = [0, *range(first, n + 1, capacity)]

@@ -1,21 +1,24 @@
 """Token ids of a public byte-level BPE vocabulary, fast over many texts.
 
-Where a text has no two white-space characters in a row and none at its ends, no
-token crosses from a word into the space after it, and a line feed is a token of its
-own, so the text is encoded word by word through a bounded cache. Other texts are
-encoded whole. Strings of special tokens in a text are ordinary text.
+Where a text has no two white-space characters in a row, none at its ends and none
+but spaces and line feeds, no token crosses from a word into the space after it, and a
+line feed is a token of its own. Such texts are cut into words; the words of a batch
+that a bounded cache lacks are encoded together, a line feed between them, and the ids
+parted at its token. Other texts are encoded whole. Strings of special tokens in a text
+are ordinary text.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+from itertools import chain
 
 import numpy as np
 import tiktoken
 
-KEPT = 150_000
-_ODD = re.compile(r"\s\s|^\s|\s\Z")
+KEPT = 100_000
+_RARE_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]").search
 _UNITS = re.compile(r" ?[^ \n]+|\n").findall
 
 
@@ -25,23 +28,11 @@ def public(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class _Cache(dict):
-    """Ids of words, as bytes; of two generations, the older goes when the newer is full."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode, self.old = encode, {}
-
-    def __missing__(self, word: str) -> bytes:
-        got = self.old.get(word)
-        if got is None:
-            got = np.array(self.encode(word), "<u4").tobytes()
-        if len(self) >= KEPT:
-            self.old = dict(self)
-            self.clear()
-        if len(word) < 64:
-            self[word] = got
-        return got
+def plain(text: str) -> bool:
+    """May the text be encoded word by word?"""
+    if not text or text[0] in " \n" or text[-1] in " \n":
+        return False
+    return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or _RARE_SPACE(text))
 
 
 class Encoder:
@@ -51,10 +42,42 @@ class Encoder:
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
-        self.cache = _Cache(self.encode)
-
-    def raw(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers."""
-        if _ODD.search(text):
-            return np.array(self.encode(text), "<u4").tobytes()
-        return b"".join(map(self.cache.__getitem__, _UNITS(text)))
+        self.feed = ranks[b"\n"]
+        self.line = np.array([self.feed], "<u4").tobytes()
+        self.cache: dict[str, bytes] = {}
+        self.last: set[str] = set()
+
+    def _learn(self, words: set[str]) -> list[str]:
+        """Puts the words that the cache lacks into it, and tells which."""
+        new = [w for w in words if w not in self.cache]
+        if new:
+            ids = np.array(self.encode("\n".join(new)), "<u4")
+            ends = np.append(np.flatnonzero(ids == self.feed), len(ids)).tolist()
+            raw, at = ids.tobytes(), 0
+            for w, z in zip(new, ends, strict=True):
+                self.cache[w] = raw[4 * at : 4 * z]
+                at = z + 1
+        return new
+
+    def _forget(self, new: list[str]) -> None:
+        """Only words that two runs of texts in a row had to learn stay."""
+        for w in new:
+            if w not in self.last:
+                del self.cache[w]
+        self.last = set(new)
+        if len(self.cache) > KEPT:
+            self.cache.clear()
+
+    def raw(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit numbers."""
+        out = [None if plain(t) else np.array(self.encode(t), "<u4").tobytes() for t in texts]
+        cut = [(i, _UNITS(t)) for i, t in enumerate(texts) if out[i] is None]
+        for a in range(0, len(cut), 500):
+            words = set(chain.from_iterable(u for _, u in cut[a : a + 500]))
+            words.discard("\n")
+            new = self._learn(words)
+            self.cache["\n"] = self.line
+            for i, units in cut[a : a + 500]:
+                out[i] = b"".join(map(self.cache.__getitem__, units))
+            self._forget(new)
+        return out

@@ -25,7 +25,7 @@ def test_ids_match_the_library(both):
     @settings(max_examples=1500, deadline=None)
     @given(st.text(alphabet=st.one_of(st.sampled_from(list("ab Z's.,\n\t\r12é ñ  \x1c\x85日本🙂")), st.characters(blacklist_categories=["Cs"])), max_size=40))
     def check(text):
-        assert np.frombuffer(enc.raw(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+        assert [np.frombuffer(r, "<u4").tolist() for r in enc.raw([text, "a " + text])] == [t.encode(x, add_special_tokens=False).ids for x in (text, "a " + text)]
 
     check()
 
