@@ -53,10 +53,9 @@ def simhash(texts: pa.Array, words: int = WORDS, lanes: int = 1) -> np.ndarray:
         spans = zip(at[word].tolist(), (at[last] - 1).tolist(), strict=True)
         raw = np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in spans]), np.uint8).reshape(-1, 8 * lanes)
         out = np.zeros((j - i, 64 * lanes), bool)
-        full = np.flatnonzero(n)
-        if len(full):
-            ones = np.add.reduceat(np.unpackbits(raw, axis=1), upto[:-1][full], axis=0, dtype=np.int32)
-            out[full] = ones * 2 > n[full][:, None]
+        bits = np.unpackbits(raw, axis=1)
+        for d in np.flatnonzero(n).tolist():
+            out[d] = bits[upto[d] : upto[d + 1]].sum(axis=0, dtype=np.uint32) * 2 > n[d]
         parts.append(np.packbits(out, axis=1).view(">u8").reshape(-1, lanes).astype(np.uint64))
     return np.concatenate(parts)
 
