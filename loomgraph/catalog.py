@@ -1,11 +1,772 @@
-"""Queries over the driver tables, one for each operator, with their SQL twins."""
+"""Queries over the driver tables, one or more for each operator, with their SQL twins.
+
+The tables hold no source code, so they play the roles of fact tables: parts are files
+or packages, consecutive parts of an order are import edges, suppliers are manifests,
+events are ordered operations on a key, pages carry specifiers, documents content.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from loomgraph.functions import scalars as S
+from loomgraph.operators import graph, resolve, rules
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+class Tables:
+    """Driver tables by attribute, and the roles derived from them."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+
+    def edges(self) -> DataFrame:
+        w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+        rows = self.lineitem.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"), "l_returnflag", "l_linenumber")
+        return rows.where("l_returnflag = 'R' and l_linenumber = 1 and dst is not null").select("src", "dst").distinct()
+
+    def entries(self) -> DataFrame:
+        return self.part.where("p_size = 1").select(F.col("p_partkey").alias("node"))
+
+    def deps(self) -> DataFrame:
+        return self.lineitem.where("l_returnflag = 'A'").select(F.col("l_suppkey").alias("manifest_path"), F.col("l_partkey").alias("package"), F.col("l_linestatus").alias("dep_kind"), F.concat(F.lit("1."), F.col("l_linenumber").cast("string")).alias("version"))
+
+    def usage(self) -> DataFrame:
+        return self.lineitem.where("l_returnflag <> 'A'").select(F.col("l_suppkey").alias("manifest_path"), F.col("l_partkey").alias("package"), F.col("l_orderkey").alias("file_path")).distinct()
+
+    def specifiers(self) -> DataFrame:
+        return self.pages.select(F.col("page_id"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1)).alias("specifier"))
+
+    def events_by(self) -> DataFrame:
+        kind = F.when(F.col("value") > 50, "guard").otherwise("use")
+        return self.events.select("event_id", "ts", "user_id", "event_type", "value", "props", kind.alias("kind"))
+
 
-def queries() -> dict:
-    return {}
+EDGES = """edges AS (SELECT DISTINCT src, dst FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey
+  ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS dst, l_returnflag, l_linenumber FROM lineitem)
+  WHERE l_returnflag = 'R' AND l_linenumber = 1 AND dst IS NOT NULL)"""
+DEPS = "deps AS (SELECT l_suppkey AS manifest_path, l_partkey AS package, l_linestatus AS dep_kind, '1.' || CAST(l_linenumber AS VARCHAR) AS version FROM lineitem WHERE l_returnflag = 'A')"
+USAGE = "usage AS (SELECT DISTINCT l_suppkey AS manifest_path, l_partkey AS package, l_orderkey AS file_path FROM lineitem WHERE l_returnflag <> 'A')"
+SPECS = """specs AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS specifier FROM pages)"""
+
+
+def query(name: str, sql: str | None = None):
+    def keep(f: Callable[[Tables], DataFrame]):
+        _QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# --- graph
+
+
+@query("g1_reachable", f"WITH RECURSIVE {EDGES}, r AS (SELECT p_partkey AS node FROM part WHERE p_size = 1 UNION SELECT dst FROM r JOIN edges ON src = node) SELECT node FROM r")
+def _(t):
+    return graph.reachable(t.edges(), t.entries()).select("node")
+
+
+@query(
+    "g1_hops",
+    f"""WITH RECURSIVE {EDGES}, r AS (SELECT p_partkey AS node, 0 AS hops FROM part WHERE p_size = 1
+  UNION SELECT dst, hops + 1 FROM r JOIN edges ON src = node WHERE hops < 6) SELECT node, CAST(min(hops) AS BIGINT) AS hops FROM r GROUP BY node""",
+)
+def _(t):
+    return graph.reachable(t.edges(), t.entries(), depth=6).select("node", F.col("hops").cast("long").alias("hops"))
+
+
+@query("g7_unreachable", f"WITH RECURSIVE {EDGES}, r AS (SELECT p_partkey AS node FROM part WHERE p_size = 1 UNION SELECT dst FROM r JOIN edges ON src = node) SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT node FROM r)")
+def _(t):
+    return graph.unreachable(t.part.select("p_partkey"), t.edges(), t.entries())
+
+
+CLOSURE = f"{EDGES}, c AS (SELECT src AS a, dst AS b FROM edges UNION SELECT a, dst FROM c JOIN edges ON src = b)"
+CYCLES = f"{CLOSURE}, m AS (SELECT x.a AS node, x.b AS other FROM c x JOIN c y ON x.a = y.b AND x.b = y.a), s AS (SELECT node, min(other) AS component, count(*) AS size FROM m GROUP BY node)"
+
+
+@query("g5_cycles", f"WITH RECURSIVE {CYCLES} SELECT node, component, size FROM s")
+def _(t):
+    return graph.cycles(t.edges())
+
+
+@query("g6_cycle_text", f"WITH RECURSIVE {CYCLES} SELECT component, size, string_agg(CAST(node AS VARCHAR), ' -> ' ORDER BY node) || ' -> ' || CAST(component AS VARCHAR) AS path FROM s GROUP BY component, size")
+def _(t):
+    return graph.cycle_text(graph.cycles(t.edges()))
+
+
+@query("g8_exports_out_of_reach", f"WITH RECURSIVE {EDGES}, r AS (SELECT p_partkey AS node FROM part WHERE p_brand = 'Brand#11' UNION SELECT dst FROM r JOIN edges ON src = node) SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT node FROM r)")
+def _(t):
+    return graph.unreachable(t.part.select("p_partkey"), t.edges(), t.part.where("p_brand = 'Brand#11'").select("p_partkey")).join(t.part.select("p_partkey", "p_name"), "p_partkey")
+
+
+@query(
+    "g9_reclassified",
+    f"""WITH {EDGES} SELECT p_partkey AS file_path, (p_size = 1 OR (p_partkey NOT IN (SELECT dst FROM edges) AND p_partkey IN (SELECT src FROM edges))) AS is_entry FROM part""",
+)
+def _(t):
+    return graph.reclassified(t.part.select(F.col("p_partkey").alias("file_path")), t.edges(), t.entries().withColumnRenamed("node", "file_path"))
+
+
+@query("g10_neighbours", f"WITH {EDGES} SELECT src AS node, 'dependent' AS role FROM edges WHERE dst = 1 UNION ALL SELECT dst, 'dependency' FROM edges WHERE src = 1")
+def _(t):
+    return graph.neighbours(t.edges(), 1)
+
+
+@query(
+    "g12_blast_radius",
+    f"""WITH RECURSIVE {EDGES}, r AS (SELECT p_partkey AS node, 0 AS hops FROM part WHERE p_size = 50 UNION SELECT src, hops + 1 FROM r JOIN edges ON dst = node WHERE hops < 4),
+  m AS (SELECT node, min(hops) AS hops FROM r GROUP BY node)
+  SELECT node, CAST(hops AS BIGINT) AS hops, CASE WHEN hops = 1 THEN 'DANGEROUS' WHEN hops = 2 THEN 'RISKY' WHEN hops > 2 THEN 'SAFE' END AS risk FROM m""",
+)
+def _(t):
+    return graph.blast_radius(t.edges(), t.part.where("p_size = 50").select("p_partkey"), depth=4).select("node", F.col("hops").cast("long").alias("hops"), "risk")
+
+
+@query("a2_degrees", f"WITH {EDGES} SELECT node, CAST(sum(i) AS BIGINT) AS n_in, CAST(sum(o) AS BIGINT) AS n_out FROM (SELECT src AS node, 0 AS i, 1 AS o FROM edges UNION ALL SELECT dst, 1, 0 FROM edges) GROUP BY node")
+def _(t):
+    return graph.degrees(t.edges())
+
+
+@query("g13_edges_through_stars", f"WITH {EDGES} SELECT DISTINCT src, dst, kind FROM (SELECT src, dst, 'import' AS kind FROM edges UNION ALL SELECT a.src, b.dst, 'reexport' FROM edges a JOIN edges b ON a.dst = b.src JOIN part ON p_partkey = a.dst WHERE p_size <= 10)")
+def _(t):
+    e, barrels = t.edges(), t.part.where("p_size <= 10").select(F.col("p_partkey").alias("dst"))
+    through = e.join(barrels, "dst").select("src", F.col("dst").alias("mid")).join(e.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst", F.lit("reexport").alias("kind"))
+    return e.withColumn("kind", F.lit("import")).union(through).distinct()
+
+
+@query(
+    "k4_graph_page",
+    f"""WITH {EDGES}, n AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges), i AS (SELECT node, row_number() OVER (ORDER BY node) AS id FROM n)
+  SELECT a.id AS source_id, b.id AS target_id FROM edges JOIN i a ON src = a.node JOIN i b ON dst = b.node""",
+)
+def _(t):
+    from loomgraph.plans.report import surrogate_ids
+
+    e = t.edges()
+    ids = surrogate_ids(e.select(F.col("src").alias("node")).union(e.select("dst")).distinct(), "node")
+    return e.join(ids.toDF("src", "source_id"), "src").join(ids.toDF("dst", "target_id"), "dst").select("source_id", "target_id")
+
+
+# --- dependencies
+
+
+@query("j8_unlisted", f"WITH {DEPS}, {USAGE} SELECT DISTINCT file_path, package FROM usage u WHERE NOT EXISTS (SELECT 1 FROM usage v JOIN deps d ON d.manifest_path = v.manifest_path AND d.package = u.package WHERE v.file_path = u.file_path)")
+def _(t):
+    u = t.usage()
+    return rules.unlisted(u.select("file_path", "package"), u.select("file_path", "manifest_path").distinct(), t.deps())
+
+
+@query("j9_unused", f"WITH {DEPS}, {USAGE} SELECT DISTINCT manifest_path, package FROM deps d WHERE NOT EXISTS (SELECT 1 FROM usage u WHERE u.manifest_path = d.manifest_path AND u.package = d.package)")
+def _(t):
+    return rules.unused(t.deps().select("manifest_path", "package").distinct(), t.usage(), ["manifest_path", "package"])
+
+
+@query("j10_root_only_in_workspaces", f"WITH {DEPS}, {USAGE} SELECT DISTINCT package FROM deps WHERE package IN (SELECT package FROM usage WHERE manifest_path > 1) AND package NOT IN (SELECT package FROM usage WHERE manifest_path <= 1)")
+def _(t):
+    u = t.usage()
+    return rules.root_only_in_workspaces(t.deps().select("package").distinct(), u.where("manifest_path <= 1"), u.where("manifest_path > 1"))
+
+
+PACKAGES = "packages AS (SELECT s_nationkey AS root_dir, s_suppkey AS manifest_path, s_suppkey * 3 AS name FROM supplier)"
+
+
+@query(
+    "j11_undeclared_workspace",
+    f"""WITH {DEPS}, {USAGE}, {PACKAGES}
+  SELECT DISTINCT p.manifest_path, u.package FROM usage u JOIN packages p ON p.manifest_path = u.manifest_path
+  WHERE u.package IN (SELECT name FROM packages) AND u.package <> p.name AND NOT EXISTS (SELECT 1 FROM deps d WHERE d.manifest_path = p.manifest_path AND d.package = u.package)""",
+)
+def _(t):
+    packages = t.supplier.select(F.col("s_suppkey").alias("root_dir"), F.col("s_suppkey").alias("manifest_path"), (F.col("s_suppkey") * 3).alias("name"))
+    u = t.usage().select(F.concat_ws(":", "file_path", "manifest_path").alias("file_path"), "package", F.col("manifest_path").alias("root_dir"))
+    return rules.undeclared_workspace(u.select("file_path", "package"), u.select("file_path", "root_dir").distinct(), packages, t.deps())
+
+
+@query("j12_unprotocolled", f"WITH {DEPS}, {PACKAGES} SELECT DISTINCT package, version FROM deps WHERE package IN (SELECT name FROM packages) AND NOT starts_with(version, 'workspace:')")
+def _(t):
+    return rules.unprotocolled(t.deps(), t.supplier.select((F.col("s_suppkey") * 3).alias("name"))).select("package", "version").distinct()
+
+
+@query(
+    "a1_version_mismatches",
+    f"""WITH {DEPS}, v AS (SELECT DISTINCT package, version, manifest_path FROM deps)
+  SELECT package, string_agg(DISTINCT version, ',' ORDER BY version) AS versions, count(DISTINCT manifest_path) AS n_manifests FROM v GROUP BY package HAVING count(DISTINCT version) > 1""",
+)
+def _(t):
+    return rules.version_mismatches(t.deps()).select("package", F.array_join("versions", ",").alias("versions"), F.size("manifests").cast("long").alias("n_manifests"))
+
+
+@query(
+    "j21_plugin_requirements",
+    f"""WITH {DEPS}, d AS (SELECT package, bool_or(dep_kind = 'O') AS dev, bool_or(dep_kind <> 'O') AS prod FROM deps GROUP BY package),
+  r AS (SELECT p_brand AS plugin, p_partkey AS package, p_size > 25 AS is_dev, p_size % 2 = 0 AS is_optional FROM part),
+  j AS (SELECT plugin, r.package, CASE WHEN dev IS NULL THEN CASE WHEN NOT is_optional THEN 'missing' END WHEN is_dev AND NOT dev THEN 'should be a devDependency' WHEN NOT is_dev AND NOT prod THEN 'should be a dependency' END AS problem FROM r LEFT JOIN d ON d.package = r.package)
+  SELECT plugin, package, problem FROM j WHERE problem IS NOT NULL""",
+)
+def _(t):
+    required = t.part.select(F.col("p_brand").alias("plugin"), F.col("p_partkey").alias("package"), (F.col("p_size") > 25).alias("is_dev"), (F.col("p_size") % 2 == 0).alias("is_optional"))
+    return rules.plugin_requirements(required, t.deps().withColumn("dep_kind", F.when(F.col("dep_kind") == "O", "devDependencies").otherwise("dependencies")))
+
+
+@query(
+    "j22_orphaned_configs",
+    f"""WITH {DEPS} SELECT DISTINCT p_brand AS plugin, p_name AS file_name FROM part WHERE p_brand NOT IN (SELECT p_brand FROM part JOIN deps ON package = p_partkey WHERE p_size <= 2)
+  AND p_brand IN (SELECT p_brand FROM part WHERE p_size <= 2)""",
+)
+def _(t):
+    configs = t.part.select(F.col("p_brand").alias("plugin"), F.col("p_name").alias("file_name")).distinct()
+    files = t.part.select(F.concat(F.lit("dir/"), F.col("p_name")).alias("file_path"))
+    return rules.orphaned_configs(configs, files, t.part.where("p_size <= 2").select(F.col("p_brand").alias("plugin"), F.col("p_partkey").alias("package")), t.deps())
+
+
+@query(
+    "j24_typosquats",
+    """SELECT c.n AS package, p.n AS popular, CAST(levenshtein(c.n, p.n) AS BIGINT) AS distance FROM (SELECT DISTINCT p_type AS n FROM part UNION SELECT DISTINCT p_brand FROM part) c
+  JOIN (SELECT DISTINCT p_type AS n FROM part WHERE p_size = 1 UNION SELECT DISTINCT p_brand FROM part WHERE p_size = 1) p ON levenshtein(c.n, p.n) BETWEEN 1 AND 2
+  WHERE c.n <> 'Brand#11'""",
+)
+def _(t):
+    names = lambda df: df.select(F.col("p_type").alias("package")).union(df.select("p_brand"))
+    trusted = t.spark.createDataFrame([("Brand#11",)], "package string")
+    return rules.typosquats(names(t.part), names(t.part.where("p_size = 1")), trusted).select("package", "popular", F.col("distance").cast("long").alias("distance"))
+
+
+@query("j25_unused_binaries", f"WITH {USAGE} SELECT p_partkey AS package, p_name FROM part WHERE p_partkey NOT IN (SELECT package FROM usage)")
+def _(t):
+    return rules.unused(t.part.select(F.col("p_partkey").alias("package"), "p_name"), t.usage())
+
+
+@query("j26_peers", f"WITH {USAGE} SELECT DISTINCT p_partkey AS package, p_brand AS peer FROM part WHERE p_partkey IN (SELECT package FROM usage) AND p_size % 2 = 1")
+def _(t):
+    peers = t.part.select(F.col("p_partkey").alias("package"), F.col("p_brand").alias("peer"), (F.col("p_size") % 2 == 0).alias("is_optional"))
+    return rules.peers(t.usage(), peers)
+
+
+@query("j28_migrations", "SELECT s_suppkey, n_name AS suggestion FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_acctbal > 0")
+def _(t):
+    return t.supplier.where("s_acctbal > 0").join(F.broadcast(t.nation), F.col("n_nationkey") == F.col("s_nationkey")).select("s_suppkey", F.col("n_name").alias("suggestion"))
+
+
+@query("o6_difference", f"WITH {DEPS}, {USAGE} SELECT package FROM deps EXCEPT SELECT package FROM usage")
+def _(t):
+    return t.deps().select("package").distinct().join(t.usage().select("package"), "package", "left_anti")
+
+
+@query("o7_intersection", f"WITH {DEPS}, {USAGE} SELECT package FROM deps INTERSECT SELECT package FROM usage")
+def _(t):
+    return t.deps().select("package").distinct().join(t.usage().select("package"), "package", "left_semi")
+
+
+@query("o5_union", f"WITH {DEPS}, {USAGE} SELECT manifest_path, package FROM deps UNION SELECT manifest_path, package FROM usage")
+def _(t):
+    return t.deps().select("manifest_path", "package").unionByName(t.usage().select("manifest_path", "package")).distinct()
+
+
+# --- exports and use: files are parts, names are brands
+
+
+@query(
+    "j16_dead_exports",
+    f"""WITH RECURSIVE {EDGES}, r AS (SELECT p_partkey AS node FROM part WHERE p_size = 1 UNION SELECT dst FROM r JOIN edges ON src = node),
+  used AS (SELECT DISTINCT e.dst AS file_path, p_brand AS name FROM edges e JOIN part ON p_partkey = e.src)
+  SELECT p_partkey AS file_path, p_brand AS name FROM part WHERE p_partkey IN (SELECT node FROM r) AND p_size <> 1 AND NOT EXISTS (SELECT 1 FROM used u WHERE u.file_path = p_partkey AND u.name = p_brand)""",
+)
+def _(t):
+    exports = t.part.select(F.col("p_partkey").alias("file_path"), F.col("p_brand").alias("name"))
+    symbols = t.edges().join(t.part, F.col("p_partkey") == F.col("src")).select(F.col("src").alias("file_path"), F.col("dst").alias("specifier"), F.col("p_brand").alias("imported_name"), F.col("p_brand").alias("local_name"))
+    resolved = t.edges().select(F.col("src").alias("file_path"), F.col("dst").alias("specifier"), F.col("dst").alias("target"))
+    return rules.dead_exports(exports, rules.references(symbols, resolved), graph.reachable(t.edges(), t.entries()), t.entries().withColumnRenamed("node", "file_path"))
+
+
+@query(
+    "j15_references",
+    f"""WITH {EDGES} SELECT DISTINCT e.dst AS file_path, p_brand AS name FROM edges e JOIN part ON p_partkey = e.src""",
+)
+def _(t):
+    symbols = t.edges().join(t.part, F.col("p_partkey") == F.col("src")).select(F.col("src").alias("file_path"), F.col("dst").alias("specifier"), F.col("p_brand").alias("imported_name"), F.col("p_brand").alias("local_name"))
+    return rules.references(symbols, t.edges().select(F.col("src").alias("file_path"), F.col("dst").alias("specifier"), F.col("dst").alias("target")))
+
+
+@query("j19_zombie_exports", f"WITH {EDGES} SELECT p_partkey, p_brand FROM part WHERE p_brand NOT IN (SELECT p_brand FROM edges JOIN part ON p_partkey = src WHERE p_size > 45)")
+def _(t):
+    used = t.edges().join(t.part.where("p_size > 45"), F.col("p_partkey") == F.col("src")).select("p_brand")
+    return t.part.select("p_partkey", "p_brand").join(used, "p_brand", "left_anti").select("p_partkey", "p_brand")
+
+
+@query(
+    "j17_dead_members",
+    """SELECT DISTINCT file_path, name, member FROM (SELECT p_partkey AS file_path, p_brand AS name, unnest(string_split(p_name, ' ')) AS member FROM part)
+  WHERE member NOT IN (SELECT unnest(string_split(p_type, ' ')[2:]) FROM part)""",
+)
+def _(t):
+    member = lambda n: F.struct(n.alias("name"), F.lit(True).alias("is_public"))
+    exports = t.part.select(F.col("p_partkey").alias("file_path"), F.col("p_brand").alias("name"), F.transform(F.split("p_name", " "), member).alias("members"))
+    chains = t.part.select(F.split("p_type", " ").alias("parts"))
+    return rules.dead_members(exports, chains, t.spark.createDataFrame([], "name string")).distinct()
+
+
+@query("j20_unused_bindings", "SELECT p_partkey AS file_path, p_brand AS local_name, p_type AS specifier FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_linenumber = 7 AND p_brand IS NOT NULL)")
+def _(t):
+    symbols = t.part.select(F.col("p_partkey").alias("file_path"), F.col("p_brand").alias("local_name"), F.col("p_type").alias("specifier"))
+    names = t.lineitem.where("l_linenumber = 7").select(F.col("l_partkey").alias("p_partkey")).join(t.part, "p_partkey").select(F.col("p_partkey").alias("file_path"), F.col("p_brand").alias("name"))
+    return rules.unused_bindings(symbols, names)
+
+
+@query("j23_contract_uses", "SELECT DISTINCT p_partkey AS file_path, p_brand AS name FROM part WHERE p_size <= 20 AND p_brand IN ('Brand#11', 'Brand#12', 'Brand#13')")
+def _(t):
+    contracts = t.spark.createDataFrame([("web", f"Brand#1{i}") for i in (1, 2, 3)], "plugin string, contract string")
+    routes = t.part.where("p_size <= 20").select(F.col("p_partkey").alias("file_path"), F.lit("web").alias("plugin"))
+    return rules.contract_uses(routes, contracts, t.part.select(F.col("p_partkey").alias("file_path"), F.col("p_brand").alias("name")))
+
+
+@query("x16_barrel_share", "SELECT o_orderkey AS file_path, round(coalesce(r, 0) / greatest(1, n), 6) AS share, coalesce(r, 0) / greatest(1, n) > 0.8 AS is_barrel FROM (SELECT l_orderkey AS o_orderkey, count(*) AS n, count(DISTINCT CASE WHEN l_returnflag = 'R' THEN (l_suppkey, l_partkey) END) AS r FROM lineitem GROUP BY 1)")
+def _(t):
+    exports = t.lineitem.select(F.col("l_orderkey").alias("file_path"), F.col("l_partkey").alias("name"), F.when(F.col("l_returnflag") == "R", F.col("l_suppkey")).alias("source_specifier"))
+    statements = t.lineitem.groupBy(F.col("l_orderkey").alias("file_path")).agg(F.count("*").alias("n_statements"))
+    return rules.barrel_share(exports, statements).select("file_path", F.round("share", 6).alias("share"), "is_barrel")
+
+
+@query(
+    "g11_prune_blockers",
+    """WITH s AS (SELECT DISTINCT p_partkey AS file_path, unnest(string_split(p_name, ' ')) AS name FROM part),
+  text AS (SELECT p_mfgr AS name FROM (SELECT lower(n_name) AS p_mfgr FROM nation)), meta AS (SELECT DISTINCT unnest(regexp_extract_all(p_type, '([A-Za-z_$][A-Za-z0-9_$]*)', 1)) AS name FROM part)
+  SELECT file_path, name, CASE WHEN length(name) <= 2 OR name IN ('main', 'default') THEN 'reserved or short name' WHEN name IN (SELECT name FROM text) THEN 'named in a string or chain' ELSE 'named in metadata' END AS reason
+  FROM s WHERE length(name) <= 2 OR name IN ('main', 'default') OR name IN (SELECT name FROM text) OR name IN (SELECT name FROM meta)""",
+)
+def _(t):
+    symbols = t.part.select(F.col("p_partkey").alias("file_path"), F.explode(F.split("p_name", " ")).alias("name"))
+    strings = t.nation.select(F.lower("n_name").alias("value"))
+    return rules.prune_blockers(symbols, strings, t.spark.createDataFrame([], "parts array<string>"), t.part.select(F.col("p_type").alias("content")), ["main", "default"])
+
+
+# --- resolution: pages carry specifiers
+
+
+PATHS = "paths AS (SELECT DISTINCT page_id, regexp_extract(url, '^https?://([^?#]*)', 1) AS p FROM pages)"
+
+
+def _paths(t: Tables) -> DataFrame:
+    return t.pages.select("page_id", F.regexp_extract("url", "^https?://([^?#]*)", 1).alias("p")).distinct()
+
+
+@query(
+    "j6_owning_package",
+    f"""WITH {PATHS}, roots AS (SELECT DISTINCT regexp_extract(p, '^[^/]*', 0) AS root_dir FROM paths UNION SELECT DISTINCT regexp_extract(p, '^[^/]*/[^/]*', 0) FROM paths WHERE p LIKE '%/%/%' AND p LIKE '%.com/%'),
+  m AS (SELECT p AS file_path, root_dir, row_number() OVER (PARTITION BY p ORDER BY length(root_dir) DESC) AS n FROM (SELECT DISTINCT p FROM paths) JOIN roots ON starts_with(p, root_dir || '/'))
+  SELECT file_path, root_dir FROM m WHERE n = 1""",
+)
+def _(t):
+    p = _paths(t).select("p").distinct()
+    roots = p.select(F.regexp_extract("p", "^[^/]*", 0).alias("root_dir")).union(p.where("p like '%/%/%' and p like '%.com/%'").select(F.regexp_extract("p", "^[^/]*/[^/]*", 0))).distinct()
+    return resolve.owning_package(p.select(F.col("p").alias("file_path")), roots)
+
+
+@query("j7_in_scope", f"WITH {PATHS}, roots AS (SELECT DISTINCT regexp_extract(p, '^[^/]*', 0) AS root_dir FROM paths) SELECT DISTINCT p AS file_path, root_dir || '/package.json' AS manifest_path FROM paths JOIN roots ON starts_with(p, root_dir || '/')")
+def _(t):
+    p = _paths(t).select("p").distinct()
+    roots = p.select(F.regexp_extract("p", "^[^/]*", 0).alias("root_dir")).distinct().withColumn("manifest_path", F.concat("root_dir", F.lit("/package.json")))
+    return resolve.in_scope(p.select(F.col("p").alias("file_path")), roots)
+
+
+@query(
+    "j2_first_existing",
+    """WITH w AS (SELECT p_partkey, unnest([p_partkey * 7 % 3001, p_partkey * 11 % 3001, p_partkey % 1009 + 1]) AS target, unnest([0, 1, 2]) AS pos FROM part),
+  f AS (SELECT DISTINCT l_partkey AS target FROM lineitem WHERE l_linenumber = 6)
+  SELECT p_partkey, arg_min(w.target, pos) AS target FROM w JOIN f ON f.target = w.target GROUP BY p_partkey""",
+)
+def _(t):
+    k = F.col("p_partkey")
+    spread = t.part.select("p_partkey", F.posexplode(F.array(k * 7 % 3001, k * 11 % 3001, k % 1009 + 1)).alias("pos", "target"))
+    known = t.lineitem.where("l_linenumber = 6").select(F.col("l_partkey").alias("target")).distinct()
+    return resolve.first_by(spread.join(known, "target"), ["p_partkey"], "target", "pos")
+
+
+@query("j3_workspace_match", f"WITH {SPECS}, n AS (SELECT DISTINCT 'pkg' || n_nationkey AS name FROM nation) SELECT page_id, name, specifier FROM (SELECT page_id, 'pkg' || (page_id % 40) || specifier AS specifier FROM specs) s JOIN n ON s.specifier = n.name OR starts_with(s.specifier, n.name || '/')")
+def _(t):
+    s = t.specifiers().select("page_id", F.concat(F.lit("pkg"), (F.col("page_id") % 40).cast("string"), "specifier").alias("specifier"))
+    packages = t.nation.select(F.concat(F.lit("pkg"), F.col("n_nationkey").cast("string")).alias("name"), F.lit("").alias("root_dir"), F.array().cast("array<string>").alias("entry_points"))
+    return resolve.workspace_match(s, packages).select("page_id", F.col("package").alias("name"), "specifier")
+
+
+@query("j4_alias_match", f"WITH {SPECS} SELECT DISTINCT specifier, 'src/lib/' || substr(specifier, 2) AS path FROM specs WHERE starts_with(specifier, '/') AND NOT contains(substr(specifier, 2), '/') AND length(specifier) > 1 AND substr(specifier, 2) NOT IN ('.', '..')")
+def _(t):
+    aliases = t.spark.createDataFrame([("", "/*", "src/lib/*", 0)], "scope_dir string, pattern string, target string, pos int")
+    s = t.specifiers().where("startswith(specifier, '/') and not contains(substr(specifier, 2), '/') and length(specifier) > 1 and substr(specifier, 2) not in ('.', '..')").select(F.lit("a.ts").alias("file_path"), "specifier").distinct()
+    return resolve.alias_match(s, aliases).select("specifier", "path")
+
+
+@query(
+    "j13_boundaries",
+    """WITH e AS (SELECT DISTINCT s.n_name AS src, d.n_name AS dst FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN supplier ON s_suppkey = l_suppkey
+    JOIN nation s ON s.n_nationkey = c_nationkey JOIN nation d ON d.n_nationkey = s_nationkey),
+  r(rule_order, f, t, allow, message) AS (VALUES (1, '^A[^/]*$', '^A[^/]*$', true, 'own'), (2, '^A[^/]*$', '^[^/]*A$', false, 'A to A end'), (3, '^.*$', '^I.*$', false, 'to I')),
+  h AS (SELECT src, dst, rule_order, allow, message, row_number() OVER (PARTITION BY src, dst ORDER BY rule_order) AS n FROM e JOIN r ON regexp_matches(src, f) AND regexp_matches(dst, t))
+  SELECT src, dst, CAST(rule_order AS BIGINT) AS rule_order, message FROM h WHERE n = 1 AND NOT allow""",
+)
+def _(t):
+    pairs = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).join(t.lineitem, F.col("l_orderkey") == F.col("o_orderkey")).join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).select("c_nationkey", "s_nationkey").distinct()
+    n = F.broadcast(t.nation)
+    e = pairs.join(n.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("src")), "c_nationkey").join(n.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("dst")), "s_nationkey")
+    table = [(1, "A*", "A*", True, "own"), (2, "A*", "*A", False, "A to A end"), (3, "*", "I**", False, "to I")]
+    found = rules.boundary_violations(e, t.spark.createDataFrame(table, "rule_order long, from_glob string, to_glob string, allow boolean, message string"))
+    return found
+
+
+# --- scalars
+
+
+@query("f1_package_name", f"WITH {SPECS}, s AS (SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '@org' || specifier || '/x' ELSE 'lib' || specifier END AS s FROM specs) SELECT page_id, s, CASE WHEN starts_with(s, '@') THEN split_part(s, '/', 1) || '/' || split_part(s, '/', 2) ELSE split_part(s, '/', 1) END AS package FROM s")
+def _(t):
+    s = t.specifiers().select("page_id", F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("@org"), "specifier", F.lit("/x"))).otherwise(F.concat(F.lit("lib"), "specifier")).alias("s"))
+    return s.withColumn("package", S.package_name(F.col("s")))
+
+
+@query("f2_edit_distance", "SELECT DISTINCT p_brand, p_type, CAST(levenshtein(p_brand, p_type) AS BIGINT) AS distance FROM part")
+def _(t):
+    return t.part.select("p_brand", "p_type", S.edit_distance(F.col("p_brand"), F.col("p_type")).cast("long").alias("distance")).distinct()
+
+
+@query("f3_sha256", "SELECT doc_id, sha256(text) AS digest FROM documents")
+def _(t):
+    return t.documents.select("doc_id", S.sha256(F.col("text")).alias("digest"))
+
+
+@query("f4_glob_match", "SELECT p_partkey, p_type, regexp_matches(p_type, '^[^/]*E[^/]*$') AS one, regexp_matches(p_name || '/' || p_type || '/x.ts', '^[^/]*/(?:.*/)?[^/]*[.]ts$') AS deep FROM part")
+def _(t):
+    path = F.concat_ws("/", "p_name", "p_type", F.lit("x.ts"))
+    rows = t.part.select("p_partkey", "p_type", path.alias("path"), S.glob_regex(F.lit("*E*")).alias("a"), S.glob_regex(F.lit("*/**/*.ts")).alias("b"))
+    return rows.select("p_partkey", "p_type", F.expr("p_type rlike a").alias("one"), F.expr("path rlike b").alias("deep"))
+
+
+@query("f5_evil_regex", "SELECT event_id, regexp_matches(p, '[(][^()]*[+*][^()]*[)][+*{]') AS evil FROM (SELECT event_id, '(' || event_type || '+)' || CASE WHEN value > 50 THEN '*' ELSE '' END AS p FROM events)")
+def _(t):
+    return t.events.select("event_id", S.evil_regex(F.concat(F.lit("("), "event_type", F.lit("+)"), F.when(F.col("value") > 50, "*").otherwise(""))).alias("evil"))
+
+
+@query("f6_shape_key", "SELECT user_id, string_agg(event_type, '|' ORDER BY event_id) AS shape FROM events GROUP BY user_id")
+def _(t):
+    one = F.struct(F.col("event_id").alias("pre"), F.col("event_type").alias("node_type"))
+    return t.events.groupBy("user_id").agg(S.shape_key(F.collect_list(one)).alias("shape"))
+
+
+@query("f7_object_shape", "SELECT l_orderkey, string_agg(DISTINCT l_returnflag, ',' ORDER BY l_returnflag) AS shape FROM lineitem GROUP BY l_orderkey")
+def _(t):
+    return t.lineitem.groupBy("l_orderkey").agg(S.object_shape(F.collect_set("l_returnflag")).alias("shape"))
+
+
+@query("f8_line_number", "SELECT doc_id, CAST(length(left(text, CAST(n_chars // 2 AS INTEGER))) - length(replace(left(text, CAST(n_chars // 2 AS INTEGER)), chr(10), '')) + 1 AS BIGINT) AS line FROM documents")
+def _(t):
+    return t.documents.select("doc_id", S.line_number(F.col("text"), F.floor(F.col("n_chars") / 2).cast("int")).cast("long").alias("line"))
+
+
+@query("f10_normal_path", "SELECT page_id, regexp_replace(regexp_replace(replace(url, '/', '//'), '(/[.])+/', '/', 'g'), '([^:])/+', '\\1/', 'g') AS path FROM pages")
+def _(t):
+    return t.pages.select("page_id", S.normal_path(F.replace(F.col("url"), F.lit("/"), F.lit("//"))).alias("path")).withColumn("path", F.regexp_replace("path", "([^:])/+", "$1/"))
+
+
+@query("f11_path_parts", f"WITH {PATHS} SELECT page_id, p, regexp_extract(p, '^(.*)/[^/]*$', 1) AS dir, regexp_extract(p, '[^/]*$', 0) AS base, regexp_replace(p, '[.][A-Za-z0-9]+$', '') AS bare FROM paths")
+def _(t):
+    c = F.col("p")
+    return _paths(t).select("page_id", "p", S.dirname(c).alias("dir"), S.basename(c).alias("base"), S.drop_extension(c).alias("bare"))
+
+
+@query("f12_builtin", "SELECT event_id, event_type IN ('fs', 'path', 'url') OR event_id % 3 = 0 AS builtin FROM events")
+def _(t):
+    return t.events.select("event_id", S.is_builtin(F.when(F.col("event_id") % 3 == 0, "node:fs").otherwise(F.concat(F.lit("x-"), "event_type"))).alias("builtin"))
+
+
+@query("f13_alias_regex", f"WITH {SPECS} SELECT page_id, specifier, regexp_extract(specifier, '^/([a-z])(.*)$', 2) AS rest FROM specs WHERE regexp_matches(specifier, '^/t(.*)$')")
+def _(t):
+    s = t.specifiers().withColumn("r", S.alias_regex(F.lit("/t*"))).where(F.expr("specifier rlike r"))
+    return s.select("page_id", "specifier", F.expr("regexp_extract(specifier, r, 1)").alias("rest"))
+
+
+@query("f14_strip_runner", "SELECT event_id, event_type || ' --now' AS command FROM events")
+def _(t):
+    runner = F.when(F.col("event_id") % 2 == 0, "npx --yes ").otherwise("  pnpm exec ")
+    return t.events.select("event_id", S.strip_runner(F.concat(runner, "event_type", F.lit(" --now"))).alias("command"))
+
+
+@query("f15_strip_comments", "SELECT event_id, props AS json FROM events")
+def _(t):
+    return t.events.select("event_id", S.strip_comments(F.concat(F.lit("/* a */"), "props", F.lit("// b: \"c\""))).alias("json"))
+
+
+@query("f16_dev_path", "SELECT page_id, regexp_matches(lower(url), 'test|spec|mock|fixture|storybook|stories|e2e|config|scripts') AS dev FROM pages")
+def _(t):
+    return t.pages.select("page_id", S.is_dev_path(F.col("url")).alias("dev"))
+
+
+@query("f17_non_serialisable", "SELECT event_id, event_id % 2 = 0 AS bad FROM events")
+def _(t):
+    return t.events.select("event_id", S.non_serialisable(F.when(F.col("event_id") % 2 == 0, "(a) => a").otherwise(F.col("props"))).alias("bad"))
+
+
+@query("f18_percentage", "SELECT o_orderkey, CAST(floor(100 * o_orderkey / (SELECT max(o_orderkey) FROM orders) + 0.5) AS BIGINT) AS percent FROM orders")
+def _(t):
+    top = t.orders.agg(F.max("o_orderkey").alias("top"))
+    return t.orders.crossJoin(F.broadcast(top)).select("o_orderkey", S.percentage(F.col("o_orderkey"), F.col("top")).alias("percent"))  # one row
+
+
+# --- predicates
+
+
+@query("p1_protected", "SELECT page_id, regexp_matches(url || '/tests/a.ts', '(^|/)(__tests__|tests?)/') AS hit FROM pages")
+def _(t):
+    return t.pages.select("page_id", rules.protected(F.concat("url", F.lit("/tests/a.ts"))).alias("hit"))
+
+
+@query(
+    "p3_matched_routes",
+    """SELECT DISTINCT url AS file_path, plugin FROM pages JOIN (VALUES ('de', '/de/'), ('html', '[.]html$'), ('off', '.')) r(plugin, regex) ON regexp_matches(url, regex) WHERE plugin <> 'off'""",
+)
+def _(t):
+    table = t.spark.createDataFrame([("de", "/de/"), ("html", "[.]html$"), ("off", ".")], "plugin string, regex string")
+    return rules.matched_routes(t.pages.select(F.col("url").alias("file_path")), table, table.where("plugin <> 'off'").select("plugin"))
+
+
+@query(
+    "p4_unsuppressed",
+    """WITH f AS (SELECT p_brand AS rule, p_partkey AS file_path, p_type AS symbol FROM part),
+  s AS (SELECT l_partkey AS file_path, CASE WHEN l_linenumber = 1 THEN '*' WHEN l_linenumber = 2 THEN 'Brand#11' ELSE 'Brand#12' END AS rule, CASE WHEN l_linenumber > 2 THEN 'ECONOMY BRUSHED BRASS' END AS symbol FROM lineitem WHERE l_quantity < 5)
+  SELECT rule, file_path, symbol FROM f WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.file_path = f.file_path AND (s.rule = '*' OR (s.symbol IS NULL AND s.rule = f.rule) OR (s.symbol = f.symbol AND s.rule = f.rule)))""",
+)
+def _(t):
+    findings = t.part.select(F.col("p_brand").alias("rule"), F.col("p_partkey").alias("file_path"), F.col("p_type").alias("symbol"))
+    n = F.col("l_linenumber")
+    s = t.lineitem.where("l_quantity < 5").select(F.col("l_partkey").alias("file_path"), F.when(n == 1, "*").when(n == 2, "Brand#11").otherwise("Brand#12").alias("rule"), F.when(n > 2, "ECONOMY BRUSHED BRASS").alias("symbol"))
+    return rules.unsuppressed(findings, s)
+
+
+@query("p5_reportable", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'default' WHEN p_size % 3 = 1 THEN '*' ELSE p_brand END AS name FROM part WHERE p_size % 3 = 2")
+def _(t):
+    return rules.reportable_exports(t.part.select("p_partkey", F.when(F.col("p_size") % 3 == 0, "default").when(F.col("p_size") % 3 == 1, "*").otherwise(F.col("p_brand")).alias("name")))
+
+
+@query("p6_countable", "SELECT event_id, NOT starts_with(event_type, 'v') AS ok FROM events")
+def _(t):
+    name = F.when(F.col("event_type").startswith("v"), F.concat(F.lit("@types/"), "event_type")).otherwise(F.col("event_type"))
+    return t.events.select("event_id", rules.countable_dependency(name, F.lit("self"), F.lit(True)).alias("ok"))
+
+
+@query("p9_active_plugins", f"WITH {DEPS} SELECT DISTINCT p_brand AS plugin FROM part WHERE (p_size <= 25 AND p_type IN (SELECT p_type FROM part WHERE p_size = 1)) OR (p_size > 40 AND p_partkey IN (SELECT package FROM deps))")
+def _(t):
+    configs = t.part.where("p_size <= 25").select(F.concat("p_brand", F.lit("f")).alias("plugin"), F.col("p_type").alias("file_name"))
+    packages = t.part.where("p_size > 40").select(F.concat("p_brand", F.lit("d")).alias("plugin"), F.col("p_partkey").alias("package"))
+    activation = t.part.select(F.concat("p_brand", F.lit("f")).alias("plugin"), F.lit("file").alias("activation")).union(t.part.select(F.concat("p_brand", F.lit("d")), F.lit("dep"))).distinct()
+    files = t.part.where("p_size = 1").select(F.concat(F.lit("a/"), "p_type").alias("file_path"))
+    return rules.active_plugins(configs, packages, activation, files, t.deps()).select(F.regexp_replace("plugin", "[fd]$", "").alias("plugin")).distinct()
+
+
+# --- ordered and grouped logic over events
+
+
+@query("j29_leaking_listeners", "SELECT user_id AS file_path, event_type AS event FROM (SELECT user_id, event_type, arg_max(CASE WHEN value > 50 THEN 'add' ELSE 'remove' END, (ts, event_id)) AS op FROM events GROUP BY 1, 2) WHERE op = 'add'")
+def _(t):
+    ops = t.events.select(F.col("user_id").alias("file_path"), F.col("event_type").alias("event"), F.when(F.col("value") > 50, "add").otherwise("remove").alias("op"), "ts", "event_id")
+    return rules.leaking_listeners(ops, ["ts", "event_id"])
+
+
+@query(
+    "j30_unguarded_uses",
+    """SELECT event_id, user_id, event_type FROM (SELECT *, max(CASE WHEN value > 50 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS g FROM events)
+  WHERE NOT value > 50 AND coalesce(g, 0) = 0""",
+)
+def _(t):
+    return rules.unguarded_uses(t.events_by(), ["user_id", "event_type"], ["ts", "event_id"]).select("event_id", "user_id", "event_type")
+
+
+@query(
+    "j31_endless_loops",
+    """WITH o AS (SELECT l_orderkey AS f, l_linenumber AS pre, max(l_linenumber) OVER (PARTITION BY l_orderkey) - l_linenumber AS post, l_returnflag AS k, l_linestatus AS s, l_partkey AS n FROM lineitem)
+  SELECT DISTINCT f AS file_path, n AS node_id FROM o l WHERE k = 'A' AND NOT EXISTS (SELECT 1 FROM o x WHERE x.f = l.f AND x.k = 'R' AND x.pre > l.pre AND x.post < l.post)""",
+)
+def _(t):
+    top = F.max("l_linenumber").over(Window.partitionBy("l_orderkey"))
+    kind = F.when(F.col("l_returnflag") == "A", "WhileStatement").when(F.col("l_returnflag") == "R", "BreakStatement").otherwise("Other")
+    nodes = t.lineitem.select(F.col("l_orderkey").alias("file_path"), F.col("l_partkey").alias("node_id"), F.col("l_linenumber").alias("pre"), (top - F.col("l_linenumber")).alias("post"), kind.alias("node_type"), F.create_map(F.lit("constant"), F.lit("true")).alias("attrs"))
+    return rules.endless_loops(nodes).distinct()
+
+
+@query("a7_polymorphic", "SELECT user_id AS callee, count(DISTINCT event_type) AS n_shapes FROM events GROUP BY user_id HAVING count(DISTINCT event_type) >= 2")
+def _(t):
+    return rules.polymorphic(t.events.select(F.col("user_id").alias("callee"), F.col("event_type").alias("shape")))
+
+
+@query("a8_clones", "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents) WHERE n > 1")
+def _(t):
+    shapes = t.documents.select("doc_id", "source", F.xxhash64("text").alias("h"), S.sha256(F.col("text")).alias("shape"))
+    return rules.clones(shapes, ["shape"], ["doc_id"]).select("doc_id", "source")
+
+
+@query("a9_type_changes", "SELECT event_id, event_type, f AS first_type FROM (SELECT *, first_value(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS f FROM events) WHERE event_type <> f")
+def _(t):
+    return rules.type_changes(t.events.withColumnRenamed("event_type", "type"), ["user_id"], ["ts", "event_id"]).select("event_id", F.col("type").alias("event_type"), "first_type")
+
+
+# --- aggregations and reports
+
+
+@query("a3_workspace_summary", "SELECT (SELECT count(*) FROM supplier) AS n_packages, count(*) AS n_links, count(DISTINCT l_partkey) AS n_names FROM lineitem")
+def _(t):
+    return t.lineitem.agg(F.count("*").alias("n_links"), F.count_distinct("l_partkey").alias("n_names")).crossJoin(t.supplier.agg(F.count("*").alias("n_packages")))
+
+
+@query("a4_export_registry", "SELECT l_orderkey AS file_path, string_agg(DISTINCT CAST(l_partkey AS VARCHAR), ',' ORDER BY CAST(l_partkey AS VARCHAR)) AS names FROM lineitem GROUP BY l_orderkey")
+def _(t):
+    return t.lineitem.groupBy(F.col("l_orderkey").alias("file_path")).agg(F.array_join(F.array_sort(F.collect_set(F.col("l_partkey").cast("string"))), ",").alias("names"))
+
+
+@query("a5_consumed_by_side", "SELECT l_suppkey = 1 AS is_root, count(DISTINCT l_partkey) AS n_packages FROM lineitem GROUP BY 1")
+def _(t):
+    return t.lineitem.groupBy((F.col("l_suppkey") == 1).alias("is_root")).agg(F.count_distinct("l_partkey").alias("n_packages"))
+
+
+@query("a6_first_finding", "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) WHERE n = 1")
+def _(t):
+    return rules.first_of(t.events, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id")
+
+
+@query("a10_metrics", "SELECT count(*) AS scanned, count(*) FILTER (WHERE value > 50) AS hits, count(*) FILTER (WHERE NOT value > 50) AS misses FROM events")
+def _(t):
+    return t.events.agg(F.count("*").alias("scanned"), F.count_if(F.col("value") > 50).alias("hits"), F.count_if(~(F.col("value") > 50)).alias("misses"))
+
+
+@query("a11_totals", "SELECT event_type AS severity, count(*) AS n FROM events GROUP BY event_type")
+def _(t):
+    return rules.totals(t.events.select(F.col("event_type").alias("severity")))
+
+
+@query("a12_without_entries", "SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_linenumber = 7 AND l_returnflag = 'R')")
+def _(t):
+    entries = t.lineitem.where("l_linenumber = 7 and l_returnflag = 'R'").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.collect_set("l_partkey").alias("entry_points"))
+    return t.supplier.join(entries, "s_suppkey", "left").where("entry_points is null or size(entry_points) = 0").select("s_suppkey")
+
+
+@query("a13_merged_sets", "SELECT l_suppkey, count(DISTINCT l_partkey) AS n_parts, count(DISTINCT l_orderkey) AS n_orders FROM lineitem GROUP BY l_suppkey")
+def _(t):
+    return t.lineitem.groupBy("l_suppkey").agg(F.size(F.collect_set("l_partkey")).cast("long").alias("n_parts"), F.size(F.collect_set("l_orderkey")).cast("long").alias("n_orders"))
+
+
+@query("a14_dependency_sets", "SELECT l_returnflag = 'N' AS is_dev, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS packages FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1")
+def _(t):
+    path = F.when(F.col("l_returnflag") == "N", "a/test/b.ts").otherwise("a/b.ts")
+    imports = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).select(path.alias("file_path"), F.col("p_brand").alias("specifier"))
+    return rules.dependency_sets(imports).select("is_dev", F.array_join("packages", ",").alias("packages"))
+
+
+@query("k2_by_file", "SELECT user_id AS file_path, count(*) AS n, string_agg(event_type || ' ' || event_id, ';' ORDER BY CASE WHEN value > 50 THEN 0 ELSE 1 END, event_type, event_type || ' ' || event_id) AS messages FROM events GROUP BY user_id")
+def _(t):
+    f = t.events.select(F.col("user_id").alias("file_path"), F.when(F.col("value") > 50, "error").otherwise("warning").alias("severity"), F.col("event_type").alias("rule"), F.concat_ws(" ", "event_type", "event_id").alias("message"))
+    return rules.by_file(f).select("file_path", "n", F.array_join("messages", ";").alias("messages"))
+
+
+@query("o1_ordered_diagnostics", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN value > 50 THEN 0 ELSE 1 END, event_type, event_id) AS place FROM events")
+def _(t):
+    w = Window.partitionBy("user_id").orderBy(F.when(F.col("value") > 50, 0).otherwise(1), "event_type", "event_id")
+    return t.events.select("event_id", F.row_number().over(w).cast("long").alias("place"))
+
+
+@query("o3_priority_choice", "SELECT l_orderkey, arg_min(l_partkey, (l_linenumber, l_partkey)) AS chosen FROM lineitem GROUP BY l_orderkey")
+def _(t):
+    rows = t.lineitem.select("l_orderkey", F.col("l_partkey").alias("chosen"), "l_linenumber")
+    return resolve.first_by(rows, ["l_orderkey"], "chosen", "l_linenumber")
+
+
+@query("o4_dedupe_messages", "SELECT event_type, props, min(event_id) AS event_id FROM events GROUP BY event_type, props")
+def _(t):
+    return rules.first_of(t.events, ["event_type", "props"], ["event_id"]).select("event_type", "props", "event_id")
+
+
+@query("o8_overriding", "SELECT event_type AS name, user_id, max(event_id) AS seq FROM events GROUP BY event_type, user_id")
+def _(t):
+    names = t.events.select(F.concat_ws("/", "event_type", "user_id").alias("name"), F.col("event_id").alias("seq"), "event_type", "user_id")
+    return rules.overriding(names).select(F.col("event_type").alias("name"), "user_id", "seq")
+
+
+# --- sources and state
+
+
+@query("s2_unique_paths", f"WITH {PATHS} SELECT DISTINCT p AS file_path FROM paths")
+def _(t):
+    return _paths(t).select(S.normal_path(F.col("p")).alias("file_path")).dropDuplicates(["file_path"])
+
+
+@query("s3_manifest_sections", "SELECT event_id, 'k' AS package, CAST(json_extract(props, '$.k') AS VARCHAR) AS version FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
+def _(t):
+    from loomgraph.sources.manifests import dependencies
+
+    manifests = t.events.select(F.col("event_id").alias("manifest_path"), F.concat(F.lit('{"dependencies":'), "props", F.lit("}")).alias("content"))
+    return dependencies(manifests).where("package = 'k'").select(F.col("manifest_path").alias("event_id"), "package", "version")
+
+
+@query("s5_pattern_precedence", "SELECT user_id, event_type FROM (SELECT *, min(CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 2 END) OVER (PARTITION BY user_id) AS m FROM events) WHERE CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 ELSE 2 END = m GROUP BY 1, 2")
+def _(t):
+    from loomgraph.sources.manifests import by_precedence
+
+    p = F.when(F.col("event_type") == "view", 0).when(F.col("event_type") == "click", 1).otherwise(2)
+    return by_precedence(t.events.select("user_id", "event_type", p.alias("priority")), ["user_id"]).select("user_id", "event_type").distinct()
+
+
+@query("x21_manifest_leaves", "SELECT event_id, '.k' AS path, CAST(json_extract(props, '$.k') AS VARCHAR) AS value FROM events WHERE json_extract(props, '$.k') IS NOT NULL")
+def _(t):
+    from loomgraph.sources.manifests import leaves
+
+    return leaves(t.events.select("event_id", F.col("props").alias("json")), "json", ["event_id"]).where("path = '.k'")
+
+
+@query(
+    "i1_changed_files",
+    """WITH o AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE lang <> 'de'), n AS (SELECT doc_id, sha256(CASE WHEN source = 'src1' THEN text || '!' ELSE text END) AS h FROM documents WHERE lang <> 'fr')
+  SELECT coalesce(o.doc_id, n.doc_id) AS file_path, CASE WHEN o.doc_id IS NULL THEN 'added' WHEN n.doc_id IS NULL THEN 'deleted' ELSE 'changed' END AS change FROM o FULL JOIN n ON o.doc_id = n.doc_id WHERE o.h IS DISTINCT FROM n.h""",
+)
+def _(t):
+    from loomgraph.streaming.incremental import changes
+
+    old = t.documents.where("lang <> 'de'").select(F.col("doc_id").alias("file_path"), S.sha256(F.col("text")).alias("sha256"))
+    new = t.documents.where("lang <> 'fr'").select(F.col("doc_id").alias("file_path"), S.sha256(F.when(F.col("source") == "src1", F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("sha256"))
+    return changes(old, new).select("file_path", "change")
+
+
+@query("i2_reused_facts", "SELECT doc_id AS file_path, source = 'src1' AS parsed FROM documents")
+def _(t):
+    from loomgraph.streaming.incremental import refreshed
+
+    old = t.documents.select(F.col("doc_id").alias("file_path"), S.sha256(F.col("text")).alias("sha256"), F.lit(False).alias("parsed"))
+    new = t.documents.select(F.col("doc_id").alias("file_path"), S.sha256(F.when(F.col("source") == "src1", F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("sha256"))
+    return refreshed(old, new, lambda misses: misses.withColumn("parsed", F.lit(True))).select("file_path", "parsed")
+
+
+@query("s18_initializer_imports", f"WITH {SPECS} SELECT split_part(substr(specifier, 2), '/', 1) AS package, regexp_matches(lower(url), 'test|spec|mock|fixture|storybook|stories|e2e|config|scripts') AS is_dev, count(DISTINCT pages.page_id) AS n FROM specs JOIN pages ON pages.page_id = specs.page_id WHERE regexp_matches(specifier, '^/[A-Za-z]') GROUP BY 1, 2")
+def _(t):
+    s = t.specifiers().where("specifier rlike '^/[A-Za-z]'").join(t.pages.select("page_id", "url"), "page_id")
+    return s.groupBy(S.package_name(F.substring("specifier", 2, 1 << 30)).alias("package"), S.is_dev_path(F.col("url")).alias("is_dev")).agg(F.count_distinct("page_id").alias("n"))
+
+
+SECRETS = [("token", r"token = \"([0-9a-f]{40})\"")]
+
+
+@query("r12_secrets", """SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, 'token = "([0-9a-f]{40})"', 1))) AS secret FROM documents""")
+def _(t):
+    from loomgraph.operators.secrets import scan
+
+    found = scan(t.documents.select(F.col("doc_id").alias("file_path"), F.col("text").alias("content")))
+    return found.where("type = 'assigned-token'").select(F.col("file_path").alias("doc_id"), F.col("value").alias("secret")).distinct()
