@@ -10,6 +10,7 @@ _NAMES = {
     "op3_simhash": "simhash",
     "op4_chat": "chat",
     "op5_embeddings": "vectors",
+    "op6_sentencepiece": "pieces",
     "op7_substrings": "substrings",
     "op8_pii": "pii",
     "op9_langid": "langid",
