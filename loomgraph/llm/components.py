@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,24 +29,17 @@ def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x, y = x[apart], y[apart]
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The links of a task, as links of each node to the smallest it reaches there."""
-    got = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches if x.num_rows]
-    if got:
-        nodes, roots = local_roots(np.concatenate([a for a, _ in got]), np.concatenate([b for _, b in got]))
-        far = nodes != roots
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(roots[far])], ["u", "v"])
-
-
 def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) for each node of ``links`` (two long columns): root is the
     smallest node reachable. Nulls and self-links are ignored, repeated links count
-    once; a table without links gives no rows. Each task first contracts its own
-    links, so the rounds only join what tasks share; every round is checkpointed.
+    once; a table without links gives no rows. Callers contract what they find in a
+    task by `local_roots`, so the rounds only join what tasks share; every round is
+    checkpointed. No Python runs here: it would sit in one stage with the caller's, and
+    each executor would keep twice the workers.
     """
     a, b = links.columns[:2]
     e = links.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u <> v")
-    e = cut(e.mapInArrow(_stars, "u long, v long").distinct())
+    e = cut(e.distinct())
     seen = None
     for _ in range(rounds):
         both = e.union(e.select("v", "u")).toDF("u", "v")
