@@ -13,31 +13,38 @@ their ends, and another walks back. A character that no piece covers costs a fix
 penalty and becomes byte pieces.
 
 Words of texts are encoded by joining them to the dictionary of distinct words. Of a
-bounded sample of texts (``SAMPLE`` rows by hash of their text), the ``FREQUENT`` most
-frequent words are encoded first and go to the tasks with the code; all other words
-take the join. The result is the same for any sample.
+bounded sample of texts (``SAMPLE`` rows by hash of their text), at most ``FREQUENT``
+words that recur are encoded first and go to the tasks with the code, found there by
+their 64-bit hashes; all other words take the join. The result is the same for any
+sample. Words are found and hashed over whole batches of bytes, in numpy.
 
-Null texts are empty and have no words; rows may repeat. An empty table gives no rows.
+Null texts are empty and have no words; rows may repeat; a word of over 100,000 bytes
+is cut there. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
-from math import log
+from dataclasses import dataclass
+from math import exp, log
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, partitions, read, small_batches
-from .words import U, mix
+from .words import CHUNK, U, Words, mix
 
 SPACE = "▁"
-SAMPLE, FREQUENT = 6000, 60_000
+SAMPLE, FREQUENT = 40_000, 600_000
+#: Distinct words that a task groups edges of in memory before it sorts.
+GROUPED = 100_000
+#: Bytes after which a word is cut, so that its places fit an edge.
+LONG = 100_000
 PENALTY = 10.0
 #: Added to a rank before the logarithm.
 FLATTEN = 10
@@ -52,24 +59,71 @@ class Table:
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in names):
             raise ValueError("pieces with a space inside can't be cut into words")
         self.longest = max(map(len, names), default=1)
-        self.unknown = min((s for _, _, s in pieces), default=0.0) - PENALTY
-        follow = {b for p in names for a, b in zip(p, p[1:], strict=False) if re.match(r"\w", a)}
-        cuts = "".join(re.escape(c) for c in ".,;:!?|)(&*%$#\"'-" if c not in follow)
-        feed = "" if any("\n" in p for p in names) else "\n"
-        none = f"{cuts}" if cuts else ""
-        self.words = re.compile((r"\n|" if feed else "") + rf"{SPACE}*[^{SPACE}\w{feed}]*\w*(?:[^{SPACE}\w{feed}{none}][^{SPACE}\w{feed}]*\w*)*")
+        if self.longest > 62 or not all(0 < i < 1 << 15 for _, i, _ in pieces):
+            raise ValueError("pieces of more than 62 characters or ids past 32767 don't fit an edge")
+        self.unknown = round(min((s for _, _, s in pieces), default=0.0) - PENALTY, 6)
+        wordish = lambda c: c == "_" or c.isascii() and c.isalnum() or not c.isascii() and c != SPACE
+        follow = {b for p in names for a, b in zip(p, p[1:], strict=False) if wordish(a)}
+        self.kind = np.zeros(256, np.uint8)  # of bytes: 1 a word's, 2 punctuation that no piece has after one
+        self.kind[[ord(c) for c in "_0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]] = 1
+        self.kind[0x80:] = 1
+        self.kind[SPACE.encode()[-1]] = 0
+        self.kind[[ord(c) for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^`{|}~" if c not in follow]] = 2
+        self.feeds = not any("\n" in p for p in names)
+
+    def words(self, texts: pa.Array) -> Iterator[tuple[int, int, Words]]:
+        """(first row, row after the last, words), as bytes with their leading spaces, for runs of whole texts."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        size = pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(size + 2)
+        i = 0
+        while i < len(texts):
+            base = int(ends[i - 1]) if i else 0
+            j = max(i + 1, int(np.searchsorted(ends, base + CHUNK, "right")))
+            data = np.frombuffer("".join(f" {t}\n" for t in texts.slice(i, j - i).to_pylist()).encode(), np.uint8)
+            begin = np.concatenate([[0], ends[i:j] - base])
+            kind, space, start = self.kind[data], data == 32, np.zeros(len(data) + 1, bool)
+            start[1:-1] = (space[1:] & ~space[:-1]) | ((kind[1:] == 2) & (kind[:-1] == 1))
+            if self.feeds:
+                feed = data == 10
+                start[:-1] |= feed
+                start[1:] |= feed
+            start[begin] = True
+            start[begin[1:] - 1] = True
+            at = np.flatnonzero(start)
+            stop = at[1:]
+            at = at[:-1]
+            real = np.ones(len(at), bool)
+            real[np.searchsorted(at, begin[1:] - 1)] = False  # the feed after each text
+            empty = np.flatnonzero(size[i:j] == 0)
+            real[np.searchsorted(at, begin[empty])] = False
+            at, stop = at[real], stop[real]
+            for k in np.flatnonzero(stop - at > LONG)[::-1].tolist():
+                more = [q + int(np.argmax(data[q : q + 4] & 0xC0 != 0x80)) for q in range(int(at[k]) + LONG, int(stop[k]) - 4, LONG)]
+                at, stop = np.insert(at, k + 1, more), np.insert(stop, k, more)
+            yield i, j, Words(data, at, stop, np.searchsorted(at, begin))
+            i = j
 
     def cut(self, text: str | None) -> list[str]:
-        return [w for w in self.words.findall(SPACE + text.replace(" ", SPACE)) if w] if text else []
+        return [w for _, _, x in self.words(pa.array([text], pa.string())) for w in _strings(x, np.arange(len(x.starts))).to_pylist()]
 
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(pa.table({"piece": [p for p, _, _ in self.pieces], "id": pa.array([i for _, i, _ in self.pieces], pa.int32()), "score": [s for _, _, s in self.pieces]}))
 
 
+def _strings(words: Words, which: np.ndarray) -> pa.Array:
+    """The words at these places, gathered as one buffer."""
+    a, z = words.starts[which], words.ends[which]
+    size = z - a
+    offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+    data = words.data[np.arange(offsets[-1]) + np.repeat(a - offsets[:-1], size)]
+    return pa.Array.from_buffers(pa.string(), len(which), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+
+
 def zipf(names: list[str]) -> list[float]:
     raw = [-log(k + FLATTEN) for k in range(len(names))]
-    total = log(sum(2.718281828459045**r for r in raw))
-    return [float(np.float32(r - total)) for r in raw]
+    total = log(sum(exp(r) for r in raw))
+    return [round(r - total, 6) for r in raw]
 
 
 def public_table(path: str | None = None) -> Table:
@@ -89,30 +143,41 @@ def public_table(path: str | None = None) -> Table:
 
 
 def lattice(words: DataFrame, table: Table) -> DataFrame:
-    """(word, ids, hash) of distinct words (column word)."""
+    """(word, ids, hash) of distinct words (column word, spaces as such). An edge is packed into a long, in order of its
+    end, then of its start: end, length (counted down), id (0: a character of no piece) and score in millionths."""
+    words.sparkSession.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(GROUPED))
     n, i, size = F.length("word"), F.col("i"), F.col("size")
-    starts = words.select("word", F.explode(F.sequence(F.lit(1), n)).alias("i"))
-    spans = starts.select("word", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(table.longest), n - i + 1))).alias("size"))
-    spans = spans.select("word", "i", "size", F.substring("word", i, size).alias("piece"))
+    whole = words.select("word", F.replace(F.col("word"), F.lit(" "), F.lit(SPACE)).alias("w"))
+    starts = whole.select("word", "w", F.explode(F.sequence(F.lit(1), n)).alias("i"))
+    spans = starts.select("word", "w", "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(table.longest), n - i + 1))).alias("size"))
+    spans = spans.select("word", "i", "size", F.substring("w", i, size).alias("piece"))
     edges = spans.join(F.broadcast(table.frame(words.sparkSession)), "piece", "left").where("id is not null or size = 1")
-    octets = F.col("piece").cast("binary")
-    byte = lambda k: F.conv(F.hex(F.substring(octets, k, F.lit(1))), 16, 10).cast("int") + table.byte_id
-    ids = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(F.transform(F.sequence(F.lit(1), F.octet_length("piece")), byte))
-    edge = F.struct((i + size - 1).alias("end"), (i - 1).alias("start"), F.coalesce("score", F.lit(table.unknown)).alias("score"), ids.alias("ids"))
-    grouped = edges.select("word", edge.alias("e")).groupBy("word").agg(F.sort_array(F.collect_list("e")).alias("es"))
-    zero = F.array(F.struct(F.lit(0.0).alias("s"), F.lit(-1).alias("start"), F.array().cast("array<int>").alias("ids")))
+    cost = F.round(-F.coalesce("score", F.lit(table.unknown)) * 1_000_000).cast("long")
+    packed = F.shiftleft((i + size - 1).cast("long"), 46) + F.shiftleft((63 - F.least(size, F.lit(63))).cast("long"), 40) + F.shiftleft(F.coalesce("id", F.lit(0)).cast("long"), 25) + cost
+    grouped = edges.select("word", packed.alias("e")).groupBy("word").agg(F.sort_array(F.collect_list("e")).alias("es"))
+    zero = F.array(F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("e")))
+    end = lambda e: F.shiftright(e, 46).cast("int")
+    length = lambda e: 63 - F.shiftright(e, 40).bitwiseAND(63).cast("int")
+    piece = lambda e: F.shiftright(e, 25).bitwiseAND((1 << 15) - 1).cast("int")
 
     def step(best, e):
-        made = F.struct((F.element_at(best, e["start"] + 1)["s"] + e["score"]).alias("s"), e["start"].alias("start"), e["ids"].alias("ids"))
-        last = F.element_at(best, -1)
-        return F.when(e["end"] == F.size(best), F.concat(best, F.array(made))).when(made["s"] > last["s"], F.concat(F.slice(best, 1, F.size(best) - 1), F.array(made))).otherwise(best)
+        score = F.element_at(best, end(e) - length(e) + 1)["s"] + e.bitwiseAND((1 << 25) - 1)
+        made = F.struct(score.alias("s"), e.alias("e"))
+        last = F.element_at(best, -1)["s"]
+        return F.when(end(e) == F.size(best), F.concat(best, F.array(made))).when(score < last, F.concat(F.slice(best, 1, F.size(best) - 1), F.array(made))).otherwise(best)
 
-    found = grouped.select("word", F.aggregate("es", zero, step).alias("best"))
+    found = grouped.select("word", F.transform(F.aggregate("es", zero, step), lambda b: b["e"]).alias("best"))
     walk = F.struct((F.size("best") - 1).alias("at"), F.array().cast("array<int>").alias("out"))
 
+    def octets(at):
+        """Byte pieces of the character before a place of the word."""
+        c = F.replace(F.substring(F.col("word"), at, F.lit(1)), F.lit(" "), F.lit(SPACE)).cast("binary")
+        return F.transform(F.sequence(F.lit(1), F.length(c)), lambda k: F.conv(F.hex(F.substring(c, k, F.lit(1))), 16, 10).cast("int") + table.byte_id)
+
     def back(acc, _):
-        here = F.element_at(F.col("best"), acc["at"] + 1)
-        return F.when(acc["at"] > 0, F.struct(here["start"].alias("at"), F.concat(here["ids"], acc["out"]).alias("out"))).otherwise(acc)
+        e = F.element_at(F.col("best"), acc["at"] + 1)
+        ids = F.when(piece(e) > 0, F.array(piece(e))).otherwise(octets(acc["at"]))
+        return F.when(acc["at"] > 0, F.struct((acc["at"] - length(e)).alias("at"), F.concat(ids, acc["out"]).alias("out"))).otherwise(acc)
 
     done = found.select("word", F.aggregate("best", walk, back)["out"].alias("ids"))
     return done.withColumn("hash", F.xxhash64("ids"))
@@ -121,104 +186,135 @@ def lattice(words: DataFrame, table: Table) -> DataFrame:
 # --- words of texts
 
 
-def frequent(texts: DataFrame, table: Table, text: str, sample: int = SAMPLE, keep: int = FREQUENT) -> dict[str, tuple[list[int], int]]:
-    """Ids and hashes of at most ``keep`` words that recur in a sample of about ``sample`` rows."""
+@dataclass
+class Known:
+    """Words that tasks know, by sorted hashes of their bytes: how many pieces each has, and the hash of their ids."""
+
+    hashes: np.ndarray
+    sizes: np.ndarray
+    ids: np.ndarray
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Places of these hashes, -1 for unknown words."""
+        if not len(self.hashes):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, at, -1)
+
+
+NOTHING = Known(np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def frequent(texts: DataFrame, table: Table, sample: int = SAMPLE, keep: int = FREQUENT) -> Known:
+    """At most ``keep`` words that recur in a sample of about ``sample`` rows of (text)."""
     total = texts.count()
-    if not total:
-        return {}
-    chosen = texts.select(F.col(text).alias("text")).where(F.pmod(F.xxhash64(text), F.lit(1 << 30)) < F.lit(int(min(1.0, sample / total) * (1 << 30)))).limit(2 * sample)
+    if not total or not sample:
+        return NOTHING
+    chosen = texts.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int(min(1.0, sample / total) * (1 << 30)))).limit(2 * sample)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            c: Counter = Counter()
-            for t in x.column(0).to_pylist():
-                c.update(table.cut(t))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(c.values(), pa.int64())], ["word", "n"])
+            for _, _, w in table.words(x.column(0)):
+                _, at, n = np.unique(w.hashes(), return_index=True, return_counts=True)
+                yield pa.RecordBatch.from_arrays([_strings(w, at), pa.array(n.astype(np.int64))], ["word", "n"])
 
     top = chosen.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(keep)
-    return {r.word: (r.ids, r.hash) for r in lattice(top.select("word").repartition(partitions(texts.sparkSession)), table).collect()}
+    got = lattice(top.select("word").repartition(partitions(texts.sparkSession), "word"), table).select("word", F.size("ids").alias("size"), "hash").toArrow()
+    names = got.column("word").combine_chunks()
+    if not len(names):
+        return NOTHING
+    h = _hashes(names)
+    order = np.argsort(h)
+    return Known(h[order], got.column("size").to_numpy().astype(np.int64)[order], got.column("hash").to_numpy()[order])
 
 
-def rare_words(texts: DataFrame, table: Table, text: str, known: dict) -> DataFrame:
-    """(word): words that ``known`` lacks, each once."""
+def _hashes(names: pa.Array) -> np.ndarray:
+    data = np.frombuffer("".join(names.to_pylist()).encode(), np.uint8)
+    ends = np.cumsum(pc.binary_length(names).to_numpy(zero_copy_only=False).astype(np.int64))
+    return Words(data, np.concatenate([[0], ends[:-1]]), ends, np.array([0, len(ends)])).hashes()
+
+
+def rare_words(texts: DataFrame, table: Table, known: Known) -> DataFrame:
+    """(word): words of (text) that are not known, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            new: set[str] = set()
-            for t in x.column(0).to_pylist():
-                new.update(table.cut(t))
-            yield pa.RecordBatch.from_arrays([pa.array([w for w in new if w not in known], pa.string())], ["word"])
+            for _, _, w in table.words(x.column(0)):
+                h, at = np.unique(w.hashes(), return_index=True)
+                yield pa.RecordBatch.from_arrays([_strings(w, at[known.find(h) < 0])], ["word"])
+
+    return texts.select("text").mapInArrow(run, "word string").distinct()
 
-    return texts.select(F.col(text).cast("string")).mapInArrow(run, "word string").distinct()
 
+_PART = "struct<doc_id:long,n_words:long,n_pieces:long,digest:long>"
 
-def encoded_words(docs: DataFrame, table: Table, text: str = "text", id_: str = "doc_id", with_ids: bool = True, sample: int = SAMPLE, keep: int = FREQUENT) -> DataFrame:
-    """The encoding as a relation: (row, doc_id, pos, word, ids), a row for each word of each text. Without ids, (row, doc_id,
-    n_words, n_pieces, digest) in parts to be summed and xor-ed by row: those of frequent words are summed where they are read."""
+
+def _prepared(docs: DataFrame, text: str, id_: str) -> DataFrame:
     small_batches(docs.sparkSession)
-    docs = docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    known = frequent(docs, table, "text", sample, keep)
-    dictionary = lattice(rare_words(docs, table, "text", known), table)
-    names = list(known)
-    index = {w: k for k, w in enumerate(names)}
-    hashes = np.array([known[w][1] for w in names] + [0], np.int64)
-    sizes = np.array([len(known[w][0]) for w in names] + [0], np.int64)
-
-    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+
+
+def encoded_words(docs: DataFrame, table: Table, text: str = "text", id_: str = "doc_id") -> DataFrame:
+    """The encoding as a relation: (row, doc_id, pos, word, ids), a row for each word of each text."""
+    docs = _prepared(docs, text, id_)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
+        for x in batches:
+            for i, j, w in table.words(x.column(1)):
+                own, n = np.repeat(np.arange(j - i), np.diff(w.first)), len(w.starts)
+                yield pa.RecordBatch.from_arrays([pa.array(own + row), x.column(0).slice(i, j - i).take(pa.array(own)), pa.array((np.arange(n) - w.first[own]).astype(np.int32)), _strings(w, np.arange(n))], ["row", "doc_id", "pos", "word"])
+                row += j - i
+
+    occurring = docs.mapInArrow(run, "row long, doc_id long, pos int, word string")
+    return occurring.join(lattice(rare_words(docs, table, NOTHING), table).select("word", "ids"), "word").select("row", "doc_id", "pos", "word", "ids")
+
+
+def summed(docs: DataFrame, table: Table, text: str = "text", id_: str = "doc_id", sample: int = SAMPLE, keep: int = FREQUENT) -> DataFrame:
+    """(doc_id, n_words, n_pieces, digest) of each row's encoding. Known words are summed where they are read; the others
+    are joined with the dictionary by (word, row, pos) and added."""
+    docs = _prepared(docs, text, id_)
+    known = frequent(docs, table, sample, keep)
+    dictionary = lattice(rare_words(docs, table, known), table).select("word", F.size("ids").alias("size"), "hash")
+
+    def read_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, row = TaskContext.get().partitionId() << 33, 0
         for x in batches:
-            rows, ids, pos, words = [], [], [], []
-            first, n_words, n_pieces, digests = row, [], [], []
-            for doc, t in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
-                own = table.cut(t)
-                k = np.array([index.get(w, -1) for w in own], np.int64)
-                far = np.flatnonzero(k < 0) if not with_ids else np.arange(len(own))
-                rows += [task + row] * len(far)
-                ids += [doc] * len(far)
-                pos += far.tolist()
-                words += [own[i] for i in far.tolist()]
-                if not with_ids:
-                    near = np.flatnonzero(k >= 0)
-                    n_words.append(len(own))
-                    n_pieces.append(int(sizes[k[near]].sum()))
-                    digests.append(int(np.bitwise_xor.reduce(digest(hashes[k[near]], near), initial=0)))
-                row += 1
-            none = [None] * (0 if with_ids else x.num_rows)
-            keys = (np.arange(first, row) + task).tolist() if not with_ids else []
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(rows + keys, pa.int64()),
-                    pa.array(ids + (x.column(0).to_pylist() if not with_ids else []), pa.int64()),
-                    pa.array(pos + none, pa.int32()),
-                    pa.array(words + [f"\x00{k}" for k in keys], pa.string()),  # a part sum: no such word, so no match, and dealt evenly
-                    pa.array([0] * len(rows) + n_words, pa.int64()),
-                    pa.array([0] * len(rows) + n_pieces, pa.int64()),
-                    pa.array([0] * len(rows) + digests, pa.int64()),
-                ],
-                ["row", "doc_id", "pos", "word", "n_words", "n_pieces", "digest"],
-            )
-
-    occurring = docs.mapInArrow(cut_up, "row long, doc_id long, pos int, word string, n_words long, n_pieces long, digest long")
-    if with_ids:
-        every = dictionary.select("word", "ids")
-        if known:
-            every = every.union(docs.sparkSession.createDataFrame([(w, list(map(int, v[0]))) for w, v in known.items()], "word string, ids array<int>"))
-        return occurring.select("row", "doc_id", "pos", "word").join(every, "word").select("row", "doc_id", "pos", "word", "ids")
-    joined = occurring.join(dictionary.select("word", F.size("ids").alias("size"), "hash"), "word", "left")
+            for i, j, w in table.words(x.column(1)):
+                count = np.diff(w.first)
+                own = np.repeat(np.arange(j - i), count)
+                pos = np.arange(len(own)) - w.first[own]
+                k = known.find(w.hashes())
+                d, n = np.zeros(j - i, np.int64), np.zeros(j - i, np.int64)
+                near, far = np.flatnonzero(k >= 0), np.flatnonzero(k < 0)
+                if len(near):
+                    edge = np.flatnonzero(np.diff(own[near], prepend=-1))
+                    d[own[near[edge]]] = np.bitwise_xor.reduceat(digest(known.ids[k[near]], pos[near]), edge)
+                    n[own[near[edge]]] = np.add.reduceat(known.sizes[k[near]], edge)
+                keys = np.arange(row, row + j - i) + task
+                none = pa.nulls(len(far), pa.struct([(c, pa.int64()) for c in ("doc_id", "n_words", "n_pieces", "digest")]))
+                yield pa.RecordBatch.from_arrays([_strings(w, far), pa.array(keys[own[far]]), pa.array(pos[far].astype(np.int32)), none], ["word", "row", "pos", "part"])
+                part = pa.StructArray.from_arrays([x.column(0).slice(i, j - i), *(pa.array(v.astype(np.int64)) for v in (count, n, d))], ["doc_id", "n_words", "n_pieces", "digest"])
+                # a sum of known words: no word has this name, so none matches, and the rows are dealt evenly
+                yield pa.RecordBatch.from_arrays([pa.array([f"\x00{q}" for q in keys.tolist()], pa.string()), pa.array(keys), pa.array(np.zeros(j - i, np.int32)), part], ["word", "row", "pos", "part"])
+                row += j - i
+
+    joined = docs.mapInArrow(read_words, f"word string, row long, pos int, part {_PART}").join(dictionary, "word", "left")
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            row, doc, pos, size, h, n_words, n_pieces, d = x.columns
+            pos, size, h = x.column(1), x.column(2), x.column(3)
             met = np.asarray(h.is_valid())
-            d, n_pieces = d.to_numpy().copy(), n_pieces.to_numpy().copy()
+            d, n = (pc.fill_null(x.column(c), 0).to_numpy(zero_copy_only=False).copy() for c in (7, 6))
             at = np.flatnonzero(met)
             if len(at):
                 take = pa.array(at)
                 d[at] = digest(h.take(take).to_numpy(), pos.take(take).to_numpy().astype(np.int64))
-                n_pieces[at] = size.take(take).to_numpy()
-            yield pa.RecordBatch.from_arrays([row, doc, n_words, pa.array(n_pieces), pa.array(d)], ["row", "doc_id", "n_words", "n_pieces", "digest"])
+                n[at] = size.take(take).to_numpy()
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(4), x.column(5), pa.array(n), pa.array(d)], ["row", "doc_id", "n_words", "n_pieces", "digest"])
 
-    return joined.select("row", "doc_id", "pos", "size", "hash", "n_words", "n_pieces", "digest").mapInArrow(told, "row long, doc_id long, n_words long, n_pieces long, digest long")
+    parts = joined.select("row", "pos", "size", "hash", "part.doc_id", "part.n_words", "part.n_pieces", "part.digest").mapInArrow(told, "row long, doc_id long, n_words long, n_pieces long, digest long")
+    return parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_words").alias("n_words"), F.sum("n_pieces").alias("n_pieces"), F.bit_xor("digest").alias("digest")).drop("row")
 
 
 def digest(hashes: np.ndarray, pos: np.ndarray) -> np.ndarray:
@@ -245,5 +341,4 @@ def decode(encoded: DataFrame, table: Table, ids: str = "ids") -> DataFrame:
 
 
 def op6_sentencepiece(spark, sf_dir: str) -> DataFrame:
-    parts = encoded_words(read(spark, sf_dir, "documents"), public_table(), with_ids=False)
-    return parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_words").alias("n_words"), F.sum("n_pieces").alias("n_pieces"), F.bit_xor("digest").alias("digest")).drop("row")
+    return summed(read(spark, sf_dir, "documents"), public_table())

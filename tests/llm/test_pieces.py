@@ -47,7 +47,7 @@ TEXTS = [None, "", " ", "a", "  two  spaces ", "line\nfeed\n\nagain", "Ünïcöd
 
 def test_words_join_to_the_text(table):
     for t in TEXTS:
-        assert "".join(table.cut(t)) == (pc.SPACE + t.replace(" ", pc.SPACE) if t else "")
+        assert "".join(table.cut(t)) == (" " + t if t else "")
 
 
 def test_encoding_matches_the_library_and_decodes(spark, table, library):
@@ -73,13 +73,19 @@ def test_query_parts_do_not_depend_on_the_sample(spark, table):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     results = []
     for sample, keep in ((0, 10), (100, 5), (100, 10_000)):
-        parts = pc.encoded_words(df, table, with_ids=False, sample=sample, keep=keep)
-        out = parts.groupBy("row").agg(pc.F.max("doc_id").alias("doc_id"), pc.F.sum("n_words").alias("w"), pc.F.sum("n_pieces").alias("n"), pc.F.bit_xor("digest").alias("d")).collect()
-        results.append(sorted((-1 if r.doc_id is None else r.doc_id, r.w, r.n, r.d) for r in out))
+        out = pc.summed(df, table, sample=sample, keep=keep).collect()
+        results.append(sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_pieces, r.digest) for r in out))
     assert results[0] == results[1] == results[2] and len(results[0]) == len(rows)
     ids = {r.doc_id: len(r.ids) for r in pc.encode(df, table).collect() if r.doc_id is not None}
     assert all(n == ids.get(i, 0) for i, _, n, _ in results[0] if i >= 0)
 
 
+def test_long_words_are_cut(table, monkeypatch):
+    monkeypatch.setattr(pc, "LONG", 10)
+    text = "éa" * 30 + " b " + "x" * 25
+    words = table.cut(text)
+    assert "".join(words) == " " + text and max(len(w.encode()) for w in words) <= 14
+
+
 def test_empty_table(spark, table):
-    assert pc.encoded_words(spark.createDataFrame([], "doc_id long, text string"), table, with_ids=False).count() == 0
+    assert pc.summed(spark.createDataFrame([], "doc_id long, text string"), table).count() == 0
