@@ -770,3 +770,139 @@ def _(t):
 
     found = scan(t.documents.select(F.col("doc_id").alias("file_path"), F.col("text").alias("content")))
     return found.where("type = 'assigned-token'").select(F.col("file_path").alias("doc_id"), F.col("value").alias("secret")).distinct()
+
+
+# --- extraction: sources are written from parts, so what must come out is known
+
+_IDENT = "replace(replace(p_brand, '#', '_'), ' ', '_')"
+_MODULE = "lower(replace(p_type, ' ', '-'))"
+_CODE = r"""concat("import def, { ", IDENT, " as local", p_partkey, " } from './", MODULE, "'; // import { no } from 'comment'\n",
+  "const s = 'import { no } from \"string\"';\nexport class C", p_partkey, " { m", p_size, "() { return local", p_partkey, ".f", p_size, " == 1 } }\n",
+  "const lazy = (n) => import(`./lazy-", p_size, "/$", "{n}.js`);\n/* loomgraph-ignore unused-export:X", p_size, " */\nwhile (true) { ", if(p_size % 2 = 0, "break", "go()"), " }\n")""".replace("IDENT", _IDENT).replace("MODULE", _MODULE)
+
+
+def _facts(t: Tables) -> DataFrame:
+    from loomgraph.sources import scan
+
+    return scan.facts(t.part.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".ts")).alias("file_path"), F.expr(_CODE).alias("content")))
+
+
+def _view(t: Tables, kind: str) -> DataFrame:
+    from loomgraph.sources import scan
+
+    return scan.view(_facts(t), kind)
+
+
+@query("x4_imports", f"SELECT 'p' || p_partkey || '.ts' AS file_path, './' || {_MODULE} AS specifier, 'static' AS kind FROM part")
+def _(t):
+    return _view(t, "import")
+
+
+@query("x4_import_symbols", f"SELECT 'p' || p_partkey || '.ts' AS file_path, {_IDENT} AS imported_name, 'local' || p_partkey AS local_name FROM part UNION ALL SELECT 'p' || p_partkey || '.ts', 'default', 'def' FROM part")
+def _(t):
+    return _view(t, "import_symbol").select("file_path", "imported_name", "local_name")
+
+
+@query("x6_exports", "SELECT 'p' || p_partkey || '.ts' AS file_path, 'C' || p_partkey AS name, 'class' AS export_type, CAST(3 AS BIGINT) AS line, 'm' || p_size AS members FROM part")
+def _(t):
+    return _view(t, "export").select("file_path", "name", "export_type", F.col("line").cast("long").alias("line"), F.array_join(F.transform("members", lambda m: m["name"]), ",").alias("members"))
+
+
+@query("x10_dynamic_imports", "SELECT 'p' || p_partkey || '.ts' AS file_path, './lazy-' || p_size AS dir_prefix, false AS is_literal FROM part")
+def _(t):
+    return _view(t, "dynamic_import").select("file_path", "dir_prefix", "is_literal")
+
+
+@query("x12_identifiers", "SELECT 'p' || p_partkey || '.ts' AS file_path, name FROM (SELECT p_partkey, p_size, unnest(['local' || p_partkey, 'm' || p_size, 'n', CASE WHEN p_size % 2 = 1 THEN 'go' END]) AS name FROM part) WHERE name IS NOT NULL")
+def _(t):
+    return _view(t, "identifier")
+
+
+@query("x13_chains", "SELECT 'p' || p_partkey || '.ts' AS file_path, 'local' || p_partkey || '.f' || p_size AS chain FROM part")
+def _(t):
+    return _view(t, "chain").select("file_path", "chain")
+
+
+@query("x17_suppressions", "SELECT 'p' || p_partkey || '.ts' AS file_path, 'unused-export' AS rule, 'X' || p_size AS symbol FROM part")
+def _(t):
+    return _view(t, "suppression")
+
+
+@query("r1_loose_equality", "SELECT 'p' || p_partkey || '.ts' AS file_path, '==' AS operator FROM part")
+def _(t):
+    return _view(t, "node").where("node_type = 'LooseEquality'").select("file_path", F.col("attrs")["operator"].alias("operator"))
+
+
+@query("r2_endless_loops", "SELECT 'p' || p_partkey || '.ts' AS file_path FROM part WHERE p_size % 2 = 1")
+def _(t):
+    return rules.endless_loops(_view(t, "node").withColumn("node_id", F.xxhash64("file_path", "pre"))).select("file_path")
+
+
+@query("x20_script_commands", "SELECT event_id AS manifest_path, event_type AS command FROM events UNION ALL SELECT event_id, 'tsc' FROM events")
+def _(t):
+    script = F.concat(F.lit("CI=1 npx '"), "event_type", F.lit("' --k 1 && tsc -p ."))
+    return rules.script_commands(t.events.select(F.col("event_id").alias("manifest_path"), script.alias("script")))
+
+
+@query("j27_program_packages", "SELECT event_id AS manifest_path, CASE event_type WHEN 'click' THEN '@ui/click' ELSE event_type END AS package FROM events")
+def _(t):
+    commands = t.events.select(F.col("event_id").alias("manifest_path"), F.col("event_type").alias("command"))
+    return rules.program_packages(commands, t.spark.createDataFrame([("click", "@ui/click")], "bin string, package string"))
+
+
+@query("g4_symbols_through_barrels", "SELECT 'all' AS file_path, n_name AS name, 'n' || n_nationkey AS origin_file, n_name AS origin_name FROM nation UNION ALL SELECT 'r' || r_regionkey, r_name || '!', 'r' || r_regionkey, r_name FROM region")
+def _(t):
+    text = lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string"))
+    none = F.lit(None).cast("string")
+    own = t.nation.select(text("n", "n_nationkey").alias("file_path"), F.col("n_name").alias("name"), none.alias("source_specifier"), F.col("n_name").alias("original_name"))
+    stars = t.nation.select(text("r", "n_regionkey"), F.lit("*"), text("./n", "n_nationkey"), F.lit("*"))
+    top = t.region.select(F.lit("all"), F.lit("*"), text("./r", "r_regionkey"), F.lit("*"))
+    alias = t.region.select(text("r", "r_regionkey"), F.concat("r_name", F.lit("!")), none, F.col("r_name"))
+    exports = own.union(stars).union(top).union(alias)
+    targets = exports.where("source_specifier is not null").select("file_path", "source_specifier", F.substring("source_specifier", 3, 99).alias("target"))
+    wanted = t.nation.select(F.lit("all").alias("file_path"), F.col("n_name").alias("name")).union(t.region.select(text("r", "r_regionkey"), F.concat("r_name", F.lit("!"))))
+    return graph.resolve_symbols(wanted, exports, targets).select("file_path", "name", "origin_file", "origin_name")
+
+
+@query("k9_install_commands", f"WITH {USAGE} SELECT CAST(manifest_path AS VARCHAR) AS root_dir, CASE WHEN manifest_path % 2 = 0 THEN 'yarn add ' ELSE 'npm install ' END || string_agg(DISTINCT p_brand, ' ' ORDER BY p_brand) AS command FROM usage JOIN part ON p_partkey = package GROUP BY manifest_path")
+def _(t):
+    missing = t.usage().join(t.part.select(F.col("p_partkey").alias("package"), "p_brand"), "package").select(F.col("manifest_path").cast("string").alias("root_dir"), F.col("p_brand").alias("package"))
+    locks = t.supplier.select(F.col("s_suppkey").cast("string").alias("root_dir"), F.explode(F.when(F.col("s_suppkey") % 2 == 0, F.array(F.lit("package-lock.json"), F.lit("yarn.lock"))).otherwise(F.array(F.lit("package-lock.json")))).alias("file_name"))
+    return rules.install_commands(missing, locks)
+
+
+@query("k10_manifest_text", """SELECT l_orderkey AS manifest_path, '{"dependencies":{' || string_agg(DISTINCT '"' || l_returnflag || '":"*"', ',' ORDER BY '"' || l_returnflag || '":"*"') || '}}' AS json FROM lineitem GROUP BY l_orderkey""")
+def _(t):
+    from loomgraph.sources.manifests import manifest_text
+
+    return manifest_text(t.lineitem.select(F.col("l_orderkey").alias("manifest_path"), F.col("l_returnflag").alias("package"), F.lit("*").alias("version"), F.lit("dependencies").alias("dep_kind")))
+
+
+@query("u11_entry_needles", "SELECT doc_id AS file_path, plugin FROM documents JOIN (VALUES ('a', 'token = '), ('b', '@mail'), ('b', 'casino')) n(plugin, needle) ON contains(text, needle) GROUP BY 1, 2")
+def _(t):
+    needles = t.spark.createDataFrame([("a", "token = "), ("b", "@mail"), ("b", "casino"), ("off", "e")], "plugin string, needle string")
+    return rules.needle_hits(t.documents.select(F.col("doc_id").alias("file_path"), F.col("text").alias("content")), needles, needles.where("plugin <> 'off'").select("plugin").distinct())
+
+
+@query("s7_glob_expansion", f"WITH {PATHS} SELECT DISTINCT regexp_extract(p, '^[^/]*/[^/]*', 0) AS dir FROM paths WHERE regexp_matches(p, '^[^/]*example[.]com/[^/]') AND NOT regexp_matches(regexp_extract(p, '^[^/]*/[^/]*', 0), '(^|/)[.]')")
+def _(t):
+    from loomgraph.sources.manifests import expand_globs
+
+    dirs = _paths(t).select(F.regexp_extract("p", "^[^/]*/[^/]*", 0).alias("dir")).where("dir rlike '/.'").distinct()
+    return expand_globs(t.spark.createDataFrame([("*example.com/*",)], "pattern string"), dirs).select("dir")
+
+
+@query("s4_workspace_yaml", "SELECT event_id AS path, event_type || '/*' AS pattern FROM events UNION ALL SELECT event_id, 'libs/' || event_id FROM events")
+def _(t):
+    from loomgraph.sources.manifests import workspace_yaml
+
+    content = F.concat(F.lit("packages:\n  - '"), "event_type", F.lit("/*'\n  # none\n  - libs/"), "event_id", F.lit("\nother:\n  - no\n"))
+    return workspace_yaml(t.events.select(F.col("event_id").alias("path"), content.alias("content")))
+
+
+@query("s8_tsconfig_aliases", "SELECT CAST(event_id AS VARCHAR) AS scope_dir, '@' || event_type || '/*' AS pattern, 'src/' || event_type || '/*' AS target FROM events")
+def _(t):
+    from loomgraph.sources.manifests import tsconfig_aliases
+
+    content = F.concat(F.lit('{ // note\n"compilerOptions": {"baseUrl": "./src", "paths": {"@'), "event_type", F.lit('/*": ["'), "event_type", F.lit('/*"],}}}'))
+    return tsconfig_aliases(t.events.select(F.concat("event_id", F.lit("/tsconfig.json")).alias("path"), content.alias("content"))).select("scope_dir", "pattern", "target")

@@ -301,3 +301,9 @@ def install_commands(missing: DataFrame, lockfiles: DataFrame) -> DataFrame:
     chosen = resolve.first_by(known, ["root_dir"], "c", "p")
     names = missing.groupBy("root_dir").agg(F.array_join(F.array_sort(F.collect_set("package")), " ").alias("names"))
     return names.join(chosen, "root_dir", "left").select("root_dir", F.concat_ws(" ", F.coalesce("c", F.lit("npm install")), "names").alias("command"))
+
+
+def needle_hits(files: DataFrame, needles: DataFrame, active: DataFrame) -> DataFrame:
+    """(file_path, plugin) of files whose content holds a text that an active plugin looks for; needles are a small dimension."""
+    n = F.broadcast(needles.join(active, "plugin", "left_semi").select("plugin", "needle"))
+    return files.select("file_path", "content").join(n, F.expr("contains(content, needle)")).select("file_path", "plugin").distinct()

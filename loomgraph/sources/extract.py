@@ -47,7 +47,7 @@ def mask(code: str) -> tuple[str, list[Literal]]:
             if code[k] == "\\":
                 k += 2
             elif code.startswith("${", k):
-                blank(start, k)
+                blank(start, k + 1)
                 found.append(Literal("template", start - 1, k, code[start:k]))
                 stack.append(depth)
                 return k + 2
