@@ -91,3 +91,11 @@ def test_near_copies_go_and_others_stay(spark):
     kept = {r.doc_id for r in sh.keep_one(df).collect()}
     assert kept.isdisjoint({9001, 9002}) and {10 * i for i in range(120)} | {9000} <= kept
     assert len(kept & near) <= 0.02 * len(near)
+
+
+def test_repeated_lines_do_not_make_documents_alike():
+    line = "the same five words here again and again " * 40
+    a, b = (line + " ".join(f"{k}{i}" for i in range(40)) for k in "ab")
+    c = " ".join(f"c{i}" for i in range(300))
+    f = sh.simhash(pa.array([a, b, c]), 5, 2, True)
+    assert np.bitwise_count(f[0] ^ f[1]).sum() > sh.NEAR["distance"] < np.bitwise_count(f[0] ^ f[2]).sum()
