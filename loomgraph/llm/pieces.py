@@ -210,7 +210,7 @@ def frequent(texts: DataFrame, table: Table, sample: int = SAMPLE, keep: int = F
     total = texts.count()
     if not total or not sample:
         return NOTHING
-    chosen = texts.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int(min(1.0, sample / total) * (1 << 30)))).limit(2 * sample)
+    chosen = texts.select("text").where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int(min(1.0, sample / total) * (1 << 30))))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:

@@ -30,6 +30,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import chat, warc
+    from . import chat, substrings, vectors, warc
 
-    return {"op4_chat": chat.ORACLE, "op10_warc": warc.ORACLE}
+    return {"op4_chat": chat.ORACLE, "op5_embeddings": vectors.ORACLE, "op7_substrings": substrings.ORACLE, "op10_warc": warc.ORACLE}

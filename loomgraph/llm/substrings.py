@@ -341,3 +341,14 @@ def joined_words(text):
 def op7_substrings(spark, sf_dir: str) -> DataFrame:
     found = repeats(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.coalesce("kept", joined_words(F.col("text"))), 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
+x AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS k FROM s),
+again AS (SELECT k FROM x GROUP BY k HAVING count(*) > 1),
+gone AS (SELECT doc_id, list(DISTINCT i + o) AS hit FROM x JOIN again USING (k), range(35) r(o) GROUP BY doc_id),
+kept AS (SELECT d.doc_id, w, list_filter(range(1, len(w) + 1), lambda p: (NOT coalesce(list_contains(hit, p), false))) AS stay FROM d LEFT JOIN gone USING (doc_id))
+SELECT doc_id, len(w) AS n_words, len(w) - len(stay) AS n_removed, sha256(coalesce(array_to_string(list_transform(stay, lambda p: w[p]), ' '), '')) AS kept_sha256 FROM kept
+"""
