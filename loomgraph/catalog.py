@@ -761,9 +761,6 @@ def _(t):
     return s.groupBy(S.package_name(F.substring("specifier", 2, 1 << 30)).alias("package"), S.is_dev_path(F.col("url")).alias("is_dev")).agg(F.count_distinct("page_id").alias("n"))
 
 
-SECRETS = [("token", r"token = \"([0-9a-f]{40})\"")]
-
-
 @query("r12_secrets", """SELECT doc_id, unnest(list_distinct(regexp_extract_all(text, 'token = "([0-9a-f]{40})"', 1))) AS secret FROM documents""")
 def _(t):
     from loomgraph.operators.secrets import scan

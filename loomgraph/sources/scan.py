@@ -35,7 +35,8 @@ SCHEMAS = {
 
 
 def files(spark: SparkSession, root: str) -> DataFrame:
-    """(file_path, sha256, content) of the texts below root. Paths are listed and filtered before contents are read."""
+    """(file_path, sha256, content) of the texts below root. File names are filtered while listing; folders that are
+    skipped are filtered after, so what they hold under those names is read, but goes no further than the scan."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", GLOB).load(root)
     base = root if "://" in root or root.startswith("file:") else "file:" + root
     strip = F.regexp_replace(S.normal_path(F.regexp_replace("path", "^file:/+", "file:/")), "^" + base.rstrip("/").replace("file:///", "file:/").replace(".", r"\.") + "/", "")
