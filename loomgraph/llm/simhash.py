@@ -27,6 +27,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import cut, partitions, read, small_batches
 from .components import connected_components, local_roots
+from .near import groups
 from .words import chunks
 
 WORDS, DISTANCE, BLOCKS, SEED = 3, 3, 6, 42
@@ -202,10 +203,9 @@ def components(fps: DataFrame, distance: int = DISTANCE, blocks: int | None = BL
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without near copies: of each group the document with the smallest doc_id stays, and of rows that repeat
-    an id the least text. Only ids of those that go are joined with the texts."""
-    found = components(fingerprints(docs, words=NEAR["words"], lanes=NEAR["lanes"], distinct=True), NEAR["distance"], None, NEAR["sampled"])
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    """docs without near copies (`near`): of each group the document with the smallest doc_id stays. Only ids of those
+    that go are joined with the texts."""
+    gone = groups(docs).where("doc_id <> low").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
