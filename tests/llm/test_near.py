@@ -44,3 +44,27 @@ def test_lists_cut_again_find_the_same(monkeypatch):
     assert {tuple(sorted(p)) for p in near.alike(e, at)} == want
     monkeypatch.setattr(near, "SPLIT", 10)
     assert {tuple(sorted(p)) for p in near.alike(e, at)} == want
+
+
+def test_texts_less_alike_stay(spark):
+    found = [p for words, share in ((300, 0.78), (300, 0.7), (60, 0.6), (9, 0.6), (8, 0.6)) for p in pairs(share, 60, words, round(1000 * share) + words)]
+    found += [(f"a{i} b c d e f", f"a{i} b c d e g") for i in range(20)]  # one shingle of three
+    assert all(0.3 < likeness(a, b) < 0.8 for a, b in found)
+    rows = [(2 * i + k, t) for i, p in enumerate(found) for k, t in enumerate(p)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sh.keep_one(df).count() == len(rows)
+
+
+def test_groups_are_components_of_the_exact_links(spark):
+    docs = [t for t in (r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()) if t and t.split()]
+    got = {}
+    for r in near.groups(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect():
+        got.setdefault(r.group, set()).add(r.doc_id)
+    want = [{i} for i in range(len(docs))]
+    for i, a in enumerate(docs):
+        for j in range(i):
+            if likeness(a, docs[j]) >= 0.8 and want[i] is not want[j]:
+                want[i] |= want[j]
+                for k in want[i]:
+                    want[k] = want[i]
+    assert {frozenset(g) for g in got.values()} == {frozenset(g) for g in want}
