@@ -203,10 +203,21 @@ def components(fps: DataFrame, distance: int = DISTANCE, blocks: int | None = BL
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without near copies (`near`): of each group the document with the smallest doc_id stays. Only ids of those
-    that go are joined with the texts."""
-    gone = groups(docs).where("doc_id <> low").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs without near copies (`near`): of each group the document with the smallest doc_id stays (null ids count last),
+    and of rows of a group that repeat that id the one with the least text. Rows go by id and text, so that another text
+    of the same id is not touched."""
+    rows = groups(docs)
+    stays = F.col("doc_id").eqNullSafe(F.col("low"))
+    again = rows.where(stays).groupBy("group").count().where("count > 1").select("group")
+    again = cut(rows.where(stays).join(again, "group").select(F.col("doc_id").alias("_id"), F.col("hash").alias("_of"), F.col("group").alias("_group")).distinct())
+    gone = rows.where(~stays).select(F.col("doc_id").alias("_id"), F.col("hash").alias("_of")).distinct()
+    hashed = docs.withColumn("_hash", F.xxhash64("text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of"))
+    left = hashed.join(gone.union(again.select("_id", "_of")), same, "left_anti").select(*docs.columns)
+    if again.isEmpty():
+        return left
+    least = F.min(F.struct("text", *(c for c in docs.columns if c != "text"))).alias("row")
+    return left.union(hashed.join(again, same).groupBy("_group").agg(least).select(*(F.col(f"row.{c}") for c in docs.columns)))
 
 
 def op3_simhash(spark, sf_dir: str) -> DataFrame:

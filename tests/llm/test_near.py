@@ -68,3 +68,24 @@ def test_groups_are_components_of_the_exact_links(spark):
                 for k in want[i]:
                     want[k] = want[i]
     assert {frozenset(g) for g in got.values()} == {frozenset(g) for g in want}
+
+
+def test_repeated_and_null_ids(spark):
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(50)) for k in "abcd")
+    rows = [
+        (1, a, "en"),
+        (1, a, "en"),  # a repeated row
+        (5, a, "en"),  # a copy, and its id occurs with another text
+        (5, b, "en"),
+        (7, b, "en"),
+        (8, c + " y", "en"),  # one id, two texts alike: the least stays
+        (8, c + " x", "en"),
+        (8, c + " x", "de"),
+        (None, a, "en"),
+        (None, d, "en"),
+        (None, d, "en"),
+        (None, None, None),
+        (None, "", "en"),
+    ]
+    got = [tuple(r) for r in sh.keep_one(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()]
+    assert sorted(got, key=repr) == sorted([(1, a, "en"), (5, b, "en"), (8, c + " x", "de"), (None, d, "en"), (None, None, None)], key=repr)
