@@ -4,15 +4,17 @@ Where a text has no two white-space characters in a row, none at its ends and no
 but spaces and line feeds, no token crosses from a word into the space after it, and a
 line feed is a token of its own. Such texts are cut into words; the words of a batch
 that a bounded cache lacks are encoded together, a line feed between them, and the ids
-parted at its token. Other texts are encoded whole. Strings of special tokens in a text
-are ordinary text.
+parted at its token. Other texts are encoded whole, among them those that hold an added
+token of the vocabulary's json (as ``<|endoftext|>``): it is a token wherever it occurs.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import re
 from itertools import chain
+from pathlib import Path
 
 import numpy as np
 import tiktoken
@@ -35,13 +37,26 @@ def plain(text: str) -> bool:
     return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or _RARE_SPACE(text))
 
 
+def added(vocabulary: str) -> dict[str, int]:
+    """Added tokens, of the json beside the rank file."""
+    beside = Path(vocabulary).with_suffix(".json")
+    found = json.loads(beside.read_text(encoding="utf-8"))["added_tokens"] if beside.exists() else []
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in found):
+        raise ValueError("added tokens that take in their surroundings are not known here")
+    return {t["content"]: t["id"] for t in found}
+
+
 class Encoder:
     def __init__(self, vocabulary: str):
         import public_tokenizers
 
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_ordinary
+        special = added(vocabulary)
+        core = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)._core_bpe
+        self.encode = core.encode_ordinary
+        self.encode_special = lambda text: core.encode(text, set(special))
+        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)").search
         self.feed = ranks[b"\n"]
         self.line = np.array([self.feed], "<u4").tobytes()
         self.cache: dict[str, bytes] = {}
@@ -70,7 +85,8 @@ class Encoder:
 
     def raw(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit numbers."""
-        out = [None if plain(t) else np.array(self.encode(t), "<u4").tobytes() for t in texts]
+        special = [self.special(t) is not None for t in texts]
+        out = [None if plain(t) and not s else np.array((self.encode_special if s else self.encode)(t), "<u4").tobytes() for t, s in zip(texts, special, strict=True)]
         cut = [(i, _UNITS(t)) for i, t in enumerate(texts) if out[i] is None]
         for a in range(0, len(cut), 500):
             words = set(chain.from_iterable(u for _, u in cut[a : a + 500]))

@@ -30,6 +30,21 @@ def test_ids_match_the_library(both):
     check()
 
 
+def test_added_tokens_match_the_library(both):
+    enc, t = both
+    end = "<|endoftext|>"
+    texts = [end, f"a {end} b", f"a{end}b", f"{end}{end}", f"a  {end}  b\n{end}\n", f"x y {end[:-1]} {end.upper()} {end}'s", f"don{end}'t 12{end}3", f" {end} "]
+    assert [np.frombuffer(r, "<u4").tolist() for r in enc.raw(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+    @settings(max_examples=500, deadline=None)
+    @given(st.lists(st.sampled_from([end, " ", "\n", "a", "b's", "  ", "\u65e5", ".", "7"]), max_size=12))
+    def check(parts):
+        text = "".join(parts)
+        assert np.frombuffer(enc.raw([text])[0], "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+
+    check()
+
+
 def size(packing):
     return Counter({s: sum(m * p.count(s) for p, m in packing.items()) for s in {s for p in packing for s in p}})
 
