@@ -15,8 +15,9 @@ penalty and becomes byte pieces.
 Words of texts are encoded by joining them to the dictionary of distinct words. Of a
 bounded sample of texts (``SAMPLE`` rows by hash of their text), at most ``FREQUENT``
 words that recur are encoded first and go to the tasks with the code, found there by
-their 64-bit hashes; all other words take the join. The result is the same for any
-sample. Words are found and hashed over whole batches of bytes, in numpy.
+their 64-bit hashes; all other words take the join, and a text's ids are put together
+from both. The result is the same for any sample. Words are found and hashed over whole
+batches of bytes, in numpy. Decoding looks the pieces' bytes up by id.
 
 Null texts are empty and have no words; rows may repeat; a word of over 100,000 bytes
 is cut there. An empty table gives no rows.
@@ -35,9 +36,10 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import cut, partitions, read, small_batches
-from .words import CHUNK, U, Words, mix
+from .common import partitions, read, small_batches
+from .words import CHUNK, U, Words
 
 SPACE = "▁"
 SAMPLE, FREQUENT = 40_000, 600_000
@@ -188,10 +190,11 @@ def lattice(words: DataFrame, table: Table) -> DataFrame:
 
 @dataclass
 class Known:
-    """Words that tasks know, by sorted hashes of their bytes: how many pieces each has, and the hash of their ids."""
+    """Words that tasks know, by sorted hashes of their bytes: how many pieces each has, where its ids begin, and the ids of all."""
 
     hashes: np.ndarray
     sizes: np.ndarray
+    first: np.ndarray
     ids: np.ndarray
 
     def find(self, h: np.ndarray) -> np.ndarray:
@@ -202,7 +205,7 @@ class Known:
         return np.where(self.hashes[at] == h, at, -1)
 
 
-NOTHING = Known(np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int64))
+NOTHING = Known(np.empty(0, U), np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.uint16))
 
 
 def frequent(texts: DataFrame, table: Table, sample: int = SAMPLE, keep: int = FREQUENT) -> Known:
@@ -219,13 +222,15 @@ def frequent(texts: DataFrame, table: Table, sample: int = SAMPLE, keep: int = F
                 yield pa.RecordBatch.from_arrays([_strings(w, at), pa.array(n.astype(np.int64))], ["word", "n"])
 
     top = chosen.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(keep)
-    got = lattice(top.select("word").repartition(partitions(texts.sparkSession), "word"), table).select("word", F.size("ids").alias("size"), "hash").toArrow()
-    names = got.column("word").combine_chunks()
-    if not len(names):
+    got = lattice(top.select("word").repartition(partitions(texts.sparkSession), "word"), table).select("word", "ids").toArrow()
+    if not got.num_rows:
         return NOTHING
+    names, lists = (pa.concat_arrays(got.column(c).chunks) for c in ("word", "ids"))
     h = _hashes(names)
     order = np.argsort(h)
-    return Known(h[order], got.column("size").to_numpy().astype(np.int64)[order], got.column("hash").to_numpy()[order])
+    size = lists.value_lengths().to_numpy()
+    first = np.cumsum(size) - size
+    return Known(h[order], size[order].astype(np.int32), first[order].astype(np.int32), lists.flatten().to_numpy().astype(np.uint16))
 
 
 def _hashes(names: pa.Array) -> np.ndarray:
@@ -246,98 +251,131 @@ def rare_words(texts: DataFrame, table: Table, known: Known) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word string").distinct()
 
 
-_PART = "struct<doc_id:long,n_words:long,n_pieces:long,digest:long>"
-
-
 def _prepared(docs: DataFrame, text: str, id_: str) -> DataFrame:
     small_batches(docs.sparkSession)
     return docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
-def encoded_words(docs: DataFrame, table: Table, text: str = "text", id_: str = "doc_id") -> DataFrame:
-    """The encoding as a relation: (row, doc_id, pos, word, ids), a row for each word of each text."""
-    docs = _prepared(docs, text, id_)
+#: Words, or pieces, of the texts that are put together at once, but for a longer text.
+_RUN = 500_000
+#: In three bytes, where a word's place in `Known` would be: none.
+_FAR = (1 << 24) - 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = TaskContext.get().partitionId() << 33
-        for x in batches:
-            for i, j, w in table.words(x.column(1)):
-                own, n = np.repeat(np.arange(j - i), np.diff(w.first)), len(w.starts)
-                yield pa.RecordBatch.from_arrays([pa.array(own + row), x.column(0).slice(i, j - i).take(pa.array(own)), pa.array((np.arange(n) - w.first[own]).astype(np.int32)), _strings(w, np.arange(n))], ["row", "doc_id", "pos", "word"])
-                row += j - i
 
-    occurring = docs.mapInArrow(run, "row long, doc_id long, pos int, word string")
-    return occurring.join(lattice(rare_words(docs, table, NOTHING), table).select("word", "ids"), "word").select("row", "doc_id", "pos", "word", "ids")
+def _gathered(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """data[f : f + n] for each f and n, one after the other."""
+    return data[np.arange(int(size.sum())) + np.repeat(first - (np.cumsum(size) - size), size)]
 
 
-def summed(docs: DataFrame, table: Table, text: str = "text", id_: str = "doc_id", sample: int = SAMPLE, keep: int = FREQUENT) -> DataFrame:
-    """(doc_id, n_words, n_pieces, digest) of each row's encoding. Known words are summed where they are read; the others
-    are joined with the dictionary by (word, row, pos) and added."""
+def _runs(counts: np.ndarray) -> Iterator[tuple[int, int]]:
+    ends, i = np.cumsum(counts), 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + _RUN, "right")))
+        yield i, j
+        i = j
+
+
+def _raw(x: pa.Array) -> np.ndarray:
+    """Bytes of all values of a binary column."""
+    return np.frombuffer(b"".join(x.to_pylist()), np.uint8)
+
+
+def encoded(docs: DataFrame, table: Table, text: str = "text", id_: str = "doc_id", sample: int = SAMPLE, keep: int = FREQUENT) -> DataFrame:
+    """(doc_id, n_words, hash, ids) of each row: hash is that of the text. Ids of known words are found where texts are read;
+    other words are joined with the dictionary, and both put together by row and place. ``docs`` is read again for
+    the latter and must give its rows in the same order; a row that doesn't fit its words is an error."""
     docs = _prepared(docs, text, id_)
     known = frequent(docs, table, sample, keep)
-    dictionary = lattice(rare_words(docs, table, known), table).select("word", F.size("ids").alias("size"), "hash")
+    dictionary = lattice(rare_words(docs, table, known), table).select("word", "ids")
 
-    def read_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, row = TaskContext.get().partitionId() << 33, 0
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        row = TaskContext.get().partitionId() << 33
         for x in batches:
             for i, j, w in table.words(x.column(1)):
-                count = np.diff(w.first)
-                own = np.repeat(np.arange(j - i), count)
-                pos = np.arange(len(own)) - w.first[own]
-                k = known.find(w.hashes())
-                d, n = np.zeros(j - i, np.int64), np.zeros(j - i, np.int64)
-                near, far = np.flatnonzero(k >= 0), np.flatnonzero(k < 0)
-                if len(near):
-                    edge = np.flatnonzero(np.diff(own[near], prepend=-1))
-                    d[own[near[edge]]] = np.bitwise_xor.reduceat(digest(known.ids[k[near]], pos[near]), edge)
-                    n[own[near[edge]]] = np.add.reduceat(known.sizes[k[near]], edge)
-                keys = np.arange(row, row + j - i) + task
-                none = pa.nulls(len(far), pa.struct([(c, pa.int64()) for c in ("doc_id", "n_words", "n_pieces", "digest")]))
-                yield pa.RecordBatch.from_arrays([_strings(w, far), pa.array(keys[own[far]]), pa.array(pos[far].astype(np.int32)), none], ["word", "row", "pos", "part"])
-                part = pa.StructArray.from_arrays([x.column(0).slice(i, j - i), *(pa.array(v.astype(np.int64)) for v in (count, n, d))], ["doc_id", "n_words", "n_pieces", "digest"])
-                # a sum of known words: no word has this name, so none matches, and the rows are dealt evenly
-                yield pa.RecordBatch.from_arrays([pa.array([f"\x00{q}" for q in keys.tolist()], pa.string()), pa.array(keys), pa.array(np.zeros(j - i, np.int32)), part], ["word", "row", "pos", "part"])
+                yield x.slice(i, j - i), row, w, known.find(w.hashes())
                 row += j - i
 
-    joined = docs.mapInArrow(read_words, f"word string, row long, pos int, part {_PART}").join(dictionary, "word", "left")
-
-    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            pos, size, h = x.column(1), x.column(2), x.column(3)
-            met = np.asarray(h.is_valid())
-            d, n = (pc.fill_null(x.column(c), 0).to_numpy(zero_copy_only=False).copy() for c in (7, 6))
-            at = np.flatnonzero(met)
-            if len(at):
-                take = pa.array(at)
-                d[at] = digest(h.take(take).to_numpy(), pos.take(take).to_numpy().astype(np.int64))
-                n[at] = size.take(take).to_numpy()
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(4), x.column(5), pa.array(n), pa.array(d)], ["row", "doc_id", "n_words", "n_pieces", "digest"])
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, row, w, k in found(batches):
+            n = x.num_rows
+            three = np.where(k < 0, _FAR, k).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
+            near = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((w.first * 3).astype(np.int32).tobytes()), pa.py_buffer(three.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), x.column(0), x.column(2), pa.array(np.diff(w.first).astype(np.int64)), near], ["row", "doc_id", "hash", "n_words", "near"])
 
-    parts = joined.select("row", "pos", "size", "hash", "part.doc_id", "part.n_words", "part.n_pieces", "part.digest").mapInArrow(told, "row long, doc_id long, n_words long, n_pieces long, digest long")
-    return parts.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.sum("n_words").alias("n_words"), F.sum("n_pieces").alias("n_pieces"), F.bit_xor("digest").alias("digest")).drop("row")
+    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, row, w, k in found(batches):
+            at = np.flatnonzero(k < 0)
+            own = np.repeat(np.arange(x.num_rows), np.diff(w.first))[at]
+            yield pa.RecordBatch.from_arrays([_strings(w, at), pa.array(own + row), pa.array((at - w.first[own]).astype(np.int32))], ["word", "row", "pos"])
 
+    hashed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
+    rare = hashed.mapInArrow(far, "word string, row long, pos int").join(dictionary, "word").groupBy("row").agg(F.collect_list(F.struct("pos", "ids")).alias("far"))
+    parts = hashed.mapInArrow(near, "row long, doc_id long, hash long, n_words long, near binary").join(rare, "row", "left")
 
-def digest(hashes: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    """Of a word's ids at a place of the text."""
-    return mix(hashes.view(U) ^ mix(pos.astype(U) + U(1))).view(np.int64)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for i, j in _runs(x.column(2).to_numpy()):
+                yield _put_together(x.slice(i, j - i), known)
+
+    return parts.select("doc_id", "hash", "n_words", "near", "far").mapInArrow(whole, "doc_id long, n_words long, hash long, ids array<int>")
+
+
+def _put_together(x: pa.RecordBatch, known: Known) -> pa.RecordBatch:
+    first = np.concatenate([[0], np.cumsum(x.column(2).to_numpy())])
+    three = _raw(x.column(3)).reshape(-1, 3).astype(np.int64)
+    place = three[:, 0] | three[:, 1] << 8 | three[:, 2] << 16
+    met = place != _FAR
+    place = place[met]
+    size = np.zeros(len(met), np.int64)
+    size[met] = known.sizes[place]
+    count = pc.fill_null(x.column(4).value_lengths(), 0).to_numpy(zero_copy_only=False)
+    pos, lists = x.column(4).flatten().flatten()
+    slot = first[np.repeat(np.arange(x.num_rows), count)] + pos.to_numpy(zero_copy_only=False)
+    length = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    if met[slot].any() or len(slot) != np.count_nonzero(~met):
+        raise RuntimeError("the texts were read in another order the second time")
+    size[slot] = length
+    at = np.concatenate([[0], np.cumsum(size)])
+    ids = np.empty(int(at[-1]), np.int32)
+    ids[np.repeat(met, size)] = _gathered(known.ids, known.first[place].astype(np.int64), size[met])
+    ids[np.arange(int(length.sum())) + np.repeat(at[slot] - (np.cumsum(length) - length), length)] = lists.flatten().to_numpy(zero_copy_only=False)
+    made = pa.ListArray.from_arrays(pa.array(at[first].astype(np.int32)), pa.array(ids))
+    return pa.RecordBatch.from_arrays([x.column(0), x.column(2), x.column(1), made], ["doc_id", "n_words", "hash", "ids"])
 
 
 def encode(docs: DataFrame, table: Table, text: str = "text", id_: str = "doc_id") -> DataFrame:
-    """(doc_id, ids) of each text that has any."""
-    rows = encoded_words(docs, table, text, id_)
-    return rows.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("ws")).select("doc_id", F.flatten(F.transform("ws", lambda w: w["ids"])).alias("ids"))
+    """(doc_id, ids) of each text."""
+    return encoded(docs, table, text, id_).select("doc_id", "ids")
 
 
 def decode(encoded: DataFrame, table: Table, ids: str = "ids") -> DataFrame:
-    """encoded with ``text``: pieces joined by id, put in order, bytes and all, the leading space taken off."""
-    spark = encoded.sparkSession
-    octets = table.frame(spark).select(F.col("id"), F.col("piece").cast("binary").alias("raw"))
-    octets = octets.union(spark.createDataFrame([(table.byte_id + b, bytearray([b])) for b in range(256)], "id int, raw binary"))
-    rows = cut(encoded.withColumn("_row", F.monotonically_increasing_id()))
-    each = rows.select("_row", F.posexplode(ids).alias("p", "id")).join(F.broadcast(octets), "id")
-    whole = each.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("p", F.hex("raw").alias("h")))).alias("hs")).select("_row", F.decode(F.unhex(F.array_join(F.transform("hs", lambda h: h["h"]), "")), "UTF-8").alias("t"))
-    plain = F.regexp_replace(F.replace(F.col("t"), F.lit(SPACE), F.lit(" ")), "^ ", "")
-    return rows.join(whole, "_row", "left").withColumn("text", F.coalesce(plain, F.lit(""))).drop("_row", "t")
+    """encoded with ``text``: bytes of pieces by id, put in order, the leading space taken off. Ids of no piece give nothing."""
+    small_batches(encoded.sparkSession)
+    kept = [c for c in encoded.columns if c != "text"]
+    octets = {i: p.encode() for p, i, _ in table.pieces} | {table.byte_id + b: bytes([b]) for b in range(256)}
+    raw = [octets.get(i, b"") for i in range(1 << 15)]
+    data, size = np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw], np.int64)
+    first = np.cumsum(size) - size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            lists = x.column(x.schema.get_field_index(ids))
+            count, texts = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False), []
+            for i, j in _runs(count):
+                v = lists.slice(i, j - i).flatten().to_numpy(zero_copy_only=False)
+                made = _gathered(data, first[v], size[v]).tobytes()
+                at = np.concatenate([[0], np.cumsum(size[v])])[np.concatenate([[0], np.cumsum(count[i:j])])].tolist()
+                texts += [made[a:z].decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ") for a, z in zip(at, at[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([*(x.column(x.schema.get_field_index(c)) for c in kept), pa.array(texts, pa.string())], [*kept, "text"])
+
+    return encoded.mapInArrow(run, StructType([*(encoded.schema[c] for c in kept), StructField("text", StringType())]))
+
+
+def summed(docs: DataFrame, table: Table, text: str = "text", id_: str = "doc_id", sample: int = SAMPLE, keep: int = FREQUENT) -> DataFrame:
+    """(doc_id, n_words, n_pieces, digest, round_trip) of each row: digest is of all its ids, round_trip whether they
+    decode to the text (not if it holds a ``▁`` of its own)."""
+    back = decode(encoded(docs, table, text, id_, sample, keep), table)
+    return back.select("doc_id", "n_words", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("digest"), (F.xxhash64("text") == F.col("hash")).alias("round_trip"))
 
 
 def op6_sentencepiece(spark, sf_dir: str) -> DataFrame:

@@ -89,3 +89,17 @@ def test_long_words_are_cut(table, monkeypatch):
 
 def test_empty_table(spark, table):
     assert pc.summed(spark.createDataFrame([], "doc_id long, text string"), table).count() == 0
+
+
+def test_the_query_sums_the_ids_and_decodes_them(spark, table):
+    long = " ".join(f"word{i % 977} né{i}" for i in range(30_000))
+    texts = [*TEXTS, long, "x ▁ y", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    made = pc.encode(df, table)
+    digest = {r.doc_id: (r.n, r.d) for r in made.selectExpr("doc_id", "size(ids) n", "xxhash64(ids) d").collect()}
+    back = {r.doc_id: r.text for r in pc.decode(made, table).collect()}
+    for sample in (0, 100):
+        got = {r.doc_id: r for r in pc.summed(df, table, sample=sample).collect()}
+        assert {i: (r.n_pieces, r.digest) for i, r in got.items()} == digest and len(got) == len(texts)
+        assert all(got[i].round_trip == (back[i] == (t or "")) for i, t in enumerate(texts))
+        assert [i for i, r in got.items() if not r.round_trip] == [texts.index("x ▁ y")]
