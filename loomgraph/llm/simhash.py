@@ -31,7 +31,7 @@ from .near import groups
 from .words import chunks
 
 WORDS, DISTANCE, BLOCKS, SEED = 3, 3, 6, 42
-#: Near copies of the corpus pipeline: 128 bits over sets of five-word shingles, met in one of 64 blocks of 18 sampled bits. Sets
+#: For `components`; the corpus pipeline no longer uses it (`near`): 128 bits over sets of five-word shingles, met in one of 64 blocks of 18 sampled bits. Sets
 #: alike in 0.8 (Jaccard) differ in 19 bits on average and, but for a few in a hundred, in 27 or fewer.
 NEAR = {"words": 5, "lanes": 2, "distance": 27, "sampled": (64, 18)}
 SPLIT = 4096
