@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch: with texts of some kilobytes, a few MB.
 BATCH_ROWS = 2000
@@ -21,10 +26,12 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset and the master is local."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         at = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
@@ -37,3 +44,51 @@ def cut(df: DataFrame) -> DataFrame:
     """df, written once to the shared folder: what follows reads the files, however often tasks are run again."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def placed(df: DataFrame, key: str) -> DataFrame:
+    """df, dealt by key and written once; joins by this key deal only their other side. (A plan that adapts
+    doesn't tell how its rows lie, so this one doesn't.)"""
+    spark = df.sparkSession
+    was = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return cut(df.repartition(partitions(spark), key))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", was)
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[pa.Table]:
+    """Rows that agree in their first ``keys`` columns, as tables, from batches sorted by these; only one such run is held."""
+    held: list[pa.RecordBatch] = []
+    for x in batches:
+        if not x.num_rows:
+            continue
+        differs = np.zeros(x.num_rows, bool)
+        for k in range(keys):
+            c = x.column(k).to_numpy(zero_copy_only=False)
+            differs[1:] |= c[1:] != c[:-1]
+            if held:
+                differs[0] |= held[-1].column(k)[-1].as_py() != c[0]
+        edges = np.flatnonzero(differs).tolist()
+        start = 0
+        for e in edges:
+            if e > start:
+                held.append(x.slice(start, e - start))
+            yield pa.Table.from_batches(held)
+            held, start = [], e
+        held.append(x.slice(start))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left joined with right, which has one row a key. Keys that hold more rows of left than a task's fair share
+    are told apart first: they are fewer than 4 a partition, so their rows of right are broadcast, and a hot
+    key is never dealt to one task. left should be made of files."""
+    share = max(1000, left.count() // (4 * partitions(left.sparkSession)))
+    hot = cut(left.groupBy(key).count().where(F.col("count") > share).select(key))
+    if not hot.take(1):
+        return left.join(right, key)
+    few = F.broadcast(hot)
+    return left.join(F.broadcast(right.join(few, key, "left_semi")), key).unionByName(left.join(few, key, "left_anti").join(right, key))

@@ -94,7 +94,8 @@ def _ips(text: str) -> Iterator[tuple[int, int]]:
     at = 0
     while found := _IP.search(text, at):
         at = found.end()
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in found[0].split(".")):
+        parts = [p.lstrip("0") for p in found[0].split(".")]  # cut first: int() takes no run of thousands of digits
+        if all(len(p) <= 3 and int(p or "0") <= 255 for p in parts):
             yield found.span()
 
 

@@ -1,21 +1,27 @@
 """Substring dedup by recompression: words covered by a window that occurs elsewhere are removed.
 
-Each text's words are parsed into symbols in rounds: runs of up to ``RUN`` equal
-words, then neighbouring pairs whose names fall on the left and the right side of
-an alphabet split, up to a length cap for each round. A symbol's name is a hash of
-its parts' names, so a run or pair gets the same name wherever it occurs, in any
-task, without a naming join. What lies outside a window can change the parse only
-within ``MARGIN`` words of its edges (run cap + the longest symbol before each pair
-round), so equal windows have equal interior symbols.
-
-Every window is filed under its least interior symbol (by name, then leftmost) and
-the words around that symbol that all windows filed there share. Two Spark rounds
-follow. The first sends each batch's keys, 32 bits each besides the bucket, to the
-bucket's task, which answers with one bit a key: does it occur elsewhere? The second
-verifies the windows of such keys, by 64 bits besides the bucket's independent
-hash, the same way. Both count all texts; a key is sent once a batch however often
-it occurs there, so common passages are small. Texts travel as compressed batches
-of some MB, which are written once to the shared folder; answers are bits.
+Each text's words are parsed into symbols in rounds. A symbol's first form is a word or
+a run of up to ``RUN`` equal words; then neighbours whose names fall on the left and the
+right side of an alphabet split become pairs, up to a length cap for each round. What a
+symbol is made of hashes to its candidate name, and a Spark round over the distinct
+candidates of all texts decides: those that occur more than once become global names,
+the others mark their place as unique. Pairs of the next round are formed of global
+names only. Round 1 names words, runs and their pairs, round 2 pairs of those.
+
+What lies outside a window can change the parse only within a margin of its edges (run
+cap + the longest symbol before each pair round), so equal windows have equal interior
+symbols, and a window with a unique symbol inside can't occur twice. (The margins take
+up the rest of the window, so a symbol of ``CAPS[-1]`` words is the longest that every
+window of 35 is sure to hold.) The windows left, whose symbols of the highest level are
+all shared, are filed under the least of these (by name, then leftmost) with the words
+around it that all windows filed there share. Two more Spark rounds follow: which filed
+places occur elsewhere, and which of their windows do, verified over all their words by
+two hashes of independent families (64 bits and the bucket's).
+
+Every round works alike: a batch of texts sends its distinct keys to buckets, and gets
+back one bit a key; a key is sent once a batch however often it occurs there, so common
+passages are small. Texts travel once, as compressed batches of some MB, and lie in the
+shared folder by batch; only keys and bits move after that.
 
 Nulls are texts without words. Texts shorter than a window lose nothing. Equal rows
 are separate texts, so their windows occur elsewhere. An empty table gives no rows.
@@ -33,47 +39,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import cut, partitions, read, small_batches
+from .common import cut, partitions, placed, read, runs, small_batches
 from .words import U, Words, chunks, mix, windows
 
 WINDOW = 35
-RUN, CAPS = 3, (4, 6)
-MARGIN = RUN + RUN + CAPS[0]
+RUN, CAPS = 2, (4, 8)
+#: Words at a window's edges where the parse of each round may depend on what is outside.
+MARGINS = (2 * RUN, 2 * RUN + CAPS[0])
 BATCH = 4_000_000
+#: Keys of a bucket, about: what a task holds at a time.
+BUCKET = 1_000_000
 _SALT = [U(0x8C3F5A91D2E6B70D), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)]
 _OTHER = U(0xA0761D6478BD642F)
 
 
-def parse(h: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where symbols start and their names; head: is this word its text's first?"""
-    n = len(h)
-    if not n:
-        return np.empty(0, np.int64), h
-    fresh = np.ones(n, bool)
-    fresh[1:] = (h[1:] != h[:-1]) | head[1:]
-    run = np.flatnonzero(fresh)
-    size = np.diff(run, append=n)
-    short = (size >= 2) & (size <= RUN)
-    start = np.ones(n, bool)
-    start[~fresh & np.repeat(short, size)] = False
-    name = h.copy()
-    name[run[short]] = mix(h[run[short]] * _SALT[0] + size[short].astype(U))
-    at = np.flatnonzero(start)
-    name = name[at]
-    for turn, cap in enumerate(CAPS):
-        length = np.diff(at, append=n)
-        right = mix(name ^ _SALT[turn + 1]) >> U(63) == 1
-        pair = ~right[:-1] & right[1:] & ~head[at[1:]] & (length[:-1] + length[1:] <= cap)
-        left = np.flatnonzero(pair)
-        name[left] = mix(name[left] * _SALT[turn + 1] + (name[left + 1] ^ _OTHER))
-        stay = np.ones(len(at), bool)
-        stay[left + 1] = False
-        at, name = at[stay], name[stay]
-    return at, name
+def _paired(at: np.ndarray, name: np.ndarray, shared: np.ndarray, head: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where symbols start after a round of pairs, their names, and which were made now. Only shared symbols are paired."""
+    n = len(head)
+    length = np.diff(at, append=n)
+    right = mix(name ^ _SALT[turn]) >> U(63) == 1
+    pair = ~right[:-1] & right[1:] & shared[:-1] & shared[1:] & ~head[at[1:]] & (length[:-1] + length[1:] <= CAPS[turn - 1])
+    left = np.flatnonzero(pair)
+    name = name.copy()
+    name[left] = mix(name[left] * _SALT[turn] + (name[left + 1] ^ _OTHER))
+    made, stay = np.zeros(len(at), bool), np.ones(len(at), bool)
+    made[left] = True
+    stay[left + 1] = False
+    return at[stay], name[stay], made[stay]
 
 
 class Filed:
-    """The windows of one run of texts: starts, and the key each is filed under."""
+    """The windows of one run of texts, narrowed round by round by what is shared with other places."""
 
     def __init__(self, words: Words, window: int = WINDOW):
         self.words, self.window = words, window
@@ -84,25 +80,64 @@ class Filed:
         size = count[ok] - window + 1
         upto = np.concatenate([[0], np.cumsum(size)])
         self.starts = np.arange(upto[-1]) + np.repeat(first[:-1][ok] - upto[:-1], size)
-        head = np.zeros(n + 1, bool)
-        head[first[:-1]] = True
-        at, name = parse(self.h, head[:n])
-        zone = window - 2 * MARGIN - CAPS[-1] + 1
-        self.keys = np.empty(0, U)
-        self.of = np.empty(0, np.int64)
-        if not len(self.starts):
-            return
-        value = np.full(n, ~U(0))
-        value[at] = mix(name ^ _OTHER) >> U(1)
-        best = _least(value, zone)[self.starts + MARGIN]
-        new = np.flatnonzero(np.diff(best, prepend=-1) != 0)
-        self.of = np.repeat(np.arange(len(new)), np.diff(new, append=len(best)))
-        self.keys = windows(self.h, window - zone + 1)[best[new] - MARGIN]
+        self.head = np.zeros(n, bool)
+        self.head[first[:-1][count > 0]] = True
+        fresh = np.ones(n, bool)
+        fresh[1:] = (self.h[1:] != self.h[:-1]) | self.head[1:]
+        run = np.flatnonzero(fresh)
+        many = np.diff(run, append=n)
+        short = (many >= 2) & (many <= RUN)
+        start = np.ones(n, bool)
+        start[~fresh & np.repeat(short, many)] = False
+        name = self.h.copy()
+        name[run[short]] = mix(self.h[run[short]] * _SALT[0] + many[short].astype(U))
+        at = np.flatnonzero(start)
+        self.at, self.name, _ = _paired(at, name[at], np.ones(len(at), bool), self.head, 1) if n else (at, name, None)
+        self.keys, self.of = np.empty(0, U), np.empty(0, np.int64)
+
+    def symbols(self) -> np.ndarray:
+        """Candidate names of round 1, one a symbol."""
+        return self.name
+
+    def named(self, shared: np.ndarray) -> np.ndarray:
+        """Round 1's answer, one a symbol; returns the candidate names of the pairs made of shared symbols."""
+        self._drop(self.at[~shared], np.diff(self.at, append=len(self.h))[~shared], MARGINS[0])
+        if len(self.at):
+            self.at, self.name, self.made = _paired(self.at, self.name, shared, self.head, 2)
+        else:
+            self.made = np.empty(0, bool)
+        return self.name[self.made]
+
+    def pairs_named(self, shared: np.ndarray) -> np.ndarray:
+        """Round 2's answer, one a pair; returns the keys under which the windows left are filed."""
+        alone = np.flatnonzero(self.made)[~shared]
+        self._drop(self.at[alone], np.diff(self.at, append=len(self.h))[alone], MARGINS[1])
+        if len(self.starts):
+            value = np.full(len(self.h), ~U(0))
+            value[self.at] = mix(self.name ^ _OTHER) >> U(1)
+            zone = self.window - 2 * MARGINS[1] - CAPS[1] + 1
+            best = _least(value, zone)[self.starts + MARGINS[1]]
+            new = np.flatnonzero(np.diff(best, prepend=-1) != 0)
+            self.of = np.repeat(np.arange(len(new)), np.diff(new, append=len(best)))
+            self.keys = windows(self.h, self.window - zone + 1)[best[new] - MARGINS[1]]
+        return self.keys
+
+    def _drop(self, at: np.ndarray, length: np.ndarray, margin: int) -> None:
+        """Windows that hold one of these symbols within the margins go."""
+        edge = np.zeros(len(self.h) + self.window + 1, np.int64)
+        low = np.maximum(at + length - self.window + margin, 0)
+        high = at - margin + 1
+        ok = high > low
+        np.add.at(edge, low[ok], 1)
+        np.add.at(edge, high[ok], -1)
+        self.starts = self.starts[np.cumsum(edge)[self.starts] == 0]
 
     def hashes(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent hashes of these windows."""
+        """Two independent hashes of these windows, over all their words."""
+        if not len(which):
+            return np.empty(0, U), np.empty(0, U)
         s = self.starts[which]
-        return windows(self.h, self.window)[s], windows(mix(self.h ^ _OTHER), self.window, U(0x9FB21C651E98DF25))[s]
+        return windows(self.h, self.window)[s], windows(self.words.hashes(1), self.window, 1)[s]
 
 
 def _least(value: np.ndarray, width: int) -> np.ndarray:
@@ -149,7 +184,7 @@ def batches_of(df: DataFrame) -> DataFrame:
             w.write_table(table)
         return pa.RecordBatch.from_arrays([pa.array([task << 32 | k], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["batch", "data"])
 
-    return cut(df.mapInArrow(run, "batch long, data binary"))
+    return placed(df.mapInArrow(run, "batch long, data binary"), "batch")
 
 
 def _rows(data: bytes) -> pa.Table:
@@ -210,31 +245,26 @@ class Sent:
 _SENT = "bucket int, batch long, keys binary, twice binary"
 
 
-def answers(sent: DataFrame, width: int) -> DataFrame:
-    """(batch, answers) of rows of Sent: for each batch and bucket with any repeated key, its bits."""
+def answers(sent: DataFrame, width: int, name: str) -> DataFrame:
+    """(batch, name) of rows of Sent: for each batch its buckets with any repeated key, and their bits."""
     kind = np.dtype(f"u{width}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[int, list] = {}
-        for x in batches:
-            for b, batch, keys, twice in zip(*(x.column(i).to_pylist() for i in range(4)), strict=True):
-                by.setdefault(b, []).append((batch, keys, twice))
-        for b in list(by):
-            rows = by.pop(b)
-            each = [len(k) // width for _, k, _ in rows]
-            keys = np.frombuffer(b"".join(k for _, k, _ in rows), kind)
-            twice = np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8), count=n) for n, (_, _, t) in zip(each, rows, strict=True)])
+        for table in runs(batches):
+            bucket, batch, sent, twice = (table.column(i).to_pylist() for i in range(4))
+            each = [len(k) // width for k in sent]
+            keys = np.frombuffer(b"".join(sent), kind)
+            again = np.concatenate([np.unpackbits(np.frombuffer(t, np.uint8), count=n) for n, t in zip(each, twice, strict=True)])
             _, own, count = np.unique(keys, return_inverse=True, return_counts=True)
-            again = count > 1
-            again[own[twice > 0]] = True
-            bits = again[own]
-            ends = np.cumsum(each)
-            some = [(batch, np.packbits(part).tobytes()) for (batch, _, _), part in zip(rows, np.split(bits, ends[:-1]), strict=True) if part.any()]
+            more = count > 1
+            more[own[again > 0]] = True
+            bits = more[own]
+            some = [(i, np.packbits(part).tobytes()) for i, part in zip(batch, np.split(bits, np.cumsum(each)[:-1]), strict=True) if part.any()]
             if some:
-                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int64()), pa.array([b] * len(some), pa.int32()), pa.array([z for _, z in some], pa.binary())], ["batch", "bucket", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in some], pa.int64()), pa.array([bucket[0]] * len(some), pa.int32()), pa.array([z for _, z in some], pa.binary())], ["batch", "bucket", "bits"])
 
-    dealt = sent.repartition(partitions(sent.sparkSession), "bucket").mapInArrow(run, "batch long, bucket int, bits binary")
-    return dealt.groupBy("batch").agg(F.collect_list(F.struct("bucket", "bits")).alias("got"))
+    dealt = sent.repartition(partitions(sent.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(run, "batch long, bucket int, bits binary")
+    return dealt.groupBy("batch").agg(F.collect_list(F.struct("bucket", "bits")).alias(name))
 
 
 def _pairs(got: list | None) -> list:
@@ -244,72 +274,77 @@ def _pairs(got: list | None) -> list:
 def repeats(df: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """df's rows with ``kept`` (words outside repeated windows, joined by one space; null if all stay),
     ``n_words`` and ``n_removed``; columns of df with those names are replaced."""
-    if window - 2 * MARGIN - CAPS[-1] < 0 or window - 2 * MARGIN < 2 * CAPS[-1]:
+    if window - 2 * MARGINS[1] < 2 * CAPS[1]:
         raise ValueError(f"windows of {window} words are too short for the symbols used")
     spark = df.sparkSession
     small_batches(spark)
     names = [c for c in df.columns if c not in ("kept", "n_words", "n_removed")]
     which = names.index(text)
     df = df.select(*names)
-    bits = max(4, (partitions(spark) - 1).bit_length())
     blobs = batches_of(df)
-
-    def filed(table: pa.Table) -> list[Filed]:
-        return [Filed(w, window) for _, _, w in chunks(_column(table, which))]
-
-    def first(parts: list[Filed]) -> Sent:
-        keys = np.concatenate([p.keys for p in parts]) if parts else np.empty(0, U)
-        return Sent((keys >> U(64 - bits)).astype(np.int64), (keys >> U(32 - bits)).astype(np.uint32))
-
-    def second(parts: list[Filed], got: list | None) -> tuple[Sent, list[np.ndarray]]:
-        again, at, chosen, one, two = first(parts).answered(_pairs(got)), 0, [], [], []
-        for p in parts:
-            hit = np.flatnonzero(again[at : at + len(p.keys)][p.of]) if len(p.of) else np.empty(0, np.int64)
-            at += len(p.keys)
-            a, b = p.hashes(hit) if len(hit) else (np.empty(0, U), np.empty(0, U))
-            chosen.append(hit)
-            one.append(a)
-            two.append(b)
-        a, b = (np.concatenate(x) if x else np.empty(0, U) for x in (one, two))
-        return Sent((b >> U(64 - bits)).astype(np.int64), a), chosen
-
-    def send_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            for batch, data in zip(x.column(0).to_pylist(), x.column(1), strict=True):
-                yield first(filed(_rows(data.as_buffer()))).rows(batch)
-
-    def send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            for batch, data, got in zip(x.column(0).to_pylist(), x.column(1), x.column(2).to_pylist(), strict=True):
-                if got:
-                    yield second(filed(_rows(data.as_buffer())), got)[0].rows(batch)
+    bits = max(4, (partitions(spark) - 1).bit_length(), (blobs.count() * BATCH // 10 // BUCKET).bit_length())
+
+    def short(keys: list[np.ndarray]) -> Sent:
+        """Keys by their first bits: the bucket and 32 more. Two that agree by chance are told as shared, which costs a later round."""
+        k = np.concatenate([np.empty(0, U), *keys])
+        return Sent((k >> U(64 - bits)).astype(np.int64), (k >> U(32 - bits)).astype(np.uint32))
+
+    def parted(sent: Sent, got: list | None, like: list[np.ndarray]) -> list[np.ndarray]:
+        return np.split(sent.answered(_pairs(got)), np.cumsum([len(x) for x in like])[:-1]) if like else []
+
+    def taken(data: pa.Buffer, got: list, upto: int) -> tuple[pa.Table, list[Filed], Sent, list]:
+        """The texts of a batch brought up to a round: what it sends, and for the last what each key stands for."""
+        table = _rows(data)
+        parts = [Filed(w, window) for _, _, w in chunks(_column(table, which))]
+        like = [p.symbols() for p in parts]
+        for turn in range(upto):
+            sent = short(like)
+            answer = parted(sent, got[turn], like)
+            if turn == 0:
+                like = [p.named(a) for p, a in zip(parts, answer, strict=True)]
+            elif turn == 1:
+                like = [p.pairs_named(a) for p, a in zip(parts, answer, strict=True)]
+            else:
+                like = [np.flatnonzero(a[p.of]) if len(p.of) else np.empty(0, np.int64) for p, a in zip(parts, answer, strict=True)]
+        if upto < 3:
+            return table, parts, short(like), like
+        pairs = [p.hashes(hit) for p, hit in zip(parts, like, strict=True)]
+        one, two = (np.concatenate([np.empty(0, U), *x]) for x in (zip(*pairs, strict=True) if pairs else ((), ())))
+        return table, parts, Sent((two >> U(64 - bits)).astype(np.int64), one), like
+
+    def send(turn: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for x in batches:
+                got = [x.column(2 + k).to_pylist() for k in range(turn)]
+                for i, batch in enumerate(x.column(0).to_pylist()):
+                    if not turn or got[2 if turn == 3 else 0][i]:  # texts may share words and no pair
+                        yield taken(x.column(1)[i].as_buffer(), [g[i] for g in got], turn)[2].rows(batch)
+
+        return run
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            for data, got, verified in zip(x.column(0), x.column(1).to_pylist(), x.column(2).to_pylist(), strict=True):
-                table = _rows(data.as_buffer())
-                parts = filed(table)
-                sent, chosen = second(parts, got)
-                again, at = sent.answered(_pairs(verified)), 0
+            got = [x.column(2 + k).to_pylist() for k in range(4)]
+            for i in range(x.num_rows):
+                table, parts, sent, chosen = taken(x.column(1)[i].as_buffer(), [g[i] for g in got], 3)
                 kept, n_words, n_removed = [], [], []
-                for p, hit in zip(parts, chosen, strict=True):
-                    own = hit[again[at : at + len(hit)]]
-                    at += len(hit)
-                    a, b, c = _kept(p, own)
+                for p, hit, again in zip(parts, chosen, parted(sent, got[3][i], chosen), strict=True):
+                    a, b, c = _kept(p, hit[again])
                     kept += a
                     n_words.append(b)
                     n_removed.append(c)
                 none = np.empty(0, np.int64)
-                cols = [_column(table, i) for i in range(len(names))]
+                cols = [_column(table, k) for k in range(len(names))]
                 out = [pa.array(kept, pa.string()), *(pa.array(np.concatenate(v) if v else none, pa.int64()) for v in (n_words, n_removed))]
-                for i in range(0, table.num_rows, 500):
-                    yield pa.RecordBatch.from_arrays([*(c.slice(i, 500) for c in cols), *(c.slice(i, 500) for c in out)], [*names, "kept", "n_words", "n_removed"])
+                for k in range(0, table.num_rows, 500):
+                    yield pa.RecordBatch.from_arrays([*(c.slice(k, 500) for c in cols), *(c.slice(k, 500) for c in out)], [*names, "kept", "n_words", "n_removed"])
 
-    keyed = cut(answers(blobs.mapInArrow(send_keys, _SENT), 4))
-    asked = blobs.join(keyed, "batch", "left")
-    verified = answers(asked.select("batch", "data", "got").mapInArrow(send_windows, _SENT), 8).withColumnRenamed("got", "verified")
+    asked = blobs
+    for turn, width in enumerate((4, 4, 4, 8)):
+        got = answers(asked.mapInArrow(send(turn), _SENT), width, f"got{turn}")
+        asked = asked.join(cut(got) if turn < 3 else got, "batch", "left")
     schema = StructType([*(df.schema[c] for c in names), StructField("kept", StringType()), StructField("n_words", LongType()), StructField("n_removed", LongType())])
-    return asked.join(verified, "batch", "left").select("data", "got", "verified").mapInArrow(finish, schema)
+    return asked.mapInArrow(finish, schema)
 
 
 def _kept(p: Filed, hit: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:

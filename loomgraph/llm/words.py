@@ -1,9 +1,14 @@
-"""Word spans and rolling hashes over whole Arrow text columns, in numpy.
+"""Word spans and hashes over whole Arrow text columns, in numpy.
 
 A batch of texts is one byte buffer with a line feed after each text, so that
 every word ends at a white-space byte. Words are ``[^\\x20\\x09-\\x0D]+``. Null
 texts are empty. Work is cut into runs of whole texts of about ``CHUNK`` bytes,
 which bounds memory whatever the batch holds.
+
+A word is hashed eight bytes at a time, each through a 64-bit finaliser, which is one
+to one: words of up to eight bytes and equal length never collide, others by chance
+alone (2^-64 a pair). Hashes of word sequences are made by doubling, with the finaliser
+at every step, so that no pattern of words cancels out as in a rolling hash modulo 2^64.
 """
 
 from __future__ import annotations
@@ -14,26 +19,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 CHUNK = 2_000_000
 U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
-_BYTE = np.random.default_rng(20240611).integers(1, 2**63, 256, dtype=np.uint64) | U(1)
-_BASE, _STEP = U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95)
+_STEP, _LANE = U(0xD1342543DE82EF95), U(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BLOCK = 1 << 18
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, U)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-_POW = _powers(_BASE, _BLOCK)
-_INV = _powers(U(pow(int(_BASE), -1, 1 << 64)), _BLOCK)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], U)
+#: Words of more bytes are hashed one by one.
+_WIDE = 64
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -52,33 +49,28 @@ class Words:
     ends: np.ndarray
     first: np.ndarray
 
-    def hashes(self) -> np.ndarray:
-        """One 64-bit hash a word, from its bytes alone."""
-        out = np.empty(len(self.starts), U)
-        i, n = 0, len(out)
-        while i < n:
-            base = int(self.starts[i])
-            j = int(np.searchsorted(self.ends, base + _BLOCK - 1, "right"))
-            if j <= i:
-                out[i] = self._long(base, int(self.ends[i]))
-                i += 1
-                continue
-            run = self.data[base : int(self.ends[j - 1])]
-            sums = np.zeros(len(run) + 1, U)
-            np.cumsum(_BYTE[run] * _POW[: len(run)], out=sums[1:])
-            a, b = self.starts[i:j] - base, self.ends[i:j] - base
-            out[i:j] = (sums[b] - sums[a]) * _INV[a] + (b - a).astype(U)
-            i = j
-        return mix(out)
-
-    def _long(self, start: int, end: int) -> np.uint64:
-        total, scale, top = 0, 1, 1 << 64
-        for at in range(start, end, _BLOCK):
-            run = self.data[at : min(end, at + _BLOCK)]
-            part = int((_BYTE[run] * _POW[: len(run)]).sum(dtype=U))
-            total = (total + part * scale) % top
-            scale = scale * pow(int(_BASE), len(run), top) % top
-        return U((total + end - start) % top)
+    def hashes(self, seed: int = 0) -> np.ndarray:
+        """One 64-bit hash a word, from its bytes alone; other seeds give independent ones."""
+        size = self.ends - self.starts
+        out = mix(size.astype(U) * _STEP + U(seed + 1))
+        data = np.concatenate([self.data, np.zeros(8, np.uint8)])
+        eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+        at, left, live = self.starts, size, None
+        if (size > _WIDE).any():
+            live = np.flatnonzero(size <= _WIDE)
+            for i in np.flatnonzero(size > _WIDE).tolist():
+                out[i] = xxhash.xxh3_64_intdigest(data[self.starts[i] : self.ends[i]], seed + 1)
+            at, left = at[live], left[live]
+        while len(at):
+            part = eight[at] & _MASK[np.minimum(left, 8)]
+            if live is None:
+                out = mix((out ^ part) * _LANE)
+            else:
+                out[live] = mix((out[live] ^ part) * _LANE)
+            more = np.flatnonzero(left > 8)
+            live = more if live is None else live[more]
+            at, left = at[more] + 8, left[more] - 8
+        return out
 
     def join(self) -> bytes:
         """All words, one space after each."""
@@ -115,7 +107,7 @@ def chunks(texts: pa.Array, lower: bool = False) -> Iterator[tuple[int, int, Wor
         i = j
 
 
-def windows(h: np.ndarray, k: int, step: np.uint64 = _STEP) -> np.ndarray:
+def windows(h: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     """Hash of h[i : i + k] for each i, by doubling; windows may cross texts."""
     n = len(h) - k + 1
     if n <= 0:
@@ -123,16 +115,17 @@ def windows(h: np.ndarray, k: int, step: np.uint64 = _STEP) -> np.ndarray:
     out, done, run, width = None, 0, h, 1
     while True:
         if k & width:
-            if out is None:
-                out, done = run, width
-            else:
-                out = out[: len(out) - width] * U(pow(int(step), width, 1 << 64)) + run[done : done + len(out) - width]
-                done += width
+            out, done = (run, width) if out is None else (_joined(out[: len(h) - done - width + 1], run[done:]), done + width)
         if width * 2 > k:
             break
-        run = run[:-width] * U(pow(int(step), width, 1 << 64)) + run[width:]
+        run = _joined(run[:-width], run[width:])
         width *= 2
-    return mix(out[:n] + U(k))
+    return mix(out[:n] + U(k + (salt << 32)))
+
+
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    n = min(len(a), len(b))
+    return mix(a[:n] * _STEP + b[:n])
 
 
 def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:

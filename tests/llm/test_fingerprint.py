@@ -71,3 +71,12 @@ def test_merge_by_equals_sketch_of_union(spark):
     for p in parts[1:]:
         want = fp.merge(want, p, 64)
     assert got["g"] == fp.to_text(want)
+
+
+def test_words_of_equal_rolling_hash_differ():
+    """A Thue-Morse word and its complement agree in any polynomial hash modulo 2^64."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    a, b = fp.sketches(fp.pa.array(["".join("ab"[x ^ flip] for x in bits) + " and four more words" for flip in (0, 1)]))
+    assert fp.resemblance(a, b) == 0
+    a, b = fp.sketches(fp.pa.array([" ".join("ab"[x ^ flip] for x in bits) for flip in (0, 1)]), words=1024)
+    assert fp.resemblance(a, b) < 1

@@ -54,6 +54,12 @@ def test_long_runs_take_linear_time():
         pii.find(text)
 
 
+def test_long_digit_runs_are_parsed():
+    zeros = "0" * 5000
+    assert base(f"{zeros}1.2.3.4 {zeros}.{zeros}.{zeros}.0 {zeros}256.1.1.1") == [("ip", 0, 5007), ("ip", 5008, 20012)]
+    assert base("9" * 5000 + ".1.1.1") == []
+
+
 def test_query_columns(spark, tmp_path):
     rows = [(1, "x@y.zz 1.2.3.4", "en"), (2, None, None), (2, "", "de"), (None, "+1 (017) 555-7713", "fr")]
     spark.createDataFrame(rows, "doc_id long, text string, pii_spans string").write.parquet(f"{tmp_path}/documents.parquet")

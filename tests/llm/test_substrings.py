@@ -50,17 +50,51 @@ def test_long_text_and_empty_table(spark):
     assert result(spark, []) == []
 
 
+class Text(ss.Words):
+    """Words given by their hashes."""
+
+    def __init__(self, h):
+        super().__init__(np.empty(0, np.uint8), np.empty(0, int), np.empty(0, int), np.array([0, len(h)]))
+        self.h = h
+
+    def hashes(self, seed=0):
+        return self.h
+
+
 def test_interior_symbols_do_not_depend_on_context():
     rng = np.random.default_rng(7)
     for _ in range(300):
         h = ss.mix(rng.integers(0, 3, 35).astype(np.uint64))
-        cuts = []
+        rounds = [[], []]
         for _ in range(4):
             left, right = (ss.mix(rng.integers(0, 3, rng.integers(0, 9)).astype(np.uint64)) for _ in range(2))
-            whole = np.concatenate([left, h, right])
-            head = np.zeros(len(whole), bool)
-            head[0] = True
-            at, name = ss.parse(whole, head)
-            at = at - len(left)
-            cuts.append({(a, int(n)) for a, n in zip(at[:-1].tolist(), name.tolist()) if ss.MARGIN <= a <= 35 - ss.MARGIN - ss.CAPS[-1]})
-        assert all(c == cuts[0] for c in cuts)
+            own = ss.Filed(Text(np.concatenate([left, h, right])))
+            for turn in range(2):
+                if turn:
+                    own.named(own.name % 5 != 0)
+                length = np.diff(own.at, append=len(own.h))
+                inside = (own.at - len(left) >= ss.MARGINS[turn]) & (own.at - len(left) + length <= 35 - ss.MARGINS[turn])
+                rounds[turn].append(list(zip((own.at - len(left))[inside].tolist(), own.name[inside].tolist())))
+        assert all(found == own[0] for own in rounds for found in own)
+
+
+def test_words_of_equal_rolling_hash(spark):
+    """A Thue-Morse word and its complement agree in any polynomial hash modulo 2^64."""
+    bits = [bin(i).count("1") % 2 for i in range(2048)]
+    one, two = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    shared = " ".join(f"s{i}" for i in range(34))
+    rows = [(1, f"{one} {shared}"), (2, f"{two} {shared}"), (3, f"{shared} {one}"), (4, f"{shared} {one}")]
+    assert result(spark, rows) == brute(rows)
+    assert [r[2] for r in result(spark, rows)] == [0, 0, 35, 35]
+
+
+def test_names_are_global(spark):
+    """Symbols of a passage that two texts share are kept by every round; those of unique words are not."""
+    rng = np.random.default_rng(8)
+    shared = " ".join(f"s{i}" for i in rng.integers(0, 50, 60))
+    texts = [f"{' '.join(f'u{k}x{i}' for i in range(60))} {shared}" for k in range(2)]
+    own = [ss.Filed(w) for t in texts for _, _, w in ss.chunks(ss.pa.array([t]))]
+    common = np.intersect1d(own[0].name, own[1].name)
+    for p in own:
+        p.named(np.isin(p.name, common))
+        assert p.starts.min() >= 60 - ss.MARGINS[0] and len(p.starts) >= 26
