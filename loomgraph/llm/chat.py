@@ -6,11 +6,12 @@ and identifier before the hash join (the one of the lowest turn stays, ties by t
 the others are told as duplicates), so a result meets one call at most and a hot
 identifier cannot multiply. Order is topological: a result comes after its call, a call
 after the results it names in ``$ref`` strings of its arguments. Levels are found by
-rounds over the remaining edges, so no conversation is gathered in one place; calls on
-a cycle get no level and are told. Arguments are checked against schemas known to the
+rounds over the remaining edges, until nothing changes, so no conversation is gathered in
+one place; calls on a cycle get no level and are told. Arguments are checked against schemas known to the
 plan. JSON is canonical: keys in order, no white space, through the variant type.
 
-Nulls: a message without conversation, turn, role or text is passed on as such; a null
+Nulls: a call or result without conversation or identifier is linked with nothing and has
+level 0; a message without conversation, turn, role or text is passed on as such; a null
 text serialises as an empty content. An empty table gives no rows.
 """
 
@@ -103,25 +104,69 @@ def validated(calls: DataFrame, schemas: dict[str, dict]) -> DataFrame:
 # --- order
 
 
-def levels(edges: DataFrame, nodes: DataFrame, rounds: int = 1000) -> DataFrame:
+def levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(conv_id, node, level): the longest path to the node; nodes on or behind a cycle have a null level.
-    edges: (conv_id, before, after). Each round settles all nodes whose predecessors are settled."""
-    left = cut(nodes.select("conv_id", "node").distinct())
-    edges = cut(edges.select("conv_id", "before", "after").distinct())
+    edges: (conv_id, before, after). A round first jumps along chains (`_shortened`), then settles all nodes whose
+    predecessors are settled, until none is; so rounds follow how often paths join, not how long they are."""
+    key = ["conv_id", "node"]
+    left = cut(nodes.select(*key).distinct().withColumn("least", F.lit(0)))
+    edges = cut(edges.select("conv_id", "before", "after").distinct().withColumn("w", F.lit(1)))
     if not edges.take(1):
-        return left.withColumn("level", F.lit(0))
-    done = None
-    for level in range(rounds):
+        return left.select(*key, F.col("least").alias("level"))
+    done = stuck = None
+    while True:
+        edges, left, stuck = _shortened(edges, left, stuck)
         waits = edges.select("conv_id", F.col("after").alias("node")).distinct()
-        ready = left.join(waits, ["conv_id", "node"], "left_anti")
-        now = cut(ready.withColumn("level", F.lit(level)))
+        now = cut(left.join(waits, key, "left_anti").select(*key, F.col("least").alias("level")))
         if not now.take(1):
             break
         done = now if done is None else done.union(now)
-        left = cut(left.join(waits, ["conv_id", "node"], "left_semi"))
-        edges = cut(edges.join(now.select("conv_id", F.col("node").alias("before")), ["conv_id", "before"], "left_anti"))
-    stuck = left.withColumn("level", F.lit(None).cast("int"))
-    return stuck if done is None else done.union(stuck)
+        settled = now.select("conv_id", F.col("node").alias("before"), "level")
+        told = edges.join(settled, ["conv_id", "before"]).groupBy("conv_id", F.col("after").alias("node")).agg(F.max(F.col("level") + F.col("w")).alias("told"))
+        left = cut(left.join(waits, key, "left_semi").join(told, key, "left").select(*key, F.greatest("least", F.coalesce("told", F.lit(0))).alias("least")))
+        edges = cut(edges.join(settled, ["conv_id", "before"], "left_anti"))
+    never = left.select(*key, F.lit(None).cast("int").alias("level"))
+    return never if done is None else done.union(never)
+
+
+def _shortened(edges: DataFrame, left: DataFrame, stuck: DataFrame | None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """The same levels by other edges: a node with one predecessor has the level max(least, level of that + w), and such
+    functions are composed by pointer jumping, so that it hangs off the first node before it with none or several.
+    Nodes found to jump in circles are ``stuck``: they keep their edges and are not tried again."""
+    one = edges.groupBy("conv_id", F.col("after").alias("node")).agg(F.count("*").alias("n"), F.min("before").alias("anchor"), F.min("w").alias("w")).where("n = 1").drop("n")
+    one = one if stuck is None else one.join(stuck, ["conv_id", "node"], "left_anti")
+    jumps = cut(one.join(left, ["conv_id", "node"]))
+    n = jumps.count()
+    circling = False
+    for turn in range(n.bit_length() + 1):
+        on = jumps.select("conv_id", F.col("node").alias("anchor"), F.col("anchor").alias("to"), F.col("w").alias("more"), F.col("least").alias("low"))
+        moved = F.col("to").isNotNull()
+        jumps = cut(
+            jumps.join(on, ["conv_id", "anchor"], "left").select(
+                "conv_id", "node", F.coalesce("to", "anchor").alias("anchor"),
+                F.when(moved, F.col("w") + F.col("more")).otherwise(F.col("w")).alias("w"),
+                F.when(moved, F.greatest("least", F.col("low") + F.col("w"))).otherwise(F.col("least")).alias("least"), moved.alias("moved"),
+            )
+        )
+        circling = bool(jumps.where("moved").take(1))
+        if not circling:
+            break
+        if turn < n.bit_length():
+            jumps = jumps.drop("moved")
+    if circling:  # what still moves after that many doublings is on or behind a cycle
+        more = jumps.where("moved").select("conv_id", "node")
+        return edges, left, cut(more if stuck is None else stuck.union(more))
+    if not n:
+        return edges, left, stuck
+    jumps = jumps.select("conv_id", "node", "anchor", "w", "least")
+    several = edges.join(jumps.select("conv_id", F.col("node").alias("after")), ["conv_id", "after"], "left_anti")
+    over = jumps.select("conv_id", F.col("node").alias("before"), F.col("anchor").alias("to"), F.col("w").alias("more"), F.col("least").alias("low"))
+    several = several.join(over, ["conv_id", "before"], "left").select("conv_id", F.coalesce("to", "before").alias("before"), "after", (F.col("w") + F.coalesce("more", F.lit(0))).alias("w"), (F.col("low") + F.col("w")).alias("low"))
+    several = cut(several)
+    lows = several.where("low is not null").groupBy("conv_id", F.col("after").alias("node")).agg(F.max("low").alias("low")).union(jumps.select("conv_id", "node", F.col("least").alias("low")))
+    left = left.join(lows, ["conv_id", "node"], "left").select("conv_id", "node", F.greatest("least", F.coalesce("low", F.lit(0))).alias("least"))
+    rest = several.select("conv_id", "before", "after", "w").union(jumps.select("conv_id", F.col("anchor").alias("before"), F.col("node").alias("after"), "w"))
+    return cut(rest.groupBy("conv_id", "before", "after").agg(F.max("w").alias("w"))), cut(left), stuck
 
 
 # --- the whole
@@ -139,7 +184,8 @@ def formatted(messages: DataFrame, calls: DataFrame, results: DataFrame, schemas
         follows = answered.join(known, ["conv_id", "call_id"]).select("conv_id", F.concat(F.lit("c:"), "call_id").alias("before"), F.concat(F.lit("r:"), "call_id").alias("after"))
         nodes = known.select("conv_id", F.concat(F.lit("c:"), "call_id").alias("node")).union(answered.select("conv_id", F.concat(F.lit("r:"), "call_id")))
         order = cut(levels(follows.union(waits), nodes))
-        level_of = lambda df, mark: df.withColumn("node", F.concat(F.lit(mark), "call_id")).join(order, ["conv_id", "node"], "left")
+        known_key = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()  # what has none meets nothing and has level 0
+        level_of = lambda df, mark: df.withColumn("node", F.concat(F.lit(mark), "call_id")).join(order, ["conv_id", "node"], "left").withColumn("level", F.when(known_key, F.col("level")).otherwise(0))
     else:  # no call names a result: calls are sources, and what answers one comes after it
         level_of = lambda df, mark: df.withColumn("level", F.when(F.lit(mark == "r:") & F.col("linked"), 1).otherwise(0))
     asked = level_of(one.join(answered, ["conv_id", "call_id"], "left").withColumn("linked", F.coalesce("has_result", F.lit(False))), "c:")

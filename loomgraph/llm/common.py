@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch: with texts of some kilobytes, a few MB.
@@ -48,8 +48,11 @@ def cut(df: DataFrame) -> DataFrame:
 
 def placed(df: DataFrame, key: str) -> DataFrame:
     """df, dealt by key and written once; joins by this key deal only their other side. (A plan that adapts
-    doesn't tell how its rows lie, so this one doesn't.)"""
+    doesn't tell how its rows lie, so this one doesn't.) Rows that come out of a shuffle are written before they are
+    dealt: in another order, as after a lost executor, they could get other numbers."""
     spark = df.sparkSession
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        df = cut(df)
     was = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
@@ -86,9 +89,28 @@ def spread_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """left joined with right, which has one row a key. Keys that hold more rows of left than a task's fair share
     are told apart first: they are fewer than 4 a partition, so their rows of right are broadcast, and a hot
     key is never dealt to one task. left should be made of files."""
-    share = max(1000, left.count() // (4 * partitions(left.sparkSession)))
-    hot = cut(left.groupBy(key).count().where(F.col("count") > share).select(key))
-    if not hot.take(1):
+    sizes = left.groupBy(key).count()
+    most, n = sizes.agg(F.max("count"), F.sum("count")).first()
+    share = max(1000, (n or 0) // (4 * partitions(left.sparkSession)))
+    if (most or 0) <= share:
         return left.join(right, key)
-    few = F.broadcast(hot)
+    few = F.broadcast(cut(sizes.where(F.col("count") > share).select(key)))
     return left.join(F.broadcast(right.join(few, key, "left_semi")), key).unionByName(left.join(few, key, "left_anti").join(right, key))
+
+
+def checked(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """df, written once, and broadcast where it is joined if it has no more than ``most`` rows."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def graded_join(left: DataFrame, right: DataFrame, keys: list[str], weight: Column, most: int) -> DataFrame:
+    """left with the columns of right, which has one row a key, or nulls. The ``most`` rows of right of greatest weight
+    (rows of left they meet) are broadcast, all of them if there are no more; else what they don't meet is joined by shuffle."""
+    right = cut(right)
+    if right.count() <= most:
+        return left.join(F.broadcast(right), keys, "left")
+    top = cut(right.orderBy(weight.desc(), *keys).limit(most))
+    rest = right.join(F.broadcast(top.select(*keys)), keys, "left_anti")
+    cold = left.join(F.broadcast(top.select(*keys)), keys, "left_anti").join(rest, keys, "left")
+    return left.join(F.broadcast(top), keys).unionByName(cold)

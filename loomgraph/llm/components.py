@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, spread_join
 
 
 def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -34,7 +34,7 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     smallest node reachable. Nulls and self-links are ignored, repeated links count
     once; a table without links gives no rows. Callers contract what they find in a
     task by `local_roots`, so the rounds only join what tasks share; every round is
-    checkpointed. No Python runs here: it would sit in one stage with the caller's, and
+    checkpointed, and a hub of many links is not joined in one task. No Python runs here: it would sit in one stage with the caller's, and
     each executor would keep twice the workers.
     """
     a, b = links.columns[:2]
@@ -44,7 +44,7 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = e.union(e.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = spread_join(both, least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low).distinct()

@@ -1,8 +1,8 @@
 """Language identification by fusion of evidence.
 
 Text: naive Bayes over hashed byte trigrams, fitted on a bounded sample of labelled
-rows (``SAMPLE`` rows, those with the least hash of their id, whole texts); its log
-likelihood is tempered, as neighbouring trigrams aren't independent: n of them weigh
+rows (about ``SAMPLE`` of each of the ``LABELS`` commonest labels, by hash of id and text,
+whole texts, equal rows once); its log likelihood is tempered, as neighbouring trigrams aren't independent: n of them weigh
 as n * SURE / (n + SURE). Declared markup language and address suffix: how often each
 goes with each language, counted over the whole input by grouped aggregation and
 smoothed. Host prior: the language counts of the host, smoothed towards those of its
@@ -15,8 +15,8 @@ no labelled text.
 
 Nulls: null text is empty; null hosts, suffixes and declarations count as the empty
 string. Hosts are counted map-side first, so a hot host is as many rows as tasks. The
-host table is broadcast only if it has at most ``BROADCAST`` hosts, else joined by
-shuffle. Existing columns of the names added are replaced.
+``BROADCAST`` largest hosts are broadcast; rows of others, if there are more, are joined by
+shuffle, so no host there holds more than a small share of all rows. Existing columns of the names added are replaced.
 """
 
 from __future__ import annotations
@@ -31,10 +31,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import cut, read, small_batches
+from .common import cut, graded_join, read, small_batches
 from .words import CHUNK
 
-BITS, SAMPLE, SURE, ENOUGH = 15, 4000, 60.0, 30
+BITS, SAMPLE, LABELS, SURE, ENOUGH = 15, 1000, 64, 60.0, 30
 HOST, SUFFIX, TABLE = 8.0, 50.0, 1.0
 BROADCAST = 20_000
 ADDED = ["lang", "lang_confidence", "text_lang"]
@@ -73,11 +73,15 @@ def trigrams(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", id_: str = "doc_id", sample: int = SAMPLE) -> Model:
-    """Trigram counts by language of at most about ``sample`` labelled rows; what comes to the driver is one number a language and trigram."""
-    rows = labelled.select(F.xxhash64(id_).alias("h"), F.trim(F.lower(lang)).alias("lang"), F.col(text).alias("text")).where("lang is not null and lang <> '' and text is not null")
-    top = rows.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
-    if top is None:
+    """Trigram counts by language of about ``sample`` labelled rows each; what comes to the driver is one number a language and trigram."""
+    rows = labelled.select(F.xxhash64(id_, text).alias("h"), F.trim(F.lower(lang)).alias("lang"), F.col(text).alias("text")).where("lang is not null and lang <> ''")
+    sizes = {r.lang: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LABELS).collect()}
+    if not sizes:
         return Model([], np.zeros((_NONE + 1, 0)))
+    chosen = F.lit(False)
+    for name, n in sizes.items():
+        chosen = chosen | ((F.col("lang") == name) & (F.pmod("h", F.lit(1 << 30)) < F.lit(int(min(1.0, sample / n) * (1 << 30)))))
+    rows = rows.where(chosen & F.col("text").isNotNull()).dropDuplicates(["lang", "h"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
@@ -93,8 +97,10 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", id_: str =
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(c[at].astype(np.int64))], ["lang", "t", "n"])
 
     small_batches(labelled.sparkSession)
-    got = rows.where(F.col("h") <= top).select("lang", "text").limit(2 * sample).mapInArrow(run, "lang string, t int, n long").groupBy("lang", "t").agg(F.sum("n").alias("n")).toArrow()
+    got = rows.select("lang", "text").mapInArrow(run, "lang string, t int, n long").groupBy("lang", "t").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(got.column(0).to_pylist()))
+    if not names:
+        return Model([], np.zeros((_NONE + 1, 0)))
     table = np.zeros((_NONE, len(names)))
     index = {n: k for k, n in enumerate(names)}
     table[got.column(1).to_numpy(), [index[n] for n in got.column(0).to_pylist()]] = got.column(2).to_numpy()
@@ -162,9 +168,8 @@ def identify(df: DataFrame, model: Model, text: str, host: Column, suffix: Colum
     said = F.lit(None).cast("array<double>")
     for d, v in odds.items():
         said = F.when(F.col("_declared") == d, F.array(*(F.lit(float(z)) for z in v))).otherwise(said)
-    if table.count() <= BROADCAST:
-        table = F.broadcast(table)
-    joined = rows.join(table, ["_host", "_suffix"], "left")
+    weigh = F.aggregate("_hn", F.lit(0.0), lambda a, v: a + v)
+    joined = graded_join(rows, table, ["_host", "_suffix"], weigh, BROADCAST)
     ks = range(len(names))
 
     def at(c: str, k: int) -> Column:

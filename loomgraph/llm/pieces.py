@@ -10,17 +10,19 @@ the table. Each distinct word's lattice is relational: substrings up to the long
 piece are exploded, joined to the piece table (a fixed vocabulary, so broadcast), and
 grouped by word; a higher-order aggregate folds Viterbi over the edges in order of
 their ends, and another walks back. A character that no piece covers costs a fixed
-penalty and becomes byte pieces.
-
-Words of texts are encoded by joining them to the dictionary of distinct words. Of a
-bounded sample of texts (``SAMPLE`` rows by hash of their text), at most ``FREQUENT``
-words that recur are encoded first and go to the tasks with the code, found there by
-their 64-bit hashes; all other words take the join, and a text's ids are put together
-from both. The result is the same for any sample. Words are found and hashed over whole
-batches of bytes, in numpy. Decoding looks the pieces' bytes up by id.
-
-Null texts are empty and have no words; rows may repeat; a word of over 100,000 bytes
-is cut there. An empty table gives no rows.
+penalty and becomes byte pieces. Spark copies an array at each step of a fold, so words
+of over ``LONG`` bytes would cost the square of their length; the task that reads them
+folds the same edges by the same rule in place instead, at a cost of their length.
+
+Words of texts are encoded by the dictionary of distinct words. Of a bounded sample of
+texts (``SAMPLE`` rows by hash of their text), at most ``FREQUENT`` words that recur are
+encoded first and go to the tasks with the code, found there by their 64-bit hashes; the
+others are sent once a chunk of texts, joined with their pieces, and come back as the
+chunk's own dictionary, with which its texts, kept as codes of words, are put together.
+The result is the same for any sample. Words are found and hashed over whole chunks of
+bytes, in numpy. Decoding looks the pieces' bytes up by id.
+
+Null texts are empty and have no words; rows may repeat. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -38,15 +40,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from .common import partitions, read, small_batches
-from .words import CHUNK, U, Words
+from .common import cut, partitions, read, small_batches
+from .words import CHUNK, U, Words, mix
 
 SPACE = "▁"
 SAMPLE, FREQUENT = 40_000, 600_000
 #: Distinct words that a task groups edges of in memory before it sorts.
 GROUPED = 100_000
-#: Bytes after which a word is cut, so that its places fit an edge.
-LONG = 100_000
+#: Words of more bytes are not folded by Spark.
+LONG = 200
 PENALTY = 10.0
 #: Added to a rank before the logarithm.
 FLATTEN = 10
@@ -100,9 +102,6 @@ class Table:
             empty = np.flatnonzero(size[i:j] == 0)
             real[np.searchsorted(at, begin[empty])] = False
             at, stop = at[real], stop[real]
-            for k in np.flatnonzero(stop - at > LONG)[::-1].tolist():
-                more = [q + int(np.argmax(data[q : q + 4] & 0xC0 != 0x80)) for q in range(int(at[k]) + LONG, int(stop[k]) - 4, LONG)]
-                at, stop = np.insert(at, k + 1, more), np.insert(stop, k, more)
             yield i, j, Words(data, at, stop, np.searchsorted(at, begin))
             i = j
 
@@ -112,6 +111,29 @@ class Table:
     def frame(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(pa.table({"piece": [p for p, _, _ in self.pieces], "id": pa.array([i for _, i, _ in self.pieces], pa.int32()), "score": [s for _, _, s in self.pieces]}))
 
+    def fold(self, word: str) -> list[int]:
+        """Ids of one word, of any length."""
+        word = word.replace(" ", SPACE)
+        known = {p: (i, round(-s * 1_000_000)) for p, i, s in self.pieces}
+        sizes = sorted({len(p) for p in known}, reverse=True)
+        unknown, n = round(-self.unknown * 1_000_000), len(word)
+        cost, size, piece = [0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+        for end in range(1, n + 1):
+            least = None
+            for k in sizes:
+                if k <= end and (hit := known.get(word[end - k : end])):
+                    c = cost[end - k] + hit[1]
+                    if least is None or c < least:
+                        least, size[end], piece[end] = c, k, hit[0]
+            if word[end - 1] not in known and (least is None or cost[end - 1] + unknown < least):
+                least, size[end], piece[end] = cost[end - 1] + unknown, 1, 0
+            cost[end] = least
+        out: list[int] = []
+        while n:
+            out += [piece[n]] if piece[n] else [self.byte_id + b for b in reversed(word[n - 1].encode())]
+            n -= size[n]
+        return out[::-1]
+
 
 def _strings(words: Words, which: np.ndarray) -> pa.Array:
     """The words at these places, gathered as one buffer."""
@@ -145,8 +167,9 @@ def public_table(path: str | None = None) -> Table:
 
 
 def lattice(words: DataFrame, table: Table) -> DataFrame:
-    """(word, ids, hash) of distinct words (column word, spaces as such). An edge is packed into a long, in order of its
-    end, then of its start: end, length (counted down), id (0: a character of no piece) and score in millionths."""
+    """(word, ids) of distinct words (column word, spaces as such, of at most ``LONG`` bytes). An edge is packed into a long, in
+    order of its end, then of its start: end, length (counted down), id (0: a character of no piece) and cost in millionths.
+    So is the best way to a place: cost, then length and id of its last edge; the least of two is the better one."""
     words.sparkSession.conf.set("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(GROUPED))
     n, i, size = F.length("word"), F.col("i"), F.col("size")
     whole = words.select("word", F.replace(F.col("word"), F.lit(" "), F.lit(SPACE)).alias("w"))
@@ -157,18 +180,15 @@ def lattice(words: DataFrame, table: Table) -> DataFrame:
     cost = F.round(-F.coalesce("score", F.lit(table.unknown)) * 1_000_000).cast("long")
     packed = F.shiftleft((i + size - 1).cast("long"), 46) + F.shiftleft((63 - F.least(size, F.lit(63))).cast("long"), 40) + F.shiftleft(F.coalesce("id", F.lit(0)).cast("long"), 25) + cost
     grouped = edges.select("word", packed.alias("e")).groupBy("word").agg(F.sort_array(F.collect_list("e")).alias("es"))
-    zero = F.array(F.struct(F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("e")))
-    end = lambda e: F.shiftright(e, 46).cast("int")
-    length = lambda e: 63 - F.shiftright(e, 40).bitwiseAND(63).cast("int")
-    piece = lambda e: F.shiftright(e, 25).bitwiseAND((1 << 15) - 1).cast("int")
+    low = lambda n: F.lit((1 << n) - 1)
 
     def step(best, e):
-        score = F.element_at(best, end(e) - length(e) + 1)["s"] + e.bitwiseAND((1 << 25) - 1)
-        made = F.struct(score.alias("s"), e.alias("e"))
-        last = F.element_at(best, -1)["s"]
-        return F.when(end(e) == F.size(best), F.concat(best, F.array(made))).when(score < last, F.concat(F.slice(best, 1, F.size(best) - 1), F.array(made))).otherwise(best)
+        end = F.shiftright(e, 46).cast("int")
+        before = F.get(best, end - 63 + F.shiftright(e, 40).bitwiseAND(F.lit(63)).cast("int"))
+        made = F.shiftleft(F.shiftright(before, 21) + e.bitwiseAND(low(25)), 21).bitwiseOR(F.shiftright(e, 25).bitwiseAND(low(21)))
+        return F.when(end == F.size(best), F.array_append(best, made)).otherwise(F.array_append(F.slice(best, 1, end), F.least(F.get(best, end), made)))
 
-    found = grouped.select("word", F.transform(F.aggregate("es", zero, step), lambda b: b["e"]).alias("best"))
+    found = grouped.select("word", F.aggregate("es", F.array(F.lit(0).cast("long")), step).alias("best"))
     walk = F.struct((F.size("best") - 1).alias("at"), F.array().cast("array<int>").alias("out"))
 
     def octets(at):
@@ -177,12 +197,12 @@ def lattice(words: DataFrame, table: Table) -> DataFrame:
         return F.transform(F.sequence(F.lit(1), F.length(c)), lambda k: F.conv(F.hex(F.substring(c, k, F.lit(1))), 16, 10).cast("int") + table.byte_id)
 
     def back(acc, _):
-        e = F.element_at(F.col("best"), acc["at"] + 1)
-        ids = F.when(piece(e) > 0, F.array(piece(e))).otherwise(octets(acc["at"]))
-        return F.when(acc["at"] > 0, F.struct((acc["at"] - length(e)).alias("at"), F.concat(ids, acc["out"]).alias("out"))).otherwise(acc)
+        e = F.get(F.col("best"), acc["at"])
+        piece, length = e.bitwiseAND(low(15)).cast("int"), 63 - F.shiftright(e, 15).bitwiseAND(F.lit(63)).cast("int")
+        ids = F.when(piece > 0, F.array(piece)).otherwise(octets(acc["at"]))
+        return F.when(acc["at"] > 0, F.struct((acc["at"] - length).alias("at"), F.concat(ids, acc["out"]).alias("out"))).otherwise(acc)
 
-    done = found.select("word", F.aggregate("best", walk, back)["out"].alias("ids"))
-    return done.withColumn("hash", F.xxhash64("ids"))
+    return found.select("word", F.aggregate("best", walk, back)["out"].alias("ids"))
 
 
 # --- words of texts
@@ -190,22 +210,24 @@ def lattice(words: DataFrame, table: Table) -> DataFrame:
 
 @dataclass
 class Known:
-    """Words that tasks know, by sorted hashes of their bytes: how many pieces each has, where its ids begin, and the ids of all."""
+    """Words that tasks know: sorted hashes of their bytes, and the code of each; by code (commonest first): how many
+    pieces it has, where its ids begin, and the ids of all."""
 
     hashes: np.ndarray
+    codes: np.ndarray
     sizes: np.ndarray
     first: np.ndarray
     ids: np.ndarray
 
     def find(self, h: np.ndarray) -> np.ndarray:
-        """Places of these hashes, -1 for unknown words."""
+        """Codes of these hashes, -1 for unknown words."""
         if not len(self.hashes):
             return np.full(len(h), -1)
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == h, at, -1)
+        return np.where(self.hashes[at] == h, self.codes[at], -1)
 
 
-NOTHING = Known(np.empty(0, U), np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.uint16))
+NOTHING = Known(np.empty(0, U), np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, np.uint16))
 
 
 def frequent(texts: DataFrame, table: Table, sample: int = SAMPLE, keep: int = FREQUENT) -> Known:
@@ -219,18 +241,20 @@ def frequent(texts: DataFrame, table: Table, sample: int = SAMPLE, keep: int = F
         for x in batches:
             for _, _, w in table.words(x.column(0)):
                 _, at, n = np.unique(w.hashes(), return_index=True, return_counts=True)
-                yield pa.RecordBatch.from_arrays([_strings(w, at), pa.array(n.astype(np.int64))], ["word", "n"])
+                short = (w.ends - w.starts)[at] <= LONG
+                yield pa.RecordBatch.from_arrays([_strings(w, at[short]), pa.array(n[short].astype(np.int64))], ["word", "n"])
 
-    top = chosen.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(keep)
-    got = lattice(top.select("word").repartition(partitions(texts.sparkSession), "word"), table).select("word", "ids").toArrow()
+    top = cut(chosen.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(keep))
+    got = lattice(top.select("word").repartition(partitions(texts.sparkSession), "word"), table).join(top, "word").select("word", "ids", "n").toArrow()
     if not got.num_rows:
         return NOTHING
-    names, lists = (pa.concat_arrays(got.column(c).chunks) for c in ("word", "ids"))
+    names, lists, n = (pa.concat_arrays(got.column(c).chunks) for c in ("word", "ids", "n"))
     h = _hashes(names)
-    order = np.argsort(h)
+    by = np.lexsort((h, -n.to_numpy()))
+    lists = lists.take(pa.array(by))
     size = lists.value_lengths().to_numpy()
-    first = np.cumsum(size) - size
-    return Known(h[order], size[order].astype(np.int32), first[order].astype(np.int32), lists.flatten().to_numpy().astype(np.uint16))
+    order = np.argsort(h[by])
+    return Known(h[by][order], order.astype(np.int32), size.astype(np.int32), (np.cumsum(size) - size).astype(np.int32), lists.flatten().to_numpy().astype(np.uint16))
 
 
 def _hashes(names: pa.Array) -> np.ndarray:
@@ -239,27 +263,13 @@ def _hashes(names: pa.Array) -> np.ndarray:
     return Words(data, np.concatenate([[0], ends[:-1]]), ends, np.array([0, len(ends)])).hashes()
 
 
-def rare_words(texts: DataFrame, table: Table, known: Known) -> DataFrame:
-    """(word): words of (text) that are not known, each once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            for _, _, w in table.words(x.column(0)):
-                h, at = np.unique(w.hashes(), return_index=True)
-                yield pa.RecordBatch.from_arrays([_strings(w, at[known.find(h) < 0])], ["word"])
-
-    return texts.select("text").mapInArrow(run, "word string").distinct()
-
-
 def _prepared(docs: DataFrame, text: str, id_: str) -> DataFrame:
     small_batches(docs.sparkSession)
     return docs.select(F.col(id_).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
 
 
-#: Words, or pieces, of the texts that are put together at once, but for a longer text.
+#: Pieces of texts that are put together at once, but for a longer text.
 _RUN = 500_000
-#: In three bytes, where a word's place in `Known` would be: none.
-_FAR = (1 << 24) - 1
 
 
 def _gathered(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -267,7 +277,7 @@ def _gathered(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarr
     return data[np.arange(int(size.sum())) + np.repeat(first - (np.cumsum(size) - size), size)]
 
 
-def _runs(counts: np.ndarray) -> Iterator[tuple[int, int]]:
+def _cut_at(counts: np.ndarray) -> Iterator[tuple[int, int]]:
     ends, i = np.cumsum(counts), 0
     while i < len(ends):
         j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + _RUN, "right")))
@@ -275,72 +285,98 @@ def _runs(counts: np.ndarray) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def _raw(x: pa.Array) -> np.ndarray:
-    """Bytes of all values of a binary column."""
-    return np.frombuffer(b"".join(x.to_pylist()), np.uint8)
+_DATA = pa.schema([("doc_id", pa.list_(pa.int64())), ("hash", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("codes", pa.list_(pa.binary())), ("own", pa.list_(pa.list_(pa.int32())))])
+
 
+class Chunk:
+    """Some whole texts as codes of words: known ones first, then the words the chunk asks for, then its long ones."""
 
-def encoded(docs: DataFrame, table: Table, text: str = "text", id_: str = "doc_id", sample: int = SAMPLE, keep: int = FREQUENT) -> DataFrame:
-    """(doc_id, n_words, hash, ids) of each row: hash is that of the text. Ids of known words are found where texts are read;
-    other words are joined with the dictionary, and both put together by row and place. ``docs`` is read again for
-    the latter and must give its rows in the same order; a row that doesn't fit its words is an error."""
+    def __init__(self, words: Words, known: Known, table: Table):
+        h = words.hashes()
+        self.codes = known.find(h)
+        size = words.ends - words.starts
+        far, own = np.flatnonzero((self.codes < 0) & (size <= LONG)), np.flatnonzero(size > LONG)
+        self.hashes, at, place = np.unique(h[far], return_index=True, return_inverse=True)
+        self.codes[far] = len(known.sizes) + place
+        self.asked, self.words, self.table = far[at], words, table
+        _, at, place = np.unique(h[own], return_index=True, return_inverse=True)
+        self.long = own[at]
+        self.codes[own] = len(known.sizes) + len(self.asked) + place
+
+    def name(self, at: int) -> int:
+        """Of the chunk's place and of what it asks for, so that texts read in another order the second time find no answer."""
+        return int(mix(np.array([at], U) ^ mix(np.bitwise_xor.reduce(self.hashes, initial=U(0)) + U(len(self.hashes)))[None])[0].view(np.int64))
+
+    def data(self, ids: pa.Array, hashes: pa.Array) -> bytes:
+        planes = self.codes.astype("<u4").view(np.uint8).reshape(-1, 4)
+        own = [self.table.fold(w) for w in _strings(self.words, self.long).to_pylist()]
+        row = {"doc_id": ids.to_pylist(), "hash": hashes.to_pylist(), "n": np.diff(self.words.first), "codes": [np.ascontiguousarray(planes[:, k]).tobytes() for k in range(4)], "own": own}
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, _DATA, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as w:
+            w.write_batch(pa.RecordBatch.from_pylist([row], _DATA))
+        return sink.getvalue().to_pybytes()
+
+
+def encoded(docs: DataFrame, table: Table, text: str = "text", id_: str = "doc_id", sample: int = SAMPLE, keep: int = FREQUENT, decoded: bool = False) -> DataFrame:
+    """(doc_id, n_words, hash, ids) of each row: hash is that of the text; with ``decoded`` also ``text``, made from the ids.
+    ``docs`` is read twice and must give its rows in the same order, as files do; a chunk that gets no answer is an error."""
     docs = _prepared(docs, text, id_)
     known = frequent(docs, table, sample, keep)
-    dictionary = lattice(rare_words(docs, table, known), table).select("word", "ids")
+    n = partitions(docs.sparkSession)
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        row = TaskContext.get().partitionId() << 33
+    def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        at = TaskContext.get().partitionId() << 32
         for x in batches:
             for i, j, w in table.words(x.column(1)):
-                yield x.slice(i, j - i), row, w, known.find(w.hashes())
-                row += j - i
+                yield x.slice(i, j - i), at, Chunk(w, known, table)
+                at += 1
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x, row, w, k in found(batches):
-            n = x.num_rows
-            three = np.where(k < 0, _FAR, k).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
-            near = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer((w.first * 3).astype(np.int32).tobytes()), pa.py_buffer(three.tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + n)), x.column(0), x.column(2), pa.array(np.diff(w.first).astype(np.int64)), near], ["row", "doc_id", "hash", "n_words", "near"])
+        for x, at, c in chunked(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([c.name(at)], pa.int64()), pa.array([len(c.asked)], pa.int32()), pa.array([c.data(x.column(0), x.column(2))], pa.binary())], ["chunk", "n", "data"])
 
     def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x, row, w, k in found(batches):
-            at = np.flatnonzero(k < 0)
-            own = np.repeat(np.arange(x.num_rows), np.diff(w.first))[at]
-            yield pa.RecordBatch.from_arrays([_strings(w, at), pa.array(own + row), pa.array((at - w.first[own]).astype(np.int32))], ["word", "row", "pos"])
+        for _, at, c in chunked(batches):
+            m = len(c.asked)
+            yield pa.RecordBatch.from_arrays([_strings(c.words, c.asked), pa.array(np.full(m, c.name(at), np.int64)), pa.array(np.arange(m, dtype=np.int32))], ["word", "chunk", "k"])
 
     hashed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
-    rare = hashed.mapInArrow(far, "word string, row long, pos int").join(dictionary, "word").groupBy("row").agg(F.collect_list(F.struct("pos", "ids")).alias("far"))
-    parts = hashed.mapInArrow(near, "row long, doc_id long, hash long, n_words long, near binary").join(rare, "row", "left")
+    rare = hashed.mapInArrow(far, "word string, chunk long, k int").repartition(n, "word")
+    dictionary = lattice(rare.select("word").distinct(), table)
+    answers = rare.join(dictionary, "word").groupBy("chunk").agg(F.collect_list(F.struct("k", F.col("ids").cast("array<smallint>").alias("ids"))).alias("got"))
+    parts = hashed.mapInArrow(near, "chunk long, n int, data binary").join(answers, "chunk", "left").select("n", "data", "got")
+    octets = Octets(table) if decoded else None
+    names = ["doc_id", "n_words", "hash", "ids", *(["text"] if decoded else [])]
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            for i, j in _runs(x.column(2).to_numpy()):
-                yield _put_together(x.slice(i, j - i), known)
-
-    return parts.select("doc_id", "hash", "n_words", "near", "far").mapInArrow(whole, "doc_id long, n_words long, hash long, ids array<int>")
-
-
-def _put_together(x: pa.RecordBatch, known: Known) -> pa.RecordBatch:
-    first = np.concatenate([[0], np.cumsum(x.column(2).to_numpy())])
-    three = _raw(x.column(3)).reshape(-1, 3).astype(np.int64)
-    place = three[:, 0] | three[:, 1] << 8 | three[:, 2] << 16
-    met = place != _FAR
-    place = place[met]
-    size = np.zeros(len(met), np.int64)
-    size[met] = known.sizes[place]
-    count = pc.fill_null(x.column(4).value_lengths(), 0).to_numpy(zero_copy_only=False)
-    pos, lists = x.column(4).flatten().flatten()
-    slot = first[np.repeat(np.arange(x.num_rows), count)] + pos.to_numpy(zero_copy_only=False)
-    length = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    if met[slot].any() or len(slot) != np.count_nonzero(~met):
+            for i in range(x.num_rows):
+                data = pa.ipc.open_stream(x.column(1)[i].as_buffer()).read_all()
+                for made in _put_together(data, x.column(0)[i].as_py(), x.column(2)[i].values, known):
+                    columns = [*made, pa.array(octets.texts(made[3]), pa.string())] if decoded else made
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+    return parts.mapInArrow(whole, "doc_id long, n_words long, hash long, ids array<int>" + ", text string" * decoded)
+
+
+def _put_together(data: pa.Table, asked: int, got: pa.StructArray | None, known: Known) -> Iterator[list[pa.Array]]:
+    doc_id, hashes, n, planes, own = (data.column(c)[0].values for c in ("doc_id", "hash", "n", "codes", "own"))
+    codes = sum(np.frombuffer(p, np.uint8).astype(np.int64) << 8 * k for k, p in enumerate(planes.to_pylist()))
+    if (len(got) if got is not None else 0) != asked:
         raise RuntimeError("the texts were read in another order the second time")
-    size[slot] = length
-    at = np.concatenate([[0], np.cumsum(size)])
-    ids = np.empty(int(at[-1]), np.int32)
-    ids[np.repeat(met, size)] = _gathered(known.ids, known.first[place].astype(np.int64), size[met])
-    ids[np.arange(int(length.sum())) + np.repeat(at[slot] - (np.cumsum(length) - length), length)] = lists.flatten().to_numpy(zero_copy_only=False)
-    made = pa.ListArray.from_arrays(pa.array(at[first].astype(np.int32)), pa.array(ids))
-    return pa.RecordBatch.from_arrays([x.column(0), x.column(2), x.column(1), made], ["doc_id", "n_words", "hash", "ids"])
+    lists = []
+    if asked:
+        lists.append(got.field(1).take(pa.array(np.argsort(got.field(0).to_numpy()))).cast(pa.list_(pa.int32())))
+    lists.append(own)
+    size = np.concatenate([known.sizes, *(v.value_lengths().to_numpy() for v in lists)]).astype(np.int64)
+    ids = np.concatenate([known.ids.astype(np.int32), *(v.flatten().to_numpy() for v in lists)])
+    first = np.concatenate([[0], np.cumsum(size)])[:-1]
+    ends = np.concatenate([[0], np.cumsum(n.to_numpy())])
+    upto = np.concatenate([[0], np.cumsum(size[codes])])[ends]
+    for i, j in _cut_at(np.diff(upto)):
+        own_codes = codes[ends[i] : ends[j]]
+        made = pa.ListArray.from_arrays(pa.array((upto[i : j + 1] - upto[i]).astype(np.int32)), pa.array(_gathered(ids, first[own_codes], size[own_codes])))
+        yield [doc_id.slice(i, j - i), n.slice(i, j - i).cast(pa.int64()), hashes.slice(i, j - i), made]
 
 
 def encode(docs: DataFrame, table: Table, text: str = "text", id_: str = "doc_id") -> DataFrame:
@@ -348,24 +384,35 @@ def encode(docs: DataFrame, table: Table, text: str = "text", id_: str = "doc_id
     return encoded(docs, table, text, id_).select("doc_id", "ids")
 
 
+class Octets:
+    """Bytes of pieces by id; ids of no piece give nothing."""
+
+    def __init__(self, table: Table):
+        octets = {i: p.encode() for p, i, _ in table.pieces} | {table.byte_id + b: bytes([b]) for b in range(256)}
+        raw = [octets.get(i, b"") for i in range(1 << 15)]
+        self.data, self.size = np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw], np.int64)
+        self.first = np.cumsum(self.size) - self.size
+
+    def texts(self, lists: pa.ListArray) -> list[str]:
+        """Texts of lists of ids, the leading space taken off; null lists are empty."""
+        count, out = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False), []
+        for i, j in _cut_at(count):
+            v = lists.slice(i, j - i).flatten().to_numpy(zero_copy_only=False)
+            made = _gathered(self.data, self.first[v], self.size[v]).tobytes()
+            at = np.concatenate([[0], np.cumsum(self.size[v])])[np.concatenate([[0], np.cumsum(count[i:j])])].tolist()
+            out += [made[a:z].decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ") for a, z in zip(at, at[1:], strict=False)]
+        return out
+
+
 def decode(encoded: DataFrame, table: Table, ids: str = "ids") -> DataFrame:
     """encoded with ``text``: bytes of pieces by id, put in order, the leading space taken off. Ids of no piece give nothing."""
     small_batches(encoded.sparkSession)
     kept = [c for c in encoded.columns if c != "text"]
-    octets = {i: p.encode() for p, i, _ in table.pieces} | {table.byte_id + b: bytes([b]) for b in range(256)}
-    raw = [octets.get(i, b"") for i in range(1 << 15)]
-    data, size = np.frombuffer(b"".join(raw), np.uint8), np.array([len(r) for r in raw], np.int64)
-    first = np.cumsum(size) - size
+    octets = Octets(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            lists = x.column(x.schema.get_field_index(ids))
-            count, texts = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False), []
-            for i, j in _runs(count):
-                v = lists.slice(i, j - i).flatten().to_numpy(zero_copy_only=False)
-                made = _gathered(data, first[v], size[v]).tobytes()
-                at = np.concatenate([[0], np.cumsum(size[v])])[np.concatenate([[0], np.cumsum(count[i:j])])].tolist()
-                texts += [made[a:z].decode("utf-8", "replace").replace(SPACE, " ").removeprefix(" ") for a, z in zip(at, at[1:], strict=False)]
+            texts = octets.texts(x.column(x.schema.get_field_index(ids)))
             yield pa.RecordBatch.from_arrays([*(x.column(x.schema.get_field_index(c)) for c in kept), pa.array(texts, pa.string())], [*kept, "text"])
 
     return encoded.mapInArrow(run, StructType([*(encoded.schema[c] for c in kept), StructField("text", StringType())]))
@@ -374,7 +421,7 @@ def decode(encoded: DataFrame, table: Table, ids: str = "ids") -> DataFrame:
 def summed(docs: DataFrame, table: Table, text: str = "text", id_: str = "doc_id", sample: int = SAMPLE, keep: int = FREQUENT) -> DataFrame:
     """(doc_id, n_words, n_pieces, digest, round_trip) of each row: digest is of all its ids, round_trip whether they
     decode to the text (not if it holds a ``▁`` of its own)."""
-    back = decode(encoded(docs, table, text, id_, sample, keep), table)
+    back = encoded(docs, table, text, id_, sample, keep, decoded=True)
     return back.select("doc_id", "n_words", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("digest"), (F.xxhash64("text") == F.col("hash")).alias("round_trip"))
 
 

@@ -4,17 +4,18 @@ A fingerprint's bits are cut into ``blocks`` blocks. Two fingerprints that diffe
 in at most ``distance`` bits agree on blocks - distance of them at least, so each
 fingerprint is sent once for each choice of that many blocks, and only those that
 agree on a whole choice (about half of the bits, by default) meet and are verified.
-Equal fingerprints are one row from the start, so copies cost nothing. No link is
-lost and no list is capped: a block list over ``SPLIT`` fingerprints is cut again
-by blocks of its remaining bits, and what leaves a task is one link a node, not the
-pairs. For larger distances, which no block of useful size survives, blocks of sampled
-bits of a longer fingerprint are used instead (`NEAR`); a pair is then verified if it
-shares one of them. Null and empty texts have the fingerprint zero and are linked like any other.
+Equal fingerprints are one row from the start, so copies cost nothing. Rows that meet
+lie in order, so a task holds one block list at a time. No link is lost and no list is
+capped: the rows of a list over ``SPLIT`` fingerprints are dealt again by choices of
+blocks of their remaining bits; what agrees on those too has some 16 bits left, so such
+lists are bounded. What leaves a task is one link a node, not the pairs. Null and empty
+texts have the fingerprint zero and are linked like any other.
+
+The query has no SQL twin: DuckDB has no XXH64.
 """
 
 from __future__ import annotations
 
-import random
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -23,27 +24,20 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import cut, partitions, read, small_batches
+from .common import checked, cut, partitions, read, small_batches, spread_join
 from .components import connected_components, local_roots
 from .near import groups
 from .words import chunks
 
 WORDS, DISTANCE, BLOCKS, SEED = 3, 3, 6, 42
-#: For `components`; the corpus pipeline no longer uses it (`near`): 128 bits over sets of five-word shingles, met in one of 64 blocks of 18 sampled bits. Sets
-#: alike in 0.8 (Jaccard) differ in 19 bits on average and, but for a few in a hundred, in 27 or fewer.
-NEAR = {"words": 5, "lanes": 2, "distance": 27, "sampled": (64, 18)}
 SPLIT = 4096
 _HELD = 1_000_000
-_ALL = (1 << 64) - 1
 
 
-def simhash(texts: pa.Array, words: int = WORDS, lanes: int = 1, distinct: bool = False) -> np.ndarray:
-    """Fingerprints as ``lanes`` unsigned 64-bit numbers a row; shingles count as often as they occur, or once if distinct.
-    One lane takes its bits from XXH64, two from the 128 bits of XXH3."""
-    parts = [np.empty((0, lanes), np.uint64)]
-    digest = xxhash.xxh64_digest if lanes == 1 else xxhash.xxh3_128_digest
+def simhash(texts: pa.Array, words: int = WORDS) -> np.ndarray:
+    """Fingerprints, unsigned; shingles count as often as they occur."""
+    parts = [np.empty(0, np.uint64)]
     for i, j, w in chunks(texts, lower=True):
         joined, length = w.join(), w.ends - w.starts
         at = np.concatenate([[0], np.cumsum(length + 1)])
@@ -53,18 +47,12 @@ def simhash(texts: pa.Array, words: int = WORDS, lanes: int = 1, distinct: bool
         word = np.arange(upto[-1]) + np.repeat(w.first[:-1] - upto[:-1], n)
         last = word + np.repeat(np.minimum(count, words), n)
         spans = zip(at[word].tolist(), (at[last] - 1).tolist(), strict=True)
-        digests = [digest(joined[a:b], SEED) for a, b in spans]
-        if distinct:
-            sets = [set(digests[a:b]) for a, b in zip(upto.tolist(), upto[1:].tolist(), strict=False)]
-            digests = [h for own in sets for h in own]
-            n = np.array([len(own) for own in sets], np.int64)
-            upto = np.concatenate([[0], np.cumsum(n)])
-        raw = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 8 * lanes)
-        out = np.zeros((j - i, 64 * lanes), bool)
+        raw = np.frombuffer(b"".join([xxhash.xxh64_digest(joined[a:b], SEED) for a, b in spans]), np.uint8).reshape(-1, 8)
+        out = np.zeros((j - i, 64), bool)
         bits = np.unpackbits(raw, axis=1)
         for d in np.flatnonzero(n).tolist():
             out[d] = bits[upto[d] : upto[d + 1]].sum(axis=0, dtype=np.uint32) * 2 > n[d]
-        parts.append(np.packbits(out, axis=1).view(">u8").reshape(-1, lanes).astype(np.uint64))
+        parts.append(np.packbits(out, axis=1).view(">u8").ravel().astype(np.uint64))
     return np.concatenate(parts)
 
 
@@ -75,113 +63,107 @@ def masks(bits: list[int], blocks: int, agree: int) -> list[int]:
     return [sum(c) for c in combinations(ones, agree)]
 
 
-def sampled_masks(bits: int, blocks: int, width: int) -> list[int]:
-    """Blocks of sampled bits, each round dealing all bits before any is used again."""
-    rng, deck, out = random.Random(SEED), [], []
-    for _ in range(blocks):
-        own: set[int] = set()
-        while len(own) < width:
-            if not deck:
-                deck = rng.sample(range(bits), bits)
-            own.add(deck.pop())
-        out.append(sum(1 << b for b in own))
-    return out
+def finer(mask: int, blocks: int, agree: int) -> list[int]:
+    """The mask with each choice of blocks of the bits outside it."""
+    return [mask | m for m in masks([b for b in range(64) if not mask >> b & 1], blocks, agree)]
 
 
-def _lanes(mask: int, lanes: int) -> list[int]:
-    return [mask >> 64 * k & _ALL for k in range(lanes)]
-
-
-def _signed(v: int) -> int:
-    return v - (1 << 64) if v >> 63 else v
-
-
-def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x ^ y).sum(axis=1)
-
-
-def _in_groups(group: np.ndarray, row: np.ndarray, fp: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links among rows of equal ``group``; rows are sorted by it."""
-    live, d = np.arange(len(row)), 1
+def _in_groups(group: np.ndarray, fp: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links among rows of equal ``group``, which lie together."""
+    live, d = np.arange(len(fp)), 1
     while True:
-        live = live[live + d < len(row)]
+        live = live[live + d < len(fp)]
         live = live[group[live] == group[live + d]]
         if not len(live):
             return
-        a, b = row[live], row[live + d]
-        near = _apart(fp[a], fp[b]) <= distance
+        near = np.bitwise_count(fp[live] ^ fp[live + d]) <= distance
         if near.any():
-            yield a[near], b[near]
+            yield live[near], live[near] + d
         d += 1
 
 
-def _grouped(fp: np.ndarray, row: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows by what they have under the mask, and its number."""
-    key = np.zeros(len(row), np.uint64)
-    for k, m in enumerate(_lanes(mask, fp.shape[1])):
-        key = key * np.uint64(0x9E3779B97F4A7C15) + (fp[row, k] & np.uint64(m))
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    return np.cumsum(np.diff(key, prepend=key[:1]) != 0), row[order]
-
-
-def block_links(choice: np.ndarray, fp: np.ndarray, table: list[int], distance: int, blocks: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All links, as pairs of rows, among fingerprints that agree on the mask of their choice.
-    With ``blocks`` given, long lists are cut again by that many blocks of the bits outside the mask."""
-    for c in np.unique(choice):
-        group, row = _grouped(fp, np.flatnonzero(choice == c), table[c])
-        size = np.bincount(group) if len(group) else np.empty(0, int)
-        big = size[group] > (SPLIT if blocks else len(row))
-        yield from _in_groups(group[~big], row[~big], fp, distance)
-        if big.any():
-            rest = [b for b in range(64) if not table[c] >> b & 1]
-            for g in np.flatnonzero(size > SPLIT):
-                for m in masks(rest, blocks, blocks - distance):
-                    yield from _in_groups(*_grouped(fp, row[group == g], m), fp, distance)
-
-
-def fingerprints(df: DataFrame, text: str = "text", id_: str = "doc_id", words: int = WORDS, lanes: int = 1, distinct: bool = False) -> DataFrame:
-    """(doc_id, f0, ...): the fingerprint's lanes as signed longs."""
+def _signed(v: int) -> int:
+    return v - (1 << 64) if v >> 63 else v
+
+
+def fingerprints(df: DataFrame, text: str = "text", id_: str = "doc_id", words: int = WORDS) -> DataFrame:
+    """(doc_id, f0): the fingerprint as a signed long."""
     small_batches(df.sparkSession)
-    names = ["doc_id", *(f"f{k}" for k in range(lanes))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            fp = simhash(x.column(1), words, lanes, distinct).view(np.int64)
-            yield pa.RecordBatch.from_arrays([x.column(0), *(pa.array(fp[:, k]) for k in range(lanes))], names)
+            yield pa.RecordBatch.from_arrays([x.column(0), pa.array(simhash(x.column(1), words).view(np.int64))], ["doc_id", "f0"])
+
+    return df.select(F.col(id_).cast("long"), F.col(text).cast("string")).mapInArrow(run, "doc_id long, f0 long")
+
+
+def links(unique: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, split: int = SPLIT) -> DataFrame:
+    """Links (u, v) of column ``node`` that join all rows whose fingerprints (f0, distinct) are at the distance or nearer."""
+    table = masks(list(range(64)), blocks, blocks - distance)
+    choices = [F.struct(F.lit(c).alias("c"), F.col("f0").bitwiseAND(F.lit(_signed(m))).alias("key")) for c, m in enumerate(table)]
+    rows = unique.select("node", "f0", F.explode(F.array(*choices)).alias("k")).select("k.c", "k.key", "node", "f0")
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            node, f0, c = (x.column(k).to_numpy() for k in range(3))
+            for own in np.unique(c).tolist():
+                at = c == own
+                for k, m in enumerate(finer(table[own], blocks, blocks - distance)):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(at.sum(), own * 1000 + k, np.int32)), pa.array(f0[at] & np.int64(_signed(m))), pa.array(node[at]), pa.array(f0[at])], ["c", "key", "node", "f0"])
 
-    schema = StructType([StructField(n, LongType()) for n in names])
-    return df.select(F.col(id_).cast("long"), F.col(text).cast("string")).mapInArrow(run, schema)
+    out = cut(_linked(rows, distance, split))
+    found, long = out.where("c is null").select("u", "v"), out.where("c is not null")
+    if long.take(1):
+        found = found.union(_linked(long.mapInArrow(again, "c int, key long, node long, f0 long"), distance, None).select("u", "v"))
+    return found
 
 
-def links(unique: DataFrame, distance: int = DISTANCE, blocks: int | None = BLOCKS, sampled: tuple[int, int] | None = None) -> DataFrame:
-    """Links (u, v) of column ``node`` that join all rows whose fingerprints (f0, ..., distinct) are at the distance
-    or nearer: all of them, by pigeonhole; or, with sampled blocks, those that share one."""
-    lanes = [c for c in unique.columns if c != "node"]
-    table = sampled_masks(64 * len(lanes), *sampled) if sampled else masks(list(range(64)), blocks, blocks - distance)
-    again = None if sampled else blocks
-    choices = [F.struct(F.lit(i).cast("short").alias("c"), *(F.col(f).bitwiseAND(F.lit(_signed(m))).alias(f"k{k}") for k, (f, m) in enumerate(zip(lanes, _lanes(mask, len(lanes)), strict=True)))) for i, mask in enumerate(table)]
-    rows = unique.select("node", *lanes, F.explode(F.array(*choices)).alias("k"))
-    keys = [F.col(f"k.k{k}") for k in range(len(lanes))]
-    rows = rows.repartition(partitions(unique.sparkSession), F.col("k.c"), *keys).select(F.col("k.c").alias("c"), "node", *lanes)
+def _linked(rows: DataFrame, distance: int, split: int | None) -> DataFrame:
+    """Links (u, v, null) within block lists, contracted task by task; rows of lists over ``split`` come back as (node, f0, c)."""
+    dealt = rows.repartition(partitions(rows.sparkSession), "c", "key").sortWithinPartitions("c", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [[c.to_numpy() for c in x.columns] for x in batches if x.num_rows]
-        if not got:
-            return
-        choice, node, *f = (np.concatenate(c) for c in zip(*got, strict=True))
-        del got
-        fp = np.stack(f, axis=1).view(np.uint64)
+        none = np.empty(0, np.int64)
+        c, key, node, f0 = none.astype(np.int32), none, none, none
+        passing: tuple | None = None  # the list, too long, that is being passed on
         held: list[tuple[np.ndarray, np.ndarray]] = []
-        for a, b in block_links(choice, fp, table, distance, again):
-            held.append((node[a], node[b]))
-            if sum(len(a) for a, _ in held) > _HELD:
-                held = [_contracted(held)]
+
+        def batch(u: np.ndarray, v: np.ndarray, c: np.ndarray | None = None) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.nulls(len(u), pa.int32()) if c is None else pa.array(c)], ["u", "v", "c"])
+
+        for x in _with_end(batches):
+            if x is not None:
+                c, key, node, f0 = (np.concatenate([old, x.column(k).to_numpy()]) for k, old in enumerate((c, key, node, f0)))
+            if not len(c):
+                continue
+            fresh = np.append(True, (c[1:] != c[:-1]) | (key[1:] != key[:-1]))
+            start = np.flatnonzero(fresh)
+            size = np.diff(start, append=len(c))
+            whole = len(c) if x is None else int(start[-1])  # the last list may go on
+            long = size > split if split else np.zeros(len(size), bool)
+            if passing is not None:
+                long[0] |= passing == (int(c[0]), int(key[0]))
+            on = np.repeat(long, size)
+            passing = (int(c[-1]), int(key[-1])) if long[-1] else None
+            if on.any():
+                yield batch(node[on], f0[on], c[on])
+            done = ~on & (np.arange(len(c)) < whole)
+            group, own = np.repeat(np.arange(len(size)), size)[done], node[done]
+            for a, b in _in_groups(group, f0[done].view(np.uint64), distance):
+                held.append((own[a], own[b]))
+                if sum(len(a) for a, _ in held) > _HELD:
+                    held = [_contracted(held)]
+            stay = ~on & ~done
+            c, key, node, f0 = c[stay], key[stay], node[stay], f0[stay]
         if held:
-            u, v = _contracted(held)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+            yield batch(*_contracted(held))
+
+    return dealt.mapInArrow(run, "u long, v long, c int")
+
 
-    return rows.mapInArrow(run, "u long, v long")
+def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
 
 def _contracted(held: list) -> tuple[np.ndarray, np.ndarray]:
@@ -190,16 +172,15 @@ def _contracted(held: list) -> tuple[np.ndarray, np.ndarray]:
     return nodes[far], roots[far]
 
 
-def components(fps: DataFrame, distance: int = DISTANCE, blocks: int | None = BLOCKS, sampled: tuple[int, int] | None = None) -> DataFrame:
-    """(doc_id, f0, ..., component_id) of fingerprints: the smallest doc_id of those reachable by links, itself included; null ids count last."""
+def components(fps: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, split: int = SPLIT) -> DataFrame:
+    """(doc_id, f0, component_id) of fingerprints: the smallest doc_id of those reachable by links, itself included; null ids count last."""
     fps = cut(fps)
-    lanes = fps.columns[1:]
-    unique = fps.groupBy(*lanes).agg(F.min("doc_id").alias("low"))
+    unique = fps.groupBy("f0").agg(F.min("doc_id").alias("low"))
     unique = cut(unique.withColumn("node", F.monotonically_increasing_id()))
-    found = connected_components(links(unique.select("node", *lanes), distance, blocks, sampled)).withColumnRenamed("root", "to")
-    rooted = unique.join(found, "node", "left").select(*lanes, "low", F.coalesce("to", "node").alias("root"))
+    found = connected_components(links(unique.select("node", "f0"), distance, blocks, split)).withColumnRenamed("root", "to")
+    rooted = cut(unique.join(found, "node", "left").select("f0", "low", F.coalesce("to", "node").alias("root")))
     least = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    return fps.join(rooted.join(least, "root").select(*lanes, "component_id"), lanes).select("doc_id", *lanes, "component_id")
+    return spread_join(fps, spread_join(rooted, least, "root").select("f0", "component_id"), "f0").select("doc_id", "f0", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -210,10 +191,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     stays = F.col("doc_id").eqNullSafe(F.col("low"))
     again = rows.where(stays).groupBy("group").count().where("count > 1").select("group")
     again = cut(rows.where(stays).join(again, "group").select(F.col("doc_id").alias("_id"), F.col("hash").alias("_of"), F.col("group").alias("_group")).distinct())
-    gone = rows.where(~stays).select(F.col("doc_id").alias("_id"), F.col("hash").alias("_of")).distinct()
+    gone = checked(rows.where(~stays).select(F.col("doc_id").alias("_id"), F.col("hash").alias("_of")).union(again.select("_id", "_of")).distinct())
     hashed = docs.withColumn("_hash", F.xxhash64("text"))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_of"))
-    left = hashed.join(gone.union(again.select("_id", "_of")), same, "left_anti").select(*docs.columns)
+    left = hashed.join(gone, same, "left_anti").select(*docs.columns)
     if again.isEmpty():
         return left
     least = F.min(F.struct("text", *(c for c in docs.columns if c != "text"))).alias("row")

@@ -5,8 +5,10 @@ the classes of a label by random directions at sampled medians; a vector within
 spill margin of a cut goes to both sides. Trees grow in rounds: every cell of more
 than ``LEAF`` classes is cut by a subtree fitted on a bounded sample of it (about
 ``FIT`` vectors, whatever its size), until no cell is larger or cutting it further
-would send most of it to both sides. So depth follows the data, and a row is one
-route away from its next cell. Vectors are compared only within leaves; a leaf that
+would send most of it to both sides. So depth follows the data. Only the places of
+vectors (their cells) are kept between rounds; the vectors lie in the shared folder by
+node, in the type they came in, and move once, to the leaves. They are compared only
+within leaves; a leaf that
 stays large is compared in blocks of ``BLOCK``, each pair of blocks a task of its own.
 
 A pair that meets in several leaves is counted in the least of them: each vector
@@ -21,14 +23,16 @@ Rows may repeat; each is returned. An empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-from .common import cut, partitions, read
+from .common import checked, cut, placed, read, spread_join
 from .components import connected_components, local_roots
 
 COSINE, TREES = 0.98, 3
@@ -37,10 +41,14 @@ SPILL = 1.0  # margin, in standard deviations of a projected difference at the c
 BOTH = 0.6  # a cut that sends more than this share to both sides isn't made
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+def _matrix(column: pa.Array, kind: str) -> np.ndarray:
+    """Unit vectors, in double precision."""
+    x = np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+@functools.lru_cache(maxsize=256)
 def directions(cell: int, depth: int, dim: int) -> np.ndarray:
     """A unit direction for each inner node of a cell's subtree, in heap order."""
     r = np.random.default_rng([cell & (1 << 64) - 1, dim]).standard_normal((2**depth - 1, dim))
@@ -84,59 +92,60 @@ def route(cell: int, x: np.ndarray, cuts: np.ndarray, tau: float) -> tuple[np.nd
     return np.concatenate([r for r, _ in out]), np.concatenate([n for _, n in out])
 
 
-_PLACED = "node long, weight long, vec binary, tree int, cell long, was long"
-
-
-def grow(work: DataFrame, cosine: float = COSINE, leaf: int = LEAF, rounds: int = 12) -> DataFrame:
-    """Rows (node, weight, vec, tree, cell) in their leaves."""
-    n = partitions(work.sparkSession)
-    for turn in range(rounds + 1):
-        sizes = work.groupBy("cell").agg(F.count("*").alias("n"), F.max("was").alias("was"), F.max("tree").alias("tree"))
-        sizes = cut(sizes.withColumn("open", (F.col("n") > leaf) & (F.col("n") <= 0.8 * F.col("was"))))
-        if turn == 0:  # a label that one leaf holds needs one tree
-            few = sizes.where("not open and tree > 0").select("cell")
-            work = work.join(few, "cell", "left_anti")
-        if turn == rounds or not sizes.where("open").take(1):
-            return work
-        big = sizes.where("open").select("cell", F.col("n").alias("size"), F.least(F.lit(DEPTH), F.ceil(F.log2(F.col("n") / (0.6 * leaf)))).cast("int").alias("depth"))
+_PLACED = "node long, cell long, tree int, was long"
+#: Cells whose cuts are broadcast in a round; the cuts of more are joined by shuffle.
+CELLS = 20_000
+
+
+def grow(vecs: DataFrame, places: DataFrame, kind: str, cosine: float = COSINE, leaf: int = LEAF, rounds: int = 40) -> DataFrame:
+    """(node, cell): the leaves of each node. vecs: (node, vec), placed by node; places: (node, cell, tree, was), the roots.
+    A cell is cut again as long as that makes it smaller; ``rounds`` only bounds a fault."""
+    ends = []
+    for turn in range(rounds):
+        places = cut(places)
+        sizes = cut(places.groupBy("cell").agg(F.count("*").alias("n"), F.max("was").alias("was"), F.max("tree").alias("tree")))
+        done = (F.col("n") <= leaf) | (F.col("n") > 0.8 * F.col("was"))
+        closed = sizes.where(done & (F.col("tree") == 0)) if turn == 0 else sizes.where(done)  # a label that one leaf holds needs one tree
+        ends.append(places.join(checked(closed.select("cell")), "cell", "left_semi").select("node", "cell"))
+        big = sizes.where(~done).select("cell", F.col("n").alias("size"), F.least(F.lit(DEPTH), F.ceil(F.log2(F.col("n") / (0.6 * leaf)))).cast("int").alias("depth"))
+        big = cut(big)
+        if not big.take(1):
+            return functools.reduce(DataFrame.union, ends)
         chance = F.pmod(F.xxhash64("node", "cell"), F.lit(1 << 20)) < F.lit(FIT * (1 << 20)) / F.col("size")
-        sample = work.join(big, "cell").where(chance).select("cell", "depth", "vec")
+        sample = spread(places, big).where(chance).select("node", "cell", "depth").join(vecs, "node")
 
         def fitted(table: pa.Table) -> pa.Table:
-            x, cell = _matrix(table.column("vec")), table.column("cell")[0].as_py()
+            x, cell = _matrix(table.column("vec"), kind), table.column("cell")[0].as_py()
             cuts = fit_cuts(cell, x, table.column("depth")[0].as_py(), margin(x.shape[1], cosine))
             return pa.table({"cell": pa.array([cell], pa.int64()), "cuts": pa.array([cuts], pa.list_(pa.float64()))})
 
-        cuts = sample.groupBy("cell").applyInArrow(fitted, "cell long, cuts array<double>")
-        marked = work.join(big.join(cuts, "cell").select("cell", "cuts", "size"), "cell", "left").select("node", "weight", "vec", "tree", "cell", "was", "cuts", "size")
+        cuts = sample.select("cell", "depth", "vec").groupBy("cell").applyInArrow(fitted, "cell long, cuts array<double>")
+        marked = spread(places, cut(big.join(cuts, "cell").select("cell", "cuts", "size"))).select("node", "cell", "tree", "cuts", "size")
 
         def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in batches:
-                names = x.schema.names[:6]
-                closed = x.filter(x.column(6).is_null())
-                if closed.num_rows:
-                    yield pa.RecordBatch.from_arrays(closed.columns[:6], names)
-                rest = x.filter(x.column(6).is_valid())
-                cells = rest.column(4).to_numpy()
+                cells = x.column(1).to_numpy()
                 for cell in np.unique(cells):
-                    own = rest.take(pa.array(np.flatnonzero(cells == cell)))
-                    v = _matrix(own.column(2))
-                    rows, ends = route(int(cell), v, np.array(own.column(6)[0].as_py()), margin(v.shape[1], cosine))
-                    size = own.column(7)[0].as_py()
+                    own = x.take(pa.array(np.flatnonzero(cells == cell)))
+                    v = _matrix(own.column(5), kind)
+                    rows, leaves = route(int(cell), v, np.array(own.column(3)[0].as_py()), margin(v.shape[1], cosine))
                     with np.errstate(over="ignore"):
-                        new = (np.int64(cell) * np.int64(6364136223846793005) + (ends + 1) * np.int64(1442695040888963407)) ^ (np.int64(cell) >> np.int64(29))
-                    for i in range(0, len(rows), 4096):
-                        got = own.take(pa.array(rows[i : i + 4096]))
-                        yield pa.RecordBatch.from_arrays([*got.columns[:4], pa.array(new[i : i + 4096]), pa.array(np.full(got.num_rows, size, np.int64))], names)
+                        new = (np.int64(cell) * np.int64(6364136223846793005) + (leaves + 1) * np.int64(1442695040888963407)) ^ (np.int64(cell) >> np.int64(29))
+                    yield pa.RecordBatch.from_arrays([own.column(0).take(pa.array(rows)), pa.array(new), own.column(2).take(pa.array(rows)), own.column(4).take(pa.array(rows))], ["node", "cell", "tree", "was"])
+
+        places = marked.join(vecs, "node").sortWithinPartitions("cell").select("node", "cell", "tree", "cuts", "size", "vec").mapInArrow(routed, _PLACED)
+    raise RuntimeError(f"cells still fall apart after {rounds} rounds")
+
 
-        work = cut(marked.repartition(n, "cell", "node").mapInArrow(routed, _PLACED))
-    return work
+def spread(places: DataFrame, cells: DataFrame) -> DataFrame:
+    """places with what is known of their cells, by broadcast of at most ``CELLS`` of these, else by shuffle, hot cells told apart."""
+    return places.join(F.broadcast(cells), "cell") if cells.count() <= CELLS else spread_join(places, cells, "cell")
 
 
-def compare(cell: int, i: int, j: int, block: np.ndarray, node: np.ndarray, weight: np.ndarray, x: np.ndarray, leaves: list, cosine: float = COSINE):
-    """Links within a leaf (or between blocks i and j of it) that no lesser leaf has: (nodes, weighted link counts, links u, v)."""
+def compare(i: int, j: int, block: np.ndarray, node: np.ndarray, weight: np.ndarray, x: np.ndarray, lesser: list, cosine: float = COSINE):
+    """Links within a leaf (or between blocks i and j of it) that no lesser leaf of theirs has: (nodes, weighted link counts, links u, v)."""
     early: dict[int, int] = {}
-    flags = [[early.setdefault(q, len(early)) for q in own if q < cell] for own in leaves]
+    flags = [[early.setdefault(q, len(early)) for q in own] for own in lesser]
     met = np.zeros((len(node), max(1, len(early))), np.float32)
     for r, own in enumerate(flags):
         met[r, own] = 1
@@ -163,44 +172,50 @@ def compare(cell: int, i: int, j: int, block: np.ndarray, node: np.ndarray, weig
 
 def dedup(df: DataFrame, cosine: float = COSINE, trees: int = TREES, leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of (vec_id, embedding, label)."""
-    df = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"), "label")
+    inner = df.schema["embedding"].dataType
+    kind = "<f4" if isinstance(inner, ArrayType) and isinstance(inner.elementType, FloatType) else "<f8"
+    e = F.col("embedding") if kind == "<f4" else F.col("embedding").cast("array<double>")
+    df = df.select(F.col("vec_id").cast("long").alias("vec_id"), e.alias("e"), "label")
     bad = F.exists("e", lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))) | ~F.exists("e", lambda v: v != 0)
     df = df.withColumn("ok", F.coalesce(F.col("e").isNotNull() & F.col("label").isNotNull() & ~bad, F.lit(False)))
     rows = df.where("ok")
+    same = [F.xxhash64("label", "e").alias("k1"), F.xxhash64("e", "label").alias("k2")]  # 128 bits that name a class
     classes = rows.groupBy("label", "e").agg(F.count("*").alias("weight"), F.min("vec_id").alias("low"))
-    classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
+    classes = classes.withColumn("node", F.monotonically_increasing_id()).select("node", "weight", "low", F.xxhash64("label", F.size("e")).alias("root_cell"), *same, "e")
 
-    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = np.dtype(kind).itemsize
         for x in batches:
-            vec = []
-            for e in x.column(2):
-                v = e.values.to_numpy(zero_copy_only=False)
-                v = v / np.abs(v).max()
-                vec.append((v / np.sqrt((v * v).sum())).tobytes())
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(vec, pa.binary()), x.column(3), x.column(4), x.column(5)], x.schema.names)
+            lists = x.column(6)
+            ends = (lists.offsets.to_numpy() - lists.offsets[0].as_py()) * width
+            vec = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(lists.flatten().to_numpy(zero_copy_only=False).astype(kind).tobytes())])
+            yield pa.RecordBatch.from_arrays([*x.columns[:6], vec], [*x.schema.names[:6], "vec"])
 
+    classes = placed(classes.mapInArrow(raw, "node long, weight long, low long, root_cell long, k1 long, k2 long, vec binary"), "node")
+    vecs, about = classes.select("node", "vec"), classes.drop("vec")
     tree = F.explode(F.array(*(F.lit(t) for t in range(trees)))).alias("tree")
-    seeds = classes.select("node", "weight", F.col("e").alias("vec"), "label", tree).select("node", "weight", "vec", "tree", F.xxhash64("label", F.size("vec"), "tree").alias("cell"), F.lit((1 << 62)).alias("was"))
-    leaves = grow(cut(seeds.mapInArrow(unit, _PLACED)), cosine, leaf)
-    leaves = cut(leaves.select("node", "weight", "vec", "cell").dropDuplicates(["node", "cell"]))
-    of = leaves.groupBy("node").agg(F.collect_list("cell").alias("leaves"))
-    blocks = leaves.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    met = leaves.join(of, "node").join(blocks, "cell").withColumn("b", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    met = met.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("b", "o")).withColumn("j", F.greatest("b", "o"))
+    roots_of = about.select("node", "root_cell", tree).select("node", F.xxhash64("root_cell", "tree").alias("cell"), "tree", F.lit(1 << 62).alias("was"))
+    leaves = cut(grow(vecs, roots_of, kind, cosine, leaf))
+    blocks = checked(leaves.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    of = leaves.join(blocks, "cell").groupBy("node").agg(F.collect_list(F.struct("cell", "blocks")).alias("leaves"))
+    met = classes.select("node", "weight", "vec").join(of, "node").select("node", "weight", "vec", "leaves", F.explode("leaves").alias("own"))
+    met = met.select(F.col("own.cell").alias("cell"), F.pmod(F.xxhash64("node"), F.col("own.blocks")).cast("int").alias("b"), "node", "weight", "vec", F.transform(F.filter("leaves", lambda q: q["cell"] < F.col("own.cell")), lambda q: q["cell"]).alias("early"), F.explode(F.sequence(F.lit(0), F.col("own.blocks") - 1)).alias("o"))
+    met = met.select("cell", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "node", "weight", "vec", "early")
 
     def compared(table: pa.Table) -> pa.Table:
-        cell, i, j = (table.column(c)[0].as_py() for c in ("cell", "i", "j"))
-        node, count, u, v = compare(cell, i, j, table.column("b").to_numpy(), table.column("node").to_numpy(), table.column("weight").to_numpy(), _matrix(table.column("vec")), table.column("leaves").to_pylist(), cosine)
+        i, j = (table.column(c)[0].as_py() for c in ("i", "j"))
+        node, count, u, v = compare(i, j, table.column("b").to_numpy(), table.column("node").to_numpy(), table.column("weight").to_numpy(), _matrix(table.column("vec").combine_chunks(), kind), table.column("early").to_pylist(), cosine)
         some = count > 0
         return pa.table({"node": np.concatenate([node[some], u]), "links": np.concatenate([count[some], np.zeros(len(u), np.int64)]), "other": pa.array([None] * int(some.sum()) + v.tolist(), pa.int64())})
 
-    found = cut(met.select("cell", "i", "j", "b", "node", "weight", "vec", "leaves").groupBy("cell", "i", "j").applyInArrow(compared, "node long, links long, other long"))
+    found = cut(met.groupBy("cell", "i", "j").applyInArrow(compared, "node long, links long, other long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected_components(found.where("other is not null").select("node", "other"))
-    known = classes.join(links, "node", "left").join(roots, "node", "left").select("label", "e", "weight", "low", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "node").alias("root"))
+    known = cut(about.join(links, "node", "left").join(roots, "node", "left").select("k1", "k2", "low", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "node").alias("root")))
     least = known.groupBy("root").agg(F.min("low").alias("component_id"))
-    known = known.join(least, "root").select("label", "e", (F.col("weight") - 1 + F.col("links")).alias("n_links"), "component_id")
-    linked = rows.join(known, ["label", "e"]).select("vec_id", "n_links", "component_id")
+    known = spread_join(known, least, "root").select("k1", "k2", "n_links", "component_id")
+    met_again = spread_join(rows.select("vec_id", *same), known.withColumnRenamed("k2", "_k2"), "k1").where("k2 = _k2")
+    linked = met_again.select("vec_id", "n_links", "component_id")
     alone = df.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 

@@ -28,11 +28,12 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, read, shared_dir, small_batches
+from .common import cut, graded_join, partitions, read, shared_dir, small_batches
 
 MAGIC = b"\x1f\x8b\x08"
 HEAD = b"WARC/1."
 LEAST = 1000
+BROADCAST = 100_000
 ROLL, SPLIT, STEP = 256 << 20, 4 << 20, 1 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -96,11 +97,12 @@ def decode(record: bytes) -> dict:
 
 def classify(pages: DataFrame, least: int = LEAST) -> DataFrame:
     """(page_id, url, payload, refers_to): of equal payloads of ``least`` bytes or more, all but those with the
-    largest page_id refer to it. Groups are counted from digests alone; only digests that recur are joined."""
+    largest page_id refer to it. Groups are counted from digests alone. The ``BROADCAST`` digests that recur most are
+    broadcast, so that payloads stay where they were read; only if there are more, the other rows are joined by shuffle."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    again = rows.where(F.length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("winner"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = rows.join(again, "digest", "left")
+    again = rows.where(F.length("payload") >= least).groupBy("digest").agg(F.max("page_id").alias("winner"), F.count("*").alias("n")).where("n > 1")
+    joined = graded_join(rows, again, ["digest"], F.col("n"), BROADCAST)
     return joined.select("page_id", "url", "payload", F.when(F.col("winner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("winner")), F.col("winner")).alias("refers_to"))
 
 
@@ -241,7 +243,10 @@ def read_archives(files: DataFrame, split: int = SPLIT) -> DataFrame:
 def op10_warc(spark, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     files = write(classify(read(spark, sf_dir, "pages")), folder)
-    return read_archives(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = cut(read_archives(files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    fs, base = pafs.FileSystem.from_uri(folder)
+    fs.delete_dir(base)  # the query's archives are its own; `write` leaves a caller's where they are
+    return found
 
 
 ORACLE = """

@@ -49,6 +49,46 @@ def test_cycles_have_no_level(spark):
     assert {r.level for r in result(spark, rows)} == {None}
 
 
+def test_long_chains_and_joins(spark):
+    """Levels of a chain of 1,200 links, of diamonds, of a cycle and what is behind it."""
+    edges = [(1, f"n{i}", f"n{i + 1}") for i in range(1200)]
+    edges += [(2, "a", "b"), (2, "a", "c"), (2, "b", "d"), (2, "c", "x"), (2, "x", "d"), (2, "d", "e"), (2, "a", "e")]
+    edges += [(3, "p", "q"), (3, "q", "p"), (3, "q", "r"), (3, "s", "r"), (3, "s", "t")]
+    nodes = sorted({(c, n) for c, a, b in edges for n in (a, b)}) + [(4, "alone")]
+    got = {(r.conv_id, r.node): r.level for r in ch.levels(spark.createDataFrame(edges, "conv_id long, before string, after string"), spark.createDataFrame(nodes, "conv_id long, node string")).collect()}
+    assert all(got[1, f"n{i}"] == i for i in range(1201))
+    assert [got[2, n] for n in "abcxde"] == [0, 1, 1, 2, 3, 4]
+    assert [got[3, n] for n in "pqrst"] == [None, None, None, 0, 1] and got[4, "alone"] == 0
+
+
+def test_random_orders_match_a_plain_walk(spark):
+    import random
+
+    rng = random.Random(2)
+    edges = sorted({(c, f"n{a}", f"n{b}") for c in range(8) for a, b in (sorted(rng.sample(range(8), 2)) for _ in range(rng.randrange(4, 14)))})
+    want = {}
+    for c, a, b in sorted(edges, key=lambda e: (e[0], int(e[1][1:]))):
+        want.setdefault((c, a), 0)
+        want[c, b] = max(want.get((c, b), 0), want[c, a] + 1)
+    nodes = spark.createDataFrame(sorted(want), "conv_id long, node string")
+    got = {(r.conv_id, r.node): r.level for r in ch.levels(spark.createDataFrame(edges, "conv_id long, before string, after string"), nodes).collect()}
+    assert got == want
+
+
+def test_references_elsewhere_change_nothing(spark):
+    """Levels of rows without an identifier or a conversation are the same with and without references in the table."""
+    rows = [told(9, 0, None, "x"), told(None, 1, "p", "y"), asked(None, 0, call("p", "add", {"a": 1})), asked(9, 2, call("k", "add", {"a": 1})), told(9, 3, "k", "z")]
+    more = [asked(2, 0, call("p", "add", {"a": 1})), told(2, 1, "p", "1"), asked(2, 2, call("q", "add", {"a": 1, "op": "$ref:p"}))]
+    own = lambda got: sorted((repr(r.conv_id), r.turn, r.kind, repr(r.call_id), r.level) for r in got if r.conv_id != 2)
+    assert own(result(spark, rows)) == own(result(spark, rows + more))
+
+
+def test_nulls_and_very_long_texts(spark):
+    rows = [(1, None, "user", "a", "z"), (1, 0, None, "b", "z"), (None, 1, "user", "c", "z"), (1, 1, "user", None, "z"), (1, 2, "assistant", "x" * 1_000_000, "z")]
+    got = result(spark, rows)
+    assert len(got) == len(rows) and max(len(r.json) for r in got) > 1_000_000
+
+
 def test_validation(spark):
     args = [{"a": 1}, {}, {"a": -1}, {"a": "1"}, {"a": 1, "op": "q"}, {"a": 1, "b": "x", "n": 0}, "not json", "[1]", {"a": 1.5}]
     rows = [asked(1, i, call(str(i), "add", a)) for i, a in enumerate(args)] + [asked(1, 99, call("99", "other", {}))]

@@ -46,6 +46,36 @@ def test_lists_cut_again_find_the_same(monkeypatch):
     assert {tuple(sorted(p)) for p in near.alike(e, at)} == want
 
 
+def test_large_groups_of_copies_are_one(spark):
+    """A third of all rows in one group of near copies, another in one of exact copies, by way of the least node or of lists."""
+    rng = np.random.default_rng(12)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(900):
+        own = list(base)
+        own[int(rng.integers(0, 120))] = f"other{i}"
+        rows.append(" ".join(own))
+    rows += ["one text of many exact copies and nothing else"] * 900
+    rows += [" ".join(f"x{i}y{k}" for k in range(60)) for i in range(300)]
+    got = near.groups(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
+    low = {r.doc_id: r.low for r in got}
+    assert {low[i] for i in range(900, 1800)} == {900} and all(low[i] == i for i in range(1800, 2100))
+    first = {low[i] for i in range(900)}
+    assert len(first) < 9  # two edits may part two texts, hardly a chain of 900
+
+
+def test_lists_whose_least_node_joins_nothing(spark):
+    """Sets that share bands with one that none of them is alike to are still compared with each other."""
+    rng = np.random.default_rng(13)
+    rows = []
+    for i in range(60):
+        w = [f"g{i}w{k}" for k in range(100)]
+        far = [f"n{rng.integers(1 << 40)}" for _ in range(22)]
+        rows += [" ".join(w[:78] + far), " ".join(w), " ".join(w[:95] + [f"m{rng.integers(1 << 40)}" for _ in range(5)])]
+    got = {r.doc_id: r.low for r in near.groups(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    assert all(got[3 * i + 2] == 3 * i + 1 for i in range(60) if likeness(rows[3 * i], rows[3 * i + 1]) < 0.8 > likeness(rows[3 * i], rows[3 * i + 2]))
+
+
 def test_texts_less_alike_stay(spark):
     found = [p for words, share in ((300, 0.78), (300, 0.7), (60, 0.6), (9, 0.6), (8, 0.6)) for p in pairs(share, 60, words, round(1000 * share) + words)]
     found += [(f"a{i} b c d e f", f"a{i} b c d e g") for i in range(20)]  # one shingle of three

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 
@@ -80,11 +82,25 @@ def test_query_parts_do_not_depend_on_the_sample(spark, table):
     assert all(n == ids.get(i, 0) for i, _, n, _ in results[0] if i >= 0)
 
 
-def test_long_words_are_cut(table, monkeypatch):
-    monkeypatch.setattr(pc, "LONG", 10)
-    text = "éa" * 30 + " b " + "x" * 25
-    words = table.cut(text)
-    assert "".join(words) == " " + text and max(len(w.encode()) for w in words) <= 14
+def test_long_words_are_folded_alike(spark, table, library, monkeypatch):
+    texts = ["éa" * 30 + " b " + "x" * 25, "thanedbleaneaerinerthanea" * 9, "日本語🙂" * 20, "▁▁", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    short = {r.doc_id: r.ids for r in pc.encode(df, table).collect()}
+    monkeypatch.setattr(pc, "LONG", 10)  # for chunks made in this process; workers keep their own
+    for i, t in enumerate(texts):
+        folded = [x for w in table.cut(t) for x in table.fold(w)]
+        assert folded == short[i]
+        assert folded == library.encode(t or "") or len(folded) == len(library.encode(t))
+
+
+def test_a_word_of_a_megabyte(spark, table):
+    rng = np.random.default_rng(1)
+    word = "".join(rng.choice(list("abcdefghij 日é")).replace(" ", "x") for _ in range(1000)) * 800
+    assert len(word.encode()) > 1_000_000
+    df = spark.createDataFrame([(1, word), (2, "a " + word[:300] + " b")], "doc_id long, text string")
+    began = time.time()
+    got = {r.doc_id: r for r in pc.summed(df, table).collect()}
+    assert got[1].round_trip and got[2].round_trip and got[1].n_words == 1 and time.time() - began < 60
 
 
 def test_empty_table(spark, table):

@@ -33,7 +33,7 @@ def roots(ids, fps):
 
 def test_fingerprints_match_brute_force():
     texts = [None, "", " \n ", "One", "Two words", "A b\tC  d\né É ñ", "x " * 500, "Größe \x0b ist A B C a b c"]
-    assert sh.simhash(pa.array(texts))[:, 0].tolist() == [brute_fp(t) for t in texts]
+    assert sh.simhash(pa.array(texts)).tolist() == [brute_fp(t) for t in texts]
     assert xxhash.xxh64_intdigest(b"", 42) == 0x98B1582B0977E704
 
 
@@ -54,15 +54,34 @@ def test_components_match_brute_force(spark):
     assert got == roots(ids, fps)
 
 
-def test_large_block_lists_lose_nothing(monkeypatch):
-    monkeypatch.setattr(sh, "SPLIT", 20)
+def test_large_block_lists_lose_nothing(spark):
+    """Lists over the split are dealt again, whether they end in a batch or run over many."""
     rng = np.random.default_rng(4)
-    fp = np.unique(rng.integers(0, 1 << 12, 300, dtype=np.uint64) << np.uint64(40))
-    table = sh.masks(list(range(64)), 6, 3)
-    c = np.repeat(np.arange(len(table)), len(fp))
-    got = {frozenset((int(x), int(y))) for a, b in sh.block_links(c, np.tile(fp, len(table))[:, None], table, 3, 6) for x, y in zip(np.tile(fp, len(table))[a], np.tile(fp, len(table))[b])}
-    want = {frozenset((int(x), int(y))) for x in fp for y in fp if x < y and bin(int(x) ^ int(y)).count("1") <= 3}
-    assert got == want
+    fps = [int(x) << 40 for x in np.unique(rng.integers(0, 1 << 14, 3000))] + [int(x) for x in rng.integers(0, 1 << 62, 500)]
+    ids = list(range(1, len(fps) + 1))
+    df = spark.createDataFrame(list(zip(ids, fps)), "doc_id long, f0 long")
+    whole = {r.doc_id: r.component_id for r in sh.components(df, split=1 << 30).collect()}
+    for split in (20, 1000, 2500):
+        assert {r.doc_id: r.component_id for r in sh.components(df, split=split).collect()} == whole
+    some = rng.choice(len(fps), 300, replace=False)
+    for i in some:
+        for j in some:
+            if bin(fps[i] ^ fps[j]).count("1") <= 3:
+                assert whole[ids[i]] == whole[ids[j]]
+
+
+def test_hot_fingerprints_and_hubs(spark):
+    """One fingerprint on most rows, one component of most fingerprints: more rows than any task's share."""
+    near = [1 << b | 1 << c for b in range(64) for c in range(b)]
+    fps = [0] * 5000 + [f - (1 << 64) if f >> 63 else f for f in near]
+    df = spark.createDataFrame([(len(fps) - i, f) for i, f in enumerate(fps)], "doc_id long, f0 long")
+    got = sh.components(df)
+    assert got.count() == len(fps) and [r.component_id for r in got.select("component_id").distinct().collect()] == [1]
+
+
+def test_very_long_text():
+    text = "Ab cd ef gh " * 60_000
+    assert sh.simhash(pa.array([text, "x"])).tolist() == [brute_fp(text), brute_fp("x")]
 
 
 def test_empty_table_and_repeated_rows(spark):
@@ -91,11 +110,3 @@ def test_near_copies_go_and_others_stay(spark):
     kept = {r.doc_id for r in sh.keep_one(df).collect()}
     assert kept.isdisjoint({9001, 9002}) and {10 * i for i in range(120)} | {9000} <= kept
     assert len(kept & near) <= 0.02 * len(near)
-
-
-def test_repeated_lines_do_not_make_documents_alike():
-    line = "the same five words here again and again " * 40
-    a, b = (line + " ".join(f"{k}{i}" for i in range(40)) for k in "ab")
-    c = " ".join(f"c{i}" for i in range(300))
-    f = sh.simhash(pa.array([a, b, c]), 5, 2, True)
-    assert np.bitwise_count(f[0] ^ f[1]).sum() > sh.NEAR["distance"] < np.bitwise_count(f[0] ^ f[2]).sum()

@@ -50,6 +50,30 @@ def test_against_brute_force_in_deep_trees(spark):
     assert result(spark, rows, leaf=40, block=30) == brute(rows)
 
 
+def test_recall_three_subtrees_deep(spark, monkeypatch):
+    """Cells are cut over and over (subtrees of depth 2, so that 3,000 vectors need several): nearly all links are found."""
+    monkeypatch.setattr(vx, "DEPTH", 2)
+    rng = np.random.default_rng(14)
+    x = clusters(rng, 3000, 32, 1400, 0.1)
+    rows = [(i, v, 0) for i, v in enumerate(x)]
+    rounds = []
+    grow = vx.cut
+    monkeypatch.setattr(vx, "cut", lambda df: (rounds.append(df.columns), grow(df))[1])
+    got = {r[0]: r[1] for r in result(spark, rows, leaf=20, block=64)}
+    assert sum(c == ["node", "cell", "tree", "was"] for c in rounds) >= 4  # the roots, and three rounds or more of cuts
+    want = {r[0]: r[1] for r in brute(rows)}
+    assert all(got[i] <= n for i, n in want.items())
+    assert sum(got.values()) >= 0.97 * sum(want.values()) > 0
+
+
+def test_doubles_and_hot_vectors(spark):
+    """Double components are compared as such; one vector on most rows is one class."""
+    rows = [(i, [1.0, 0.0, 0.0], 1) for i in range(6000)] + [(9000, [1.0, 1e-9, 0.0], 1), (9001, [0.98, 0.19899748742132398, 0.0], 1), (9002, [0.97, 0.24, 0.0], 1)]
+    got = {r.vec_id: r for r in vx.dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert len(got) == len(rows) and got[0].n_links in (6000, 6001) and got[0].kept and got[9000].component_id == 0
+    assert got[9002].component_id in (0, 9002) and sum(r.kept for r in got.values()) <= 3
+
+
 def test_one_dense_group_in_blocks(spark):
     rng = np.random.default_rng(12)
     x = clusters(rng, 300, 16, 1, 0.03)
