@@ -81,7 +81,7 @@ def test_posterior_of_every_row(spark, model, monkeypatch, most):
         cut = " ".join(words[: int(rng.integers(0, 9))])
         rows.append((i, f"http://h{rng.integers(0, 7)}.x.{['de', 'fr', 'com'][rng.integers(0, 3)]}/p", ["", "<html lang=de>", "<html lang='xx'>"][rng.integers(0, 3)] + cut))
     got = {r.page_id: r for r in li.of_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), model).collect()}
-    parts = [(u.split("/")[2], u.split("/")[2].rpartition(".")[2], "de" if "lang=de" in h else "xx" if "xx" in h else "", h.rpartition(">")[2]) for _, u, h in rows]
+    parts = [(u.split("/")[2], u.split("/")[2].rpartition(".")[2], "de" if "lang=de" in h else "xx" if "xx" in h else "", " " * (">" in h) + h.rpartition(">")[2]) for _, u, h in rows]
     for (i, _, _), (lang, sure) in zip(rows, posterior(parts, model)):
         assert got[i].lang == lang and abs(got[i].lang_confidence - sure) < 1e-9
 

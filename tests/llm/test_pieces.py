@@ -95,7 +95,7 @@ def test_long_words_are_folded_alike(spark, table, library, monkeypatch):
 
 def test_a_word_of_a_megabyte(spark, table):
     rng = np.random.default_rng(1)
-    word = "".join(rng.choice(list("abcdefghij 日é")).replace(" ", "x") for _ in range(1000)) * 800
+    word = "".join(rng.choice(list("abcdefghij 日é")).replace(" ", "x") for _ in range(1000)) * 900
     assert len(word.encode()) > 1_000_000
     df = spark.createDataFrame([(1, word), (2, "a " + word[:300] + " b")], "doc_id long, text string")
     began = time.time()
