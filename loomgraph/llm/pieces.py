@@ -288,8 +288,36 @@ def _cut_at(counts: np.ndarray) -> Iterator[tuple[int, int]]:
 _DATA = pa.schema([("doc_id", pa.list_(pa.int64())), ("hash", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), ("codes", pa.list_(pa.binary())), ("own", pa.list_(pa.list_(pa.int32())))])
 
 
+#: Codes below are bytes of their own.
+_SHORT = 191
+
+
+def _packed(codes: np.ndarray, fresh: np.ndarray) -> list[bytes]:
+    """Codes as streams of bytes that compress well: a byte each, which for frequent words is all; 14 more bits for most
+    others; four bytes for the rest. Fresh codes follow from those before and have the byte ``_SHORT``."""
+    rest = codes - _SHORT
+    top = np.minimum(rest >> 14, 63)
+    some = ~fresh & (rest >= 0)
+    first = np.where(fresh, _SHORT, np.where(rest < 0, codes, _SHORT + 1 + top)).astype(np.uint8)
+    low = (rest[some & (top < 63)] & 0x3FFF).astype("<u2").view(np.uint8).reshape(-1, 2)
+    return [first.tobytes(), low[:, 0].tobytes(), low[:, 1].tobytes(), rest[some & (top == 63)].astype("<u4").tobytes()]
+
+
+def _unpacked(streams: list[bytes], base: int) -> np.ndarray:
+    """The codes; fresh ones count on from ``base``."""
+    first, low, high, far = (np.frombuffer(s, np.uint8) for s in streams)
+    codes = first.astype(np.int64)
+    fresh, some = codes == _SHORT, codes > _SHORT
+    wide = codes == _SHORT + 64
+    codes[fresh] = base + np.arange(np.count_nonzero(fresh))
+    near = some & ~wide
+    codes[near] = (codes[near] - _SHORT - 1 << 14) + (low | high.astype(np.int64) << 8) + _SHORT
+    codes[wide] = far.view("<u4").astype(np.int64) + _SHORT
+    return codes
+
+
 class Chunk:
-    """Some whole texts as codes of words: known ones first, then the words the chunk asks for, then its long ones."""
+    """Some whole texts as codes of words: known ones first, then the words the chunk asks for in order, then its long ones."""
 
     def __init__(self, words: Words, known: Known, table: Table):
         h = words.hashes()
@@ -297,8 +325,11 @@ class Chunk:
         size = words.ends - words.starts
         far, own = np.flatnonzero((self.codes < 0) & (size <= LONG)), np.flatnonzero(size > LONG)
         self.hashes, at, place = np.unique(h[far], return_index=True, return_inverse=True)
-        self.codes[far] = len(known.sizes) + place
-        self.asked, self.words, self.table = far[at], words, table
+        order = np.argsort(at)
+        rank = np.empty(len(at), np.int64)
+        rank[order] = np.arange(len(at))
+        self.codes[far] = len(known.sizes) + rank[place]
+        self.asked, self.words, self.table = far[at[order]], words, table
         _, at, place = np.unique(h[own], return_index=True, return_inverse=True)
         self.long = own[at]
         self.codes[own] = len(known.sizes) + len(self.asked) + place
@@ -308,9 +339,10 @@ class Chunk:
         return int(mix(np.array([at], U) ^ mix(np.bitwise_xor.reduce(self.hashes, initial=U(0)) + U(len(self.hashes)))[None])[0].view(np.int64))
 
     def data(self, ids: pa.Array, hashes: pa.Array) -> bytes:
-        planes = self.codes.astype("<u4").view(np.uint8).reshape(-1, 4)
+        fresh = np.zeros(len(self.codes), bool)
+        fresh[self.asked] = True
         own = [self.table.fold(w) for w in _strings(self.words, self.long).to_pylist()]
-        row = {"doc_id": ids.to_pylist(), "hash": hashes.to_pylist(), "n": np.diff(self.words.first), "codes": [np.ascontiguousarray(planes[:, k]).tobytes() for k in range(4)], "own": own}
+        row = {"doc_id": ids.to_pylist(), "hash": hashes.to_pylist(), "n": np.diff(self.words.first), "codes": _packed(self.codes, fresh), "own": own}
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, _DATA, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as w:
             w.write_batch(pa.RecordBatch.from_pylist([row], _DATA))
@@ -341,8 +373,11 @@ def encoded(docs: DataFrame, table: Table, text: str = "text", id_: str = "doc_i
             yield pa.RecordBatch.from_arrays([_strings(c.words, c.asked), pa.array(np.full(m, c.name(at), np.int64)), pa.array(np.arange(m, dtype=np.int32))], ["word", "chunk", "k"])
 
     hashed = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("hash"))
-    rare = hashed.mapInArrow(far, "word string, chunk long, k int").repartition(n, "word")
-    dictionary = lattice(rare.select("word").distinct(), table)
+    rare = hashed.mapInArrow(far, "word string, chunk long, k int").where("word is not null and chunk is not null").repartition(n, "word")
+    # distinct words, by counts that need all columns, as the filter above names what joins would add: so both readers of
+    # the shuffle are the same, and it is made once
+    distinct = rare.groupBy("word").agg(F.count("chunk").alias("chunks"), F.max("k").alias("last")).where("chunks > 0 and last >= 0").select("word")
+    dictionary = lattice(distinct, table)
     answers = rare.join(dictionary, "word").groupBy("chunk").agg(F.collect_list(F.struct("k", F.col("ids").cast("array<smallint>").alias("ids"))).alias("got"))
     parts = hashed.mapInArrow(near, "chunk long, n int, data binary").join(answers, "chunk", "left").select("n", "data", "got")
     octets = Octets(table) if decoded else None
@@ -360,8 +395,8 @@ def encoded(docs: DataFrame, table: Table, text: str = "text", id_: str = "doc_i
 
 
 def _put_together(data: pa.Table, asked: int, got: pa.StructArray | None, known: Known) -> Iterator[list[pa.Array]]:
-    doc_id, hashes, n, planes, own = (data.column(c)[0].values for c in ("doc_id", "hash", "n", "codes", "own"))
-    codes = sum(np.frombuffer(p, np.uint8).astype(np.int64) << 8 * k for k, p in enumerate(planes.to_pylist()))
+    doc_id, hashes, n, streams, own = (data.column(c)[0].values for c in ("doc_id", "hash", "n", "codes", "own"))
+    codes = _unpacked(streams.to_pylist(), len(known.sizes))
     if (len(got) if got is not None else 0) != asked:
         raise RuntimeError("the texts were read in another order the second time")
     lists = []

@@ -111,3 +111,15 @@ def test_query_matches_sql(spark):
     got = ch.op4_chat(spark, sf)
     want = duckdb.sql(ch.ORACLE).fetchall()
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_query_with_nulls_and_repeats_matches_sql(spark, tmp_path):
+    import duckdb
+
+    rows = [(c, t, r, x) for c in (1, 2, None) for t in (0, 1, -1, None) for r in ("user", "assistant", "system", None) for x in ("a", None, 'q"\\\n')]
+    rows += rows[:20] + [(7, 0, "user", "x" * 200_000), (7, 1, "assistant", "")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    got = ch.op4_chat(spark, str(tmp_path)).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.execute(ch.ORACLE).fetchall()))

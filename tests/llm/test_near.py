@@ -51,17 +51,17 @@ def test_large_groups_of_copies_are_one(spark):
     rng = np.random.default_rng(12)
     base = [f"w{i}" for i in range(120)]
     rows = []
-    for i in range(900):
+    for i in range(300):
         own = list(base)
         own[int(rng.integers(0, 120))] = f"other{i}"
         rows.append(" ".join(own))
-    rows += ["one text of many exact copies and nothing else"] * 900
-    rows += [" ".join(f"x{i}y{k}" for k in range(60)) for i in range(300)]
+    rows += ["one text of many exact copies and nothing else"] * 1200
+    rows += [" ".join(f"x{i}y{k}" for k in range(60)) for i in range(100)]
     got = near.groups(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()
     low = {r.doc_id: r.low for r in got}
-    assert {low[i] for i in range(900, 1800)} == {900} and all(low[i] == i for i in range(1800, 2100))
-    first = {low[i] for i in range(900)}
-    assert len(first) < 9  # two edits may part two texts, hardly a chain of 900
+    assert {low[i] for i in range(300, 1500)} == {300} and all(low[i] == i for i in range(1500, 1600))
+    first = {low[i] for i in range(300)}
+    assert len(first) < 9  # two edits may part two texts, hardly a chain of 300
 
 
 def test_lists_whose_least_node_joins_nothing(spark):

@@ -119,3 +119,19 @@ def test_the_query_sums_the_ids_and_decodes_them(spark, table):
         assert {i: (r.n_pieces, r.digest) for i, r in got.items()} == digest and len(got) == len(texts)
         assert all(got[i].round_trip == (back[i] == (t or "")) for i, t in enumerate(texts))
         assert [i for i, r in got.items() if not r.round_trip] == [texts.index("x ▁ y")]
+
+
+def test_codes_survive_packing():
+    rng = np.random.default_rng(2)
+    base = 600_000
+    known = rng.integers(0, base, 3000)
+    known[:500] = rng.integers(0, 300, 500)
+    fresh = rng.random(3000) < 0.2
+    codes = known.copy()
+    codes[fresh] = base + np.arange(fresh.sum())
+    again = np.flatnonzero(~fresh)[1000:1100]
+    codes[again] = base + rng.integers(0, 50, 100)
+    codes[np.flatnonzero(~fresh)[-5:]] = [190, 191, 191 + (63 << 14) - 1, 191 + (63 << 14), 50_000_000]
+    assert (pc._unpacked(pc._packed(codes, fresh), base) == codes).all()
+    none = np.empty(0, np.int64)
+    assert len(pc._unpacked(pc._packed(none, none.astype(bool)), 5)) == 0

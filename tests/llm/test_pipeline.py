@@ -103,3 +103,26 @@ def test_run_is_the_stages_in_order(spark, stages):
     got = {(r.doc_id, r.piece, r.ids_crc32) for r in cp.run(spark, SF).collect()}
     made = stages["packing"][1]
     assert got == set(zip(made.doc_id, made.piece, made.ids_crc32))
+
+
+def test_repeated_ids_ties_and_a_very_long_text(spark, tmp_path):
+    """Rows with one id are told apart by their texts; of equal rows one stays; a long text goes through whole."""
+    import random
+
+    rng = random.Random(4)
+    common_words = "the and of to in that is was for on with as his they be at this from have not by".split()
+    prose = lambda n: " ".join(rng.choice(common_words) + rng.choice(["", "ing", "ed", "er"]) for _ in range(n))
+    a, b, long = prose(120), prose(120), prose(150_000)
+    rows = [(1, a, "en", "s", len(a), "x"), (1, b, "en", "s", len(b), "y"), (1, a, "en", "s", len(a), "z"), (2, long, "en", "s", len(long), "x"), (3, a.upper(), "en", "t", len(a), "x"), (3, b, None, "t", len(b), "x")]
+    at = str(tmp_path)
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{at}/documents.parquet")
+    docs, made = spark.read.parquet(f"{at}/documents.parquet"), {}
+    for name, stage in cp.STAGES:
+        stage(spark, docs, at).write.parquet(f"{at}/{name}")
+        docs = made[name] = spark.read.parquet(f"{at}/{name}")
+    assert sorted((r.doc_id, len(r.text)) for r in made["language"].collect()) == sorted((r[0], len(r[1])) for r in rows)
+    assert sorted((r.doc_id, r.text) for r in made["near_copies"].collect()) == sorted([(1, a), (1, b), (2, long)])
+    assert made["repeats"].where("doc_id = 2").first().n_chars == made["repeats"].where("doc_id = 2").selectExpr("length(text) n").first().n
+    pieces = made["packing"].where("doc_id = 2").orderBy("piece").collect()
+    assert [p.start for p in pieces] == [0, *[sum(q.length for q in pieces[: i + 1]) for i in range(len(pieces) - 1)]] and len(pieces) > 100
+    assert {(r.doc_id, r.piece) for r in cp.run(spark, at).collect()} == {(r.doc_id, r.piece) for r in made["packing"].collect()}

@@ -51,15 +51,15 @@ def test_against_brute_force_in_deep_trees(spark):
 
 
 def test_recall_three_subtrees_deep(spark, monkeypatch):
-    """Cells are cut over and over (subtrees of depth 2, so that 3,000 vectors need several): nearly all links are found."""
+    """Cells are cut over and over (subtrees of depth 2, so that 1,500 vectors need several): nearly all links are found."""
     monkeypatch.setattr(vx, "DEPTH", 2)
     rng = np.random.default_rng(14)
-    x = clusters(rng, 3000, 32, 1400, 0.1)
+    x = clusters(rng, 1500, 32, 700, 0.1)
     rows = [(i, v, 0) for i, v in enumerate(x)]
     rounds = []
     grow = vx.cut
     monkeypatch.setattr(vx, "cut", lambda df: (rounds.append(df.columns), grow(df))[1])
-    got = {r[0]: r[1] for r in result(spark, rows, leaf=20, block=64)}
+    got = {r[0]: r[1] for r in result(spark, rows, leaf=12, block=64)}
     assert sum(c == ["node", "cell", "tree", "was"] for c in rounds) >= 4  # the roots, and three rounds or more of cuts
     want = {r[0]: r[1] for r in brute(rows)}
     assert all(got[i] <= n for i, n in want.items())
