@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as S
 from loomgraph.operators import graph, resolve, rules
+from loomgraph.plans.lineage import cut
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -76,9 +77,20 @@ def oracle_sql() -> dict[str, str]:
     return dict(_SQL)
 
 
+def _pick(by: str, *values: str):
+    """One of the values, by a number column."""
+    return F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.col(by), F.lit(len(values))) + 1).cast("int"))
+
+
 # --- graph
 
 
+@query("g1_reachable_rounds", f"WITH RECURSIVE {EDGES}, r AS (SELECT p_partkey AS node FROM part WHERE p_size = 1 UNION SELECT dst FROM r JOIN edges ON src = node) SELECT node FROM r")
+def _(t):
+    """The rounds of joins that large graphs take."""
+    return graph.reachable(t.edges(), t.entries(), local=0).select("node")
+
+
 @query("g1_reachable", f"WITH RECURSIVE {EDGES}, r AS (SELECT p_partkey AS node FROM part WHERE p_size = 1 UNION SELECT dst FROM r JOIN edges ON src = node) SELECT node FROM r")
 def _(t):
     return graph.reachable(t.edges(), t.entries()).select("node")
@@ -107,6 +119,11 @@ def _(t):
     return graph.cycles(t.edges())
 
 
+@query("g5_cycles_rounds", f"WITH RECURSIVE {CYCLES} SELECT node, component, size FROM s")
+def _(t):
+    return graph.cycles(t.edges(), local=0)
+
+
 @query("g6_cycle_text", f"WITH RECURSIVE {CYCLES} SELECT component, size, string_agg(CAST(node AS VARCHAR), ' -> ' ORDER BY node) || ' -> ' || CAST(component AS VARCHAR) AS path FROM s GROUP BY component, size")
 def _(t):
     return graph.cycle_text(graph.cycles(t.edges()))
@@ -147,9 +164,7 @@ def _(t):
 
 @query("g13_edges_through_stars", f"WITH {EDGES} SELECT DISTINCT src, dst, kind FROM (SELECT src, dst, 'import' AS kind FROM edges UNION ALL SELECT a.src, b.dst, 'reexport' FROM edges a JOIN edges b ON a.dst = b.src JOIN part ON p_partkey = a.dst WHERE p_size <= 10)")
 def _(t):
-    e, barrels = t.edges(), t.part.where("p_size <= 10").select(F.col("p_partkey").alias("dst"))
-    through = e.join(barrels, "dst").select("src", F.col("dst").alias("mid")).join(e.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst", F.lit("reexport").alias("kind"))
-    return e.withColumn("kind", F.lit("import")).union(through).distinct()
+    return graph.through_stars(t.edges(), t.part.where("p_size <= 10").select("p_partkey"))
 
 
 @query(
@@ -260,24 +275,27 @@ def _(t):
     return rules.peers(t.usage(), peers)
 
 
-@query("j28_migrations", "SELECT s_suppkey, n_name AS suggestion FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_acctbal > 0")
+@query("j28_migrations", "SELECT n_name AS legacy, r_name AS modern, 'consider ' || r_name || ' instead of ' || n_name || ': no ' || n_nationkey AS message FROM nation JOIN region ON r_regionkey = n_regionkey WHERE n_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 3 = 0)")
 def _(t):
-    return t.supplier.where("s_acctbal > 0").join(F.broadcast(t.nation), F.col("n_nationkey") == F.col("s_nationkey")).select("s_suppkey", F.col("n_name").alias("suggestion"))
+    table = t.nation.join(t.region, F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("n_name").alias("legacy"), F.col("r_name").alias("modern"), F.concat(F.lit("no "), F.col("n_nationkey").cast("string")).alias("reason"))
+    active = t.supplier.where("s_suppkey % 3 = 0").join(t.nation, F.col("n_nationkey") == F.col("s_nationkey")).select(F.col("n_name").alias("name"))
+    return rules.migrations(active, table)
 
 
-@query("o6_difference", f"WITH {DEPS}, {USAGE} SELECT package FROM deps EXCEPT SELECT package FROM usage")
+@query("o6_difference", f"WITH {DEPS}, {USAGE} SELECT manifest_path, package FROM deps EXCEPT SELECT manifest_path, package FROM usage")
 def _(t):
-    return t.deps().select("package").distinct().join(t.usage().select("package"), "package", "left_anti")
+    return rules.difference(t.deps(), t.usage(), ["manifest_path", "package"])
 
 
 @query("o7_intersection", f"WITH {DEPS}, {USAGE} SELECT package FROM deps INTERSECT SELECT package FROM usage")
 def _(t):
-    return t.deps().select("package").distinct().join(t.usage().select("package"), "package", "left_semi")
+    return rules.intersection(t.deps(), t.usage(), ["package"])
 
 
-@query("o5_union", f"WITH {DEPS}, {USAGE} SELECT manifest_path, package FROM deps UNION SELECT manifest_path, package FROM usage")
+@query("o5_union", f"WITH {DEPS}, {USAGE} SELECT manifest_path, package FROM deps UNION SELECT manifest_path, package FROM usage UNION SELECT s_suppkey, s_nationkey FROM supplier")
 def _(t):
-    return t.deps().select("manifest_path", "package").unionByName(t.usage().select("manifest_path", "package")).distinct()
+    cols = ["manifest_path", "package"]
+    return rules.united(t.deps().select(*cols), t.usage().select(*cols), t.supplier.select(F.col("s_suppkey").alias("manifest_path"), F.col("s_nationkey").alias("package")))
 
 
 # --- exports and use: files are parts, names are brands
@@ -291,9 +309,10 @@ def _(t):
 )
 def _(t):
     exports = t.part.select(F.col("p_partkey").alias("file_path"), F.col("p_brand").alias("name"))
-    symbols = t.edges().join(t.part, F.col("p_partkey") == F.col("src")).select(F.col("src").alias("file_path"), F.col("dst").alias("specifier"), F.col("p_brand").alias("imported_name"), F.col("p_brand").alias("local_name"))
-    resolved = t.edges().select(F.col("src").alias("file_path"), F.col("dst").alias("specifier"), F.col("dst").alias("target"))
-    return rules.dead_exports(exports, rules.references(symbols, resolved), graph.reachable(t.edges(), t.entries()), t.entries().withColumnRenamed("node", "file_path"))
+    edges = cut(t.edges())
+    symbols = edges.join(t.part, F.col("p_partkey") == F.col("src")).select(F.col("src").alias("file_path"), F.col("dst").alias("specifier"), F.col("p_brand").alias("imported_name"), F.col("p_brand").alias("local_name"))
+    resolved = edges.select(F.col("src").alias("file_path"), F.col("dst").alias("specifier"), F.col("dst").alias("target"))
+    return rules.dead_exports(exports, rules.references(symbols, resolved), graph.reachable(edges, t.entries()), t.entries().withColumnRenamed("node", "file_path"))
 
 
 @query(
@@ -305,10 +324,10 @@ def _(t):
     return rules.references(symbols, t.edges().select(F.col("src").alias("file_path"), F.col("dst").alias("specifier"), F.col("dst").alias("target")))
 
 
-@query("j19_zombie_exports", f"WITH {EDGES} SELECT p_partkey, p_brand FROM part WHERE p_brand NOT IN (SELECT p_brand FROM edges JOIN part ON p_partkey = src WHERE p_size > 45)")
+@query("j19_zombie_exports", f"WITH {EDGES} SELECT p_partkey AS file_path, p_brand AS name FROM part WHERE p_brand NOT IN (SELECT p_brand FROM edges JOIN part ON p_partkey = src WHERE p_size > 45)")
 def _(t):
-    used = t.edges().join(t.part.where("p_size > 45"), F.col("p_partkey") == F.col("src")).select("p_brand")
-    return t.part.select("p_partkey", "p_brand").join(used, "p_brand", "left_anti").select("p_partkey", "p_brand")
+    used = t.edges().join(t.part.where("p_size > 45"), F.col("p_partkey") == F.col("src")).select(F.col("p_brand").alias("name"))
+    return rules.zombie_exports(t.part.select(F.col("p_partkey").alias("file_path"), F.col("p_brand").alias("name")), used)
 
 
 @query(
@@ -488,9 +507,9 @@ def _(t):
     return _paths(t).select("page_id", "p", S.dirname(c).alias("dir"), S.basename(c).alias("base"), S.drop_extension(c).alias("bare"))
 
 
-@query("f12_builtin", "SELECT event_id, event_type IN ('fs', 'path', 'url') OR event_id % 3 = 0 AS builtin FROM events")
+@query("f12_builtin", "SELECT event_id, event_id % 7 IN (0, 1, 2, 4) AS builtin FROM events")
 def _(t):
-    return t.events.select("event_id", S.is_builtin(F.when(F.col("event_id") % 3 == 0, "node:fs").otherwise(F.concat(F.lit("x-"), "event_type"))).alias("builtin"))
+    return t.events.select("event_id", S.is_builtin(_pick("event_id", "node:fs", "fs", "path", "fs-extra", "worker_threads", "@scope/fs", "pathe")).alias("builtin"))
 
 
 @query("f13_alias_regex", f"WITH {SPECS} SELECT page_id, specifier, regexp_extract(specifier, '^/([a-z])(.*)$', 2) AS rest FROM specs WHERE regexp_matches(specifier, '^/t(.*)$')")
@@ -499,15 +518,23 @@ def _(t):
     return s.select("page_id", "specifier", F.expr("regexp_extract(specifier, r, 1)").alias("rest"))
 
 
-@query("f14_strip_runner", "SELECT event_id, event_type || ' --now' AS command FROM events")
+@query("f14_strip_runner", "SELECT event_id, CASE event_id % 7 WHEN 5 THEN 'node ' WHEN 6 THEN 'npxx ' ELSE '' END || event_type || ' --now' AS command FROM events")
 def _(t):
-    runner = F.when(F.col("event_id") % 2 == 0, "npx --yes ").otherwise("  pnpm exec ")
+    runner = _pick("event_id", "npx --yes ", "  pnpm exec ", "yarn ", "bunx -b --c ", "", "node ", "npxx ")
     return t.events.select("event_id", S.strip_runner(F.concat(runner, "event_type", F.lit(" --now"))).alias("command"))
 
 
-@query("f15_strip_comments", "SELECT event_id, props AS json FROM events")
+@query(
+    "f15_strip_comments",
+    """SELECT event_id, CASE event_id % 3 WHEN 0 THEN '{"a": "x // ' || event_type || '",  "b": [1, 2] }' WHEN 1 THEN '{' || chr(10) || '"u": "http://' || event_type || '" }' ELSE '["/* ' || event_type || ' */", ",]"]' END AS json FROM events""",
+)
 def _(t):
-    return t.events.select("event_id", S.strip_comments(F.concat(F.lit("/* a */"), "props", F.lit("// b: \"c\""))).alias("json"))
+    kind = F.col("event_type")
+    one = F.concat(F.lit('{"a": "x // '), kind, F.lit('", /* no */ "b": [1, 2,], }'))
+    two = F.concat(F.lit('{// "k": 1,\n"u": "http://'), kind, F.lit('", }'))
+    three = F.concat(F.lit('["/* '), kind, F.lit(' */", ",]"/* , */,]'))
+    k = F.col("event_id") % 3
+    return t.events.select("event_id", S.strip_comments(F.when(k == 0, one).when(k == 1, two).otherwise(three)).alias("json"))
 
 
 @query("f16_dev_path", "SELECT page_id, regexp_matches(lower(url), 'test|spec|mock|fixture|storybook|stories|e2e|config|scripts') AS dev FROM pages")
@@ -515,9 +542,10 @@ def _(t):
     return t.pages.select("page_id", S.is_dev_path(F.col("url")).alias("dev"))
 
 
-@query("f17_non_serialisable", "SELECT event_id, event_id % 2 = 0 AS bad FROM events")
+@query("f17_non_serialisable", "SELECT event_id, event_id % 9 IN (0, 1, 2, 3, 4) AS bad FROM events")
 def _(t):
-    return t.events.select("event_id", S.non_serialisable(F.when(F.col("event_id") % 2 == 0, "(a) => a").otherwise(F.col("props"))).alias("bad"))
+    text = _pick("event_id", "(a) => a", "x => x.y", "async function () {}", "[new WeakMap()]", "{ s: Symbol('k') }", "{ a: 1 }", "'x => y'", "[1, 2].length", "f(a)")
+    return t.events.select("event_id", S.non_serialisable(text).alias("bad"))
 
 
 @query("f18_percentage", "SELECT o_orderkey, CAST(floor(100 * o_orderkey / (SELECT max(o_orderkey) FROM orders) + 0.5) AS BIGINT) AS percent FROM orders")
@@ -529,9 +557,10 @@ def _(t):
 # --- predicates
 
 
-@query("p1_protected", "SELECT page_id, regexp_matches(url || '/tests/a.ts', '(^|/)(__tests__|tests?)/') AS hit FROM pages")
+@query("p1_protected", "SELECT page_id, page_id % 9 IN (0, 1, 2, 3, 4) AS hit FROM pages")
 def _(t):
-    return t.pages.select("page_id", rules.protected(F.concat("url", F.lit("/tests/a.ts"))).alias("hit"))
+    path = _pick("page_id", "src/a.test.ts", "src/__tests__/x.ts", "tests/y.js", "vite.config.mts", ".eslintrc.js", "src/a.ts", "contest/a.ts", "src/latest.ts", "a.config.json.ts")
+    return t.pages.select("page_id", rules.protected(path).alias("hit"))
 
 
 @query(
@@ -561,10 +590,10 @@ def _(t):
     return rules.reportable_exports(t.part.select("p_partkey", F.when(F.col("p_size") % 3 == 0, "default").when(F.col("p_size") % 3 == 1, "*").otherwise(F.col("p_brand")).alias("name")))
 
 
-@query("p6_countable", "SELECT event_id, NOT starts_with(event_type, 'v') AS ok FROM events")
+@query("p6_countable", "SELECT event_id, NOT (event_id % 5 IN (0, 1) OR (event_id % 5 = 2 AND event_id % 2 = 0)) AS ok FROM events")
 def _(t):
-    name = F.when(F.col("event_type").startswith("v"), F.concat(F.lit("@types/"), "event_type")).otherwise(F.col("event_type"))
-    return t.events.select("event_id", rules.countable_dependency(name, F.lit("self"), F.lit(True)).alias("ok"))
+    name = F.concat(_pick("event_id", "@types/", "self", "typescript", "types-", ""), F.when(F.col("event_id") % 5 > 2, F.col("event_type")).when(F.col("event_id") % 5 == 0, F.col("event_type")).otherwise(""))
+    return t.events.select("event_id", rules.countable_dependency(name, F.lit("self"), F.col("event_id") % 2 == 0).alias("ok"))
 
 
 @query("p9_active_plugins", f"WITH {DEPS} SELECT DISTINCT p_brand AS plugin FROM part WHERE (p_size <= 25 AND p_type IN (SELECT p_type FROM part WHERE p_size = 1)) OR (p_size > 40 AND p_partkey IN (SELECT package FROM deps))")
@@ -627,17 +656,19 @@ def _(t):
 
 @query("a3_workspace_summary", "SELECT (SELECT count(*) FROM supplier) AS n_packages, count(*) AS n_links, count(DISTINCT l_partkey) AS n_names FROM lineitem")
 def _(t):
-    return t.lineitem.agg(F.count("*").alias("n_links"), F.count_distinct("l_partkey").alias("n_names")).crossJoin(t.supplier.agg(F.count("*").alias("n_packages")))
+    return rules.workspace_summary(t.supplier, t.lineitem, "l_partkey")
 
 
 @query("a4_export_registry", "SELECT l_orderkey AS file_path, string_agg(DISTINCT CAST(l_partkey AS VARCHAR), ',' ORDER BY CAST(l_partkey AS VARCHAR)) AS names FROM lineitem GROUP BY l_orderkey")
 def _(t):
-    return t.lineitem.groupBy(F.col("l_orderkey").alias("file_path")).agg(F.array_join(F.array_sort(F.collect_set(F.col("l_partkey").cast("string"))), ",").alias("names"))
+    exports = t.lineitem.select(F.col("l_orderkey").alias("file_path"), F.col("l_partkey").cast("string").alias("name"))
+    return rules.export_registry(exports).select("file_path", F.array_join("names", ",").alias("names"))
 
 
-@query("a5_consumed_by_side", "SELECT l_suppkey = 1 AS is_root, count(DISTINCT l_partkey) AS n_packages FROM lineitem GROUP BY 1")
+@query("a5_consumed_by_side", "SELECT l_suppkey = 1 AS is_root, count(DISTINCT l_partkey) AS n_packages, min(l_partkey) AS least FROM lineitem GROUP BY 1")
 def _(t):
-    return t.lineitem.groupBy((F.col("l_suppkey") == 1).alias("is_root")).agg(F.count_distinct("l_partkey").alias("n_packages"))
+    found = rules.consumed_by_side(t.lineitem.select("l_suppkey", F.col("l_partkey").alias("package")), F.col("l_suppkey") == 1)
+    return found.select("is_root", F.size("packages").cast("long").alias("n_packages"), F.col("packages")[0].alias("least"))
 
 
 @query("a6_first_finding", "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) WHERE n = 1")
@@ -647,7 +678,7 @@ def _(t):
 
 @query("a10_metrics", "SELECT count(*) AS scanned, count(*) FILTER (WHERE value > 50) AS hits, count(*) FILTER (WHERE NOT value > 50) AS misses FROM events")
 def _(t):
-    return t.events.agg(F.count("*").alias("scanned"), F.count_if(F.col("value") > 50).alias("hits"), F.count_if(~(F.col("value") > 50)).alias("misses"))
+    return rules.metrics(t.events, F.when(F.col("value") > 50, F.lit(True)))
 
 
 @query("a11_totals", "SELECT event_type AS severity, count(*) AS n FROM events GROUP BY event_type")
@@ -657,13 +688,14 @@ def _(t):
 
 @query("a12_without_entries", "SELECT s_suppkey FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_linenumber = 7 AND l_returnflag = 'R')")
 def _(t):
-    entries = t.lineitem.where("l_linenumber = 7 and l_returnflag = 'R'").groupBy(F.col("l_suppkey").alias("s_suppkey")).agg(F.collect_set("l_partkey").alias("entry_points"))
-    return t.supplier.join(entries, "s_suppkey", "left").where("entry_points is null or size(entry_points) = 0").select("s_suppkey")
+    entries = t.lineitem.select(F.col("l_suppkey").alias("s_suppkey"), F.when(F.expr("l_linenumber = 7 and l_returnflag = 'R'"), F.col("l_partkey")).alias("entry"))
+    return rules.without_entries(t.supplier.select("s_suppkey"), entries, "s_suppkey")
 
 
-@query("a13_merged_sets", "SELECT l_suppkey, count(DISTINCT l_partkey) AS n_parts, count(DISTINCT l_orderkey) AS n_orders FROM lineitem GROUP BY l_suppkey")
+@query("a13_merged_sets", "SELECT l_suppkey, count(DISTINCT l_partkey) AS n_parts, min(l_partkey) AS least, count(DISTINCT l_orderkey) AS n_orders FROM lineitem GROUP BY l_suppkey")
 def _(t):
-    return t.lineitem.groupBy("l_suppkey").agg(F.size(F.collect_set("l_partkey")).cast("long").alias("n_parts"), F.size(F.collect_set("l_orderkey")).cast("long").alias("n_orders"))
+    found = rules.merged_sets(t.lineitem, ["l_suppkey"], ["l_partkey", "l_orderkey"])
+    return found.select("l_suppkey", F.size("l_partkey").cast("long").alias("n_parts"), F.col("l_partkey")[0].alias("least"), F.size("l_orderkey").cast("long").alias("n_orders"))
 
 
 @query("a14_dependency_sets", "SELECT l_returnflag = 'N' AS is_dev, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS packages FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1")
@@ -681,8 +713,8 @@ def _(t):
 
 @query("o1_ordered_diagnostics", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN value > 50 THEN 0 ELSE 1 END, event_type, event_id) AS place FROM events")
 def _(t):
-    w = Window.partitionBy("user_id").orderBy(F.when(F.col("value") > 50, 0).otherwise(1), "event_type", "event_id")
-    return t.events.select("event_id", F.row_number().over(w).cast("long").alias("place"))
+    found = t.events.withColumn("severity", F.when(F.col("value") > 50, "error").otherwise("warning"))
+    return rules.ordered(found, ["user_id"], ["event_type", "event_id"]).select("event_id", F.col("place").cast("long").alias("place"))
 
 
 @query("o3_priority_choice", "SELECT l_orderkey, arg_min(l_partkey, (l_linenumber, l_partkey)) AS chosen FROM lineitem GROUP BY l_orderkey")
@@ -835,10 +867,15 @@ def _(t):
     return rules.endless_loops(_view(t, "node").withColumn("node_id", F.xxhash64("file_path", "pre"))).select("file_path")
 
 
-@query("x20_script_commands", "SELECT event_id AS manifest_path, event_type AS command FROM events UNION ALL SELECT event_id, 'tsc' FROM events")
+@query(
+    "x20_script_commands",
+    """SELECT event_id AS manifest_path, unnest(CASE event_id % 4 WHEN 0 THEN [event_type, 'tsc'] WHEN 1 THEN ['node', event_type] WHEN 2 THEN [event_type] ELSE ['a', 'b', event_type] END) AS command FROM events""",
+)
 def _(t):
-    script = F.concat(F.lit("CI=1 npx '"), "event_type", F.lit("' --k 1 && tsc -p ."))
-    return rules.script_commands(t.events.select(F.col("event_id").alias("manifest_path"), script.alias("script")))
+    kind = F.col("event_type")
+    forms = [F.concat(F.lit("CI=1 npx '"), kind, F.lit("' --k 1 && tsc -p .")), F.concat(F.lit("node -e x | "), kind), F.concat(F.lit("A=b C=d "), kind, F.lit(" --x=y ; ")), F.concat(F.lit("a || b & cross-env X=1 "), kind)]
+    k = F.col("event_id") % 4
+    return rules.script_commands(t.events.select(F.col("event_id").alias("manifest_path"), F.when(k == 0, forms[0]).when(k == 1, forms[1]).when(k == 2, forms[2]).otherwise(forms[3]).alias("script")))
 
 
 @query("j27_program_packages", "SELECT event_id AS manifest_path, CASE event_type WHEN 'click' THEN '@ui/click' ELSE event_type END AS package FROM events")
@@ -903,3 +940,6 @@ def _(t):
 
     content = F.concat(F.lit('{ // note\n"compilerOptions": {"baseUrl": "./src", "paths": {"@'), "event_type", F.lit('/*": ["'), "event_type", F.lit('/*"],}}}'))
     return tsconfig_aliases(t.events.select(F.concat("event_id", F.lit("/tsconfig.json")).alias("path"), content.alias("content"))).select("scope_dir", "pattern", "target")
+
+
+from loomgraph import catalog_sources  # noqa: E402, F401  (registers its queries)

@@ -131,5 +131,12 @@ def non_serialisable(argument: Column) -> Column:
     return argument.rlike(r"^\s*(async\s+)?(function\b|\([^)]*\)\s*=>|\w+\s*=>)|\bSymbol\(|\bnew\s+(WeakMap|WeakSet|WeakRef|Promise)\b")
 
 
+def callee_name(object_: Column, property_: Column) -> Column:
+    """``obj.prop`` of a call, its bare name where there is no object, ``anonymous`` for what has no name. A call with
+    neither is anonymous; an empty text is a part that is there but has no name."""
+    named = lambda c: F.when(c == "", "anonymous").otherwise(c)
+    return F.when(property_.isNull(), F.coalesce(named(object_), F.lit("anonymous"))).otherwise(F.concat_ws(".", F.coalesce(named(object_), F.lit("anonymous")), named(property_)))
+
+
 def percentage(done: Column, total: Column) -> Column:
     return F.when(total > 0, F.floor(100 * done / total + 0.5)).otherwise(100).cast("long")

@@ -1,8 +1,8 @@
 """Iterative graph operators over narrow edge tables (src, dst).
 
-Graphs of at most ``LOCAL`` edges, which is counted first, are walked in one task over
-integer arrays; larger ones by rounds of joins, each checkpointed. Both give the same
-rows. Null ends are ignored, repeated edges count once, empty tables give empty results.
+Graphs of at most ``LOCAL`` edges and seeds, which are written once and counted first, are
+walked in one task over integer arrays; larger ones by rounds of joins, each checkpointed.
+Both give the same rows (``local`` sets the bound of a call). Null ends are ignored, repeated edges count once, empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -24,19 +24,19 @@ def clean(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").where("src is not null and dst is not null").distinct()
 
 
-def small(edges: DataFrame, limit: int | None = None) -> bool:
-    limit = LOCAL if limit is None else limit
-    return edges.limit(limit + 1).count() <= limit
+def small(rows: DataFrame, local: int | None = None) -> bool:
+    local = LOCAL if local is None else local
+    return rows.limit(local + 1).count() <= local
 
 
 # --- reachability
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> DataFrame:
+def reachable(edges: DataFrame, seeds: DataFrame, depth: int | None = None, local: int | None = None) -> DataFrame:
     """(node, hops): every node that some seed reaches and the fewest steps; seeds (one column) reach themselves in 0."""
-    e = clean(edges)
-    s = seeds.select(F.col(seeds.columns[0]).alias("node")).where("node is not null").distinct()
-    if small(e):
+    e = cut(clean(edges))
+    s = cut(seeds.select(F.col(seeds.columns[0]).alias("node")).where("node is not null").distinct())
+    if small(e, local) and small(s, local):
         kind = e.schema["src"].dataType
         tagged = e.select(F.lit(0).alias("t"), "src", "dst").union(s.select(F.lit(1), F.col("node").cast(kind), F.lit(None).cast(kind)))
 
@@ -52,8 +52,7 @@ def reachable(edges: DataFrame, seeds: DataFrame, depth: int | None = None) -> D
             yield pa.RecordBatch.from_arrays([names.take(pa.array(hit)), pa.array(hops[hit].astype(np.int32))], ["node", "hops"])
 
         return tagged.coalesce(1).mapInArrow(walk, StructType([StructField("node", kind), StructField("hops", IntegerType())]))
-    e = cut(e)
-    front = seen = cut(s.select("node", F.lit(0).alias("hops")))
+    front = seen = s.select("node", F.lit(0).alias("hops"))
     hop = 0
     while depth is None or hop < depth:
         hop += 1
@@ -166,14 +165,15 @@ def tarjan(src: np.ndarray, dst: np.ndarray, n: int) -> np.ndarray:
     return np.array(comp, np.int64)
 
 
-def cycles(edges: DataFrame) -> DataFrame:
+def cycles(edges: DataFrame, local: int | None = None) -> DataFrame:
     """(node, component, size): strongly connected components of two nodes or more and self-loops; a component is
     named by its least node. Large graphs: nodes without a way in or out are trimmed, the rest coloured by the least
-    node that reaches them, and what reaches a colour's root inside the colour is a component."""
-    e = clean(edges)
+    node that reaches them (colours jump on: what reaches my colour reaches me), and what reaches a colour's root
+    inside the colour is a component."""
+    e = cut(clean(edges))
     loops = e.where("src = dst").select(F.col("src").alias("node"))
     kind = e.schema["src"].dataType
-    if small(e):
+    if small(e, local):
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             got = list(batches)
@@ -192,27 +192,31 @@ def cycles(edges: DataFrame) -> DataFrame:
         return e.coalesce(1).mapInArrow(run, StructType([StructField("node", kind), StructField("component", kind), StructField("size", LongType())]))
     live = cut(e.where("src <> dst"))
     found = None
-    while True:
-        while True:  # trim
-            before = live.count()
+    size = live.count()
+    while size:
+        before = -1
+        while size != before:  # trim
+            before = size
             ends = live.select(F.col("src").alias("n")).intersect(live.select(F.col("dst").alias("n")))
             live = cut(live.join(ends.withColumnRenamed("n", "src"), "src", "left_semi").join(ends.withColumnRenamed("n", "dst"), "dst", "left_semi").select("src", "dst"))
-            if live.count() == before:
-                break
-        if not before:
+            size = live.count()
+        if not size:
             break
         colour = cut(live.select(F.col("src").alias("n")).union(live.select("dst")).distinct().withColumn("c", F.col("n")))
         while True:
             pushed = live.join(colour, F.col("src") == F.col("n")).groupBy("dst").agg(F.min("c").alias("p"))
-            new = cut(colour.join(pushed, F.col("n") == F.col("dst"), "left").select("n", F.least("c", "p").alias("c"), (F.col("p") < F.col("c")).alias("moved")))
+            onward = colour.select(F.col("n").alias("at"), F.col("c").alias("further"))
+            told = colour.join(pushed, F.col("n") == F.col("dst"), "left").select("n", "c", F.least("c", "p").alias("to"))
+            new = cut(told.join(onward, F.col("to") == F.col("at")).select("n", F.least("to", "further").alias("c"), (F.least("to", "further") < F.col("c")).alias("moved")))
             colour = new.select("n", "c")
             if not new.where("moved").take(1):
                 break
         inside = live.join(colour.toDF("src", "c"), "src").join(colour.toDF("dst", "d"), "dst").where("c = d").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-        part = cut(reachable(cut(inside), colour.where("n = c").select("n")).select("node").join(colour.toDF("node", "component"), "node"))
+        part = cut(reachable(inside, colour.where("n = c").select("n"), local=local).select("node").join(colour.toDF("node", "component"), "node"))
         found = part if found is None else found.union(part)
         gone = part.select(F.col("node").alias("n"))
         live = cut(live.join(gone.withColumnRenamed("n", "src"), "src", "left_anti").join(gone.withColumnRenamed("n", "dst"), "dst", "left_anti").select("src", "dst"))
+        size = live.count()
     if found is None:
         return loops.select("node", F.col("node").alias("component"), F.lit(1).cast("long").alias("size"))
     sizes = found.groupBy("component").agg(F.count("*").alias("size"))
@@ -255,22 +259,32 @@ def reclassified(files: DataFrame, edges: DataFrame, public: DataFrame) -> DataF
 # --- symbols through barrels
 
 
-def resolve_symbols(wanted: DataFrame, exports: DataFrame, targets: DataFrame, rounds: int = 50) -> DataFrame:
+def through_stars(edges: DataFrame, barrels: DataFrame) -> DataFrame:
+    """(src, dst, kind): the edges, and for each that ends at a barrel (one column) those to what the barrel leads to."""
+    e = clean(edges)
+    b = barrels.select(F.col(barrels.columns[0]).alias("mid")).distinct()
+    far = e.select("src", F.col("dst").alias("mid")).join(b, "mid").join(e.select(F.col("src").alias("mid"), "dst"), "mid")
+    return e.withColumn("kind", F.lit("import")).union(far.select("src", "dst", F.lit("reexport"))).distinct()
+
+
+def resolve_symbols(wanted: DataFrame, exports: DataFrame, targets: DataFrame) -> DataFrame:
     """(file_path, name, origin_file, origin_name, hop) of wanted (file_path, name) symbols.
 
     exports: (file_path, name, source_specifier, original_name), name ``*`` for a star, source null for a local
     declaration; targets: (file_path, source_specifier, target). Each hop takes, for a symbol, a local declaration
     before a named re-export, that before a namespace, that before stars; stars all are followed. A (file, symbol)
     that was visited for the same start is not followed again, so cycles end; of the origins the nearest wins, then
-    the least file. A symbol that no file declares resolves to the file it was asked of.
+    the least file. A symbol that no file declares resolves to the file it was asked of. Rounds go on until nothing
+    is left to follow.
     """
     via = exports.join(targets, ["file_path", "source_specifier"], "left").select("file_path", F.col("name").alias("e"), "source_specifier", F.coalesce("original_name", "name").alias("o"), "target")
     via = cut(via)
     keys = ["file_path", "name"]
     start = wanted.select(*keys).distinct()
     front = cut(start.select(*keys, F.col("file_path").alias("f"), F.col("name").alias("s")))
-    seen, found = front, None
-    for hop in range(rounds):
+    seen, found, hop = front, None, -1
+    while True:
+        hop += 1
         exact = front.join(via.withColumnRenamed("file_path", "vf"), (F.col("f") == F.col("vf")) & ((F.col("s") == F.col("e")) | ((F.col("e") == "*") & (F.col("s") != "default"))))
         rank = F.when(F.col("e") == "*", 3).when(F.col("source_specifier").isNull(), 0).when(F.col("o") == "*", 2).otherwise(1)
         ranked = exact.withColumn("rank", rank)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as S
 from loomgraph.operators import graph, resolve
+from loomgraph.plans.lineage import checked
 
 PROTECTED = r"(?i)(\.(test|spec|e2e)\.|(^|/)(__tests__|tests?)/|\.config\.[cm]?[jt]s$|(^|/)\.[\w-]+rc(\.[cm]?js)?$)"
 
@@ -23,6 +24,52 @@ def protected(path: Column) -> Column:
     return path.rlike(PROTECTED)
 
 
+# fixed values: names that tools look for, anywhere in a path
+TOOL_FILES = [
+    "jest.config.", "vitest.config.", "vitest.workspace.", "playwright.config.", "cypress.config.", "webpack.config.", "vite.config.", "rollup.config.", "esbuild.config.", "parcel.config.",
+    "tsup.config.", "unbuild.config.", "pkgroll.config.", "tailwind.config.", "postcss.config.", ".postcssrc.", ".eslintrc.", "eslint.config.", "prettier.config.", ".prettierrc.", ".stylelintrc.",
+    "stylelint.config.", "biome.json", ".oxlintrc.", ".babelrc.", "babel.config.", ".commitlintrc.", "commitlint.config.", ".lintstagedrc.", "lint-staged.config.", "typedoc.config.", "typedoc.json",
+    "turbo.json", "nx.json", "lerna.json", "syncpack.config.",
+]
+# fixed values: paths that start programs and packages by convention
+ENTRY_ENDINGS = [
+    "/bin/cli.js", "/bin/cli.ts", "/bin/cli.mjs", "/bin/index.js", "/bin/index.ts", "/index.js", "/index.ts", "/index.jsx", "/index.tsx", "/index.mjs", "/index.cjs",
+    "/src/main.ts", "/src/main.js", "/src/app.ts", "/src/app.js", "/main.ts", "/main.js", "/app.ts", "/app.js",
+]
+# fixed values: paths that frameworks load by convention, and tests and stories
+CONVENTIONS = [
+    r"(?i)\.(test|spec|e2e|cy)\.(js|ts|tsx|jsx)$",
+    r"(?i)\.stories\.(js|ts|tsx|jsx)$",
+    r"/app/(page|layout|loading|error|not-found|template|default|route|middleware)\.(js|ts|tsx|jsx)$",
+    r"/pages/.*\.(js|ts|tsx|jsx|vue)$",
+    r"/middleware\.(js|ts)$",
+    r"/next\.config\.(js|ts|mjs|cjs)$",
+    r"/app/routes/.*\.(js|ts|tsx|jsx)$",
+    r"/app/root\.(js|ts|tsx|jsx)$",
+    r"/app/entry\.(client|server)\.(js|ts|tsx|jsx)$",
+    r"/\+(page|layout)(\.(server|client))?\.(svelte|js|ts)$",
+    r"/\+error\.(svelte|js|ts)$",
+    r"/\+server\.(js|ts)$",
+    r"/(svelte|astro|nuxt|vite)\.config\.(js|ts|mjs)$",
+    r"/src/(pages|layouts)/.*\.astro$",
+    r"/layouts/.*\.vue$",
+    r"/server/api/.*\.(js|ts)$",
+    r"/app\.module\.(ts|js)$",
+    r"/angular\.json$",
+    r"/app/(_layout|index)\.(js|ts|tsx|jsx)$",
+]
+# fixed values: members that every object has, whose names say nothing about use
+GLOBAL_NAMES = ["toLowerCase", "toUpperCase", "toString", "valueOf", "hasOwnProperty", "constructor"]
+
+
+def core_tooling(path: Column) -> Column:
+    """Files that a tool or framework loads by its conventions: by a piece of the name, an ending, or a pattern."""
+    whole = F.concat(F.lit("/"), path)
+    named = F.exists(F.array(*map(F.lit, TOOL_FILES)), lambda f: F.contains(path, f))
+    ends = F.exists(F.array(*map(F.lit, ENTRY_ENDINGS)), lambda e: F.endswith(whole, e))
+    return named | ends | whole.rlike("|".join(f"(?:{c})" for c in CONVENTIONS))
+
+
 def unsuppressed(findings: DataFrame, suppressions: DataFrame) -> DataFrame:
     """Findings (rule, file_path, symbol) that no comment of their file silences: ``*``, the rule, or rule and symbol."""
     s = suppressions.select("file_path", F.col("rule").alias("r"), F.col("symbol").alias("s")).distinct()
@@ -43,7 +90,7 @@ def countable_dependency(package: Column, own: Column, has_ts: Column) -> Column
 
 def matched_routes(files: DataFrame, rules: DataFrame, active: DataFrame) -> DataFrame:
     """(file_path, plugin) of files that a route of an active plugin matches; rules are a small dimension."""
-    r = F.broadcast(rules.join(active, "plugin", "left_semi").select("plugin", "regex"))
+    r = checked(rules.join(active, "plugin", "left_semi").select("plugin", "regex"))
     return files.select("file_path").join(r, F.expr("file_path rlike regex")).select("file_path", "plugin").distinct()
 
 
@@ -104,7 +151,7 @@ def version_mismatches(deps: DataFrame) -> DataFrame:
 def typosquats(deps: DataFrame, popular: DataFrame, trusted: DataFrame) -> DataFrame:
     """(package, popular, distance) one or two edits apart. Popular names are a short list; lengths part most pairs first."""
     asked = deps.select("package").distinct().join(trusted.select("package"), "package", "left_anti")
-    p = F.broadcast(popular.select(F.col("package").alias("popular")).distinct())
+    p = checked(popular.select(F.col("package").alias("popular")).distinct())
     near = asked.join(p, F.abs(F.length("package") - F.length("popular")) <= 2)
     return near.withColumn("distance", F.levenshtein("package", "popular")).where("distance between 1 and 2")
 
@@ -134,7 +181,7 @@ def script_commands(scripts: DataFrame) -> DataFrame:
 
 def program_packages(commands: DataFrame, programs: DataFrame) -> DataFrame:
     """(manifest_path, package): programs looked up in the dimension (bin, package), else taken for packages themselves."""
-    j = commands.join(F.broadcast(programs.select(F.col("bin").alias("command"), "package")), "command", "left")
+    j = commands.join(programs.select(F.col("bin").alias("command"), "package"), "command", "left")
     return j.select("manifest_path", F.coalesce("package", "command").alias("package")).distinct()
 
 
@@ -165,11 +212,12 @@ def references(import_symbols: DataFrame, resolved: DataFrame, chains: DataFrame
 
 def dead_exports(exports: DataFrame, used: DataFrame, reached: DataFrame, public: DataFrame, fuzzy: DataFrame | None = None) -> DataFrame:
     """Exports of reached files that nobody uses by (file, name). Files in ``public`` are entries whose exports are
-    their interface. ``fuzzy`` (file_path, name) adds the rule that any other file's identifier of that name is a use."""
+    their interface. ``fuzzy`` (file_path, name) adds the rule that any other file's identifier of that name is a use,
+    but for names that every object has."""
     e = reportable_exports(exports).join(reached.select(F.col("node").alias("file_path")), "file_path", "left_semi").join(public.select("file_path"), "file_path", "left_anti")
     dead = e.join(used, ["file_path", "name"], "left_anti")
     if fuzzy is not None:
-        where = fuzzy.select("name", "file_path").distinct().groupBy("name").agg(F.count("*").alias("files"), F.min("file_path").alias("one"))
+        where = fuzzy.where(~F.col("name").isin(*GLOBAL_NAMES)).select("name", "file_path").distinct().groupBy("name").agg(F.count("*").alias("files"), F.min("file_path").alias("one"))
         dead = dead.join(where, "name", "left").where("files is null or (files = 1 and one = file_path)").drop("files", "one")
     return dead
 
@@ -177,7 +225,7 @@ def dead_exports(exports: DataFrame, used: DataFrame, reached: DataFrame, public
 def dead_members(exports: DataFrame, chains: DataFrame, identifiers: DataFrame) -> DataFrame:
     """(file_path, name, member) of public members that no chain names after another part, in any file."""
     m = exports.select("file_path", "name", F.explode("members").alias("m")).where("m.is_public").select("file_path", "name", F.col("m.name").alias("member"))
-    read = chains.select(F.explode(F.slice("parts", 2, 1000)).alias("member")).union(identifiers.select(F.col("name").alias("member"))).distinct()
+    read = chains.select(F.explode(F.slice("parts", F.lit(2), F.greatest(F.size("parts"), F.lit(1)))).alias("member")).union(identifiers.select(F.col("name").alias("member"))).distinct()
     return m.join(read, "member", "left_anti").select("file_path", "name", "member")
 
 
@@ -188,7 +236,7 @@ def unused_bindings(import_symbols: DataFrame, identifiers: DataFrame) -> DataFr
 
 def contract_uses(routes: DataFrame, contracts: DataFrame, exports: DataFrame) -> DataFrame:
     """(file_path, name): exports that a framework calls by name in the files it owns."""
-    owned = routes.join(F.broadcast(contracts), "plugin").select("file_path", F.col("contract").alias("name"))
+    owned = routes.join(contracts, "plugin").select("file_path", F.col("contract").alias("name"))
     return exports.select("file_path", "name").join(owned, ["file_path", "name"], "left_semi").distinct()
 
 
@@ -213,11 +261,14 @@ def prune_blockers(symbols: DataFrame, strings: DataFrame, chains: DataFrame, me
 
 # --- boundaries
 
+#: The rule that holds where no others are given: a core must not reach into the network layer.
+SANDBOX = [(1, "**/src/core/**", "**/src/network/**", False, "src/core must not reach into src/network")]
+
 
 def boundary_violations(edges: DataFrame, rules: DataFrame) -> DataFrame:
     """(src, dst, rule_order, message): the first rule that an edge matches, where it forbids. rules: (rule_order,
     from_glob, to_glob, allow, message), a short list."""
-    r = F.broadcast(rules.select("rule_order", S.glob_regex(F.col("from_glob")).alias("f"), S.glob_regex(F.col("to_glob")).alias("t"), "allow", "message"))
+    r = checked(rules.select("rule_order", S.glob_regex(F.col("from_glob")).alias("f"), S.glob_regex(F.col("to_glob")).alias("t"), "allow", "message"))
     hit = edges.select("src", "dst").distinct().join(r, F.expr("src rlike f and dst rlike t"))
     first = hit.groupBy("src", "dst").agg(F.min_by(F.struct("rule_order", "allow", "message"), "rule_order").alias("r"))
     return first.where("not r.allow").select("src", "dst", "r.rule_order", "r.message")
@@ -228,11 +279,13 @@ def boundary_violations(edges: DataFrame, rules: DataFrame) -> DataFrame:
 
 def endless_loops(nodes: DataFrame) -> DataFrame:
     """(file_path, node_id) of loops on a constant condition without a way out below them. Nodes carry pre and post
-    numbers; below means a larger pre and a smaller post. Exits are taken up to their loops by ancestor numbers, so no range join."""
-    loops = nodes.where("node_type in ('WhileStatement', 'DoWhileStatement', 'ForStatement') and attrs['constant'] = 'true'").select("file_path", "node_id", F.col("pre").alias("lp"), F.col("post").alias("lq"))
-    exits = nodes.where("node_type in ('BreakStatement', 'ReturnStatement', 'ThrowStatement')").select("file_path", F.col("pre").alias("xp"), F.col("post").alias("xq"))
-    left = loops.join(exits, (loops.file_path == exits.file_path) & (F.col("xp") > F.col("lp")) & (F.col("xq") < F.col("lq")), "left_anti")
-    return left.select("file_path", "node_id")
+    numbers; below means a larger pre and a smaller post. A file's nodes are gone through once, in order of pre: the
+    least post of the exits that come later tells whether one is below."""
+    n = nodes.withColumn("_loop", F.expr("node_type in ('WhileStatement', 'DoWhileStatement', 'ForStatement') and attrs['constant'] = 'true'"))
+    n = n.withColumn("_exit", F.expr("node_type in ('BreakStatement', 'ReturnStatement', 'ThrowStatement')")).where("_loop or _exit")
+    later = Window.partitionBy("file_path").orderBy(F.col("pre").cast("long")).rangeBetween(1, Window.unboundedFollowing)
+    first = n.withColumn("_least", F.min(F.when(F.col("_exit"), F.col("post"))).over(later))
+    return first.where("_loop and (_least is null or _least >= post)").select("file_path", "node_id")
 
 
 def leaking_listeners(ops: DataFrame, order: list[str]) -> DataFrame:
@@ -248,6 +301,12 @@ def unguarded_uses(uses: DataFrame, keys: list[str], order: list[str]) -> DataFr
     return uses.withColumn("guarded", seen).where("kind = 'use' and guarded = 0").drop("guarded")
 
 
+def named_calls(shapes: DataFrame) -> DataFrame:
+    """shapes (callee_object, callee, ...) with the whole name of what is called in ``callee``."""
+    object_, name = F.col("callee_object"), F.col("callee")
+    return shapes.withColumn("callee", F.when(object_.isNull(), S.callee_name(name, F.lit(None).cast("string"))).otherwise(S.callee_name(object_, name))).drop("callee_object")
+
+
 def polymorphic(shapes: DataFrame, least: int = 2) -> DataFrame:
     """(callee, n_shapes) of callees that get objects of several shapes."""
     return shapes.groupBy("callee").agg(F.count_distinct("shape").alias("n_shapes")).where(F.col("n_shapes") >= least)
@@ -264,9 +323,115 @@ def type_changes(writes: DataFrame, keys: list[str], order: list[str]) -> DataFr
     return writes.withColumn("first_type", first).where("type <> first_type")
 
 
+# --- sets
+
+
+def united(*parts: DataFrame) -> DataFrame:
+    """Rows of all parts, each once; columns by name."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
+
+
+def difference(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    """Distinct ``by`` of left that right lacks; nulls are never equal, so rows with one stay."""
+    return left.select(*by).distinct().join(right.select(*by).distinct(), by, "left_anti")
+
+
+def intersection(left: DataFrame, right: DataFrame, by: list[str]) -> DataFrame:
+    return left.select(*by).distinct().join(right.select(*by).distinct(), by, "left_semi")
+
+
+def merged_sets(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
+    """One row a key with the ordered set of each column's values, nulls left out; partial sets of tasks are merged."""
+    return rows.groupBy(*by).agg(*(F.array_sort(F.collect_set(c)).alias(c) for c in columns))
+
+
+# --- workspace
+
+
+def without_entries(packages: DataFrame, entries: DataFrame, by: str) -> DataFrame:
+    """Packages of which no entry point is known. entries: (by, entry)."""
+    return packages.join(entries.where("entry is not null").select(by).distinct(), by, "left_anti")
+
+
+def export_registry(exports: DataFrame) -> DataFrame:
+    """(file_path, names): what each file exports, in order."""
+    return exports.where("name is not null").groupBy("file_path").agg(F.array_sort(F.collect_set("name")).alias("names"))
+
+
+def consumed_by_side(usage: DataFrame, is_root: Column) -> DataFrame:
+    """(is_root, packages): packages that files of the root, and of workspaces, import."""
+    return usage.groupBy(is_root.alias("is_root")).agg(F.array_sort(F.collect_set("package")).alias("packages"))
+
+
+def workspace_summary(packages: DataFrame, links: DataFrame, package: str) -> DataFrame:
+    """One row: n_packages, n_links, n_names (distinct packages that links name)."""
+    return links.agg(F.count("*").alias("n_links"), F.count_distinct(package).alias("n_names")).crossJoin(packages.agg(F.count("*").alias("n_packages")))  # a row each
+
+
+def zombie_exports(exports: DataFrame, used_names: DataFrame) -> DataFrame:
+    """Exports whose bare name no file uses, whatever file it is imported from. used_names: (name)."""
+    return reportable_exports(exports).join(used_names.select("name").distinct(), "name", "left_anti").select(*exports.columns)
+
+
+def export_layout(exports: DataFrame, entries: DataFrame) -> DataFrame:
+    """How a file's exports are made: stars (specifiers), namespaces and forwarded (name from specifier), local names;
+    a file that passes others' exports on is a barrel unless it is an entry. exports: (file_path, name, export_type, source_specifier, original_name)."""
+    src, name = F.col("source_specifier"), F.col("name")
+    star = src.isNotNull() & (name == "*")
+    space = src.isNotNull() & (name != "*") & (F.col("original_name") == "*")
+    sent = src.isNotNull() & (name != "*") & ~F.coalesce(F.col("original_name") == "*", F.lit(False))
+    bag = lambda when, what, as_: F.array_sort(F.collect_set(F.when(when, what))).alias(as_)
+    made = exports.groupBy("file_path").agg(
+        bag(star, src, "stars"),
+        bag(space, F.concat_ws(" from ", name, src), "namespaces"),
+        bag(sent, F.concat(F.coalesce("original_name", name), F.lit(" as "), name, F.lit(" from "), src), "forwarded"),
+        bag(src.isNull(), name, "local"),
+    )
+    known = entries.select("file_path").distinct().withColumn("_entry", F.lit(True))
+    passes = F.size("stars") + F.size("namespaces") + F.size("forwarded") > 0
+    return made.join(known, "file_path", "left").select("file_path", "stars", "namespaces", "forwarded", "local", F.coalesce("_entry", F.lit(False)).alias("is_entry"), (passes & F.col("_entry").isNull()).alias("is_barrel"))
+
+
+def migrations(active: DataFrame, table: DataFrame) -> DataFrame:
+    """(legacy, modern, message) for each older tool in use. active: (name); table: (legacy, modern, reason)."""
+    j = table.join(active.select(F.col("name").alias("legacy")).distinct(), "legacy", "left_semi")
+    return j.select("legacy", "modern", F.concat(F.lit("consider "), "modern", F.lit(" instead of "), "legacy", F.lit(": "), "reason").alias("message"))
+
+
+def without_lockfile(manifests: DataFrame, files: DataFrame) -> DataFrame:
+    """Manifests (manifest_path, root_dir) in whose directory or above no lockfile lies."""
+    # fixed values: files that pin what is installed
+    names = ["package-lock.json", "pnpm-lock.yaml", "yarn.lock"]
+    there = files.where(S.basename(F.col("file_path")).isin(*names)).select(S.dirname(F.col("file_path")).alias("dir")).distinct()
+    up = manifests.select("manifest_path", F.explode(S.ancestors(F.concat_ws("/", F.when(F.col("root_dir") != "", F.col("root_dir")), F.lit("x")))).alias("dir"))
+    return manifests.join(up.join(there, "dir").select("manifest_path").distinct(), "manifest_path", "left_anti")
+
+
+def discovered(files: DataFrame, folders: DataFrame, deps: DataFrame) -> DataFrame:
+    """(plugin, file_path, package, listed): files in a folder that a tool owns are entries; ``listed`` tells whether its
+    package is declared. folders: (plugin, folder, package), a short list; folder is one path segment."""
+    each = files.select("file_path", F.explode(F.array_distinct(F.split(S.dirname(F.col("file_path")), "/"))).alias("folder"))
+    known = deps.select("package").distinct().withColumn("listed", F.lit(True))
+    return each.join(folders, "folder").join(known, "package", "left").select("plugin", "file_path", "package", F.coalesce("listed", F.lit(False)).alias("listed"))
+
+
 # --- reports
 
 
+def ordered(findings: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """findings with their ``place`` within ``by``: errors first, then as ``order`` says."""
+    w = Window.partitionBy(*by).orderBy(F.when(F.col("severity") == "error", 0).otherwise(1), *order)
+    return findings.withColumn("place", F.row_number().over(w))
+
+
+def metrics(files: DataFrame, hit: Column) -> DataFrame:
+    """One row: files scanned, taken from the store (``hit``) and parsed anew."""
+    return files.agg(F.count("*").alias("scanned"), F.count_if(F.coalesce(hit, F.lit(False))).alias("hits"), F.count_if(~F.coalesce(hit, F.lit(False))).alias("misses"))
+
+
 def by_file(findings: DataFrame) -> DataFrame:
     """(file_path, n, messages): each file's diagnostics, errors first, then by rule."""
     item = F.struct(F.when(F.col("severity") == "error", 0).otherwise(1).alias("o"), "rule", "message")
@@ -297,7 +462,7 @@ def install_commands(missing: DataFrame, lockfiles: DataFrame) -> DataFrame:
     # fixed values: lockfiles in order of precedence and the command of each
     table = [("pnpm-lock.yaml", 1, "pnpm add"), ("yarn.lock", 2, "yarn add"), ("bun.lockb", 3, "bun add"), ("package-lock.json", 4, "npm install")]
     spark = missing.sparkSession
-    known = lockfiles.join(F.broadcast(spark.createDataFrame(table, "file_name string, p int, c string")), "file_name")
+    known = lockfiles.join(spark.createDataFrame(table, "file_name string, p int, c string"), "file_name")
     chosen = resolve.first_by(known, ["root_dir"], "c", "p")
     names = missing.groupBy("root_dir").agg(F.array_join(F.array_sort(F.collect_set("package")), " ").alias("names"))
     return names.join(chosen, "root_dir", "left").select("root_dir", F.concat_ws(" ", F.coalesce("c", F.lit("npm install")), "names").alias("command"))
@@ -305,5 +470,5 @@ def install_commands(missing: DataFrame, lockfiles: DataFrame) -> DataFrame:
 
 def needle_hits(files: DataFrame, needles: DataFrame, active: DataFrame) -> DataFrame:
     """(file_path, plugin) of files whose content holds a text that an active plugin looks for; needles are a small dimension."""
-    n = F.broadcast(needles.join(active, "plugin", "left_semi").select("plugin", "needle"))
+    n = checked(needles.join(active, "plugin", "left_semi").select("plugin", "needle"))
     return files.select("file_path", "content").join(n, F.expr("contains(content, needle)")).select("file_path", "plugin").distinct()

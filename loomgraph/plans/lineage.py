@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset and the master is local."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not at:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         import tempfile
 
         at = "file://" + tempfile.mkdtemp(prefix="loomgraph-")
@@ -19,5 +22,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
+    """df, written once to the shared folder: what follows reads the files, however often tasks are run again."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def checked(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df, written once, and broadcast where it is joined if it has no more than ``most`` rows; else the planner decides."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= most else df

@@ -38,5 +38,12 @@ def graph_json(edges: DataFrame) -> DataFrame:
 
 
 def edit_plan(dead: DataFrame) -> DataFrame:
-    """(file_path, start, end, replacement) that would unexport dead symbols, last first; nothing is written."""
-    return dead.where("start is not null").select("file_path", "start", F.col("start").alias("end"), F.lit("").alias("replacement"), "name").orderBy("file_path", F.desc("start"))
+    """(file_path, start, end, replacement, name): the text of each dead symbol, last first, so that edits don't move those
+    that follow; nothing is written."""
+    return dead.where("start is not null").select("file_path", "start", "end", F.lit("").alias("replacement"), "name").orderBy("file_path", F.desc("start"))
+
+
+def summary(seconds: float, scanned: int, hits: int) -> list[str]:
+    """Lines that sum a run up: how long it took, what it read, how much of it came from the store."""
+    share = f"{100 * hits / scanned:.1f}%" if scanned else "0.0%"
+    return [f"duration: {seconds:.2f} s", f"files scanned: {scanned}", f"taken from the store: {share}"]

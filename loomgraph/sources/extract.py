@@ -1,19 +1,24 @@
 """Facts of one JavaScript or TypeScript source, by a scanner that knows strings, comments, templates and regular expressions.
 
 `mask` blanks what is not code, keeping every offset, so the patterns that follow see
-code only. Known misses: names shadowed in inner scopes count as uses, object spreads
+code only; of single-file components what is outside script blocks is blanked too. A
+source costs time in proportion to its length. Known misses: names shadowed in inner scopes count as uses, object spreads
 and re-assigned namespaces are not followed, and computed keys are folded only through
 constants of the same file.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
 TAG = "loomgraph-ignore"
+#: Tokens of the shortest body that counts as a copy of another.
+CLONE = 20
 KEYWORDS = frozenset(
     "abstract any as async await boolean break case catch class const continue debugger declare default delete do else enum export extends false finally for from function get if implements import in infer instanceof interface is keyof let module namespace never new null number of override package private protected public readonly require return satisfies set static string super switch symbol this throw true try type typeof undefined unique unknown using var void while with yield".split()
 )
@@ -125,6 +130,39 @@ def _parts(body: str) -> list[tuple[str, int]]:
     return [*out, (body[start:], start)]
 
 
+def _declarators(text: str, at: int) -> Iterator[re.Match]:
+    """Matches of the names after the first in a declaration whose first name ends at ``at``. Commas in brackets and in
+    type arguments part nothing; a line ends the statement unless it ends, or the next begins, inside an expression."""
+    depth, typed, fresh, last, k = 0, False, True, "", at
+    while k < len(text):
+        c = text[k]
+        if c in "([{" or (typed and c == "<"):
+            depth += 1
+        elif c in ")]}" or (typed and c == ">" and last != "="):
+            depth -= 1
+            if depth < 0:
+                return
+        elif not depth:
+            if c == ";":
+                return
+            if c == ":" and fresh:
+                typed = True
+            elif c == "=":
+                typed = False
+            elif c == ",":
+                m = _NEXT_NAME.match(text, k + 1)
+                if not m:
+                    return
+                yield m
+                k, fresh, typed, last = m.end(), True, False, "a"
+                continue
+            elif c == "\n" and last not in _GOES_ON and text[k : k + 200].lstrip()[:1] not in _GOES_ON:
+                return
+        if not c.isspace():
+            last, fresh = c, False
+        k += 1
+
+
 def bindings(clause: str) -> list[tuple[str, str]]:
     """(imported name, local name) of an import clause."""
     out = []
@@ -183,18 +221,33 @@ _DECL = re.compile(rf"(?<![\w$.])export\s+(?:declare\s+)?(default\s+)?(?:(async\
 _COMMON = re.compile(rf"(?<![\w$.])(?:module\.)?exports(?:\.({_NAME}))?\s*=(?!=)\s*")
 _CHAIN = re.compile(rf"(?<![\w$.]){_NAME}(?:\s*\??\.\s*#?{_NAME})+")
 _AFTER = re.compile(rf"[)\]]\s*\??\.\s*({_NAME})")
+_NEXT_NAME = re.compile(rf"\s*({_NAME})")
+_GOES_ON = frozenset(",=.+-*/?:&|")
+_SCRIPT = re.compile(r"(?is)<script\b[^>]*>(.*?)</script\s*>")
+_TEMPLATE = re.compile(r"(?is)<template\b[^>]*>(.*)</template\s*>")
+_NOT_LINE, _BREAK, _PLUS, _BRACE = re.compile(r"[^\n]"), re.compile("\n"), re.compile(r"\s*\+"), re.compile(r"\s*\{")
+_OBJECT = re.compile(r"\s*(?::[^=;{]*)?=\s*(?:Object\.freeze\(\s*)?\{")
+_WORKER = re.compile(r"(?<![\w$.])new\s+(?:Shared)?Worker\s*\(\s*(?:new\s+URL\s*\(\s*)?(?=['\"`])")
+_TEST = re.compile(r"\s*while\s*\(([^)]*)\)")
 _COMPUTED = re.compile(rf"(?<![\w$.])({_NAME})\s*(?:\?\.)?\[\s*(?:(['\"])|({_NAME})\s*\])")
 
 
 def facts(path: str, code: str) -> Iterator[tuple[str, dict]]:
     """(kind, fields) of a source."""
-    code = code.lstrip("﻿")
+    code = code.removeprefix("\ufeff")
+    whole_code = code
     if path.endswith((".vue", ".svelte")):
-        code = "".join(m[1] + "\n" for m in re.finditer(r"(?is)<script\b[^>]*>(.*?)</script\s*>", code))
+        parts, done = [], 0
+        for m in _SCRIPT.finditer(code):
+            parts += [_NOT_LINE.sub(" ", code[done : m.start(1)]), m[1]]
+            done = m.end(1)
+        code = "".join([*parts, _NOT_LINE.sub(" ", code[done:])])
     text, literals = mask(code)
     at = {s.start: s.value for s in literals if s.kind in ("string", "template")}
-    line = lambda k: code.count("\n", 0, k) + 1
-    column = lambda k: k - (code.rfind("\n", 0, k) + 1)
+    breaks = [m.start() for m in _BREAK.finditer(code)]
+    line = lambda k: bisect_left(breaks, k) + 1
+    column = lambda k: k - (breaks[i - 1] + 1 if (i := bisect_left(breaks, k)) else 0)
+    templates = [s.start for s in literals if s.kind == "template"]
     gone = bytearray(len(text))  # import statements and declared names aren't uses
     constants = {m[1]: at[m.end() - 1] for m in re.finditer(rf"(?<![\w$])const\s+({_NAME})\s*(?::\s*string\s*)?=\s*(?=(['\"]))['\"]", text) if m.end() - 1 in at}
 
@@ -214,8 +267,9 @@ def facts(path: str, code: str) -> Iterator[tuple[str, dict]]:
         yield "import", {"specifier": at.get(m.start(1), ""), "kind": "side_effect"}
     for m in _CALL.finditer(text):
         spec, quote = at.get(m.end(), ""), m[2]
-        whole = quote != "`" or not any(s.kind == "template" and s.start > m.end() and s.start < closing(text, text.index("(", m.start())) for s in literals)
-        joined = re.match(r"\s*\+", text[m.end() + len(spec) + 2 :]) is not None
+        later = bisect_right(templates, m.end())
+        whole = quote != "`" or later == len(templates) or templates[later] >= closing(text, text.index("(", m.start()))
+        joined = _PLUS.match(text, m.end() + len(spec) + 2) is not None
         literal = whole and not joined
         if literal:
             kind = "require" if m[1] == "require" else "dynamic"
@@ -228,6 +282,8 @@ def facts(path: str, code: str) -> Iterator[tuple[str, dict]]:
                 yield "import_symbol", {"specifier": spec, "imported_name": "*", "local_name": None}
         prefix = spec.rpartition("/")[0] if not literal else None
         yield "dynamic_import", {"specifier": spec if literal else None, "pattern": spec if literal else spec + "*", "dir_prefix": prefix or None, "is_literal": literal}
+    for m in _WORKER.finditer(text):
+        yield "import", {"specifier": at.get(m.end(), ""), "kind": "worker"}
     for m in _FROM.finditer(text):
         spec = at.get(m.start(3), "")
         yield "import", {"specifier": spec, "kind": "reexport"}
@@ -254,9 +310,13 @@ def facts(path: str, code: str) -> Iterator[tuple[str, dict]]:
                     yield export(local, "variable", m.start(6), m.end(6), None, original)
             else:
                 own = []
-                if b := re.match(r"\s*(?::[^=;]*)?=\s*(?:Object\.freeze\(\s*)?\{", text[m.end() :]):
-                    own = members(text, m.end() + b.end() - 1, "object")
+                if b := _OBJECT.match(text, m.end()):
+                    own = members(text, b.end() - 1, "object")
                 yield export(binding, "variable", m.start(6), m.end(6), None, binding, own)
+                for more in _declarators(text, m.end()):
+                    b = _OBJECT.match(text, more.end())
+                    yield export(more[1], "variable", more.start(1), more.end(1), None, more[1], members(text, b.end() - 1, "object") if b else [])
+                    cover(more.start(1), more.end(1))
             cover(m.start(6), m.end(6))
         elif default:
             yield export("default", "expression", m.start(), m.end())
@@ -277,9 +337,12 @@ def facts(path: str, code: str) -> Iterator[tuple[str, dict]]:
         cover(m.start(1), m.end(1))
     seen = set()
     for m in re.finditer(rf"(?<![\w$#]){_NAME}", text):
-        before = text[: m.start()].rstrip()[-1:] if m.start() else ""
-        dotted = before == "." and not text[: m.start()].rstrip().endswith("...")
-        if not gone[m.start()] and not dotted and m[0] not in KEYWORDS and m[0] not in seen:
+        if m[0] in seen or m[0] in KEYWORDS or gone[m.start()]:
+            continue
+        k = m.start() - 1
+        while k >= 0 and text[k].isspace():
+            k -= 1
+        if k < 0 or text[k] != "." or text[max(0, k - 2) : k + 1] == "...":
             seen.add(m[0])
             yield "identifier", {"name": m[0]}
     for chain in {re.sub(r"[\s?#]", "", m[0]) for m in _CHAIN.finditer(text)}:
@@ -300,10 +363,65 @@ def facts(path: str, code: str) -> Iterator[tuple[str, dict]]:
         if s.kind == "comment":
             for m in re.finditer(re.escape(TAG) + r"\s+([\w*-]+)(?::([\w$]+))?", s.value):
                 yield "suppression", {"rule": m[1], "symbol": m[2]}
+    yield from _templates(path, whole_code, text, literals)
     yield from _nodes(text, literals, at)
+    yield from _shapes(text, at)
     yield "source", _outline(text, at)
 
 
+def _templates(path: str, code: str, text: str, literals: list[Literal]) -> Iterator[tuple[str, dict]]:
+    """Texts in other languages: tagged queries, the templates of components; and the hooks that code calls."""
+    for s in literals:
+        if s.kind == "template" and re.search(r"(?<![\w$])(?:gql|graphql)\s*$", text[max(0, s.start - 20) : s.start]):
+            yield "template", {"template_kind": "graphql", "name": (re.search(rf"\b(?:query|mutation|subscription|fragment)\s+({_NAME})", s.value) or [None, None])[1], "value": s.value}
+    for name in sorted({m[1] for m in re.finditer(r"(?<![\w$.])(use[A-Z]\w*)\s*[(<]", text)}):
+        yield "template", {"template_kind": "hook", "name": name, "value": None}
+    if path.endswith((".vue", ".svelte")):
+        for m in _TEMPLATE.finditer(code):
+            yield "template", {"template_kind": "markup", "name": None, "value": m[1]}
+
+
+_KINDS = (("string", re.compile(r"\s*['\"`]")), ("number", re.compile(r"\s*[-+]?\d")), ("boolean", re.compile(r"\s*(?:true|false)\b")), ("null", re.compile(r"\s*(?:null|undefined)\b")), ("array", re.compile(r"\s*\[")), ("object", re.compile(r"\s*\{")), ("function", re.compile(r"\s*(?:async\s+)?(?:function\b|\([^()]*\)\s*=>|[\w$]+\s*=>)")))
+_FUNCTION = re.compile(rf"(?<![\w$.])function\s*\*?\s*({_NAME})?\s*\([^()]*\)\s*(?::\s*[\w$<>\[\]|. ]+)?\s*\{{|(?<![\w$.])(?:const|let|var)\s+({_NAME})\s*=\s*(?:async\s+)?\([^()]*\)\s*=>\s*\{{")
+_TOKEN = re.compile(r"(?P<name>[A-Za-z_$][\w$]*)|(?P<number>\d[\w.]*)|(?P<text>['\"`])|(?P<op>[^\s\w])")
+
+
+def _kind(text: str, at: int) -> str | None:
+    return next((k for k, p in _KINDS if p.match(text, at)), None)
+
+
+def _shapes(text: str, at: dict) -> Iterator[tuple[str, dict]]:
+    """What rules about shapes and types look at: objects handed to calls, types written to variables, uses and guards
+    of variables that may be null, and functions by the kinds of their tokens."""
+    for m in re.finditer(rf"(?<![\w$.])(?:({_NAME})\s*\.\s*)?({_NAME})\s*\(\s*(?=\{{)", text):
+        if m[2] not in KEYWORDS:
+            names = sorted({o["name"] for o in members(text, m.end(), "object")})
+            yield "shape", {"callee_object": m[1], "callee": m[2], "shape": ",".join(names), "pre": m.start()}
+    known = {m[1] for m in re.finditer(rf"(?<![\w$.])(?:let|var)\s+({_NAME})", text)}
+    null = set()
+    for m in re.finditer(rf"(?<![\w$.])(?:(?:let|var)\s+)?({_NAME})\s*=(?![=>])", text):
+        if m[1] in known and (kind := _kind(text, m.end())):
+            if kind == "null":
+                null.add(m[1])
+            else:
+                yield "write", {"name": m[1], "type": kind, "pre": m.start()}
+    if null:
+        names = "|".join(map(re.escape, sorted(null)))
+        for m in re.finditer(rf"(?<![\w$.])({names})(?=\s*(\?\.|\.|\[|&&|!==?|===?|\)|\?\?|=(?![=>])))", text):
+            if m[2] == "=" and _kind(text, text.index("=", m.end()) + 1) == "null":
+                continue
+            tested = re.search(r"(?:if|while)\s*\(\s*!?\s*$", text[max(0, m.start() - 16) : m.start()]) is not None
+            kind = "guard" if tested or m[2] in ("&&", "??", "=") or m[2][:2] in ("!=", "==") else "use" if m[2] in (".", "[") else None
+            if kind:
+                yield "access", {"name": m[1], "kind": kind, "pre": m.start()}
+    for m in _FUNCTION.finditer(text):
+        end = closing(text, m.end() - 1)
+        kinds = [t.lastgroup if t.lastgroup != "name" or t[0] not in KEYWORDS else t[0] for t in _TOKEN.finditer(text, m.end(), end)]
+        signs = [t[0] if t.lastgroup == "op" else k for t, k in zip(_TOKEN.finditer(text, m.end(), end), kinds, strict=True)]
+        if len(signs) >= CLONE:
+            yield "body", {"name": m[1] or m[2], "shape": hashlib.sha256(" ".join(signs).encode()).hexdigest(), "n_tokens": len(signs), "pre": m.start()}
+
+
 def _outline(text: str, at: dict) -> dict:
     """Statements that aren't imports, and whether loading the file does something."""
     depth, start, heads = 0, True, []
@@ -335,13 +453,13 @@ def _nodes(text: str, literals: list[Literal], at: dict) -> Iterator[tuple[str,
         head = closing(text, m.end() - 1)
         if m[1] == "do":
             end = head
-            test = re.match(r"\s*while\s*\(([^)]*)\)", text[head + 1 :])
+            test = _TEST.match(text, head + 1)
             constant, kind = bool(test) and test[1].strip() in ("true", "1"), "DoWhileStatement"
         else:
             inside = text[m.end() : head].strip()
             constant = inside in ("true", "1") if m[1] == "while" else re.fullmatch(r"[^;]*;\s*(true)?\s*;[^;]*", inside) is not None
-            body = re.match(r"\s*\{", text[head + 1 :])
-            end = closing(text, head + body.end()) if body else (text.find(";", head) + 1 or len(text))
+            body = _BRACE.match(text, head + 1)
+            end = closing(text, body.end() - 1) if body else (text.find(";", head) + 1 or len(text))
             kind = "WhileStatement" if m[1] == "while" else "ForStatement"
         yield node(kind, m.start(), end, constant=str(constant).lower())
     for m in re.finditer(r"(?<![\w$.])(break|return|throw)\b", text):
@@ -368,9 +486,24 @@ def _nodes(text: str, literals: list[Literal], at: dict) -> Iterator[tuple[str,
             yield node("NativeBinding", s.start, s.end, name=s.value)
 
 
+_PLAIN = re.compile(r"""(?:\bfrom|\bimport|\brequire\s*\(|\bimport\s*\()\s*(['"])([^'"\n]+)\1""")
+_SAYS = re.compile(r"^\s*(?:import|export)\b|\brequire\s*\(", re.M)
+
+
+def plain_imports(code: str) -> list[tuple[str, dict]]:
+    """Specifiers that stand behind a word that imports, wherever they are: what is known of a source that can't be read."""
+    return [("import", {"specifier": s, "kind": "plain"}) for s in sorted({m[2] for m in _PLAIN.finditer(code)})]
+
+
 def rows(path: str, code: str | None) -> list[tuple[str, str]]:
-    """(kind, fields as JSON) of a source; one that cannot be read has a single ``failed`` fact."""
+    """(kind, fields as JSON) of a source. One that cannot be read, or in which nothing is found although its code says
+    that it imports or exports, falls back on its plain imports; the first has a ``failed`` fact as well."""
+    code = code or ""
     try:
-        return [(k, json.dumps(v)) for k, v in facts(path, code or "")]
+        found = list(facts(path, code))
     except (RecursionError, ValueError, IndexError) as e:
-        return [("failed", json.dumps({"error": repr(e)}))]
+        found = [("failed", {"error": repr(e)}), *plain_imports(code)]
+    else:
+        if not any(k in ("import", "export") for k, _ in found) and _SAYS.search(mask(code)[0]):
+            found += plain_imports(code)
+    return [(k, json.dumps(v)) for k, v in found]

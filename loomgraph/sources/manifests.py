@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as S
+from loomgraph.plans.lineage import checked, cut
 
 SECTIONS = ["dependencies", "devDependencies", "peerDependencies", "optionalDependencies"]
 _MAPS = ", ".join(f"{s} map<string,string>" for s in SECTIONS)
@@ -18,19 +21,19 @@ def dependencies(manifests: DataFrame) -> DataFrame:
     return parsed.select("manifest_path", each).select("manifest_path", "s.dep_kind", F.explode("s.d").alias("package", "version")).select("manifest_path", "package", "version", "dep_kind")
 
 
-def leaves(df: DataFrame, json: str, keys: list[str], depth: int = 12) -> DataFrame:
-    """(keys, path, value) of the string and number leaves of JSON texts of any nesting, by exploding variants until only leaves are left."""
+def leaves(df: DataFrame, json: str, keys: list[str]) -> DataFrame:
+    """(keys, path, value) of the string and number leaves of JSON texts of any nesting, by exploding variants until only
+    leaves are left; each level is written once and explodes the one before."""
     live = df.select(*keys, F.lit("").alias("path"), F.try_parse_json(json).alias("v")).where("v is not null")
-    out = None
-    for _ in range(depth):
-        kind = F.schema_of_variant("v")
-        leaf = live.where(~kind.rlike("^(OBJECT|ARRAY|VOID)")).select(*keys, "path", F.variant_get("v", "$", "string").alias("value"))
+    out, cols = None, ", ".join(f"t.{k}" for k in keys)
+    while True:
+        live = cut(live.withColumn("kind", F.regexp_extract(F.schema_of_variant("v"), "^(OBJECT|ARRAY|VOID)", 1)))
+        leaf = live.where("kind = ''").select(*keys, "path", F.variant_get("v", "$", "string").alias("value"))
         out = leaf if out is None else out.union(leaf)
-        inner = live.where(kind.rlike("^(OBJECT|ARRAY)"))
-        inner.createOrReplaceTempView("_variant_level")
-        cols = ", ".join(f"t.{k}" for k in keys)
-        live = df.sparkSession.sql(f"SELECT {cols}, concat(t.path, coalesce(concat('.', x.key), concat('[', x.pos, ']'))) AS path, x.value AS v FROM _variant_level t, LATERAL variant_explode(t.v) AS x")
-    return out
+        inner = live.where("kind in ('OBJECT', 'ARRAY')")
+        if not inner.take(1):
+            return out
+        live = df.sparkSession.sql(f"SELECT {cols}, concat(t.path, coalesce(concat('.', x.key), concat('[', x.pos, ']'))) AS path, x.value AS v FROM {{level}} t, LATERAL variant_explode(t.v) AS x", level=inner)
 
 
 def packages(manifests: DataFrame) -> DataFrame:
@@ -74,7 +77,7 @@ def by_precedence(df: DataFrame, keys: list[str], priority: str = "priority") ->
 
 def expand_globs(patterns: DataFrame, dirs: DataFrame) -> DataFrame:
     """(pattern, dir): directories that a pattern names. A star stands for one level, hidden directories for none. Patterns are few."""
-    p = F.broadcast(patterns.select("pattern", S.glob_regex(F.regexp_replace("pattern", r"/\*\*$", "/*")).alias("regex")))
+    p = checked(patterns.select("pattern", S.glob_regex(F.regexp_replace("pattern", r"/\*\*$", "/*")).alias("regex")))
     return dirs.where(~F.col("dir").rlike(r"(^|/)\.")).join(p, F.expr("dir rlike regex")).select("pattern", "dir")
 
 
@@ -92,13 +95,62 @@ def extends_chain(files: DataFrame, depth: int = 10) -> DataFrame:
     c = S.strip_comments(F.col("content"))
     one = files.select("path", F.get_json_object(c, "$.extends").alias("e")).where("startswith(e, '.')")
     one = one.select("path", S.join_path(S.dirname(F.col("path")), F.when(F.col("e").endswith(".json"), F.col("e")).otherwise(F.concat("e", F.lit(".json")))).alias("base"))
-    step, out = one.withColumn("hop", F.lit(1)), one.withColumn("hop", F.lit(1))
+    one = cut(one)
+    step = out = one.withColumn("hop", F.lit(1))
     for hop in range(2, depth + 1):
-        step = step.select("path", F.col("base").alias("mid")).join(one.select(F.col("path").alias("mid"), "base"), "mid").select("path", "base", F.lit(hop).alias("hop"))
+        step = cut(step.select("path", F.col("base").alias("mid")).join(one.select(F.col("path").alias("mid"), "base"), "mid").select("path", "base", F.lit(hop).alias("hop")))
+        if not step.take(1):
+            break
         out = out.union(step)
     return out
 
 
+def include_exclude(files: DataFrame) -> DataFrame:
+    """(path, scope_dir, kind, pattern) of ``include`` and ``exclude`` in tsconfig files (path, content)."""
+    c = S.strip_comments(F.col("content"))
+    lists = F.from_json(c, "include array<string>, exclude array<string>")
+    none = F.array().cast("array<string>")
+
+    def marked(kind: str) -> Column:
+        return F.transform(F.coalesce(F.col("lists")[kind], none), lambda p: F.struct(F.lit(kind).alias("kind"), p.alias("pattern")))
+
+    parsed = files.select("path", S.dirname(F.col("path")).alias("scope_dir"), lists.alias("lists"))
+    return parsed.select("path", "scope_dir", F.explode(F.concat(marked("include"), marked("exclude"))).alias("e")).select("path", "scope_dir", "e.kind", "e.pattern")
+
+
+def project_files(files: DataFrame, patterns: DataFrame) -> DataFrame:
+    """(path, file_path): files below a tsconfig that its patterns (`include_exclude`) take in and none of them keeps out;
+    without includes everything below. Files meet patterns by ancestor directory."""
+    regex = S.glob_regex(F.regexp_replace(F.regexp_replace("pattern", r"^\./", ""), r"(^|/)([^/*.]+)$", "$1$2/**"))
+    rules = patterns.select("path", "scope_dir", "kind", regex.alias("regex"))
+    below = files.select("file_path", F.explode(S.ancestors(F.col("file_path"))).alias("scope_dir"))
+    own = below.join(patterns.select("path", "scope_dir").distinct(), "scope_dir").withColumn("rest", S.relative_to(F.col("file_path"), F.col("scope_dir")))
+    hit = own.join(rules, ["path", "scope_dir"]).where(F.expr("rest rlike regex")).select("path", "file_path", "kind").distinct()
+    open_ = patterns.groupBy("path").agg(F.max(F.col("kind") == "include").alias("listed")).where("not listed").select("path")
+    taken = hit.where("kind = 'include'").select("path", "file_path").union(own.join(open_, "path", "left_semi").select("path", "file_path")).distinct()
+    return taken.join(hit.where("kind = 'exclude'").select("path", "file_path"), ["path", "file_path"], "left_anti")
+
+
+def framework_configs(files: DataFrame) -> DataFrame:
+    """(path, content) of framework configuration files, among files (file_path, content)."""
+    return files.where(r"file_path rlike '\\.config\\.(ts|js|mjs|cjs)$'").select(F.col("file_path").alias("path"), "content")
+
+
+def package_directories(files: DataFrame) -> DataFrame:
+    """(root_dir, kind, file_path): the manifest, tsconfig files and configuration files that lie in a package's directory itself."""
+    base, root = S.basename(F.col("file_path")), S.dirname(F.col("file_path"))
+    kind = F.when(base == "package.json", "manifest").when(base.rlike(r"^(tsconfig|jsconfig)[^/]*\.json$"), "tsconfig").when(base.rlike(r"\.config\.(ts|js|mjs|cjs|json)$"), "config")
+    found = files.select(root.alias("root_dir"), kind.alias("kind"), "file_path").where("kind is not null")
+    return found.join(found.where("kind = 'manifest'").select("root_dir").distinct(), "root_dir", "left_semi")
+
+
+def monorepo_configs(files: DataFrame) -> DataFrame:
+    """(file_name, path, value): leaves of the task runners' configuration in the root, files (file_path, content)."""
+    # fixed values: names of these files
+    top = files.where(F.col("file_path").isin("turbo.json", "nx.json")).select(F.col("file_path").alias("file_name"), S.strip_comments(F.col("content")).alias("json"))
+    return leaves(top, "json", ["file_name"])
+
+
 def project_references(files: DataFrame) -> DataFrame:
     """(path, reference) of ``references`` in tsconfig files."""
     refs = F.from_json(F.get_json_object(S.strip_comments(F.col("content")), "$.references"), "array<struct<path:string>>")
@@ -122,7 +174,7 @@ def config_facts(files: DataFrame) -> DataFrame:
 def config_templates(active: DataFrame, config_files: DataFrame, files: DataFrame, templates: DataFrame) -> DataFrame:
     """(plugin, file_name, template) of active plugins of which no configuration exists."""
     there = config_files.join(files.select(S.basename(F.col("file_path")).alias("file_name")).distinct(), "file_name", "left_semi").select("plugin").distinct()
-    return active.join(there, "plugin", "left_anti").join(F.broadcast(templates), "plugin").select("plugin", "file_name", "template")
+    return active.join(there, "plugin", "left_anti").join(templates, "plugin").select("plugin", "file_name", "template")
 
 
 def manifest_text(deps: DataFrame) -> DataFrame:
@@ -133,6 +185,25 @@ def manifest_text(deps: DataFrame) -> DataFrame:
     return one.select("manifest_path", F.concat(F.lit("{"), F.array_join(F.transform("ss", lambda s: F.concat(F.lit('"'), s["dep_kind"], F.lit('":'), s["j"])), ","), F.lit("}")).alias("json"))
 
 
+def layered_config(files: DataFrame, name: str, overrides: dict | None = None, defaults: dict | None = None) -> dict:
+    """Configuration of a tool ``name`` from a tree's files (file_path, content): defaults, ``name``/config.json, the
+    manifest's key ``name``, the workspace, what is given. Configuration that is code is never run. Files that are
+    missing or malformed say nothing; at most two are read to the driver."""
+    bare = F.when(F.col("file_path") == "package.json", F.col("content")).otherwise(S.strip_comments(F.col("content")))
+    text = {r.file_path: r.json for r in files.where(F.col("file_path").isin(f"{name}/config.json", "package.json")).select("file_path", bare.alias("json")).collect()}
+
+    def read(path: str) -> dict:
+        try:
+            got = json.loads(text.get(path) or "{}")
+        except ValueError:
+            return {}
+        return got if isinstance(got, dict) else {}
+
+    own = read("package.json").get(name)
+    workspace = {"workspace": True} if read("package.json").get("workspaces") else {}
+    return merged_config(defaults or {}, read(f"{name}/config.json"), own if isinstance(own, dict) else {}, workspace, overrides or {})
+
+
 def merged_config(*layers: dict) -> dict:
     """Later layers replace earlier keys; ``options`` is merged key by key."""
     out: dict = {}

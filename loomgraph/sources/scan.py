@@ -14,8 +14,13 @@ from loomgraph.sources import extract
 
 SOURCE = r"\.(ts|tsx|js|jsx|mjs|cjs|mts|cts|vue|svelte)$"
 SKIPPED = r"(^|/)(node_modules|\.git|\.cache|dist|coverage)/"
+# fixed values: hidden folders and files that tools use
+HIDDEN = [".github/workflows", ".vitepress", ".storybook", ".*rc.{js,cjs,mjs,json,yml,yaml}"]
 GLOB = "*.{ts,tsx,js,jsx,mjs,cjs,mts,cts,vue,svelte,json,json5,html,yaml,yml}"
 
+#: Facts that go on together.
+BATCH = 5000
+
 _MEMBER = "array<struct<name:string,type:string,is_public:boolean,start:int,end:int>>"
 #: Fields of each kind of fact.
 SCHEMAS = {
@@ -30,20 +35,36 @@ SCHEMAS = {
     "suppression": "rule string, symbol string",
     "node": "node_type string, pre int, post int, attrs map<string,string>",
     "source": "n_statements int, has_side_effects boolean",
+    "template": "template_kind string, name string, value string",
+    "shape": "callee_object string, callee string, shape string, pre int",
+    "write": "name string, type string, pre int",
+    "access": "name string, kind string, pre int",
+    "body": "name string, shape string, n_tokens int, pre int",
     "failed": "error string",
 }
 
 
 def files(spark: SparkSession, root: str) -> DataFrame:
     """(file_path, sha256, content) of the texts below root. File names are filtered while listing; folders that are
-    skipped are filtered after, so what they hold under those names is read, but goes no further than the scan."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", GLOB).load(root)
+    skipped are filtered after, so what they hold under those names is read, but goes no further than the scan. Spark
+    lists no hidden names, so the hidden folders and files that tools use are looked for by name, three levels deep."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", GLOB).load([root, *_hidden(spark, root)])
     base = root if "://" in root or root.startswith("file:") else "file:" + root
     strip = F.regexp_replace(S.normal_path(F.regexp_replace("path", "^file:/+", "file:/")), "^" + base.rstrip("/").replace("file:///", "file:/").replace(".", r"\.") + "/", "")
-    named = found.where(~F.col("path").rlike(SKIPPED)).select(strip.alias("file_path"), "content").dropDuplicates(["file_path"])
+    named = found.where(~F.col("path").rlike(SKIPPED)).select(strip.alias("file_path"), "content")  # a listing names a path once
     return named.select("file_path", F.sha2("content", 256).alias("sha256"), F.decode("content", "UTF-8").alias("content"))
 
 
+def _hidden(spark: SparkSession, root: str) -> list[str]:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for up in ("", "*/", "*/*/"):
+        for name in HIDDEN:
+            at = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{up}{name}")
+            out += [s.getPath().toString() for s in at.getFileSystem(conf).globStatus(at) or []]
+    return [p for p in out if "node_modules/" not in p]
+
+
 def sources(found: DataFrame) -> DataFrame:
     return found.where(F.col("file_path").rlike(SOURCE))
 
@@ -52,14 +73,23 @@ def facts(found: DataFrame) -> DataFrame:
     """(file_path, kind, fact) of source files, parsed once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[str, str, str]] = []
         for x in batches:
             for path, code in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True):
-                got = extract.rows(path, code)
-                yield pa.RecordBatch.from_arrays([pa.array([path] * len(got), pa.string()), pa.array([k for k, _ in got], pa.string()), pa.array([v for _, v in got], pa.string())], ["file_path", "kind", "fact"])
+                rows += [(path, k, v) for k, v in extract.rows(path, code)]
+                if len(rows) >= BATCH:
+                    yield _batch(rows)
+                    rows = []
+        if rows:
+            yield _batch(rows)
 
     return cut(sources(found).select("file_path", "content").mapInArrow(run, "file_path string, kind string, fact string"))
 
 
+def _batch(rows: list[tuple[str, str, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], ["file_path", "kind", "fact"])
+
+
 def view(all_facts: DataFrame, kind: str) -> DataFrame:
     """The facts of one kind, with its fields as columns."""
     return all_facts.where(F.col("kind") == kind).select("file_path", F.from_json("fact", SCHEMAS[kind]).alias("f")).select("file_path", "f.*")

@@ -46,23 +46,50 @@ def load(spark: SparkSession, path: str, schema: str = "file_path string, sha256
     return spark.read.parquet(path) if at.getFileSystem(conf).exists(at) else spark.createDataFrame([], schema)
 
 
-def watch(spark: SparkSession, folder: str, state: str, on_change: Callable[[DataFrame], None], checkpoint: str):
-    """A streaming query over a folder of fact files (Parquet: file_path, content): every batch is compared with the
-    stored snapshot, the changes are handed on, and the snapshot is replaced by one that holds them. Batches that are
-    run again after a failure find their changes already stored and hand on nothing twice."""
+def _epochs(spark: SparkSession, state: str) -> list[int]:
+    """Epochs whose snapshot is whole, in order."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(state)
+    fs = at.getFileSystem(conf)
+    if not fs.exists(at):
+        return []
+    names = [f.getPath().getName() for f in fs.listStatus(at)]
+    return sorted(int(n) for n in names if n.isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{state}/{n}/snapshot/_SUCCESS")))
+
+
+def current(spark: SparkSession, state: str, before: int | None = None) -> DataFrame:
+    """The snapshot of the last whole epoch (before one, if given), empty if there is none."""
+    done = [e for e in _epochs(spark, state) if before is None or e < before]
+    return load(spark, f"{state}/{done[-1] if done else 'none'}/snapshot")
+
+
+def watch(spark: SparkSession, folder: str, state: str, on_change: Callable[..., None], checkpoint: str, edges: Callable[[], DataFrame] | None = None):
+    """A streaming query over a folder of fact files (Parquet: file_path, content; null content: the file is gone).
+    Every batch is compared with the snapshot before it. The new snapshot goes to a folder of its epoch, which counts
+    once it is whole, so a failure at any point leaves the old one; then the changes are handed on, from files, with
+    the files they affect by ``edges`` (src, dst), if given. A batch that is run again does the same once more: changes
+    are handed on once, but for a failure after which nobody can tell whether they were."""
     stream = spark.readStream.schema("file_path string, content string").option("maxFilesPerTrigger", 1000).parquet(folder)
 
     def batch(df: DataFrame, epoch: int) -> None:
-        new = snapshot(df).groupBy("file_path").agg(F.max("sha256").alias("sha256"))
-        old = load(df.sparkSession, f"{state}/current")
-        moved = changes(old.join(new.select("file_path"), "file_path", "left_semi"), new).where("change <> 'deleted'")
-        moved.write.mode("overwrite").parquet(f"{state}/moved")
-        moved = df.sparkSession.read.parquet(f"{state}/moved")
-        if not moved.take(1):
-            return
-        on_change(moved)
-        whole = old.join(new.select("file_path"), "file_path", "left_anti").unionByName(new)
-        whole.write.mode("overwrite").parquet(f"{state}/next")
-        df.sparkSession.read.parquet(f"{state}/next").write.mode("overwrite").parquet(f"{state}/current")
+        session = df.sparkSession
+        told = df.groupBy("file_path").agg(F.max("content").alias("content"))
+        gone, new = told.where("content is null").select("file_path"), snapshot(told.where("content is not null"))
+        old = current(session, state, epoch)
+        met = old.join(told.select("file_path"), "file_path", "left_semi")
+        changes(met, new).write.mode("overwrite").parquet(f"{state}/{epoch}/moved")
+        old.join(told.select("file_path"), "file_path", "left_anti").unionByName(new).join(gone, "file_path", "left_anti").write.mode("overwrite").parquet(f"{state}/{epoch}/snapshot")
+        moved = session.read.parquet(f"{state}/{epoch}/moved")
+        if moved.take(1):
+            on_change(moved, affected(moved, edges())) if edges else on_change(moved)
+        _forget(session, state, epoch)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _forget(spark: SparkSession, state: str, epoch: int, keep: int = 2) -> None:
+    """Epochs before the last few go."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for old in [e for e in _epochs(spark, state) if e < epoch][:-keep]:
+        at = jvm.org.apache.hadoop.fs.Path(f"{state}/{old}")
+        at.getFileSystem(conf).delete(at, True)

@@ -63,6 +63,25 @@ def test_string_nodes(spark, pairs):
     assert {r.node: (r.component, r.size) for r in graph.cycles(df).collect()} == components(edges)
 
 
+def test_barrels_of_any_depth(spark):
+    """A symbol behind more re-exports than any fixed number of rounds would follow."""
+    n = 55
+    rows = [(f"b{i}", "*", f"./b{i + 1}", "*") for i in range(n)] + [(f"b{n}", "x", None, "x")]
+    exports = spark.createDataFrame(rows, "file_path string, name string, source_specifier string, original_name string")
+    targets = spark.createDataFrame([(f"b{i}", f"./b{i + 1}", f"b{i + 1}") for i in range(n)], "file_path string, source_specifier string, target string")
+    wanted = spark.createDataFrame([("b0", "x")], "file_path string, name string")
+    r = graph.resolve_symbols(wanted, exports, targets).first()
+    assert (r.origin_file, r.origin_name, r.hop) == (f"b{n}", "x", n)
+
+
+def test_many_seeds_take_rounds(spark):
+    """Seeds are counted like edges: many of them are not gathered into one task."""
+    edges = spark.createDataFrame([(1, 2)], "src long, dst long")
+    got = graph.reachable(edges, spark.range(50).toDF("s"), local=10)
+    assert {(r.node, r.hops) for r in got.collect()} == {(i, 0) for i in range(50)}
+    assert "MapInArrow" not in got._jdf.queryExecution().toString()
+
+
 def test_symbol_precedence_and_cycles(spark):
     schema = "file_path string, name string, source_specifier string, original_name string"
     exports = spark.createDataFrame([

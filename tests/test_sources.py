@@ -1,5 +1,6 @@
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as S
@@ -50,6 +51,40 @@ def test_configs(spark):
     assert M.merged_config({"a": 1, "options": {"x": 1}}, {"options": {"y": 2}}, {"a": 3}) == {"a": 3, "options": {"x": 1, "y": 2}}
 
 
+def test_project_files_and_monorepo_configs(spark):
+    config = spark.createDataFrame([
+        ("a/tsconfig.json", '{"include": ["src", "*.ts"], "exclude": ["src/**/*.spec.ts"]} // end'),
+        ("b/tsconfig.json", '{"exclude": ["gen"]}'),
+        ("c/tsconfig.json", "broken"),
+    ], "path string, content string")
+    paths = ["a/src/x.ts", "a/src/d/y.spec.ts", "a/z.ts", "a/other/w.ts", "b/gen/g.ts", "b/h.ts", "c/i.ts"]
+    files = spark.createDataFrame([(p,) for p in paths], "file_path string")
+    got = {(r.path, r.file_path) for r in M.project_files(files, M.include_exclude(config)).collect()}
+    assert got == {("a/tsconfig.json", "a/src/x.ts"), ("a/tsconfig.json", "a/z.ts"), ("b/tsconfig.json", "b/h.ts")}
+    top = spark.createDataFrame([("turbo.json", '{"tasks": {"build": {"dependsOn": ["^build"]}}}'), ("x/nx.json", "{}")], "file_path string, content string")
+    assert [tuple(r) for r in M.monorepo_configs(top).collect()] == [("turbo.json", ".tasks.build.dependsOn[0]", "^build")]
+
+
+def test_layered_config(spark):
+    files = spark.createDataFrame([
+        ("own/config.json", '{"a": 1, "b": 1, "options": {"x": 1}} // last'),
+        ("package.json", '{"workspaces": ["p/*"], "own": {"b": 2, "options": {"y": 2}}}'),
+        ("own.config.js", "module.exports = { b: 9 }"),
+    ], "file_path string, content string")
+    assert M.layered_config(files, "own", {"c": 3}, {"a": 0, "d": 4}) == {"a": 1, "b": 2, "c": 3, "d": 4, "options": {"x": 1, "y": 2}, "workspace": True}
+    assert M.layered_config(files.where("file_path = 'x'"), "own") == {}
+
+
+def test_alias_scopes_before_places(spark):
+    """However many patterns an inner scope has, it goes before an outer one."""
+    from loomgraph.operators import resolve
+
+    aliases = spark.createDataFrame([("", "@/*", "outer/*", 0), ("a", "@/*", "inner/*", 5000)], "scope_dir string, pattern string, target string, pos int")
+    imports = spark.createDataFrame([("a/x.ts", "@/f")], "file_path string, specifier string")
+    files = spark.createDataFrame([("outer/f.ts",), ("a/inner/f.ts",)], "file_path string")
+    assert resolve.resolve(imports, files, aliases=aliases).first().target == "a/inner/f.ts"
+
+
 def test_manifest_text_round_trip(spark):
     deps = spark.createDataFrame([("m", "b", "1", "dependencies"), ("m", "a", "2", "dependencies"), ("m", "c", "3", "devDependencies")], "manifest_path string, package string, version string, dep_kind string")
     out = M.manifest_text(deps)
@@ -106,7 +141,18 @@ def test_snapshots_and_watch(spark, tmp_path):
     time.sleep(0.1)
     put([("a", "1"), ("b", "2"), ("c", "1")])
     run()
-    assert seen == [[("a", "added"), ("b", "added")], [("b", "changed"), ("c", "added")]]
+    time.sleep(0.1)
+    put([("a", None), ("c", "1")])
+    run()
+    assert seen == [[("a", "added"), ("b", "added")], [("b", "changed"), ("c", "added")], [("a", "deleted")]]
+    assert {r.file_path for r in inc.current(spark, str(state)).collect()} == {"b", "c"}
+    put([("d", "1")])
+    broken = inc.watch(spark, str(folder), str(state), lambda df: 1 / 0, str(tmp_path / "cp"))
+    with pytest.raises(Exception, match="division"):
+        broken.awaitTermination(120)
+    assert {r.file_path for r in inc.current(spark, str(state), 3).collect()} == {"b", "c"}
+    run()  # the batch is run again, with the snapshot it had
+    assert seen[-1] == [("d", "added")]
     edges = spark.createDataFrame([("x", "b"), ("y", "x"), ("z", "q")], "src string, dst string")
     assert {(r.node, r.hops) for r in inc.affected(spark.createDataFrame([("b",)], "file_path string"), edges).collect()} == {("b", 0), ("x", 1), ("y", 2)}
 
