@@ -83,6 +83,11 @@ def basename(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+def tail_names(path: Column) -> Column:
+    """A path's last segment, and its last two: what configuration files are known by."""
+    return F.array_distinct(F.array(basename(path), F.array_join(F.slice(F.split(path, "/"), -2, 2), "/")))
+
+
 def drop_extension(path: Column) -> Column:
     return F.regexp_replace(path, r"\.[A-Za-z0-9]+$", "")
 

@@ -96,7 +96,7 @@ def matched_routes(files: DataFrame, rules: DataFrame, active: DataFrame) -> Dat
 
 def active_plugins(config_files: DataFrame, packages: DataFrame, activation: DataFrame, files: DataFrame, deps: DataFrame) -> DataFrame:
     """Plugins of which a config file exists or a package is declared, as their activation asks."""
-    by_file = config_files.join(files.select(S.basename(F.col("file_path")).alias("file_name")).distinct(), "file_name", "left_semi").select("plugin")
+    by_file = config_files.join(files.select(F.explode(S.tail_names(F.col("file_path"))).alias("file_name")).distinct(), "file_name", "left_semi").select("plugin")
     by_dep = packages.join(deps.select("package").distinct(), "package", "left_semi").select("plugin")
     a = activation.select("plugin", "activation")
     return a.where("activation like '%file%' or activation = 'base'").join(by_file, "plugin", "left_semi").union(a.where("activation like '%dep%'").join(by_dep, "plugin", "left_semi")).select("plugin").distinct()
@@ -166,7 +166,7 @@ def plugin_requirements(required: DataFrame, deps: DataFrame) -> DataFrame:
 
 def orphaned_configs(config_files: DataFrame, files: DataFrame, required: DataFrame, deps: DataFrame) -> DataFrame:
     """(plugin, file_name): the config exists, none of the plugin's packages is declared."""
-    there = config_files.join(files.select(S.basename(F.col("file_path")).alias("file_name")).distinct(), "file_name", "left_semi")
+    there = config_files.join(files.select(F.explode(S.tail_names(F.col("file_path"))).alias("file_name")).distinct(), "file_name", "left_semi")
     backed = required.join(deps.select("package"), "package", "left_semi").select("plugin").distinct()
     return there.join(required.select("plugin").distinct(), "plugin", "left_semi").join(backed, "plugin", "left_anti").select("plugin", "file_name")
 

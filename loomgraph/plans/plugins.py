@@ -213,7 +213,7 @@ def _built_in() -> dict[str, list[tuple]]:
     return {
         "activations": [(n, a) for n, a, _, _ in _RULES],
         "packages": [(n, *p) for n, _, ps, _ in _RULES for p in ps],
-        "config_files": [(n, c.rpartition("/")[2]) for n, _, _, cs in _RULES for c in cs],
+        "config_files": [(n, c) for n, _, _, cs in _RULES for c in cs],
         "routes": [(p, "(^|/)" + r.removeprefix("/") if r.startswith("/") else r) for p, r in _ROUTES],
         "contracts": [(n, c) for n, *_ in _RULES for c in _CONTRACTS.get(n, "default").split()],
         "needles": _NEEDLES,

@@ -173,7 +173,7 @@ def config_facts(files: DataFrame) -> DataFrame:
 
 def config_templates(active: DataFrame, config_files: DataFrame, files: DataFrame, templates: DataFrame) -> DataFrame:
     """(plugin, file_name, template) of active plugins of which no configuration exists."""
-    there = config_files.join(files.select(S.basename(F.col("file_path")).alias("file_name")).distinct(), "file_name", "left_semi").select("plugin").distinct()
+    there = config_files.join(files.select(F.explode(S.tail_names(F.col("file_path"))).alias("file_name")).distinct(), "file_name", "left_semi").select("plugin").distinct()
     return active.join(there, "plugin", "left_anti").join(templates, "plugin").select("plugin", "file_name", "template")
 
 

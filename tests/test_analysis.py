@@ -135,13 +135,15 @@ def test_smells_and_secrets(spark, tmp_path):
 
 
 def kinds(a, *names):
-    return sorted((r.kind, r.file_path or r.manifest_path, r.symbol or r.package) for r in a.findings().collect() if r.kind in names)
+    if not hasattr(a, "_rows"):
+        a._rows = a.findings().collect()
+    return sorted((r.kind, r.file_path or r.manifest_path, r.symbol or r.package) for r in a._rows if r.kind in names)
 
 
 def test_findings_of_manifests_and_tools(spark, tmp_path):
     root = tree(tmp_path, {
-        "package.json": {"private": True, "workspaces": ["packages/*"], "dependencies": {"lodahs": "1", "moment": "2", "@x/ui": "1.0.0", "shared": "1", "left": "1"}, "devDependencies": {"next": "1", "typescript": "5"}, "scripts": {"lint": "eslint ."}},
-        ".github/workflows/ci.yml": "jobs:\n  a:\n    steps:\n      - run: npx left --check\n",
+        "package.json": {"private": True, "workspaces": ["packages/*"], "dependencies": {"lodahs": "1", "moment": "2", "@x/ui": "1.0.0", "shared": "1", "leftpadding": "1"}, "devDependencies": {"next": "1", "typescript": "5"}, "scripts": {"lint": "eslint ."}},
+        ".github/workflows/ci.yml": "jobs:\n  a:\n    steps:\n      - run: npx leftpadding --check\n",
         "vite.config.ts": "export default {}\n",
         "packages/app/package.json": {"name": "@x/app", "main": "src/main.ts", "dependencies": {"@x/ui": "workspace:*"}},
         "packages/app/src/main.ts": "import shared from 'shared';\nimport { a, spare } from '@x/ui';\nconsole.log(shared, a);\n",
@@ -151,7 +153,7 @@ def test_findings_of_manifests_and_tools(spark, tmp_path):
         "packages/bare/other.txt": "",
     })
     a = Analysis(spark, root)
-    assert "left" not in deps(a) and {"lodahs", "moment"} <= deps(a)
+    assert "leftpadding" not in deps(a) and {"lodahs", "moment"} <= deps(a)
     assert kinds(a, "root-only-dependency") == [("root-only-dependency", "package.json", "shared")]
     assert kinds(a, "workspace-protocol") == [("workspace-protocol", "package.json", "@x/ui")]
     assert kinds(a, "no-entry") == [("no-entry", "packages/bare/package.json", "@x/bare")]
