@@ -155,7 +155,8 @@ def _shortened(edges: DataFrame, left: DataFrame, stuck: DataFrame | None) -> tu
             jumps = jumps.drop("moved")
     if circling:  # what still moves after that many doublings is on or behind a cycle
         more = jumps.where("moved").select("conv_id", "node")
-        return edges, left, cut(more if stuck is None else stuck.union(more))
+        stuck = cut(more if stuck is None else stuck.union(more))
+        jumps = jumps.where("not moved")
     if not n:
         return edges, left, stuck
     jumps = jumps.select("conv_id", "node", "anchor", "w", "least")
