@@ -32,7 +32,9 @@ from .words import chunks
 
 WORDS, DISTANCE, BLOCKS, SEED = 3, 3, 6, 42
 SPLIT = 4096
-_HELD = 1_000_000
+#: Lists up to this length are compared many at a time.
+LIST = 128
+_HELD = 200_000
 
 
 def simhash(texts: pa.Array, words: int = WORDS) -> np.ndarray:
@@ -82,6 +84,23 @@ def _in_groups(group: np.ndarray, fp: np.ndarray, distance: int) -> Iterator[tup
         d += 1
 
 
+def _roots(fp: np.ndarray, distance: int) -> np.ndarray:
+    """For each fingerprint of one list the place of the first that links lead to. What is joined is kept, not the links,
+    so a list takes memory in proportion to its length; it ends early once all are joined."""
+    label = np.arange(len(fp))
+    for d in range(1, len(fp)):
+        a = np.flatnonzero(np.bitwise_count(fp[:-d] ^ fp[d:]) <= distance)
+        apart = label[a] != label[a + d]
+        if apart.any():
+            nodes, roots = local_roots(label[a[apart]], label[a[apart] + d])
+            table = np.arange(len(fp))
+            table[nodes] = roots
+            label = table[label]
+            if not label.any():
+                break
+    return label
+
+
 def _signed(v: int) -> int:
     return v - (1 << 64) if v >> 63 else v
 
@@ -148,11 +167,17 @@ def _linked(rows: DataFrame, distance: int, split: int | None) -> DataFrame:
             if on.any():
                 yield batch(node[on], f0[on], c[on])
             done = ~on & (np.arange(len(c)) < whole)
-            group, own = np.repeat(np.arange(len(size)), size)[done], node[done]
-            for a, b in _in_groups(group, f0[done].view(np.uint64), distance):
+            for g in np.flatnonzero((size > LIST) & ~long & (start < whole)).tolist():
+                a, z = int(start[g]), int(start[g] + size[g])
+                roots = _roots(f0[a:z].view(np.uint64), distance)
+                far = np.flatnonzero(roots != np.arange(z - a))
+                held.append((node[a:z][far], node[a:z][roots[far]]))
+            few = done & np.repeat(size <= LIST, size)
+            group, own = np.repeat(np.arange(len(size)), size)[few], node[few]
+            for a, b in _in_groups(group, f0[few].view(np.uint64), distance):
                 held.append((own[a], own[b]))
-                if sum(len(a) for a, _ in held) > _HELD:
-                    held = [_contracted(held)]
+            if sum(len(a) for a, _ in held) > _HELD:
+                held = [_contracted(held)]
             stay = ~on & ~done
             c, key, node, f0 = c[stay], key[stay], node[stay], f0[stay]
         if held:
