@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as S
 
-# fixed values: type, severity, label, pattern; the last group is the secret
+# fixed values: type, severity, label, pattern; its group is the secret
 PATTERNS = [
     ("assigned-token", "error", "token in an assignment", r"(?i)\b(?:token|secret|api_?key|passw(?:or)?d)\s*[:=]\s*[\"']([0-9a-f]{32,64})[\"']"),
     ("cloud-key-id", "error", "access key id", r"\b((?:AKIA|ASIA)[0-9A-Z]{16})\b"),
@@ -17,9 +17,10 @@ PATTERNS = [
 ]
 
 
-def scan(files: DataFrame) -> DataFrame:
-    """(file_path, type, severity, label, value, line) of files (file_path, content); equal values in a file count once."""
+def scan(files: DataFrame, patterns: list[tuple[str, str, str, str]] = PATTERNS) -> DataFrame:
+    """(file_path, type, severity, label, value, line) of files (file_path, content); equal values in a file count once.
+    ``patterns``: other rules than ours; the first group of each is the secret."""
     one = lambda kind, severity, label, p: F.transform(F.array_distinct(F.regexp_extract_all("content", F.lit(p), 1)), lambda v: F.struct(F.lit(kind).alias("type"), F.lit(severity).alias("severity"), F.lit(label).alias("label"), v.alias("value")))
-    found = files.where("content is not null").select("file_path", "content", F.explode(F.flatten(F.array(*(one(*p) for p in PATTERNS)))).alias("s"))
+    found = files.where("content is not null").select("file_path", "content", F.explode(F.flatten(F.array(*(one(*p) for p in patterns)))).alias("s"))
     at = F.expr("cast(locate(s.value, content) - 1 as int)")
     return found.select("file_path", "s.type", "s.severity", "s.label", "s.value", S.line_number(F.col("content"), at).alias("line"))
