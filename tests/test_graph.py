@@ -91,3 +91,17 @@ def test_symbol_precedence_and_cycles(spark):
     wanted = spark.createDataFrame([("i", "a"), ("i", "c"), ("i", "n"), ("i", "zzz"), ("y", "a")], "file_path string, name string")
     got = {(r.file_path, r.name): (r.origin_file, r.origin_name) for r in graph.resolve_symbols(wanted, exports, targets).collect()}
     assert got == {("i", "a"): ("x", "b"), ("i", "c"): ("y", "c"), ("i", "n"): ("x", "*"), ("i", "zzz"): ("i", "zzz"), ("y", "a"): ("y", "a")}
+
+
+def test_components_of_large_graphs(spark, monkeypatch):
+    """Colours are dealt to tasks where they are small and go on in rounds where they aren't; a long cycle takes few rounds."""
+    rng = np.random.default_rng(5)
+    edges = {(200 * k + int(a), 200 * k + int(b)) for k in range(2) for a, b in rng.integers(0, 20, (32, 2))}
+    edges |= {(1000 + i, 1000 + (i + 1) % 40) for i in range(40)} | {(1039, 1000), (2000, 1000), (2001, 2000), (2000, 2001)}
+    df = spark.createDataFrame(sorted(edges), "src long, dst long").repartition(3)
+    monkeypatch.setattr(graph, "_HELD", 10)
+    cuts, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda rows: cuts.append(1) or cut(rows))
+    got = {r.node: (r.component, r.size) for r in graph.cycles(df, local=0).collect()}
+    assert got == components(edges) and len(cuts) < 25
+    assert {r.node: (r.component, r.size) for r in graph.cycles(df, local=0, dealt=20).collect()} == got
