@@ -281,7 +281,7 @@ _TYPED = r"""let a{N} = 1; a{N} = 'x{S}'; let b = 1; b = 2; let n = null; n.f{S}
 def _typed(t: Tables, kind: str) -> DataFrame:
     text = F.lit(_TYPED.replace("\\n", "\n"))
     code = F.replace(F.replace(text, F.lit("{N}"), F.col("p_partkey").cast("string")), F.lit("{S}"), F.col("p_size").cast("string"))
-    return scan.view(scan.facts(t.part.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".ts")).alias("file_path"), code.alias("content"))), kind)
+    return scan.view(scan.facts(t.part.select(F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.lit(".ts")).alias("file_path"), code.alias("content")), kind), kind)
 
 
 @query("a7_shapes_from_sources", f"SELECT {_AT}, 'draw' AS callee, unnest(['x', 'x,y' || p_size]) AS shape FROM part")

@@ -160,3 +160,14 @@ def test_snapshots_and_watch(spark, tmp_path):
 def test_graph_report(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c")], "src string, dst string")
     assert sorted(r.json for r in report.graph_json(edges).collect()) == ['{"id":1,"name":"a","targets":[2,3]}', '{"id":2,"name":"b","targets":[3]}', '{"id":3,"name":"c","targets":[]}']
+
+
+def test_files_of_one_partition_are_dealt_out(spark):
+    """Few bytes of input are one task of a scan; parsing them takes many. Kinds that aren't asked for aren't written."""
+    from loomgraph.sources import scan
+
+    made = spark.createDataFrame([(f"p{i}.ts", f"draw({{ x: {i} }});") for i in range(60)], "file_path string, content string").coalesce(1)
+    got = scan.facts(made, "shape")
+    assert sum(n > 0 for n in got.rdd.glom().map(len).collect()) > 1
+    assert {r.kind for r in got.collect()} == {"shape"} and got.count() == 60
+    assert scan.view(scan.facts(made), "shape").exceptAll(scan.view(got, "shape")).isEmpty()
