@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 
 from .common import checked, cut, partitions, read, small_batches, spread_join
 from .components import connected_components, local_roots
-from .near import groups
 from .words import chunks
 
 WORDS, DISTANCE, BLOCKS, SEED = 3, 3, 6, 42
@@ -212,6 +211,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """docs without near copies (`near`): of each group the document with the smallest doc_id stays (null ids count last),
     and of rows of a group that repeat that id the one with the least text. Rows go by id and text, so that another text
     of the same id is not touched."""
+    from .near import groups  # which links by fingerprints itself
+
     rows = groups(docs)
     stays = F.col("doc_id").eqNullSafe(F.col("low"))
     again = rows.where(stays).groupBy("group").count().where("count > 1").select("group")

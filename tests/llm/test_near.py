@@ -119,3 +119,16 @@ def test_repeated_and_null_ids(spark):
     ]
     got = [tuple(r) for r in sh.keep_one(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()]
     assert sorted(got, key=repr) == sorted([(1, a, "en"), (5, b, "en"), (8, c + " x", "de"), (None, d, "en"), (None, None, None)], key=repr)
+
+
+def test_texts_meet_by_simhash(spark, monkeypatch):
+    """Without any band, texts whose fingerprints are linked still meet and go through the exact comparison."""
+    own = lambda e, at, again=False: np.add.reduceat(e.astype(np.uint64), at[:-1])[:, None] * np.uint64(16) + np.arange(16, dtype=np.uint64)
+    monkeypatch.setattr(near, "bands", own)  # no two sets share one
+    words = [f"w{i}" for i in range(400)]
+    base = " ".join(words)
+    texts = [base, base + " tail", " ".join(f"v{i}" for i in range(400)), None, "", base.upper()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = [int(v) for v in sh.simhash(pa.array(texts))]
+    assert (prints[0] ^ prints[1]).bit_count() <= sh.DISTANCE
+    assert {r.doc_id: r.low for r in near.groups(df).collect()} == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3, 5: 0}
