@@ -105,3 +105,17 @@ def test_components_of_large_graphs(spark, monkeypatch):
     got = {r.node: (r.component, r.size) for r in graph.cycles(df, local=0).collect()}
     assert got == components(edges) and len(cuts) < 25
     assert {r.node: (r.component, r.size) for r in graph.cycles(df, local=0, dealt=20).collect()} == got
+
+
+def test_a_round_shuffles_marks_alone(spark, monkeypatch):
+    """Edges are dealt once, not at each step; settings are as before afterwards."""
+    plans, cut = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda rows: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or cut(rows))
+    keys = ["spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions"]
+    was = [spark.conf.get(k) for k in keys]
+    edges = spark.createDataFrame([(i, (i + 1) % 60) for i in range(60)] + [(70, 3), (5, 71), (71, 71)], "src long, dst long").repartition(3)
+    got = {r.n: r.c for r in graph._least(edges).collect()}
+    assert got == {i: 0 for i in (*range(60), 71)} | {70: 70}
+    assert [spark.conf.get(k) for k in keys] == was
+    rounds = [p for p in plans if p.count("Join") > graph.STEPS]
+    assert rounds and all(p.count("Exchange") - p.count("ReusedExchange") <= graph.STEPS + 3 and "Broadcast" not in p for p in rounds)
