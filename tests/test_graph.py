@@ -119,3 +119,9 @@ def test_a_round_shuffles_marks_alone(spark, monkeypatch):
     assert [spark.conf.get(k) for k in keys] == was
     rounds = [p for p in plans if p.count("Join") > graph.STEPS]
     assert rounds and all(p.count("Exchange") - p.count("ReusedExchange") <= graph.STEPS + 3 and "Broadcast" not in p for p in rounds)
+
+
+def test_text_of_cycles_found_by_rounds(spark):
+    edges = spark.createDataFrame([(3, 10), (10, 2), (2, 3), (7, 7), (2, 7), (8, 2), (7, 9)], "src long, dst long")
+    got = {(r.component, r.size, r.path) for r in graph.cycle_text(graph.cycles(edges, local=0)).collect()}
+    assert got == {(2, 3, "2 -> 3 -> 10 -> 2"), (7, 1, "7 -> 7")}
