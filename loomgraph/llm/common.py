@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +63,23 @@ def placed(df: DataFrame, key: str) -> DataFrame:
         spark.conf.set("spark.sql.adaptive.enabled", was)
 
 
+def given_back(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """run (for mapInArrow), whose freed memory goes back to the system when its task ends. Workers stay for later tasks
+    and stages: what their allocators keep of the largest task adds to what the JVM beside them takes."""
+
+    @wraps(run)
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc alone
+            if trim:
+                trim(0)
+
+    return held
+
+
 def runs(batches: Iterator[pa.RecordBatch], keys: int = 1) -> Iterator[pa.Table]:
     """Rows that agree in their first ``keys`` columns, as tables, from batches sorted by these; only one such run is held."""
     held: list[pa.RecordBatch] = []

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, spread_join
+from .common import cut, given_back, spread_join
 
 #: Links, counted first, that one task joins.
 FEW = 500_000
@@ -38,6 +38,7 @@ def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _joined(links: DataFrame) -> DataFrame:
     """(node, root) of few links (u, v; made of files), found by one task and written, so that a caller's stage has no Python of this one."""
 
+    @given_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches if x.num_rows]
         if got:

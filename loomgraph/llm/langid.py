@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from .common import cut, graded_join, read, small_batches
+from .common import cut, given_back, graded_join, read, small_batches
 from .words import CHUNK
 
 BITS, SAMPLE, LABELS, SURE, ENOUGH = 15, 1000, 64, 60.0, 30
@@ -83,6 +83,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", id_: str =
         chosen = chosen | ((F.col("lang") == name) & (F.pmod("h", F.lit(1 << 30)) < F.lit(int(min(1.0, sample / n) * (1 << 30)))))
     rows = rows.where(chosen & F.col("text").isNotNull()).dropDuplicates(["lang", "h"])
 
+    @given_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
         for x in batches:
@@ -128,6 +129,7 @@ def scored(df: DataFrame, model: Model, text: str, drop_text: bool = False) -> D
     places = [df.columns.index(c) for c in kept]
     schema = StructType([*(df.schema[c] for c in kept), StructField("_ll", ArrayType(DoubleType())), StructField("_n", LongType())])
 
+    @given_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             ll, n = likelihoods(x.column(which), model)

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, read, small_batches
+from .common import cut, given_back, read, small_batches
 from .tokens import Encoder
 
 CAPACITY, END = 1024, 2
@@ -49,6 +49,7 @@ def pieces(df: DataFrame, vocabulary: str, text: str = "text", id_: str = "doc_i
     small_batches(df.sparkSession)
     tail = np.array([end], "<u4").tobytes()
 
+    @given_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, seen = TaskContext.get().partitionId(), Counter()
         encoder = _encoder(vocabulary)
@@ -231,6 +232,7 @@ def plan(spark, counts: dict[int, int], capacity: int = CAPACITY) -> Packing:
     for epoch in range(EPOCHS):
         seeds = elites
 
+        @given_back
         def island(batches: Iterator[pa.RecordBatch], epoch: int = epoch, seeds: list = seeds) -> Iterator[pa.RecordBatch]:
             for x in batches:
                 for k in x.column(0).to_pylist():
@@ -275,6 +277,7 @@ def pack(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before = counted.select("task", "length", F.coalesce(F.sum("count").over(w), F.lit(0)).alias("before"))
     ranked = made.join(before, ["task", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
 
+    @given_back
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             length, rank = x.column(3).to_numpy(), x.column(5).to_numpy()

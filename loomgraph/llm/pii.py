@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import read, small_batches
+from .common import given_back, read, small_batches
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "iban", "ssn")
@@ -168,6 +168,7 @@ def detect(df: DataFrame, text: str = "text", redacted: bool = False) -> DataFra
     which = names.index(text)
     counted = names.index("n_chars") if redacted and "n_chars" in names else None
 
+    @given_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             columns = list(x.columns)

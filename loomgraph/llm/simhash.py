@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked, cut, partitions, read, small_batches, spread_join
+from .common import checked, cut, given_back, partitions, read, small_batches, spread_join
 from .components import connected_components, local_roots
 from .words import chunks
 
@@ -108,6 +108,7 @@ def fingerprints(df: DataFrame, text: str = "text", id_: str = "doc_id", words:
     """(doc_id, f0): the fingerprint as a signed long."""
     small_batches(df.sparkSession)
 
+    @given_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             yield pa.RecordBatch.from_arrays([x.column(0), pa.array(simhash(x.column(1), words).view(np.int64))], ["doc_id", "f0"])
@@ -121,6 +122,7 @@ def links(unique: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS, spl
     choices = [F.struct(F.lit(c).alias("c"), F.col("f0").bitwiseAND(F.lit(_signed(m))).alias("key")) for c, m in enumerate(table)]
     rows = unique.select("node", "f0", F.explode(F.array(*choices)).alias("k")).select("k.c", "k.key", "node", "f0")
 
+    @given_back
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             node, f0, c = (x.column(k).to_numpy() for k in range(3))
@@ -140,6 +142,7 @@ def _linked(rows: DataFrame, distance: int, split: int | None) -> DataFrame:
     """Links (u, v, null) within block lists, contracted task by task; rows of lists over ``split`` come back as (node, f0, c)."""
     dealt = rows.repartition(partitions(rows.sparkSession), "c", "key").sortWithinPartitions("c", "key")
 
+    @given_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.empty(0, np.int64)
         c, key, node, f0 = none.astype(np.int32), none, none, none

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import cut, partitions, placed, read, runs, small_batches
+from .common import cut, given_back, partitions, placed, read, runs, small_batches
 from .words import U, Words, chunks, mix, windows
 
 WINDOW = 35
@@ -159,6 +159,7 @@ def batches_of(df: DataFrame) -> DataFrame:
     """(batch, data): some MB of df's rows each, as a compressed Arrow stream, written once."""
     names = df.columns
 
+    @given_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, k = TaskContext.get().partitionId(), 0
         held: list[pa.RecordBatch] = []
@@ -249,6 +250,7 @@ def answers(sent: DataFrame, width: int, name: str) -> DataFrame:
     """(batch, name) of rows of Sent: for each batch its buckets with any repeated key, and their bits."""
     kind = np.dtype(f"u{width}")
 
+    @given_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in runs(batches):
             bucket, batch, sent, twice = (table.column(i).to_pylist() for i in range(4))
@@ -313,6 +315,7 @@ def repeats(df: DataFrame, text: str = "text", window: int = WINDOW) -> DataFram
         return table, parts, Sent((two >> U(64 - bits)).astype(np.int64), one), like
 
     def send(turn: int):
+        @given_back
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for x in batches:
                 got = [x.column(2 + k).to_pylist() for k in range(turn)]
@@ -322,6 +325,7 @@ def repeats(df: DataFrame, text: str = "text", window: int = WINDOW) -> DataFram
 
         return run
 
+    @given_back
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             got = [x.column(2 + k).to_pylist() for k in range(4)]
@@ -338,6 +342,7 @@ def repeats(df: DataFrame, text: str = "text", window: int = WINDOW) -> DataFram
                 out = [pa.array(kept, pa.string()), *(pa.array(np.concatenate(v) if v else none, pa.int64()) for v in (n_words, n_removed))]
                 for k in range(0, table.num_rows, 500):
                     yield pa.RecordBatch.from_arrays([*(c.slice(k, 500) for c in cols), *(c.slice(k, 500) for c in out)], [*names, "kept", "n_words", "n_removed"])
+                table = parts = p = sent = chosen = kept = cols = out = None  # before the next batch is made
 
     asked = blobs
     for turn, width in enumerate((4, 4, 4, 8)):
