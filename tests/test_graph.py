@@ -125,3 +125,18 @@ def test_text_of_cycles_found_by_rounds(spark):
     edges = spark.createDataFrame([(3, 10), (10, 2), (2, 3), (7, 7), (2, 7), (8, 2), (7, 9)], "src long, dst long")
     got = {(r.component, r.size, r.path) for r in graph.cycle_text(graph.cycles(edges, local=0)).collect()}
     assert got == {(2, 3, "2 -> 3 -> 10 -> 2"), (7, 1, "7 -> 7")}
+
+
+def test_colours_stay_whole_where_plans_adapt(spark):
+    """A join that turns into a broadcast while it runs does not part a colour's edges among tasks."""
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was = {k: spark.conf.get(k, None) for k in keys}
+    edges = [(100 * k + i, 100 * k + (i + 1) % 9) for k in range(30) for i in range(9)]
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        got = {(r.component, r.size) for r in graph.cycles(spark.createDataFrame(edges, "src long, dst long").repartition(8), local=0).collect()}
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == {(100 * k, 9) for k in range(30)}
