@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.functions import scalars as S
-from loomgraph.operators import rules
+from loomgraph.operators import resolve, rules
 from loomgraph.plans import plugins, report
 from loomgraph.sources import manifests as M
 from loomgraph.streaming import incremental as inc
@@ -171,3 +171,23 @@ def test_files_of_one_partition_are_dealt_out(spark):
     assert sum(n > 0 for n in got.rdd.glom().map(len).collect()) > 1
     assert {r.kind for r in got.collect()} == {"shape"} and got.count() == 60
     assert scan.view(scan.facts(made), "shape").exceptAll(scan.view(got, "shape")).isEmpty()
+
+
+def test_edges_of_computed_imports_are_whole_and_small(spark, tmp_path, monkeypatch):
+    """Every edge is a row, as often as before; they are dealt by their number and stored in far less than a byte each."""
+    monkeypatch.setattr(resolve, "_EDGES", 20_000, raising=False)
+    below = [f"a/d/{i * 7919}.ts" for i in range(2000)]
+    above = [f"a/f{i}.ts" for i in range(60)]
+    files = spark.createDataFrame([(f,) for f in [*below, *above, "a/d/0.ts", None]], "file_path string")
+    asked = [(f, False, "./d") for f in [*above, above[0]]] + [("a/d/0.ts", False, "."), ("a/x.ts", True, "./d"), ("a/y.ts", False, None), ("a/z.ts", False, "./none")]
+    edges = resolve.glob_edges(spark.createDataFrame(asked, "file_path string, is_literal boolean, dir_prefix string"), files)
+    edges.write.parquet(str(tmp_path / "edges"))
+    parts = list((tmp_path / "edges").glob("*.parquet"))
+    got = sorted((r.src, r.dst, r.kind) for r in edges.collect())
+    assert got == sorted((s, d, "glob") for s, ds in [*((a, [*below, "a/d/0.ts"]) for a in above), ("a/d/0.ts", below[1:])] for d in ds)
+    assert len(parts) > 2 and sum(p.stat().st_size for p in parts) < len(got) // 2
+
+
+def test_computed_imports_of_nothing(spark):
+    none = spark.createDataFrame([], "file_path string, is_literal boolean, dir_prefix string")
+    assert resolve.glob_edges(none, spark.createDataFrame([("a.ts",)], "file_path string")).collect() == []
